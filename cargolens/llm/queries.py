@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that states their results."""
 
-from . import exact_dedup, pii, quality_rules, secrets
+from . import exact_dedup, minhash, mixing, packing, pii, quality_rules, secrets, warc
 
 
 def queries() -> dict:
@@ -8,7 +8,11 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
+        "op6_warc": warc.op6_warc,
+        "op7_mixing": mixing.op7_mixing,
         "op8_secrets": secrets.op8_secrets,
+        "op9_packing": packing.op9_packing,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
@@ -16,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_quality_rules": quality_rules.OP4_SQL,
+        "op6_warc": warc.OP6_SQL,
     }
