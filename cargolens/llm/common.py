@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers if neither PYTHONPATH nor the working folder does so already."""
+    root = Path(__file__).resolve().parents[2]
+    if any(Path(p or ".").resolve() == root for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]):
+        return
+    if not getattr(spark.sparkContext, "_cargolens_shipped", False):
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "cargolens.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in (root / "cargolens").rglob("*.py"):
+                z.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(archive)  # served by the driver to every executor
+        spark.sparkContext._cargolens_shipped = True
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -48,6 +65,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def sealed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once per row.
+
+    A filter on a costly column would otherwise be pushed below it with a copy of the whole expression. Spark doesn't
+    push filters on what a generator makes below the generator, so the columns come out of one that makes one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def crc_bucket(key: Column, mod: int) -> Column:
     """crc32 of a key written as text, modulo ``mod``; null keys count as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

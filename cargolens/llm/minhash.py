@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, small
+from .common import cut, read_table, ship, small
 from .components import components
 from .shingles import mix, shingle_sets, slices
 
@@ -153,6 +153,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, id_type: str,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, miss: float = MISS) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links of at least ``percent``), kept: one row per input row."""
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
+    ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = cut(rows.mapInPandas(_signed(size), f"id {id_type}, n long, h1 long, h2 long, sig binary"), "minhash-signed")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())

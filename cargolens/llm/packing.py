@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, ship
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
 #: Distinct words whose ids a worker keeps; beyond it, it starts again.
@@ -173,6 +173,7 @@ def _packed(capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the ids (little-endian, 4 bytes each)."""
     kind = dict(docs.dtypes)[id_col]
+    ship(docs.sparkSession)
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = cut(rows.mapInPandas(_pieces(tokenizer_path, capacity, end_id, with_ids), schema), "packing-pieces")

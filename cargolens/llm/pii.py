@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .spans import SPAN, joined, spans
+from .common import read_table, sealed
+from .spans import joined, with_spans
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "national_id", "local_phone")
@@ -73,13 +73,8 @@ def _score(text: Column, kind: str, x: Column) -> Column:
     return F.when(F.rlike(near, F.lit(words)), F.least(F.lit(1.0), F.lit(base + CONTEXT_GAIN))).otherwise(F.lit(base))
 
 
-def _confirmed(text: Column, kind: str) -> Column:
-    found = spans(text, PATTERNS[kind][0])
-    if kind in _CONFIRM:
-        found = F.filter(found, lambda x: _CONFIRM[kind](x["value"]))
-    if kind in _NEEDS:
-        found = F.when(F.contains(text, F.lit(_NEEDS[kind])), found).otherwise(F.array().cast(SPAN))
-    return found
+def _confirmed(kind: str) -> Column:
+    return F.filter(F.col(f"__pii_{kind}"), lambda x: _CONFIRM[kind](x["value"])) if kind in _CONFIRM else F.col(f"__pii_{kind}")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -88,13 +83,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     kinds = (*BASE, *EXTRA)
     out = docs.select(F.col(id_col), text.alias("__pii_text"))
     text = F.col("__pii_text")
-    out = out.withColumns({f"__pii_{k}": _confirmed(text, k) for k in kinds})
+    out = with_spans(out, "__pii_text", {f"__pii_{k}": (PATTERNS[k][0], 0, F.contains(text, F.lit(_NEEDS[k])) if k in _NEEDS else F.rlike(text, F.lit("[0-9]"))) for k in kinds})
 
     def scored(k: str) -> Column:
-        with_score = F.transform(F.col(f"__pii_{k}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _score(text, k, x).alias("score")))
-        return with_score if PATTERNS[k][1] >= threshold and k in BASE else F.filter(with_score, lambda x: x["score"] >= threshold)
+        with_score = F.transform(_confirmed(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _score(text, k, x).alias("score")))
+        return with_score if k in BASE else F.filter(with_score, lambda x: x["score"] >= threshold)
 
-    return out.select(id_col, *(scored(k).alias(k) for k in kinds))
+    return sealed(out, {k: scored(k) for k in kinds}).select(id_col, *kinds)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

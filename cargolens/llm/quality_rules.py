@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, words_of
+from .common import read_table, sealed, words_of
 
 #: Measurements that the rules read, in the ledger's order.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower")
@@ -89,7 +89,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": count_of("A-Z"),
         "n_lower": count_of("a-z"),
     }
-    return out.withColumns({k: v.cast("long") for k, v in values.items()}).drop("__q_words", "__q_windows", "__q_sorted", "__q_lines")
+    return sealed(out, {k: v.cast("long") for k, v in values.items()}).drop("__q_words", "__q_windows", "__q_sorted", "__q_lines")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .spans import SPAN, joined, spans, tagged
+from .spans import joined, tagged, with_spans
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
@@ -33,18 +33,17 @@ PATTERNS = {
 }
 #: Which kinds make a weak kind credible.
 NEEDS = {"identifier": ("assign", "hex", "secret"), "secret": ("access", "identifier", "endpoint"), "endpoint": ("assign", "access", "hex", "secret")}
+#: Text without which a kind can't occur: a cheap test before its expression runs.
+_MUST = {"access": "AKIA", "endpoint": "://"}
 _KEY = ["__s_id", "__s_hash"]
 
 
-def _found(text: Column, kind: str) -> Column:
-    out = spans(text, PATTERNS[kind], 1 if kind == "assign" else 0)
-    if kind == "assign":
-        out = F.filter(out, lambda x: F.length(x["part"]) >= 6)
-    if kind == "access":
-        out = F.filter(out, lambda x: F.length(x["value"]) >= 20)
-    if kind == "endpoint":
-        out = F.when(F.contains(text, F.lit("://")), out).otherwise(F.array().cast(SPAN))
-    return out
+def _with_kinds(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``rows`` with an array of spans for each kind, long enough ones only."""
+    text = F.col("__s_text")
+    out = with_spans(rows, "__s_text", {f"__all_{k}": (PATTERNS[k], 1 if k == "assign" else 0, F.contains(text, F.lit(_MUST[k])) if k in _MUST else None) for k in kinds})
+    least = {"assign": lambda x: F.length(x["part"]) >= 6, "access": lambda x: F.length(x["value"]) >= 20}
+    return out.withColumns({k: F.filter(F.col(f"__all_{k}"), least[k]) if k in least else F.col(f"__all_{k}") for k in kinds}).drop(*(f"__all_{k}" for k in kinds))
 
 
 def linked(parts: DataFrame, reach: int) -> DataFrame:
@@ -66,11 +65,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, and for each kind an array of (start, end, value, part); weak kinds hold linked spans only."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(_KEY[0]), text.alias("__s_text"), F.xxhash64(text).alias(_KEY[1]))
-    strong = rows.withColumns({k: _found(F.col("__s_text"), k) for k in STRONG})
-    # A weak part needs digits with a sign beside them or an address; other texts can't hold two complementary parts.
+    strong = _with_kinds(rows, STRONG)
+    # A text without a weak part has nothing to link.
     parts = (
-        rows.filter(F.rlike(F.col("__s_text"), F.lit(PATTERNS["identifier"])) | F.contains("__s_text", F.lit("://")) | F.rlike(F.col("__s_text"), F.lit(PATTERNS["secret"])))
-        .withColumns({k: _found(F.col("__s_text"), k) for k in (*STRONG, *WEAK)})
+        _with_kinds(rows.filter(F.rlike(F.col("__s_text"), F.lit(PATTERNS["identifier"])) | F.contains(F.col("__s_text"), F.lit("://")) | F.rlike(F.col("__s_text"), F.lit(PATTERNS["secret"]))), (*STRONG, *WEAK))
         .select(*_KEY, F.explode(F.concat(*(tagged(F.col(k), F.lit(k).alias("kind"), "start", "end") for k in (*STRONG, *WEAK)))).alias("x"))
         .select(*_KEY, "x.*")
     )

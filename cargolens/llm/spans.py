@@ -6,42 +6,55 @@ code points. They are summed in chunks, so a text with n matches costs about n t
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sealed
+
 _CHUNK = 128
 SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
+NONE = "array<string>"
 
 
-def _running_sums(x: Column) -> Column:
-    """Inclusive prefix sums of an array of int that isn't empty."""
-    add = lambda a, b: a + b
-    zero = F.lit(0)
-    totals = F.transform(F.sequence(zero, F.size(x) - 1, F.lit(_CHUNK)), lambda b: F.aggregate(F.slice(x, b + 1, F.lit(_CHUNK)), zero, add))
-    before = F.transform(totals, lambda _, b: F.aggregate(F.slice(totals, F.lit(1), b), zero, add))
+def with_spans(df: DataFrame, text_col: str, kinds: dict[str, tuple[str, int, Column | None]]) -> DataFrame:
+    """``df`` with a column for each kind: its leftmost non-overlapping matches, an array of (start, end, value, part).
 
-    def upto(_, i):
-        chunk = F.floor(i / _CHUNK).cast("int")
-        return F.get(before, chunk) + F.aggregate(F.slice(x, chunk * _CHUNK + 1, i - chunk * _CHUNK + 1), zero, add)
+    ``kinds``: name to (expression, capture group that ``part`` holds, condition without which a text has no match).
+    The text must not be null and the expressions must not match the empty string. Each step is a column of its own,
+    and no function of an array's element refers to a whole array, so nothing is evaluated once per match.
+    """
+    text, add, zero = F.col(text_col), lambda a, b: a + b, F.lit(0)
+    c = lambda step, k: F.col(f"__{step}_{k}")
 
-    return F.transform(x, upto)
+    def staged(step: str, make) -> DataFrame:
+        return df.withColumns({f"__{step}_{k}": make(k, *v) for k, v in kinds.items()})
 
+    def guarded(k: str, value: Column) -> Column:
+        return F.when(F.size(c("found", k)) > 0, value)
 
-def spans(text: Column, regex: str, part: int = 0) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value, part), ``part`` being a capture group.
+    df = staged("found", lambda k, rx, part, need: F.when(need if need is not None else F.lit(True), F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(F.array().cast(NONE)))
+    df = df.withColumns({
+        **{f"__between_{k}": guarded(k, F.split(text, rx, -1)) for k, (rx, _, _) in kinds.items()},
+        **{f"__part_{k}": guarded(k, F.regexp_extract_all(text, F.lit(rx), F.lit(part))) for k, (rx, part, _) in kinds.items() if part},
+    })
+    df = staged("step", lambda k, *_: guarded(k, F.zip_with(c("found", k), F.slice(c("between", k), F.lit(1), F.size(c("found", k))), lambda v, b: F.length(v) + F.length(b))))
+    df = staged("chunk", lambda k, *_: guarded(k, F.transform(F.sequence(zero, F.size(c("step", k)) - 1, F.lit(_CHUNK)), lambda b: F.slice(c("step", k), b + 1, F.lit(_CHUNK)))))
 
-    ``text`` must not be null. The expression must not match the empty string.
-    """
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(regex), F.lit(part)) if part else found
-    between = F.split(text, regex, -1)
-    steps = F.transform(found, lambda v, i: F.length(v) + F.length(F.get(between, i)))
-    ends = _running_sums(steps)
-    built = F.transform(
-        found,
-        lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value"), F.get(parts, i).alias("part")),
-    )
-    return F.when(F.size(found) > 0, built.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    def ends(k: str, *_) -> Column:
+        start = F.struct(zero.alias("sum"), F.array().cast("array<int>").alias("before"))
+        before = F.aggregate(
+            c("chunk", k), start, lambda acc, x: F.struct((acc["sum"] + F.aggregate(x, zero, add)).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before")), lambda acc: acc["before"]
+        )
+        return guarded(k, F.flatten(F.zip_with(c("chunk", k), before, lambda x, b: F.transform(x, lambda _, i: b + F.aggregate(F.slice(x, F.lit(1), i + 1), zero, add)))))
+
+    df = staged("end", ends)
+
+    def built(k: str, _, part: int, __) -> Column:
+        both = F.zip_with(c("found", k), c("part", k) if part else c("found", k), lambda v, p: F.struct(v.alias("v"), p.alias("p")))
+        whole = F.zip_with(both, c("end", k), lambda x, e: F.struct((e - F.length(x["v"])).alias("start"), e.alias("end"), x["v"].alias("value"), x["p"].alias("part")))
+        return F.coalesce(guarded(k, whole), F.array().cast(SPAN))
+
+    return sealed(df, {k: built(k, *v) for k, v in kinds.items()}).drop(*(f"__{s}_{k}" for s in ("found", "between", "part", "step", "chunk", "end") for k in kinds))
 
 
 def tagged(found: Column, *fields) -> Column:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir
+from .common import read_table, shared_dir, ship
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -119,6 +119,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: record_id, record_type, url, digest, refers_to, payload (empty for revisits). A file is parsed whole."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(_parsed, "record_id string, record_type string, url string, digest string, refers_to string, payload binary")
 
