@@ -1,11 +1,13 @@
 """The subpackage's queries and the SQL that states their results."""
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality_rules, secrets, warc
+from . import exact_dedup, line_crf, lm, minhash, mixing, packing, pii, quality_rules, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": line_crf.op1_quality_classifier,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_lm_scoring": lm.op3_lm_scoring,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
         "op6_warc": warc.op6_warc,
