@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, read_table, ship
 from .shingles import slices, word_hashes
 
-SAMPLE, STEPS, RATE, PENALTY = 4000, 120, 0.15, 1e-3
+SAMPLE, STEPS, RATE, PENALTY = 4000, 120, 1.0, 1e-5
 #: Byte classes that a line's features count.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|", "shout": b"!", "stop": b".,;:?", "blank": b" \t", "other": bytes(range(128, 256))}
 N_OWN = 15
