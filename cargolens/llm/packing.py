@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,17 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, ship
+from .shingles import LOWER, word_spans
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
-#: Distinct words whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS = 800_000
+#: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond it, it starts again.
+KEPT_WORDS, KEPT_PARTS = 1_500_000, 1_000_000
 SLICE_CHARS = 4_000_000
 
 
+#: ASCII signs that end words; the apostrophe isn't one, since it can begin a token with the letters after it.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 class WordIds:
     """Ids of texts by way of the ids of their distinct words.
 
-    White space never lies within a token of this kind of tokenizer, so a text's ids are those of its words in a row.
+    White space never lies within a token of this tokenizer and case doesn't matter to it, so a text's ids are those of
+    its lowered words in a row. Nor does a token hold both a letter or digit and the sign after it: a word's end of
+    ASCII signs is looked up apart from the rest. A text with the beginning of a special token keeps its case.
     """
 
     def __init__(self, path: str):
@@ -43,41 +52,58 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[int, int] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, words: list[bytes]) -> None:
-        # "surrogatepass" and "replace" never meet: Spark's strings are valid UTF-8.
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        first, count = len(self.index), len(found)
-        while self.used + len(new) > len(self.flat):
+    def _add(self, keys: list[int], words: list[bytes]) -> None:
+        split = []
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            split.append((core, w[len(core) :]) if 0 < len(core) < len(w) and core[-1] in _PLAIN and b"<|" not in w else (w, b""))
+        new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts]
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
+        self.parts.update(zip(new, (e.ids for e in found), strict=True))
+        ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        first, count = len(self.index), len(ids)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + count > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(new)] = new
+        self.flat[self.used : self.used + len(flat)] = flat
         self.starts[first : first + count] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + count] = sizes
-        self.used += len(new)
-        self.index.update(zip(words, range(first, first + count), strict=True))
+        self.used += len(flat)
+        self.index.update(zip(keys, range(first, first + count), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """For each text its ids."""
         if len(self.index) > KEPT_WORDS:
             self.clear()
-        words = [t.split() for t in texts]
-        flat = [w for x in words for w in x]
-        new = [w for w in dict.fromkeys(flat) if w not in self.index]
-        if new:
-            self._add(new)
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        if len(self.parts) > KEPT_PARTS:
+            self.parts = {}
+        joined = b"\n".join(t if b"<|" in t else t.translate(LOWER) for t in texts) + b"\n"
+        hashes, starts, stops = word_spans(joined)
+        code, distinct = pd.factorize(hashes)  # words are told apart by 64-bit hash
+        keys = distinct.tolist()
+        of = list(map(self.index.get, keys))
+        if None in of:
+            first = np.empty(len(keys), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            new = [k for k, i in enumerate(of) if i is None]
+            at = first[new]
+            self._add([keys[k] for k in new], [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
+            of = list(map(self.index.__getitem__, keys))
+        at = np.array(of, np.int64)[code]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
-        limits = np.concatenate([[0], ends])[np.cumsum([0] + [len(x) for x in words])]
+        words = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        limits = np.concatenate([[0], ends])[words]
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
             yield ids[a:b]
 

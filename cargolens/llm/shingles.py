@@ -7,6 +7,7 @@ powers of an odd number, so there is no loop over words, and a long text costs w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,7 +15,7 @@ import numpy as np
 SLICE_BYTES = 1 << 21
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -28,15 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
+@lru_cache(4)
+def _all_powers(n: int, base: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
-    out[1:] = base
+    out[1:] = np.uint64(base)
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words with A-Z lowered, and the number of words of each text."""
-    joined = b"\n".join(texts).translate(_LOWER) + b"\n"
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """base to the power of 0 to n - 1; tables of up to 4 MB of text are kept."""
+    kept = 1 << 22
+    return _all_powers(kept, int(base))[:n] if n <= kept else _all_powers.__wrapped__(n, int(base))
+
+
+def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word; ``joined`` must end with white space."""
     raw = np.frombuffer(joined, np.uint8)
     space = _IS_SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -46,7 +53,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = starts[: len(ends)]
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _P), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(len(raw), _P_INV)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix((sums[ends] - sums[starts]) * _powers(len(raw), _P_INV)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words with A-Z lowered, and the number of words of each text."""
+    hashes, starts, _ = word_spans(b"\n".join(texts).translate(LOWER) + b"\n")
     limits = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
 
@@ -63,10 +75,10 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         if n >= size:
             yield np.unique(rolled[at : at + n - size + 1])
         elif n:
-            one = np.uint64(n)
-            for h in hashes[at : at + n]:
-                one = one * np.uint64(0xE7037ED1A0B428DB) + h
-            yield mix(np.array([one], np.uint64))
+            one = np.array([n], np.uint64)  # arrays wrap around without a warning
+            for i in range(at, at + n):
+                one = one * np.uint64(0xE7037ED1A0B428DB) + hashes[i : i + 1]
+            yield mix(one)
         else:
             yield np.zeros(0, np.uint64)
         at += n
