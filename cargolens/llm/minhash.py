@@ -3,10 +3,12 @@
 1. One scan turns texts into shingle sets and keeps, per row, the set's size, its 128-bit identity and a signature.
 2. Rows with equal sets are one class; only class representatives (smallest id) go on, so copies cost one row each.
 3. Signatures are cut into bands. Rows that share a band are candidates. A bucket doesn't emit its pairs: its members
-   are compared with one pivot, the smallest id. In later rounds a bucket is dropped once its members are in one
-   component; else cross-component pairs are compared, all of them where they are few, those of randomly chosen pivots
-   where they are many. A pivot leaves its bucket after its round, so every pair that could change the components
-   is compared in the end: there is no cap.
+   are compared with one pivot, the one whose buckets are largest, which is the copy with the fewest changes. A bucket
+   whose members are in one component then is done. If its pairs across components are few for its size, all of them
+   are compared. Else its members are dealt anew by their rarest shingles: two sets can only reach the threshold if
+   they share one among the first few, so that texts changed too much for a link stop meeting. Buckets that are
+   still dense go on by rounds of randomly chosen pivots. A pivot leaves its bucket after its round, so every pair that
+   could change the components is compared in the end: there is no cap.
 4. A candidate pair is read batch by batch: after each, if the posterior probability that its similarity reaches
    the threshold (uniform prior) is under ``miss``, it is pruned. Survivors are verified on the full sets, which a
    second scan makes for them only.
@@ -37,8 +39,8 @@ BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each decision, and the posterior probability under which a pair is given up.
 BATCH, MISS = 20, 1e-6
-#: Cross-component pairs of a bucket that a round compares at once, as a multiple of the bucket's rows.
-ROUND_PAIRS = 32
+#: Pairs across components that a round compares in a bucket, as a multiple of the bucket's rows.
+ROUND_PAIRS = 8
 #: Ids held in a broadcast when the second scan looks for the survivors' texts (8 bytes each).
 SCAN_IDS = 1_000_000
 
@@ -79,6 +81,15 @@ def _sets(size: int):
     return run
 
 
+def _tokens(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first, part in slices(pdf["text"].tolist()):
+                yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(part)].to_numpy(), "tokens": [s.view(np.int64) for s in shingle_sets(part, size)]})
+
+    return run
+
+
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
@@ -135,6 +146,47 @@ def _confirmed(percent: int):
     return run
 
 
+def _size_class(n: int) -> int:
+    return int(math.log(n) / math.log(1.03))
+
+
+def _rarest(percent: int):
+    """Rows (key, id, side) for each id's first shingles in order of rarity: as many as a partner of a size class may require.
+
+    A pair needs an overlap of at least percent * (a + b) / (100 + percent) of its sizes a and b; then it shares one of
+    the first a - overlap + 1 of one and b - overlap + 1 of the other. A key is of a pair of classes; the side says
+    whether an id is of the smaller (1) or larger (-1) one; within one class it is 0. Partners' sides add up to 0.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, tokens in zip(pdf["id"], pdf["tokens"], strict=True):
+                tokens = np.asarray(tokens, np.int64).view(np.uint64)
+                a, keys = len(tokens), []
+                mine = _size_class(a)
+                low = {}
+                for b in range(-(-percent * a // 100), 100 * a // percent + 1):
+                    low.setdefault(_size_class(b), b)
+                for other, b in low.items():
+                    overlap = -(-percent * (a + b) // (100 + percent))
+                    pair = np.uint64(min(mine, other) * 100_003 + max(mine, other))
+                    key = mix(tokens[: max(0, a - overlap + 1)] ^ mix(np.array([pair]))).view(np.int64)
+                    keys.append(pd.DataFrame({"key": key, "id": [i] * len(key), "side": (other > mine) - (other < mine)}))
+                yield pd.concat(keys)
+
+    return run
+
+
+def _by_rarity(ids: DataFrame, rows: DataFrame, id_type: str, percent: int, size: int) -> DataFrame:
+    """Buckets (key, id, side) of the ids by their rarest shingles, those with two or more members."""
+    sets = rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_tokens(size), f"id {id_type}, tokens array<long>")
+    each = cut(sets.select("id", F.explode("tokens").alias("token")), "minhash-tokens")
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))  # a text's own shingles
+    dealt = cut(ordered.select("id", F.transform("x", lambda t: t["token"]).alias("tokens")).mapInPandas(_rarest(percent), f"key long, id {id_type}, side int").distinct(), "minhash-rarest")
+    return cut(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi"), "minhash-buckets")
+
+
 def _ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     """``pairs`` (u, v) with ``column`` of both ends; rows of an id that is repeated give a pair each."""
     left, right = (of.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "uv")
@@ -161,33 +213,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(usable.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("x"), F.count("*").alias("members")).select(*same, "x.id", "x.sig", "members"), "minhash-classes")
     reps = classes.select("id", "sig")
     keys = cut(reps.mapInPandas(_banded, f"key long, id {id_type}").distinct(), "minhash-bands")
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    bucketed = cut(keys.join(shared, "key").select("key", "id", "pivot"), "minhash-buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    bucketed = cut(keys.join(shared, "key"), "minhash-buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs.select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct(), rows, reps, id_type, percent, miss, size)
 
-    pairs = bucketed.filter("id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = _verified(pairs, rows, reps, id_type, percent, miss, size)
-    left = bucketed.filter("id != pivot").select("key", "id")
-    found, done = components(links), 1
+    weight = bucketed.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = bucketed.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("pivot"))
+    left = cut(bucketed.join(hubs, "key").filter("id != pivot").select("key", "id", "pivot", F.lit(0).alias("side")), "minhash-left")
+    links = verified(left)
+    found, done, banded = components(links), 0, True
     while True:
-        label = F.coalesce(F.col("component"), F.col("id"))
+        done += 1
         # Pivots have met all others; what is left are buckets whose other members aren't in one component yet.
-        labelled = left.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label.alias("label"))
-        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-        n, cross = F.sum("c"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
-        open_ = counts.groupBy("key").agg(n.alias("n"), cross.alias("cross"), F.min("first").alias("first"), F.count("*").alias("labels")).filter("labels > 1")
-        left = cut(labelled.join(open_, "key").select("key", "id", "label", "n", "cross", "first"), "minhash-open")
+        label = F.coalesce(F.col("component"), F.col("id")).alias("label")
+        labelled = left.select("key", "id", "side").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "side", label)
+        counts = labelled.groupBy("key", "label").agg(*(F.count_if(F.col("side") == k).alias(c) for c, k in (("same", 0), ("low", 1), ("high", -1))), F.min("id").alias("first"))
+        s_, l_, h_ = F.col("same"), F.col("low"), F.col("high")
+        cross = (F.sum(s_) * F.sum(s_) - F.sum(s_ * s_)) / 2 + F.sum(l_) * F.sum(h_) - F.sum(l_ * h_)
+        open_ = counts.groupBy("key").agg(F.sum(s_ + l_ + h_).alias("n"), cross.alias("cross"), F.min("first").alias("first")).filter("cross > 0")
+        left = cut(labelled.join(open_, "key").select("key", "id", "side", "label", "n", "cross", "first"), "minhash-open")
         if left.isEmpty():
             break
-        chance = F.lit(ROUND_PAIRS) * F.col("n") / F.col("cross")
-        draw = F.pmod(F.xxhash64("key", "id", F.lit(done)), F.lit(1 << 20)) / F.lit(1 << 20)
-        pivots = left.filter((draw < chance) | (F.col("id") == F.col("first"))).select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))
-        pairs = left.join(pivots, "key").filter("label != pivot_label").select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct()
-        more = _verified(pairs, rows, reps, id_type, percent, miss, size)
-        left = cut(left.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "minhash-left")
+        few = F.col("cross") <= ROUND_PAIRS * F.col("n")
+        heavy = left.filter(~few)
+        if banded:
+            pivots = left.filter(few)
+        else:
+            draw = F.pmod(F.xxhash64("key", "id", F.lit(done)), F.lit(1 << 20)) / F.lit(1 << 20)
+            pivots = left.filter(few | (draw < F.lit(ROUND_PAIRS) * F.col("n") / F.col("cross")) | (F.col("id") == F.col("first")))
+        pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("side").alias("pivot_side"))
+        more = verified(left.join(pivots, "key").filter("label != pivot_label AND side + pivot_side = 0"))
         if not more.isEmpty():
             links = cut(links.union(more).distinct(), "minhash-links")
             found = components(links)
-        done += 1
+        if banded:
+            banded = False
+            left = _by_rarity(cut(heavy.select("id").distinct(), "minhash-ids"), rows, id_type, percent, size)
+        else:
+            left = cut(heavy.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id", "side"), "minhash-left")
 
     rep = usable.select("id", "n", "h1", "h2").join(classes.filter("members > 1").select(*same, F.col("id").alias("rep")), same)
     # An id's classes are one document: a row that repeats an id links the two.
