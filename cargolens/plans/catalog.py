@@ -6,7 +6,7 @@ import importlib
 
 from .reconciling import flagship  # noqa: F401
 
-AREAS = ["normalizing", "reconciling"]
+AREAS = ["normalizing", "reconciling", "intake"]
 
 
 def _all(name: str) -> dict:
