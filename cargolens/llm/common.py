@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest number of rows that an operator broadcasts after counting them.
 BROADCAST_ROWS = 100_000
+#: Largest number of narrow rows that an operator gathers in one partition after counting them.
+COMPACT_ROWS = 20_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def compact(df: DataFrame, rows: int = COMPACT_ROWS) -> DataFrame:
+    """``df`` (a narrow table from ``cut``) in one partition if its counted rows are few, else as it is.
+
+    Joins and groups of such tables then need no exchange; larger tables take the distributed way.
+    """
+    return df.coalesce(1) if df.count() <= rows else df
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

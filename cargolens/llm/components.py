@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import compact, cut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     path. Self loops and repeated edges don't matter; null ends are dropped.
     """
     e = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = cut(e, "edges")
+    e = compact(cut(e, "edges"))
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = cut(small.filter("a != b").distinct(), "edges")
+        e = compact(cut(small.filter("a != b").distinct(), "edges"))
         new = _state(e)
         if new == state:
             break

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, ship, small
+from .common import compact, cut, read_table, ship, small
 from .components import components
 from .shingles import mix, shingle_sets, slices
 
@@ -39,10 +39,12 @@ BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each decision, and the posterior probability under which a pair is given up.
 BATCH, MISS = 20, 1e-6
-#: Pairs across components that a round compares in a bucket, as a multiple of the bucket's rows.
-ROUND_PAIRS = 8
+#: Pairs across components that a round compares in a bucket, as a multiple of the bucket's rows: by band, by shingle.
+ROUND_PAIRS = (8, 64)
 #: Ids held in a broadcast when the second scan looks for the survivors' texts (8 bytes each).
 SCAN_IDS = 1_000_000
+#: Sets that are joined in one partition; more are dealt out.
+SETS_AT_ONCE = 4_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1 << 62, dtype=np.uint64, size=HASHES) * np.uint64(2) + np.uint64(1)
@@ -196,10 +198,10 @@ def _ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, id_type: str, percent: int, miss: float, size: int) -> DataFrame:
     """Those of the distinct ``pairs`` (u, v) whose full sets are similar."""
     link = f"u {id_type}, v {id_type}"
-    alive = cut(_ends(pairs, reps, "sig").mapInPandas(_plausible(percent / 100, miss), link).distinct(), "minhash-plausible")
+    alive = compact(cut(_ends(pairs, reps, "sig").mapInPandas(_plausible(percent / 100, miss), link), "minhash-plausible"))
     ids = cut(alive.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "minhash-ids")
-    sets = cut(rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_sets(size), f"id {id_type}, items binary").filter(F.length("items") > 0), "minhash-sets")
-    return cut(_ends(alive, sets, "items").mapInPandas(_confirmed(percent), link).distinct(), "minhash-links")
+    sets = compact(cut(rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_sets(size), f"id {id_type}, items binary").filter(F.length("items") > 0), "minhash-sets"), SETS_AT_ONCE)
+    return compact(cut(_ends(alive, sets, "items").mapInPandas(_confirmed(percent), link).distinct(), "minhash-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, miss: float = MISS) -> DataFrame:
@@ -233,31 +235,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         s_, l_, h_ = F.col("same"), F.col("low"), F.col("high")
         cross = (F.sum(s_) * F.sum(s_) - F.sum(s_ * s_)) / 2 + F.sum(l_) * F.sum(h_) - F.sum(l_ * h_)
         open_ = counts.groupBy("key").agg(F.sum(s_ + l_ + h_).alias("n"), cross.alias("cross"), F.min("first").alias("first")).filter("cross > 0")
-        left = cut(labelled.join(open_, "key").select("key", "id", "side", "label", "n", "cross", "first"), "minhash-open")
+        left = compact(cut(labelled.join(open_, "key").select("key", "id", "side", "label", "n", "cross", "first"), "minhash-open"))
         if left.isEmpty():
             break
-        few = F.col("cross") <= ROUND_PAIRS * F.col("n")
+        most = ROUND_PAIRS[not banded]
+        few = F.col("cross") <= most * F.col("n")
         heavy = left.filter(~few)
         if banded:
             pivots = left.filter(few)
         else:
             draw = F.pmod(F.xxhash64("key", "id", F.lit(done)), F.lit(1 << 20)) / F.lit(1 << 20)
-            pivots = left.filter(few | (draw < F.lit(ROUND_PAIRS) * F.col("n") / F.col("cross")) | (F.col("id") == F.col("first")))
+            pivots = left.filter(few | (draw < F.lit(most) * F.col("n") / F.col("cross")) | (F.col("id") == F.col("first")))
         pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("side").alias("pivot_side"))
         more = verified(left.join(pivots, "key").filter("label != pivot_label AND side + pivot_side = 0"))
         if not more.isEmpty():
-            links = cut(links.union(more).distinct(), "minhash-links")
+            links = compact(cut(links.union(more), "minhash-links"))
             found = components(links)
         if banded:
             banded = False
             left = _by_rarity(cut(heavy.select("id").distinct(), "minhash-ids"), rows, id_type, percent, size)
         else:
-            left = cut(heavy.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id", "side"), "minhash-left")
+            left = compact(cut(heavy.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id", "side"), "minhash-left"))
 
     rep = usable.select("id", "n", "h1", "h2").join(classes.filter("members > 1").select(*same, F.col("id").alias("rep")), same)
     # An id's classes are one document: a row that repeats an id links the two.
     copies = rep.select(F.col("id").alias("u"), F.col("rep").alias("v")).filter("u != v")
-    found = components(links.union(copies))
+    found = components(links.union(cut(copies, "minhash-copies")))
     out = signed.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce(F.col("component"), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
