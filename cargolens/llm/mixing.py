@@ -119,3 +119,22 @@ def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(read_table(spark, sf_dir, "documents"))
+
+
+#: The schedule by simulation: slot after slot, the earliest deadline among the released blocks.
+OP7_SQL = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS c, row_number() OVER (ORDER BY source NULLS LAST) AS j FROM documents GROUP BY source),
+e AS (SELECT *, (1000 - count(*) OVER ()) * (sqrt(c) / sum(sqrt(c)) OVER ()) AS exact FROM n),
+f AS (SELECT *, floor(exact)::BIGINT AS low, row_number() OVER (ORDER BY round(floor(exact) - exact, 9), j) AS place FROM e),
+q AS (SELECT source, j, 1 + low + (place <= 1000 - count(*) OVER () - sum(low) OVER ())::BIGINT AS k FROM f),
+ks AS (SELECT list(k ORDER BY j) AS k, list(0::BIGINT ORDER BY j) AS zero FROM q),
+edf AS (
+  SELECT 0 AS t, zero AS had, NULL::BIGINT[] AS best FROM ks
+  UNION ALL
+  SELECT t + 1, list_transform(had, lambda n, j: n + (j = best[2])::BIGINT), best
+  FROM (SELECT t, had, list_sort(list_filter(list_transform(had, lambda n, j: [CASE WHEN n * 1000 // k[j] <= t THEN ((n + 1) * 1000 + k[j] - 1) // k[j] END, j, n]), lambda x: x[1] IS NOT NULL))[1] AS best FROM edf, ks WHERE t < 1000)),
+turns AS (SELECT t - 1 AS p_slot, best[2] AS j, best[3] AS turn FROM edf WHERE t > 0),
+d AS (SELECT doc_id, d.source, q.j, k, row_number() OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS ordinal FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+s AS (SELECT doc_id, source, ordinal, ordinal // 16 AS block, ordinal // 16 // k * 1000 + p_slot AS slot FROM d JOIN turns USING (j) WHERE turn = ordinal // 16 % k)
+SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, ordinal) - 1 AS position FROM s
+"""

@@ -23,4 +23,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_quality_rules": quality_rules.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op10_minhash": minhash.OP10_SQL,
     }
