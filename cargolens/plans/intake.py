@@ -14,6 +14,7 @@ from ..functions import scores as S
 from ..functions.normalize import event_hash, semantic_key
 from ..operators import consensus as C
 from ..operators import documents as D
+from ..operators import linkage as L
 from ..operators import parties as P
 from ..operators import readiness as Y
 from ..operators.export import declarations, statistical_value
@@ -409,6 +410,39 @@ def join07_link_values(spark, sf_dir):
     return D.link_values(v, t).select("document_id", "value", "page", "pos", "score")
 
 
+def _misread(spark, sf_dir) -> DataFrame:
+    """Words with a letter read wrong, and the tokens they came from."""
+    t = tokens(spark, sf_dir)
+    return t.filter((F.col("pos") % 197 == 5) & (F.length("text") >= 6)).select("document_id", F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 40)).alias("value")).distinct()
+
+
+def join07_fuzzy_linkage(spark, sf_dir):
+    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir).filter("page = 1")).select("document_id", "value", "pos", F.round("score", 6).alias("score"))
+
+
+def join08_multi_token_boxes(spark, sf_dir):
+    t = tokens(spark, sf_dir).filter("page = 1")
+    v = t.filter("pos IN (3, 4)").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("value"))
+    return L.link_parts(v, t)
+
+
+def join09_value_pages(spark, sf_dir):
+    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir)).groupBy("page").agg(F.count("*").alias("n"))
+
+
+def join10_row_boxes(spark, sf_dir):
+    rows = D.reading_order(tokens(spark, sf_dir).filter("page = 1"))
+    items = rows.filter("row = 2").select("document_id", F.concat(F.col("text"), F.lit(" total")).alias("description"))
+    return L.row_boxes(items, rows).select("document_id", "page", "row", F.round("score", 6).alias("score"))
+
+
+def xai06_text_options(spark, sf_dir):
+    a = assertions(spark, sf_dir)
+    names = a.filter("entity_type = 'CONSIGNEE_NAME'").select("txt").distinct()
+    pairs = names.select(F.col("txt").alias("a_txt")).join(names.select(F.col("txt").alias("b_txt")), F.col("a_txt") < F.col("b_txt"))  # at most nine names
+    return L.text_options(pairs).select("a_txt", "b_txt", F.round("ratio", 6).alias("ratio"), "hint")
+
+
 def win02_adjacent_values(spark, sf_dir):
     return D.adjacent_values(tokens(spark, sf_dir), ["the", "token", "de"]).filter("value IS NOT NULL").select("document_id", "pos", "label", "value")
 
@@ -483,7 +517,7 @@ def str03_live_progress(spark, sf_dir):
     return _streamed(spark, sf_dir, "orders", docs)
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext")} | {"fn16_line_confidence": fn16_line_confidence, "fn31_two_tier_choice": fn31_two_tier_choice}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai")} | {"fn16_line_confidence": fn16_line_confidence, "fn31_two_tier_choice": fn31_two_tier_choice}
 
 _PAY = "e.seq % 9 <> 0 AND e.seq % 7 <> 0"
 _FV = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN num::VARCHAR ELSE regexp_replace(lower(txt), '[^a-z0-9]+', '', 'g') END AS key, count(*) AS n, round(sum(confidence), 6) AS w, min(seq) AS s, arg_min(num, seq) AS num, arg_min(txt, seq) AS txt FROM assertions GROUP BY 1, 2, 3, 4),
@@ -549,6 +583,7 @@ ORACLES = {
     "agg16_transport_document": sql("assertions", "SELECT shipment_id, bool_or(document_type IN ('awb', 'bl')) AS has_transport FROM assertions GROUP BY 1"),
     "agg14_has_line_items": sql("goods", "SELECT shipment_id, bool_or(length(trim(description)) > 9) AS has_items FROM goods GROUP BY 1"),
     "agg13_profile_merge": sql("lines dossiers", f", {_PROFILE} SELECT * FROM profile"),
+    "join10_row_boxes": sql("tokens", ", l AS (SELECT document_id, (y1 // 20)::INT AS row, list_distinct(list(lower(text))) AS w FROM tokens WHERE page = 1 GROUP BY 1, 2), d AS (SELECT document_id, list_distinct(list_append(w, 'total')) AS w FROM l WHERE row = 2), s AS (SELECT document_id, row, len(list_intersect(d.w, l.w)) / len(d.w) AS score FROM d JOIN l USING (document_id)) SELECT document_id, 1::BIGINT AS page, row, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, row) = 1"),
     "join16_required_fields": sql("assertions dossiers", f"{_FV}, x AS (SELECT dossier_id AS shipment_id, unnest({_NEED!r}) AS entity_type FROM dossiers), y AS (SELECT * FROM x LEFT JOIN fields USING (shipment_id, entity_type)) SELECT 'MISSING_FIELD' AS code, entity_type AS field, count(*) AS n FROM y WHERE value IS NULL GROUP BY 2 UNION ALL SELECT 'UNRESOLVED_FIELD', entity_type, count(*) FROM y WHERE status IN ('conflict', 'warning', 'pending') GROUP BY 2 UNION ALL SELECT 'INVALID_NUMBER', entity_type, count(*) FROM y WHERE num <= 0 GROUP BY 2"),
     "set1_blocker_union": sql("assertions dossiers goods", f"{_FV}, {_PROFILE}, {_B} SELECT code, count(*) AS n FROM b WHERE field <> 'VESSEL_NAME' GROUP BY 1"),
     "agg12_readiness": sql("assertions dossiers goods", f"{_FV}, {_PROFILE}, {_B} SELECT dossier_id AS shipment_id, count(code) AS blocker_count, count(code) = 0 AS export_allowed FROM dossiers LEFT JOIN b ON dossier_id = shipment_id GROUP BY 1"),
