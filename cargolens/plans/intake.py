@@ -14,6 +14,7 @@ from ..functions import scores as S
 from ..functions.normalize import event_hash, semantic_key
 from ..operators import consensus as C
 from ..operators import documents as D
+from ..operators import extract as E
 from ..operators import linkage as L
 from ..operators import parties as P
 from ..operators import readiness as Y
@@ -455,6 +456,37 @@ def win05_ordinals(spark, sf_dir):
     return tokens(spark, sf_dir).groupBy("document_id").agg(F.max("pos").alias("last"), F.countDistinct("pos").alias("n"))
 
 
+_EXT_LABELS = {"GROSS_WEIGHT": ["the", "de"], "CONSIGNEE_NAME": ["und", "and"]}
+
+
+def ext01_label_match(spark, sf_dir):
+    """Frequent words stand for labels here."""
+    return E.by_label(tokens(spark, sf_dir), _EXT_LABELS)
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """Documents' texts, each with an invoice number and a weight after it."""
+    more = F.concat(F.lit("INV-"), F.col("doc_id"), F.lit(" weighs "), F.col("n_chars"), F.lit(" kgs"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "text", more).alias("text"))
+
+
+def ext02_pattern_match(spark, sf_dir):
+    return E.by_pattern(_texts(spark, sf_dir)).groupBy("entity_type").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+
+
+def ext03_combined(spark, sf_dir):
+    return E.combined(ext01_label_match(spark, sf_dir), E.by_pattern(_texts(spark, sf_dir))).groupBy("entity_type", "source").agg(F.count("*").alias("n"))
+
+
+def ext04_document_job(spark, sf_dir):
+    return E.entities(tokens(spark, sf_dir), _texts(spark, sf_dir))
+
+
+def ext06_error_rows(spark, sf_dir):
+    d = _texts(spark, sf_dir)
+    return E.with_errors(d, E.entities(tokens(spark, sf_dir), d)).select("document_id", F.size("entities").alias("n_entities"), F.size("errors").alias("n_errors"))
+
+
 def ext05_reprocess(spark, sf_dir):
     e = _parsed(_extractions(spark, sf_dir)).select(F.explode("x.entities").alias("e")).select("e.*")
     return e.withColumn("score", S.entity_confidence(F.col("confidence"), F.lit(None).cast("double"), F.lit(False))).groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
@@ -599,6 +631,9 @@ ORACLES = {
     "win02_adjacent_values": sql("tokens", ", n AS (SELECT document_id, pos, lower(text) AS label, [lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w] AS x FROM tokens WINDOW w AS (PARTITION BY document_id ORDER BY pos)) SELECT document_id, pos, label, list_filter(x, lambda y: regexp_matches(y, '[0-9]'))[1] AS value FROM n WHERE label IN ('the', 'token', 'de') AND len(list_filter(x, lambda y: regexp_matches(y, '[0-9]'))) > 0"),
     "win03_reading_order": sql("tokens", "SELECT document_id, page, (y1 // 20)::INT AS row, string_agg(text, ' ' ORDER BY x1) AS text FROM tokens GROUP BY 1, 2, 3"),
     "win05_ordinals": sql("tokens", "SELECT document_id, max(pos) AS last, count(*) AS n FROM tokens GROUP BY 1"),
+    "ext01_label_match": sql("tokens", r""", n AS (SELECT document_id, pos, lower(split_part(text, ':', 1)) AS label, [{'t': lead(text, 1) OVER w, 'c': lead(confidence, 1) OVER w}, {'t': lead(text, 2) OVER w, 'c': lead(confidence, 2) OVER w}, {'t': lead(text, 3) OVER w, 'c': lead(confidence, 3) OVER w}] AS x FROM tokens WINDOW w AS (PARTITION BY document_id ORDER BY pos)),
+        f AS (SELECT document_id, pos, CASE WHEN label IN ('the', 'de') THEN 'GROSS_WEIGHT' ELSE 'CONSIGNEE_NAME' END AS entity_type, label IN ('de', 'and') AS later, CASE WHEN label IN ('the', 'de') THEN list_filter(x, lambda y: regexp_matches(y.t, '[0-9]'))[1] ELSE list_filter(x, lambda y: regexp_matches(y.t, '\p{L}{2}'))[1] END AS y FROM n WHERE label IN ('the', 'de', 'und', 'and'))
+        SELECT document_id, entity_type, y.t AS value, least(0.85, y.c) AS confidence FROM f WHERE y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, entity_type ORDER BY later, pos) = 1""".replace("\\\\p", "\\p")),
     "ext05_reprocess": sql("assertions", f"SELECT entity_type, count(*) AS n, round(sum(floor(least(9500, 55 * round(confidence * 100) + 35 * 75 + 1000) / 100 + 0.5) / 100), 2) AS score FROM assertions e WHERE {_PAY} GROUP BY 1"),
     "aud01_append_events": "SELECT t AS ts, user_id, left(sha256(t || '|events|' || event_type || '|' || printf('%.2f', value)), 16) AS event_hash FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events)",
     "aud02_trail": "SELECT user_id, count(*) AS n_events, min(ts)::VARCHAR AS first FROM events GROUP BY 1",
