@@ -38,7 +38,7 @@ ORDER, STRENGTH = 2, 30.0
 BLOCK_BITS, BUCKET_ROWS = 9, 2000
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Bytes of text whose words are hashed at once.
-_PART = 4 << 20
+_PART = 1 << 20
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:

@@ -28,8 +28,8 @@ from .shingles import LOWER, word_spans
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
 #: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 1_500_000, 1_000_000
-SLICE_CHARS = 4_000_000
+KEPT_WORDS, KEPT_PARTS = 800_000, 400_000
+SLICE_CHARS = 1_000_000
 
 
 #: ASCII signs that end words; the apostrophe isn't one, since it can begin a token with the letters after it.

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text hashed at once; a longer text is hashed alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -37,8 +37,8 @@ def _all_powers(n: int, base: int) -> np.ndarray:
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    """base to the power of 0 to n - 1; tables of up to 4 MB of text are kept."""
-    kept = 1 << 22
+    """base to the power of 0 to n - 1; tables for up to 2 MB of text are kept."""
+    kept = 1 << 21
     return _all_powers(kept, int(base))[:n] if n <= kept else _all_powers.__wrapped__(n, int(base))
 
 
