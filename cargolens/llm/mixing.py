@@ -108,13 +108,16 @@ def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", slot.alias("slot"), (before + F.col("ordinal") % block).alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """The rows and columns of ``docs``, in the order of the mix: by range of positions over partitions, sorted within each."""
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, position_col: str | None = None) -> DataFrame:
+    """The rows and columns of ``docs``, in the order of the mix: by range of positions over partitions, sorted within each.
+
+    With ``position_col`` the position is also a column of that name, for readers that don't keep the order of rows.
+    """
     order = schedule(docs, weights, id_col, source_col, block, period).select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("position").alias("__mix_position"))
     # Rows that repeat an id and source share the first one's place.
     order = cut(order.groupBy("__mix_id", "__mix_source").agg(F.min("__mix_position").alias("__mix_position")), "mixing-order")
     out = docs.join(order, F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
-    return out.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*docs.columns)
+    return out.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*(c for c in docs.columns if c != position_col), *([F.col("__mix_position").alias(position_col)] if position_col else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,17 @@ through the bitsets. A window's pattern is used as often as its lengths last. On
 
 Shards bound a task's rows whatever the table's size, and a hot source or group of copies has no say in them.
 
+With an order column, such as the positions of a mix, shards are ranges of that order instead, each of about
+``shard_pieces`` pieces, lengths are used up in that order, and sequences are numbered by the mean place of their
+pieces: read by ``sequence_id``, texts come in the column's order except within a shard, where packing deals them.
+
 Defined results: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives no
 pieces. Only the id and the text are read, so other columns can't clash. A null id is packed like any other.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, read_table, ship
 from .shingles import LOWER, word_spans
@@ -134,7 +140,10 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                         piece = ids[start : start + capacity]
                         rows.append((i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tobytes() if with_ids else b""))
                 out = pd.DataFrame(rows, columns=["row", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-                out.insert(0, "id", pdf["id"].to_numpy()[out.pop("row").to_numpy()])
+                row = out.pop("row").to_numpy()
+                out.insert(0, "id", pdf["id"].to_numpy()[row])
+                if "place" in pdf:
+                    out["place"] = pdf["place"].to_numpy()[row]
                 yield out if with_ids else out.drop(columns="ids")
                 done = last
 
@@ -185,9 +194,16 @@ def windows(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _packed(capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        if "rank" in pdf:  # the last of a length is used first
+            pdf = pdf.sort_values(["length", "rank"], ascending=[True, False]).reset_index(drop=True)
+        else:
+            pdf = pdf.sort_values(["length", "id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        found = windows(pdf["length"].to_numpy(), capacity)
+        if "rank" in pdf:
+            rank = pdf.pop("rank").to_numpy()
+            found.sort(key=lambda window: (rank[window].mean(), rank[window].min()))
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        for k, window in enumerate(windows(pdf["length"].to_numpy(), capacity)):
+        for k, window in enumerate(found):
             sizes = pdf["length"].to_numpy()[window]
             sequence[window] = (int(key[0]) << 32) + k
             offset[window] = np.cumsum(sizes) - sizes
@@ -196,15 +212,39 @@ def _packed(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the ids (little-endian, 4 bytes each)."""
+def _ranked(pieces: DataFrame, total: int) -> DataFrame:
+    """``pieces`` with ``rank`` instead of ``place``: 0 to ``total`` - 1 by place, numbered within ranges of places that are offset by those before."""
+    low, high = pieces.agg(F.min("place"), F.max("place")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    ranges = max(1, math.ceil(total / max(1000, math.isqrt(total))))
+    place = F.coalesce(F.col("place"), F.lit(high + 1))  # null places come last
+    pieces = pieces.withColumn("place", place).withColumn("range", F.floor((F.col("place") - low).cast("double") * ranges / (high - low + 2)))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("o_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = pieces.groupBy(F.col("range").alias("o_range")).agg(F.count("*").alias("size")).select("o_range", before.alias("before"))  # ``ranges`` rows
+    within = F.row_number().over(Window.partitionBy("range").orderBy("place", "id", "start", "ids_crc32")) - 1
+    ranked = pieces.withColumn("within", within).join(offsets, F.col("range") == F.col("o_range"))
+    return ranked.withColumn("rank", F.col("before") + F.col("within")).drop("place", "range", "o_range", "before", "within")
+
+
+def pack(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False,
+    order_col: str | None = None,
+) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the ids (little-endian, 4 bytes each).
+
+    ``order_col``: whole numbers, about dense, whose order the sequences keep by shard.
+    """
     kind = dict(docs.dtypes)[id_col]
     ship(docs.sparkSession)
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = cut(rows.mapInPandas(_pieces(tokenizer_path, capacity, end_id, with_ids), schema), "packing-pieces")
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long").alias("place")] if order_col else []))
+    pieces = cut(rows.mapInPandas(_pieces(tokenizer_path, capacity, end_id, with_ids), schema + ", place long" * bool(order_col)), "packing-pieces")
+    total = pieces.count()
+    shards = max(1, -(-total // shard_pieces))
+    if order_col:
+        dealt = _ranked(pieces, total).withColumn("shard", F.floor(F.col("rank") / shard_pieces))
+    else:
+        dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
     out = dealt.groupBy("shard").applyInPandas(_packed(capacity), f"{schema}, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 

@@ -1,6 +1,7 @@
 """From documents to packed training sequences: rules, exact and near deduplication, mixing, packing.
 
-Each stage reads what the one before it wrote. All but the last return the columns of ``documents``.
+Each stage reads what the one before it wrote. All but the last return the columns of ``documents``; mixing adds the
+position of each document, which packing follows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from cargolens.llm.mixing import in_mixed_order
 from cargolens.llm.packing import pack, tokenizer_path
 from cargolens.llm.quality_rules import keep_good
 
+POSITION = "mix_position"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -31,13 +34,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves sources to their weights."""
-    return in_mixed_order(docs)
+    """All documents, in the order that interleaves sources to their weights, with their positions in it."""
+    return in_mixed_order(docs, position_col=POSITION)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
-    return pack(docs, tokenizer_path())
+    """Pieces of documents and their places in sequences, which keep the order of the mix."""
+    return pack(docs, tokenizer_path(), order_col=POSITION if POSITION in docs.columns else None)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mix), ("packing", packing)]
