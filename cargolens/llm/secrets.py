@@ -49,8 +49,9 @@ def _with_kinds(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def linked(parts: DataFrame, reach: int) -> DataFrame:
     """The weak rows of ``parts`` (key, kind, start, end) that have a complementary part within ``reach`` characters."""
     pairs = parts.sparkSession.createDataFrame([(k, n) for k, needs in NEEDS.items() for n in needs], "kind string, other string")
-    weak = parts.filter(F.col("kind").isin(*WEAK)).distinct().withColumn("bin", F.floor(F.col("start") / reach))
-    weak = weak.join(F.broadcast(pairs), "kind")
+    weak = parts.filter(F.col("kind").isin(*WEAK)).distinct().join(F.broadcast(pairs), "kind")
+    # Both sides lie in all bins that they touch, partners in one more on each side, which is ``reach`` or more characters.
+    weak = weak.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))))
     near = parts.select(
         *(F.col(c).alias(f"o_{c}") for c in _KEY), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
         F.explode(F.sequence(F.floor(F.col("start") / reach) - 1, F.floor(F.col("end") / reach) + 1)).alias("o_bin"),

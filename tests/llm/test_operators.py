@@ -82,6 +82,20 @@ def test_secrets_link_parts(spark):
     assert (1, [weak], 1, 1, 0) in got and (2, [], 0, 0, 0) in got and (3, [], 0, 0, 0) in got and (4, [], 0, 0, 1) in got and (4, [weak], 1, 1, 0) in got and (None, [weak], 1, 1, 0) in got
 
 
+def test_secrets_link_across_bins(spark):
+    r = random.Random(1)
+    rows = [(n, k, a + d, b + d) for n, (d, parts) in enumerate([(d, p) for d in range(0, 301, 10) for p in ([("identifier", 290, 310), ("hex", 600, 624)], [("endpoint", 0, 350), ("hex", 610, 640)], [("hex", 0, 24), ("identifier", 324, 340)])]) for k, a, b in parts]
+    for n in range(1000, 1150):
+        for _ in range(6):
+            a = r.randrange(0, 2500)
+            rows.append((n, r.choice((*secrets.STRONG, *secrets.WEAK)), a, a + r.randrange(3, 700)))
+    parts = spark.createDataFrame([(n, n, k, a, b) for n, k, a, b in rows], "__s_id long, __s_hash long, kind string, start int, end int")
+    got = sorted((x["__s_id"], x["kind"], x["start"], x["end"]) for x in secrets.linked(parts, 300).collect())
+    near = lambda x, y: x[0] == y[0] and y[1] in secrets.NEEDS[x[1]] and x[2:] != y[2:] and y[2] - x[3] <= 300 and x[2] - y[3] <= 300
+    want = sorted({x for x in rows if x[1] in secrets.WEAK and any(near(x, y) for y in rows)})
+    assert got == want and {n for n, *_ in want} >= set(range(93))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1</p>" * 100
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (6, "http://f", big)]
