@@ -2,9 +2,14 @@
 
 A source's rows, in an order drawn by hash, form blocks. With weight w, block i (from 0) may run from slot floor(i / w)
 on and must have run by slot ceil((i + 1) / w); among the blocks that may run, the earliest deadline goes first. So at
-every slot each source has had its weight's share of blocks, less than one block more or less. Weights are whole
-numbers of slots out of a period, which makes the schedule repeat: one period is computed, as a fold over its slots,
-and any block's slot is its period and its place in the period.
+every slot each source has had its weight's share of blocks, less than one block more or less. Weights are the stated
+numbers as exact fractions of their sum. The driver goes through the blocks, not the rows, once, with one heap entry a
+source, and writes their slots in chunks.
+
+With a ``period``, weights are rounded to whole numbers of slots out of it instead, at least one each (``quotas``). The
+schedule then repeats: one period is gone through, and a block's slot is its period and its place in the period. Shares
+are those of the rounded weights, which drift from the stated ones as slots go by. ``op7_mixing`` has a period of 1000,
+since its SQL states that; all else is exact. More sources than slots in the period are scheduled exactly.
 
 A source that is used up leaves its later slots empty; ``position`` numbers the rows without those gaps, by counting
 each source's rows before a slot, not by sorting. Numbering rows within a source takes two steps, since a source may
@@ -13,22 +18,27 @@ of those before them.
 
 Defined results: rows with a null source are a source of their own. Null ids and repeated rows take places like any
 others; rows equal in id and source take either's place. An empty table gives no rows. A source without a stated weight
-is an error. ``schedule`` reads the id and source only; ``in_mixed_order`` returns the columns of the input.
+above zero is an error. ``schedule`` reads the id and source only; ``in_mixed_order`` returns the columns of the input.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read_table
+from .common import BROADCAST_ROWS, cut, read_table, shared_dir, small
 
 BLOCK, PERIOD = 16, 1000
-#: Most sources; the schedule's size is sources x period, and a weight table is stated by people.
-MOST_SOURCES = 500
+#: Blocks that the driver holds before it writes them.
+CHUNK = 200_000
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -41,25 +51,26 @@ def quotas(weights: list[float], period: int) -> list[int]:
     return [x + 1 for x in out]
 
 
-def _one_period(slots: list[int], period: int) -> Column:
-    """Array, by slot, of (source, turn): the source that the slot goes to and how many slots it has had before."""
-    k = F.array(*map(F.lit, slots))
-
-    def step(state: Column, t: Column) -> Column:
-        had = state["had"]
-
-        def ready(n: Column, j: Column) -> Column:
-            deadline = F.floor(((n + 1) * period + F.get(k, j) - 1) / F.get(k, j))
-            return F.when(F.floor(n * period / F.get(k, j)) <= t, F.struct(deadline.cast("int").alias("deadline"), j.cast("int").alias("source"), n.cast("int").alias("turn")))
-
-        best = F.array_min(F.transform(had, ready))
-        return F.struct(
-            F.transform(had, lambda n, j: n + F.when(j == best["source"], 1).otherwise(0)).alias("had"),
-            F.concat(state["out"], F.array(F.struct(best["source"].alias("source"), best["turn"].alias("turn")))).alias("out"),
-        )
-
-    start = F.struct(F.array(*[F.lit(0)] * len(slots)).alias("had"), F.array().cast("array<struct<source:int,turn:int>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["out"])
+def earliest_deadlines(weights: list[float], sizes: list[int], block: int) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, slot, rows before it) of every block, by slot; ``sizes`` are rows by source."""
+    shares = [Fraction(w) for w in weights]
+    unit = math.lcm(*(w.denominator for w in shares))
+    parts = [int(w * unit) for w in shares]
+    total, slot, before = sum(parts), 0, 0
+    waiting: list[tuple[int, int, int]] = [(0, j, 0) for j, n in enumerate(sizes) if n]  # (release, source, block)
+    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, j, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // parts[j]), j, i))
+        _, j, i = heapq.heappop(ready)
+        yield j, i, slot, before
+        before += min(block, sizes[j] - i * block)
+        slot += 1
+        if (i + 1) * block < sizes[j]:
+            heapq.heappush(waiting, ((i + 1) * total // parts[j], j, i + 1))
 
 
 def _numbered(rows: DataFrame, total: int) -> DataFrame:
@@ -76,39 +87,58 @@ def _numbered(rows: DataFrame, total: int) -> DataFrame:
     return rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range"))).select("id", "source", (F.col("before") + F.col("within")).alias("ordinal"))
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """id, source, block, slot, position (from 0, gapless): one row per input row.
 
-    ``weights``: source to weight; without it a source weighs the square root of its rows.
+    ``weights``: source to weight; without it a source weighs the square root of its rows. ``period``: rounds weights to slots out of it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"))
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > min(MOST_SOURCES, period):
-        raise ValueError(f"more than {min(MOST_SOURCES, period)} sources")
-    names = sorted(sizes, key=lambda s: (s is None, s))
-    slots = quotas([weights[s] if weights else math.sqrt(sizes[s]) for s in names], period) if names else []
-    total = sum(sizes.values())
+    counted = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    names = sorted(counted, key=lambda s: (s is None, s))
+    sizes, shares = [counted[s] for s in names], [weights[s] if weights else math.sqrt(counted[s]) for s in names]
+    if any(w <= 0 for w in shares):
+        raise ValueError("a weight must be above zero")
 
     kind = dict(rows.dtypes)["source"]
     plan = spark.createDataFrame([(s, j) for j, s in enumerate(names)], f"p_source {kind}, p_index int")
-    turns = spark.range(1).select(F.posexplode(_one_period(slots, period)).alias("p_slot", "x")).select("p_slot", "x.*") if names else spark.createDataFrame([], "p_slot int, source int, turn int")
-    # Blocks that each source has had before a slot of the period: its first turn at or after that slot.
-    had = [F.coalesce(F.sum(F.when(F.col("source") == j, 1).otherwise(0)).over(Window.partitionBy("one").orderBy("p_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for j in range(len(names))]
-    turns = turns.withColumn("one", F.lit(1)).select("p_slot", F.col("source").alias("p_index"), F.col("turn").alias("p_turn"), F.array(*had).cast("array<long>").alias("p_had"))
-    quota = spark.createDataFrame([(j, k) for j, k in enumerate(slots)], "p_index int, p_quota long")
-    turns = cut(turns.join(F.broadcast(plan), "p_index").join(F.broadcast(quota), "p_index"), "mixing-period")
-
-    rows = _numbered(rows, total).withColumn("block", F.floor(F.col("ordinal") / block))
-    keyed = rows.join(F.broadcast(plan.join(quota, "p_index")), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("p_turn", F.col("block") % F.col("p_quota"))
-    placed = keyed.drop("p_source", "p_quota").join(F.broadcast(turns), ["p_index", "p_turn"])  # ``period`` rows
-    slot = F.floor(F.col("block") / F.col("p_quota")) * period + F.col("p_slot")
-    cycles, held, per = F.floor(F.col("block") / F.col("p_quota")), F.array(*[F.lit(sizes[s]).cast("long") for s in names]), F.array(*[F.lit(k).cast("long") for k in slots])
+    plan = F.broadcast(plan) if len(names) <= BROADCAST_ROWS else plan
+    rows = _numbered(rows, sum(sizes)).withColumn("block", F.floor(F.col("ordinal") / block))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    placed = _by_period(rows, sizes, shares, block, period) if period and len(names) <= period else _by_block(rows, sizes, shares, block)
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", (F.col("before") + F.col("ordinal") % block).alias("position"))
+
+
+def _by_block(rows: DataFrame, sizes: list[int], shares: list[float], block: int) -> DataFrame:
+    """``rows`` (p_index, block) with ``slot`` and ``before``, from a table of all blocks."""
+    import pyarrow as pa
+
+    spark, names = rows.sparkSession, ("b_index", "b_block", "slot", "before")
+    path = f"{shared_dir(spark)}/mixing-blocks-{uuid.uuid4().hex}"
+    schema = "b_index long, b_block long, slot long, before long"
+    for chunk in batched(earliest_deadlines(shares, sizes, block), CHUNK):
+        spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*chunk, strict=True), strict=True)})).write.mode("append").parquet(path)
+    blocks = spark.read.schema(schema).parquet(path) if sizes else spark.createDataFrame([], schema)
+    return rows.join(small(blocks), (F.col("p_index") == F.col("b_index")) & (F.col("block") == F.col("b_block")))
+
+
+def _by_period(rows: DataFrame, sizes: list[int], shares: list[float], block: int, period: int) -> DataFrame:
+    """``rows`` (p_index, block) with ``slot`` and ``before``, from the schedule of one period."""
+    spark, slots = rows.sparkSession, quotas(shares, period) if shares else []
+    turns, had = [], [0] * len(slots)  # blocks that each source has had before a slot of the period
+    for j, i, slot, _ in earliest_deadlines(slots, slots, 1):
+        turns.append((j, i, slots[j], slot, list(had)))
+        had[j] += 1
+    turns = cut(spark.createDataFrame(turns, "p_index int, p_turn long, p_quota long, p_slot long, p_had array<long>"), "mixing-period")
+    quota = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "p_index int, p_per long"))
+    keyed = rows.join(quota, "p_index").withColumn("p_turn", F.col("block") % F.col("p_per"))
+    placed = keyed.join(F.broadcast(turns), ["p_index", "p_turn"])  # ``period`` rows
+    cycles, held, per = F.floor(F.col("block") / F.col("p_quota")), F.array(*[F.lit(n).cast("long") for n in sizes]), F.array(*[F.lit(k).cast("long") for k in slots])
     before = F.aggregate(F.transform(F.col("p_had"), lambda n, j: F.least(F.get(held, j), block * (cycles * F.get(per, j) + n))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", slot.alias("slot"), (before + F.col("ordinal") % block).alias("position"))
+    return placed.withColumns({"slot": cycles * period + F.col("p_slot"), "before": before})
 
 
-def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, position_col: str | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, position_col: str | None = None) -> DataFrame:
     """The rows and columns of ``docs``, in the order of the mix: by range of positions over partitions, sorted within each.
 
     With ``position_col`` the position is also a column of that name, for readers that don't keep the order of rows.
@@ -121,7 +151,7 @@ def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule(read_table(spark, sf_dir, "documents"))
+    return schedule(read_table(spark, sf_dir, "documents"), period=PERIOD)
 
 
 #: The schedule by simulation: slot after slot, the earliest deadline among the released blocks.

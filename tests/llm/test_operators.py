@@ -130,6 +130,28 @@ def test_mixing_keeps_within_a_block(spark):
     assert mixing.schedule(docs(spark).limit(0)).count() == 0 and mixing.in_mixed_order(docs(spark)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("n, top, rows", [(100, 0.9, 1800), (20, 0.1395, 1500), (500, 0.33, 1000)])
+def test_mixing_keeps_the_stated_weights(spark, n, top, rows):
+    weights = {"s0": top} | {f"s{k}": (1 - top) / (n - 1) for k in range(1, n)}
+    size = {s: math.ceil(w * rows / top) + 1 for s, w in weights.items()}
+    table = [(i, "t", s) for i, s in enumerate(s for s, k in size.items() for _ in range(k))]
+    got = sorted(mixing.schedule(docs(spark, table), weights, block=1).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(len(table)))
+    had, total = Counter(), math.fsum(weights.values())
+    for t, r in enumerate(got[:rows], 1):  # no source is used up yet
+        had[r["source"]] += 1
+        assert r["slot"] == t - 1 and all(abs(had[s] - t * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_mixing_of_many_sources(spark):
+    table = [(i, "t", f"s{i % 1500}") for i in range(4000)]
+    for period in (None, 1000, 2000):
+        got = mixing.schedule(docs(spark, table), period=period).collect()
+        assert sorted(r["position"] for r in got) == list(range(len(table)))
+    with pytest.raises(ValueError):
+        mixing.schedule(docs(spark, [(1, "t", "x")]), {"x": 0.0})
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
