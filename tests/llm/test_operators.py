@@ -53,6 +53,14 @@ def test_quality_ledger(spark):
     assert quality_rules.ledger(docs(spark).limit(0)).count() == 0
 
 
+def test_quality_keeps_clean_texts(spark):
+    line = lambda k: " ".join(f"word{k}x{i}" for i in range(40)) + "."
+    once, often = "\n".join(["Said once more.", line(1), line(2), "Said once more."]), "\n".join([line(1), line(2), *["Read more here now."] * 4])
+    three = "\n".join(["Said once more.", line(1) + " " + line(2), "Said once more."])
+    assert [r["doc_id"] for r in quality_rules.keep_good(docs(spark, [(1, once, "x"), (2, often, "x"), (3, three, "x")])).orderBy("doc_id").collect()] == [1, 3]
+    assert not quality_rules.POLICIES[quality_rules.CURRENT] & quality_rules.mask("many_words")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeat_words_against_brute_force(spark, seed):
     r = random.Random(seed)

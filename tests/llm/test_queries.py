@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from cargolens.llm import queries
+from cargolens.llm import quality_rules, queries
 
 from ..compare import database, differences
 
@@ -15,6 +15,15 @@ def test_same_as_sql(spark, name):
     assert differences(queries.queries()[name](spark, SF), database(SF), queries.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_policy_against_labels(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no such tables")
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    judged = quality_rules.ledger(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id", "left_semi")).filter(quality_rules.passes(1))
+    assert judged.count() > 0 and [r["doc_id"] for r in judged.filter(~quality_rules.passes()).collect()] == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
