@@ -23,12 +23,13 @@ from .spans import joined, tagged, with_spans
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
+#: Runs have no upper bound and are possessive: a token is tried once, from its start, in time linear in its length.
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""",
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
-    "identifier": r"""(?i:\b(?:user(?:name|_id)?|login|client_id|account(?:_id)?|key_id)["']?\x20{0,4}[:=]\x20{0,4}["']?)([A-Za-z0-9._@-]{3,64})""",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,127}[0-9])(?=[A-Za-z0-9+/_=-]{0,127}[a-z])(?=[A-Za-z0-9+/_=-]{0,127}[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])",
+    "identifier": r"""(?i:\b(?:user(?:name|_id)?|login|client_id|account(?:_id)?|key_id)["']?\x20{0,4}[:=]\x20{0,4}["']?)([A-Za-z0-9._@-]{3,}+)""",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])",
     "endpoint": r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3)://[A-Za-z0-9._:@-]++",
 }
 #: Which kinds make a weak kind credible.

@@ -90,6 +90,21 @@ def test_secrets_link_parts(spark):
     assert (1, [weak], 1, 1, 0) in got and (2, [], 0, 0, 0) in got and (3, [], 0, 0, 0) in got and (4, [], 0, 0, 1) in got and (4, [weak], 1, 1, 0) in got and (None, [weak], 1, 1, 0) in got
 
 
+def test_secrets_of_any_length(spark):
+    r = random.Random(2)
+    rows, want = [], {}
+    for n, size in enumerate([20, 64, 65, 128, 129, 300, 5000]):
+        name = "n" * (size - 1) + "9"
+        late = "x" * (size - 2) + "Y7"  # upper case and digit at the end only
+        mixed = "".join(r.choice("abcXYZ019+/_-") for _ in range(size - 3)) + "aA0=="
+        rows += [(2 * n, f"user = {name} {late}", "x"), (2 * n + 1, f"{mixed} https://db.example.com", "x")]
+        want |= {2 * n: ([name], [late]), 2 * n + 1: ([], [mixed])}
+    got = {x["doc_id"]: x for x in secrets.find_secrets(docs(spark, rows)).collect()}
+    for n, (names, tokens) in want.items():
+        assert [x["value"].removeprefix("user = ") for x in got[n]["identifier"]] == names and [x["value"] for x in got[n]["secret"]] == tokens
+        assert len(got[n]["endpoint"]) == n % 2
+
+
 def test_secrets_link_across_bins(spark):
     r = random.Random(1)
     rows = [(n, k, a + d, b + d) for n, (d, parts) in enumerate([(d, p) for d in range(0, 301, 10) for p in ([("identifier", 290, 310), ("hex", 600, 624)], [("endpoint", 0, 350), ("hex", 610, 640)], [("hex", 0, 24), ("identifier", 324, 340)])]) for k, a, b in parts]
