@@ -98,12 +98,17 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return sealed(out, {k: v.cast("long") for k, v in values.items()}).drop("__q_words", "__q_windows", "__q_sorted", "__q_lines")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the measurements, and ``failed_bits``: bit k is set if rule k failed."""
+def failed_bits() -> Column:
+    """The measurements' bits: bit k is set if rule k failed."""
     bits = F.lit(0).cast("long")
     for k, (_, failed) in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measured(docs.select(id_col, text_col), text_col).select(id_col, *MEASURES, bits.alias("failed_bits"))
+    return bits
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, the measurements, and ``failed_bits``: bit k is set if rule k failed."""
+    return measured(docs.select(id_col, text_col), text_col).select(id_col, *MEASURES, failed_bits().alias("failed_bits"))
 
 
 def passes(policy: int = CURRENT, bits: str = "failed_bits") -> Column:
@@ -114,12 +119,8 @@ def passes(policy: int = CURRENT, bits: str = "failed_bits") -> Column:
 def keep_good(docs: DataFrame, text_col: str = "text", policy: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``."""
     clash = {c: f"__in_{c}" for c in docs.columns if c in MEASURES and c != text_col}
-    out = measured(docs.withColumnsRenamed(clash), text_col)
-    names = set(x for k, x in enumerate(RULE_NAMES) if POLICIES[policy] >> k & 1)
-    for name, failed in rules():
-        if name in names:
-            out = out.filter(~F.coalesce(failed, F.lit(False)))
-    return out.drop(*MEASURES).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    out = measured(docs.withColumnsRenamed(clash), text_col).withColumn("__q_bits", failed_bits())
+    return out.filter(passes(policy, "__q_bits")).drop(*MEASURES).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def ablations(of: DataFrame) -> DataFrame:
