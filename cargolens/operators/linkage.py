@@ -16,7 +16,11 @@ def ratio(a: Column, b: Column) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        found: dict[tuple[str, str], float] = {}  # the same pairs come up in many documents
+        for pair in zip(x, y, strict=True):
+            if pair not in found:
+                found[pair] = SequenceMatcher(None, *pair).ratio()
+        return pd.Series([found[pair] for pair in zip(x, y, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, "double")(a, b)
 
@@ -29,10 +33,10 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
 def _scored(values: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
     """(document_id, value, token, score) for every token whose score may be the best, at least ``threshold``."""
     v = values.select("document_id", "value", F.lower(F.trim("value")).alias("v")).filter("v != ''").distinct()
-    t = tokens.select("document_id", *_BEST, F.lower(F.trim("text")).alias("t")).filter("t != ''")
-    both = v.join(t, "document_id")
-    inside = both.filter(F.contains("t", F.col("v"))).withColumn("score", F.lit(1.0))
-    rest = both.join(inside.select("document_id", "value").distinct(), ["document_id", "value"], "left_anti")
+    # Of a document's equal tokens only the first can be the best.
+    t = tokens.select("document_id", *_BEST, F.lower(F.trim("text")).alias("t")).filter("t != ''").groupBy("document_id", "t").agg(F.min_by(F.struct(*_BEST), "pos").alias("first")).select("document_id", "t", "first.*")
+    inside = v.join(t, "document_id").filter(F.contains("t", F.col("v"))).withColumn("score", F.lit(1.0))
+    rest = v.join(inside.select("document_id", "value"), ["document_id", "value"], "left_anti").join(t, "document_id")
     part = F.contains(F.col("v"), F.col("t")) & (F.length("t") > 3)
     within = rest.filter(part).withColumn("score", F.lit(0.85))
     fuzzy = rest.filter(~part & may_reach(F.col("v"), F.col("t"), threshold)).withColumn("score", ratio(F.col("v"), F.col("t")))
@@ -54,7 +58,10 @@ def link_parts(values: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def row_boxes(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """Goods rows (document_id, description) to the text line that shares most of their words: its score and box."""
+    """Goods rows (document_id, description) to the text line that shares most of their whole words: its page, row and score.
+
+    ``fuzzy_row_boxes`` matches misread words too, and returns boxes.
+    """
     words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
     both = items.join(lines, "document_id")
     share = F.size(F.array_intersect(words(F.col("description")), words(F.col("text")))) / F.size(words(F.col("description")))
@@ -63,6 +70,25 @@ def row_boxes(items: DataFrame, lines: DataFrame) -> DataFrame:
     return best.select("document_id", "description", "b.*")
 
 
+def fuzzy_row_boxes(items: DataFrame, tokens: DataFrame, width: int = 595) -> DataFrame:
+    """Goods rows (document_id, page, description) to their page's best token, ties to the first: its pos, score and box over the full width.
+
+    The score is the larger of the share of the description's words over four letters that the token contains, and the
+    ratio of its first 40 letters to the token.
+    """
+    d = items.select("document_id", "page", "description", F.lower(F.trim("description")).alias("d")).filter("d != ''").distinct()
+    d = d.withColumn("long", F.filter(F.split("d", r"\s+"), lambda w: F.length(w) > 4)).withColumn("d", F.substring("d", 1, 40))
+    t = tokens.select("document_id", "page", "y1", "y2", "pos", F.lower(F.trim("text")).alias("t"))
+    both = d.join(t, ["document_id", "page"])
+    both = both.withColumn("hits", F.size(F.filter("long", lambda w: F.contains(F.col("t"), w))) / F.greatest(F.size("long"), F.lit(1)))
+    # The ratio is only taken where lengths allow it to reach the threshold.
+    fuzzy = both.filter(may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD)).withColumn("score", F.greatest("hits", ratio(F.col("d"), F.col("t"))))
+    rest = both.filter(~may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD)).withColumn("score", F.col("hits"))
+    good = fuzzy.unionByName(rest).filter(F.col("score") >= ROW_THRESHOLD)
+    best = good.groupBy("document_id", "page", "description").agg(F.max_by(F.struct("pos", "score", "y1", "y2"), F.struct("score", -F.col("pos"))).alias("b"))
+    return best.select("document_id", "page", "description", "b.pos", "b.score", F.lit(0).alias("x1"), "b.y1", F.lit(width).alias("x2"), (F.col("b.y2") + 5).alias("y2"))
+
+
 def text_options(pairs: DataFrame) -> DataFrame:
     """Text pairs (a_txt, b_txt) with their ratio and a hint how to settle them."""
     out = pairs.withColumn("ratio", ratio(F.lower("a_txt"), F.lower("b_txt")))
