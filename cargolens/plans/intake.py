@@ -412,18 +412,19 @@ def join07_link_values(spark, sf_dir):
 
 
 def _misread(spark, sf_dir) -> DataFrame:
-    """Words with a letter read wrong, and the tokens they came from."""
-    t = tokens(spark, sf_dir)
-    return t.filter((F.col("pos") % 197 == 5) & (F.length("text") >= 6)).select("document_id", F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 40)).alias("value")).distinct()
+    """All words of six or more letters with a letter read wrong, distinct by document."""
+    return tokens(spark, sf_dir).filter(F.length("text") >= 6).select("document_id", F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 40)).alias("value")).distinct()
 
 
 def join07_fuzzy_linkage(spark, sf_dir):
-    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir).filter("page = 1")).select("document_id", "value", "pos", F.round("score", 6).alias("score"))
+    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir)).select("document_id", "value", "pos", F.round("score", 6).alias("score"))
 
 
 def join08_multi_token_boxes(spark, sf_dir):
-    t = tokens(spark, sf_dir).filter("page = 1")
-    v = t.filter("pos IN (3, 4)").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("value"))
+    """Every two words in a row, as one value."""
+    t = tokens(spark, sf_dir)
+    after = t.select("document_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("next"))
+    v = t.join(after, ["document_id", "pos"]).select("document_id", F.concat_ws(" ", "text", "next").alias("value")).distinct()
     return L.link_parts(v, t)
 
 
