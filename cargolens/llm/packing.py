@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,17 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, read_table, ship
-from .shingles import LOWER, word_spans
+from .shingles import LOWER, equal_spans, groups, per_text, span_hashes, word_spans
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
-#: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 800_000, 400_000
-SLICE_CHARS = 1_000_000
+#: Distinct words, and bytes of them, whose ids a worker keeps; beyond either, it starts again.
+KEPT_WORDS, KEPT_BYTES = 600_000, 1 << 25
+#: Bytes of texts whose words are looked up at once, and new words that are encoded at once.
+SLICE_BYTES, WORDS_AT_ONCE = 1 << 22, 4000
+#: Ids after which a worker hands on what it has.
+MOST_IDS = 4_000_000
 
 
 #: ASCII signs that end words; the apostrophe isn't one, since it can begin a token with the letters after it.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_IS_SIGN, _IS_PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_IS_SIGN[list(_SIGNS)] = True
+_IS_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
 class WordIds:
@@ -49,75 +53,132 @@ class WordIds:
     White space never lies within a token of this tokenizer and case doesn't matter to it, so a text's ids are those of
     its lowered words in a row. Nor does a token hold both a letter or digit and the sign after it: a word's end of
     ASCII signs is looked up apart from the rest. A text with the beginning of a special token keeps its case.
+    Words are found by hash and told apart by their bytes. ``check`` refuses tokenizers for which this doesn't hold.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.check()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, keys: list[int], words: list[bytes]) -> None:
-        split = []
-        for w in words:
-            core = w.rstrip(_SIGNS)
-            split.append((core, w[len(core) :]) if 0 < len(core) < len(w) and core[-1] in _PLAIN and b"<|" not in w else (w, b""))
-        new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts]
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-        self.parts.update(zip(new, (e.ids for e in found), strict=True))
-        ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        first, count = len(self.index), len(ids)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + count > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[first : first + count] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : first + count] = sizes
-        self.used += len(flat)
-        self.index.update(zip(keys, range(first, first + count), strict=True))
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """For each text its ids."""
-        if len(self.index) > KEPT_WORDS:
+        self.index: dict[int, int] = {}  # number of a word by its hash
+        self.words: list[bytes] = []
+        self.bytes = self.used = 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)  # where each word's ids stand in flat
+        self.flat = np.zeros(1 << 16, np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def check(self) -> None:
+        words = ["Étude", "DON'T", "x1!", "(b)", "c...", "ñandú,", "3.5%", "e-mail:", "«ok».", "a_b;", "¿qué?!"]
+        apart = [i for w in words for i in self._ids(w.encode().translate(LOWER).decode())]
+        signs = [i for x in ("x1", "!", "c", "...", "ñandú", ",") for i in self._ids(x)]
+        if self._ids(" ".join(words)) != apart or self._ids("\n\t".join(words)) != apart or self._ids("x1! c... ñandú,") != signs:
+            raise ValueError("packing needs a tokenizer that ignores case and white space and parts words from the signs after them")
+
+    def _grown(self, name: str, values: np.ndarray, used: int) -> None:
+        """Put ``values`` behind the ``used`` first ones of an array."""
+        held = getattr(self, name)
+        while used + len(values) > len(held):
+            held = np.concatenate([held, np.zeros_like(held)])
+        held[used : used + len(values)] = values
+        setattr(self, name, held)
+
+    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            texts = [x.decode("utf-8", "replace") for x in words[at : at + WORDS_AT_ONCE]]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            begins = np.fromiter((x[0] for x in found.offsets), np.int64, len(ids))
+            sizes, known = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(texts)), len(self.words) + at
+            self._grown("starts", self.used + np.cumsum(sizes) - sizes, known)
+            self._grown("sizes", sizes, known)
+            self._grown("flat", ids, self.used)
+            self.used += len(ids)
+        self.index.update(zip(hashes, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.words += words
+        self.bytes += sum(map(len, words))
+
+    def _spans(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Words, and apart from them the signs that end them."""
+        starts, ends = word_spans(joined)
+        raw = np.frombuffer(joined, np.uint8)
+        core = np.maximum.accumulate(np.where(_IS_SIGN[raw], 0, np.arange(1, len(raw) + 1, dtype=np.int32)))[ends - 1] if len(ends) else ends
+        core = core[(core > starts) & (core < ends) & _IS_PLAIN[raw[core - 1]]]
+        return (np.sort(np.concatenate([x, core]), kind="stable") for x in (starts, ends))
+
+    def _numbers(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The number of each word; None if two words have one hash."""
+        if len(self.index) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.clear()
-        if len(self.parts) > KEPT_PARTS:
-            self.parts = {}
-        joined = b"\n".join(t if b"<|" in t else t.translate(LOWER) for t in texts) + b"\n"
-        hashes, starts, stops = word_spans(joined)
-        code, distinct = pd.factorize(hashes)  # words are told apart by 64-bit hash
-        keys = distinct.tolist()
-        of = list(map(self.index.get, keys))
-        if None in of:
-            first = np.empty(len(keys), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            new = [k for k, i in enumerate(of) if i is None]
-            at = first[new]
-            self._add([keys[k] for k in new], [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
-            of = list(map(self.index.__getitem__, keys))
-        at = np.array(of, np.int64)[code]
+        code, distinct = pd.factorize(span_hashes(joined, starts, ends))
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        if not equal_spans(joined, starts, ends - starts, starts[first][code]):
+            return None
+        hashes = distinct.tolist()
+        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        at = list(map(self.index.get, hashes))
+        if any(self.words[k] != w for k, w in zip(at, words, strict=True) if k is not None):
+            return None
+        if None in at:
+            new = [i for i, k in enumerate(at) if k is None]
+            self._add([hashes[i] for i in new], [words[i] for i in new])
+            at = list(map(self.index.__getitem__, hashes))
+        return np.array(at, np.int64)[code]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        lowered = [b"" if b"<|" in t else t.translate(LOWER) for t in texts]
+        joined = b"\n".join(lowered) + b"\n"
+        starts, ends = self._spans(joined)
+        at = self._numbers(joined, starts, ends)
+        if at is None:
+            return [self._whole(t) for t in texts]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
-        words = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
-        limits = np.concatenate([[0], ends])[words]
-        for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
-            yield ids[a:b]
+        limits = np.concatenate([[0], ends])[np.cumsum(per_text(lowered, starts))[:-1]]
+        return [self._whole(t) if b"<|" in t else x for t, x in zip(texts, np.split(ids, limits), strict=True)]
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self._ids(text.decode("utf-8", "replace")), np.uint32)
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(index, ids) of each text; a long text is cut at white space for it."""
+        held: list[np.ndarray] = []
+        for first, parts in groups(texts, SLICE_BYTES):
+            if held and first != at:
+                yield at, np.concatenate(held)
+                held = []
+            found = self.encode(parts)
+            if len(parts) > 1:
+                yield from enumerate(found, first)
+            else:
+                at = first
+                held += found
+        if held:
+            yield at, np.concatenate(held)
 
 
 _held: dict[str, WordIds] = {}
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    def frame(pdf: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["row", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        row = out.pop("row").to_numpy(np.int64)
+        out.insert(0, "id", pdf["id"].to_numpy()[row])
+        if "place" in pdf:
+            out["place"] = pdf["place"].to_numpy()[row]
+        return out if with_ids else out.drop(columns="ids")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
@@ -127,25 +188,17 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         words = _held[path]
         for pdf in batches:
             texts = [b"" if t is None else t.encode("utf-8", "replace") for t in pdf["text"]]
-            done = 0
-            while done < len(texts):
-                size, last = 0, done
-                while last < len(texts) and (last == done or size + len(texts[last]) <= SLICE_CHARS):
-                    size += len(texts[last])
-                    last += 1
-                rows = []
-                for i, ids in zip(range(done, last), words.encode(texts[done:last]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        rows.append((i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tobytes() if with_ids else b""))
-                out = pd.DataFrame(rows, columns=["row", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-                row = out.pop("row").to_numpy()
-                out.insert(0, "id", pdf["id"].to_numpy()[row])
-                if "place" in pdf:
-                    out["place"] = pdf["place"].to_numpy()[row]
-                yield out if with_ids else out.drop(columns="ids")
-                done = last
+            rows, size = [], 0
+            for i, ids in words.encode_all(texts):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for start in range(0, len(ids), capacity):
+                    piece = ids[start : start + capacity]
+                    rows.append((i, start, len(piece), zlib.crc32(piece), len(ids), piece.tobytes() if with_ids else b""))
+                size += len(ids)
+                if size > MOST_IDS:
+                    yield frame(pdf, rows)
+                    rows, size = [], 0
+            yield frame(pdf, rows)
 
     return run
 

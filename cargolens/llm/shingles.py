@@ -1,21 +1,25 @@
-"""Word shingles of texts as 64-bit numbers, computed with whole-batch array operations.
+"""Words and word shingles of texts as 64-bit numbers, computed with whole-batch array operations.
 
-Texts of a batch are laid end to end as bytes. A word's hash is the difference of two running sums of its bytes times
-powers of an odd number, so there is no loop over words, and a long text costs what its length costs.
+Texts of a batch are laid end to end as bytes. A word's hash joins two residues of its bytes as a polynomial, modulo
+two primes, with its length; each residue is the difference of two running sums, so there is no loop over words, and a
+long text costs what its length costs. Words differ by hash unless both residues of the difference vanish. Very long
+words are hashed one by one with BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of text hashed at once; a longer text is hashed alone.
-SLICE_BYTES = 1 << 20
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Bytes that are hashed at once, bytes of a word that is hashed on its own, and bytes of texts that are laid end to end.
+SLICE_BYTES, LONG_WORD, GROUP_BYTES = 1 << 18, 256, 1 << 20
+#: Prime moduli under 2^31, so that a byte times a power, summed over a slice, stays under 2^64, and the base of each.
+_FIELDS = ((2_147_483_647, 1_220_703_125), (2_147_483_629, 1_664_525_013))
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -30,37 +34,108 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(4)
-def _all_powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    """base to the power of 0 to n - 1; tables for up to 2 MB of text are kept."""
-    kept = 1 << 21
-    return _all_powers(kept, int(base))[:n] if n <= kept else _all_powers.__wrapped__(n, int(base))
+def _powers(base: int, prime: int) -> np.ndarray:
+    """base to the powers of 0 to a slice's length, modulo prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= SLICE_BYTES:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word."""
+    space = np.concatenate([[True], _IS_SPACE[np.frombuffer(joined, np.uint8)], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[0::2], edge[1::2]
+
+
+def span_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each of the ascending spans; equal bytes have equal hashes wherever they stand."""
+    raw, sizes, out, i = np.frombuffer(joined, np.uint8), ends - starts, np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + SLICE_BYTES, "right")))
+        if ends[j - 1] - low <= SLICE_BYTES:
+            wide, parts = raw[low : ends[j - 1]].astype(np.uint64) + np.uint64(1), []
+            sums = np.zeros(len(wide) + 1, np.uint64)
+            for prime, base in _FIELDS:
+                p = np.uint64(prime)
+                np.cumsum(wide * _powers(base, prime)[: len(wide)], out=sums[1:])
+                parts.append((sums[ends[i:j] - low] - sums[starts[i:j] - low]) % p * _powers(pow(base, -1, prime), prime)[starts[i:j] - low] % p)
+            out[i:j] = mix(((parts[0] << np.uint64(31)) | parts[1]) ^ mix(sizes[i:j].astype(np.uint64)))
+        i = j
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = _digest(joined[starts[k] : ends[k]])
+    return out
+
+
+def equal_spans(joined: bytes, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> bool:
+    """Whether the bytes of each span of at most LONG_WORD bytes equal those that begin at its other start."""
+    eight = np.ndarray(len(joined), "<u8", joined + bytes(8), strides=(1,))  # the eight bytes from each position on
+    at = np.flatnonzero((starts != others) & (sizes <= LONG_WORD))
+    starts, sizes, others = starts[at], sizes[at], others[at]
+    while len(sizes):
+        unused = np.uint64(8) * (np.uint64(8) - np.minimum(sizes, 8).astype(np.uint64))
+        if (((eight[starts] ^ eight[others]) << unused) != 0).any():
+            return False
+        longer = np.flatnonzero(sizes > 8)
+        starts, sizes, others = starts[longer] + 8, sizes[longer] - 8, others[longer] + 8
+    return True
+
+
+def _cut(text: bytes, limit: int) -> Iterator[bytes]:
+    """``text`` cut at white space into parts of about ``limit`` bytes; a longer word isn't cut."""
+    at = 0
+    while len(text) - at > limit:
+        end = max(text.rfind(c, at, at + limit) for c in _SPACES) + 1
+        if end <= at:
+            end = min((x for x in (text.find(c, at + limit) for c in _SPACES) if x >= 0), default=len(text) - 1) + 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of a text, it and those after it), at most ``limit`` bytes; longer texts come alone, in parts cut at white space."""
+    k = 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) + 1 <= limit):
+            size += len(texts[k]) + 1
+            k += 1
+        if size <= limit:
+            yield first, texts[first:k]
+        else:
+            for part in _cut(texts[first], limit):
+                yield first, [part]
 
 
-def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word; ``joined`` must end with white space."""
-    raw = np.frombuffer(joined, np.uint8)
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
-    starts = starts[: len(ends)]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _P), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(len(raw), _P_INV)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+def per_text(parts: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """How many of the ascending positions in the parts, joined by one byte each, lie in each part."""
+    return np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in parts])), prepend=0)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lowered, and the number of words of each text."""
-    hashes, starts, _ = word_spans(b"\n".join(texts).translate(LOWER) + b"\n")
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for first, parts in groups(texts):
+        joined = b"\n".join(parts).translate(LOWER)
+        starts, ends = word_spans(joined)
+        out.append(span_hashes(joined, starts, ends))
+        counts[first : first + len(parts)] += per_text(parts, starts)
+    return np.concatenate(out), counts
+
+
+def exact_shingles(text: bytes, size: int) -> np.ndarray:
+    """The sorted distinct BLAKE2 digests of a text's shingles: equal ones are equal word by word."""
+    words = text.translate(LOWER).split()
+    n = len(words)
+    found = {b"\n".join(words[i : i + size]) for i in range(n - size + 1)} if n >= size else {b"\n".join(words)} if n else set()
+    return np.unique(np.fromiter(map(_digest, found), np.uint64, len(found)))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -84,7 +159,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         at += n
 
 
-def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts in UTF-8), each slice of about ``limit`` bytes; null texts are empty."""
     first, size, held = 0, 0, []
     for i, t in enumerate(texts):

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cargolens.llm import exact_dedup, line_crf, lm, minhash, mixing, packing, pii, quality_rules, secrets, warc
+from cargolens.llm import exact_dedup, line_crf, lm, minhash, mixing, packing, pii, quality_rules, secrets, shingles, warc
 from cargolens.llm.components import components
 from cargolens.llm.common import crc_bucket, cut
 
@@ -200,6 +200,51 @@ def test_packing(spark):
     assert sum(r["length"] for r in got if r["doc_id"] is None) == 1 and packing.pack(docs(spark).limit(0), path).count() == 0
 
 
+def collision(letters=1024):
+    """Two words that a polynomial modulo a power of two can't tell apart."""
+    a = "a"
+    while len(a) < letters:
+        a += a.translate({97: 98, 98: 97})
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    from tokenizers import Tokenizer
+
+    a, b = collision()
+    short = collision(128)  # hashed with all other words, not one by one
+    assert all(len(set(shingles.word_hashes([x.encode() for x in pair])[0].tolist())) == 2 for pair in ((a, b), short))
+    rows = [(1, a, "x"), (2, b, "x"), (3, short[0], "x"), (4, short[1], "x")]
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for r in packing.pack(docs(spark, rows), packing.tokenizer_path(), with_ids=True).collect():
+        raw = bytes(r["ids"])
+        assert r["doc_tokens"] > 4096 or list(struct.unpack(f"<{len(raw) // 4}I", raw)) == tok.encode(rows[r["doc_id"] - 1][1], add_special_tokens=False).ids + [2]
+    assert all(r["kept"] for r in minhash.near_duplicates(docs(spark, rows)).collect())
+    table = cut(docs(spark, rows), "test")
+    assert {r["doc_id"]: r["n_known"] for r in lm.score(table, F.col("doc_id").isin(1, 3)).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+
+
+@pytest.mark.parametrize("place", ["one group", "two groups"])
+def test_packing_when_word_hashes_collide(monkeypatch, place):
+    monkeypatch.setattr(packing, "span_hashes", lambda joined, starts, ends: (ends - starts).astype("uint64"))
+    words_, texts = packing.WordIds(packing.tokenizer_path()), [b"one two six.", b"ten two!", b"four five"]
+    got = [x for _, x in words_.encode_all(texts)] if place == "one group" else [next(words_.encode_all([t]))[1] for t in texts]
+    assert [x.tolist() for x in got] == [words_._ids(t.decode()) for t in texts]
+
+
+def test_words_of_long_texts():
+    r = random.Random(5)
+    texts = [b"", b" \t", b"A\x1cb c\td\x0be\x0cf\rg", b"x" * 70_000 + b" y " + b"x" * 70_000, b"w" * 2_500_000 + b" q", b" ".join(b"w%d" % r.randrange(999) for _ in range(400_000))]
+    texts += [b" ".join(bytes(r.choice(b"abcAB\xc3\xa9") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 400))) for _ in range(100)]
+    hashes, counts = shingles.word_hashes(texts)
+    want = [t.translate(shingles.LOWER).split() for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    of = dict(zip(flat, hashes.tolist()))
+    assert [of[w] for w in flat] == hashes.tolist() and len(set(of.values())) == len(of)
+    assert len(shingles.exact_shingles(texts[-1], 5)) == len({tuple(want[-1][i : i + 5]) for i in range(len(want[-1]) - 4)})
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fill_is_closest(seed):
     r = random.Random(seed)
@@ -300,6 +345,17 @@ def test_lm_against_brute_force(spark, order):
     assert all(abs(x["score"] - w) < 1e-6 for x, w in zip(got, want, strict=True)) and [x["held_out"] for x in got] == [not t for t in train]
 
 
+def test_lm_of_long_texts_and_many_buckets(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: r.choice(["The", "cat", "sat", "on", "a", "mat"])
+    rows = [(i, " ".join(word() for _ in range(n)), "x") for i, n in enumerate([0, 3, 255, 256, 257, 512, 5000, 20_000, 1, 300_000])] * 2
+    monkeypatch.setattr(lm, "BUCKET_ROWS", 1)
+    got = lm.score(cut(docs(spark, rows), "test"), F.lit(True)).collect()
+    want, total = reference_scores(rows, [True] * len(rows), 2, lm.STRENGTH)
+    assert len(got) == len(rows) and {(x["doc_id"], x["n_tokens"], round(x["score"], 3)) for x in got} == {(i, len(t.split()) + 1, round(s, 3)) for (i, t, _), s in zip(rows, want)}
+    assert lm.score(cut(docs(spark).limit(0), "test"), F.lit(True)).count() == 0
+
+
 def test_line_crf(spark):
     r = random.Random(1)
     line = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(99)) for _ in range(12)) + "."
