@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton.
 
 Counts cover every training text. An n-gram model of the whole corpus is too large to broadcast, so the model goes to
-the texts: rows form blocks, and each block asks for the n-grams that occur in it. Requests are dealt by n-gram hash
+the texts: rows form blocks, bounded in characters, and each block asks for the n-grams that occur in it. Requests are dealt by n-gram hash
 into buckets, which add up the training counts of all blocks and answer each block; an n-gram that is in every
 text costs one entry per block, so frequent words can't load a bucket. A block then holds the part of the model that
 its texts can touch, builds its automaton and scores its texts.
@@ -34,33 +34,23 @@ from .common import crc_bucket, cut, read_table, ship
 from .shingles import mix, word_hashes
 
 ORDER, STRENGTH = 2, 30.0
-#: Rows of a block as a power of two, and rows of the input for each bucket.
-BLOCK_BITS, BUCKET_ROWS = 9, 2000
+#: Characters of a text and, as a power of two, the rows of a block of texts up to that size. Longer texts are blocks.
+BLOCKS = ((1 << 15, 9), (1 << 20, 4))
+#: Rows of the input for each bucket.
+BUCKET_ROWS = 2000
+#: Words of a text that are traversed in step with other parts of the same length.
+STRETCH = 256
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-#: Bytes of text whose words are hashed at once.
-_PART = 1 << 20
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each led by START and followed by END, and the index of each START."""
-    raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-    parts, counts, i = [], [], 0
-    while i < len(raw):
-        j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) <= _PART):
-            size += len(raw[j])
-            j += 1
-        h, n = word_hashes(raw[i:j])
-        parts.append(h)
-        counts.append(n)
-        i = j
-    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    found, n = word_hashes([b"" if t is None else t.encode("utf-8", "replace") for t in texts])
     starts = np.cumsum(n + 2) - (n + 2)
     out = np.empty(int(n.sum()) + 2 * len(n), np.uint64)
     inside = np.ones(len(out), bool)
     inside[starts] = inside[starts + n + 1] = False
-    out[inside] = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    out[starts], out[starts + n + 1] = START, END
+    out[inside], out[starts], out[starts + n + 1] = found, START, END
     return out, starts
 
 
@@ -80,30 +70,37 @@ def _checksum(words: np.ndarray) -> int:
     return int(words.sum(dtype=np.uint64).astype(np.int64))
 
 
+def _buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that ascending hashes lie in, and where each one's begin. Its cost is the hashes', not the buckets'."""
+    # The upper 32 bits times the number of buckets, over 2^32: ranges of hashes of equal width.
+    of = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first], first
+
+
 def _requests(order: int, buckets: int):
     def one(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
         words, starts = tokens(pdf["text"].tolist())
         trains = np.repeat(pdf["train"].to_numpy(bool), np.diff(np.append(starts, len(words))))
-        rows = []
+        rows, checksum = [], _checksum(words)
         for level, (where, hashes) in enumerate(grams(words, starts, order), 1):
             found, inverse = np.unique(hashes, return_inverse=True)
             counts = np.bincount(inverse, trains[where], len(found)).astype("<u4")
-            limits = np.searchsorted(found, (np.arange(1, buckets) * (2**64 / buckets)).astype(np.uint64)) if buckets > 1 else []
-            for b, (x, c) in enumerate(zip(np.split(found, limits), np.split(counts, limits), strict=True)):
-                if len(x):
-                    rows.append((level * buckets + b, block, _checksum(words), x.tobytes(), c.tobytes()))
+            of, first = _buckets(found, buckets)
+            for b, x, c in zip(of.tolist(), np.split(found, first[1:]), np.split(counts, first[1:]), strict=True):
+                rows.append((level * buckets + b, block, checksum, x.tobytes(), c.tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "checksum", "grams", "counts"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: dict[int, tuple[int, list[pd.DataFrame]]] = {}  # the open block of each size of texts
         for pdf in batches:
             for block, part in pdf.groupby("block", sort=False):
-                if held and held[0]["block"].iloc[0] != block:
-                    yield one(int(held[0]["block"].iloc[0]), pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield one(int(held[0]["block"].iloc[0]), pd.concat(held))
+                kind = block % (len(BLOCKS) + 1)
+                if kind in held and held[kind][0] != block:
+                    yield one(held[kind][0], pd.concat(held.pop(kind)[1]))
+                held.setdefault(kind, (block, []))[1].append(part)
+        for block, parts in held.values():
+            yield one(block, pd.concat(parts))
 
     return run
 
@@ -182,14 +179,20 @@ class Automaton:
         self.keys, self.weight, self.target = keys[by], weight[by], target[by]
 
     def traverse(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability of each text: one pass over its words after START, all texts in step."""
-        order = np.argsort(-lengths, kind="stable")
-        score, at, left = np.zeros(len(starts)), starts[order], lengths[order]
-        state = self.state_at[at]
-        alive = len(at)
+        """Log-probability of each text: one pass over its words after START.
+
+        A text's stretches go in step with those of all texts. The state at a stretch's beginning is that of the longest
+        context that ends there, which is the one that the stretch before it leaves behind.
+        """
+        parts = -(-lengths // STRETCH)
+        text = np.repeat(np.arange(len(starts)), parts)
+        offset = (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+        size = np.minimum(lengths[text] - offset, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        at, left = (starts[text] + offset)[order], size[order]
+        score, state, alive = np.zeros(len(at)), self.state_at[at], len(at)
         for step in range(1, int(left.max(initial=0)) + 1):
-            while alive and left[alive - 1] < step:
-                alive -= 1
+            alive = int(np.searchsorted(-left[:alive], -step, "right"))
             word, now, rest = self.word[at[:alive] + step], state[:alive].copy(), np.arange(alive)
             while len(rest):
                 key = now[rest] * self.width + word[rest]
@@ -202,9 +205,9 @@ class Automaton:
                 now[lost] = self.fail[now[lost]]
                 rest = lost
             state[:alive] = now
-        out = np.zeros(len(starts))
-        out[order] = score
-        return out
+        if not np.array_equal(state, self.state_at[at + left]):
+            raise AssertionError("a stretch ended in another state than the next one begins with")
+        return np.bincount(text[order], score, len(starts))
 
 
 def _scored(order: int, buckets: int, norm: float, strength: float):
@@ -218,9 +221,11 @@ def _scored(order: int, buckets: int, norm: float, strength: float):
         for level, (_, hashes) in enumerate(levels, 1):
             mine = answers[(answers["bucket"] >= level * buckets) & (answers["bucket"] < (level + 1) * buckets)]
             asked = np.unique(hashes)
-            limits = np.searchsorted(asked, (np.arange(1, buckets) * (2**64 / buckets)).astype(np.uint64)) if buckets > 1 else np.zeros(0, np.int64)
-            sizes = dict(zip(range(buckets), np.diff(np.concatenate([[0], limits, [len(asked)]])).tolist(), strict=True))
-            totals.append(np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * sizes[b - level * buckets] else "<i8").astype(np.float64) for b, x in zip(mine["bucket"], mine["totals"], strict=True)]))
+            of, first = _buckets(asked, buckets)
+            if (mine["bucket"].to_numpy() - level * buckets).tolist() != of.tolist():
+                raise RuntimeError("a bucket didn't answer")
+            sizes = np.diff(np.append(first, len(asked))).tolist()
+            totals.append(np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8").astype(np.float64) for n, x in zip(sizes, mine["totals"], strict=True)]))
         lengths = np.diff(np.append(starts, len(words))) - 1
         model = Automaton(len(words), levels, totals, norm, strength)
         model.base[starts] = 0
@@ -243,9 +248,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; ``train`` says which rows the counts come from."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     ship(spark)
-    place = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text")).withColumn("place", place)
-    rows = rows.withColumn("block", F.shiftright("place", BLOCK_BITS))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    kinds, block = len(BLOCKS) + 1, F.col("place") * (len(BLOCKS) + 1)
+    for k, (chars, bits) in reversed(list(enumerate(BLOCKS, 1))):
+        block = F.when(F.length(F.coalesce("text", F.lit(""))) <= chars, F.shiftright("place", bits) * kinds + k).otherwise(block)
+    rows = rows.withColumn("block", block)
     buckets = max(1, -(-docs.count() // BUCKET_ROWS))
     asked = rows.select("block", "train", "text").mapInPandas(_requests(order, buckets), "bucket long, block long, checksum long, grams binary, counts binary")
     answers = cut(asked.groupBy("bucket").applyInPandas(_answers(buckets), "block long, bucket long, checksum long, totals binary, n long, v long"), "lm-answers")
