@@ -36,51 +36,72 @@ def text_consensus(a: DataFrame) -> DataFrame:
     return best.select(*FIELD, F.col("b.key").alias("consensus_key"), canonical(F.col("b.first.num"), F.col("b.first.txt")).alias("consensus_txt"), F.col("b.n").alias("n_agree"), "n_clusters")
 
 
+#: What of an assertion stays with it as the representative of its field, where the input has it.
+CARRIED = ("seq", "document_id", "num", "txt", "confidence", "page", "bbox")
+
+
+def _folded(items: Column) -> Column:
+    """Greedy numeric clusters of ``items`` (seq, num, n, w, first) in order; the winner as a struct, and their number."""
+    none = F.slice(F.transform(items, lambda x: F.struct(x["num"].alias("num"), x["n"].alias("n"), x["w"].alias("w"), x["first"].alias("first"))), 1, 0)
+
+    def add(clusters: Column, x: Column) -> Column:
+        at = F.coalesce(F.array_min(F.transform(clusters, lambda c, i: F.when(F.abs(c["num"] - x["num"]) <= TOLERANCE, i))), F.lit(-1))
+        one = lambda c, n, w: F.struct(c["num"].alias("num"), n.alias("n"), w.alias("w"), c["first"].alias("first"))
+        grown = F.transform(clusters, lambda c, i: F.when(i == at, one(c, c["n"] + x["n"], c["w"] + x["w"])).otherwise(c))
+        return F.when(at >= 0, grown).otherwise(F.concat(clusters, F.array(one(x, x["n"], x["w"]))))
+
+    def winner(clusters: Column) -> Column:
+        best = F.array_max(F.transform(clusters, lambda c: F.struct(c["n"].alias("n"), F.round(c["w"], 6).alias("w"), (-c["first"]["seq"]).alias("s"), c["num"].alias("num"), c["first"].alias("first"))))
+        return F.struct(best.alias("best"), F.size(clusters).cast("long").alias("n_clusters"))
+
+    return F.aggregate(F.array_sort(items), none, add, winner)
+
+
 def numeric_consensus(a: DataFrame) -> DataFrame:
     """Greedy clusters in order of evidence: a value joins the first cluster whose first member is within TOLERANCE.
 
     FIELD, consensus_num, n_agree, n_clusters. Only distinct values are folded: repeats always follow their first one.
     """
     v = _values(a, F.col("num"))
-    items = F.array_sort(F.collect_list(F.struct(F.col("first.seq").alias("seq"), F.col("num_").alias("num"), F.col("n").alias("n"), F.col("weight").alias("w"))))
-    per = v.withColumn("num_", F.col("first.num")).groupBy(*FIELD).agg(items.alias("items"))
-    none = F.array().cast("array<struct<num:double,n:bigint,w:double,seq:bigint>>")
-
-    def add(clusters: Column, x: Column) -> Column:
-        at = F.coalesce(F.array_min(F.transform(clusters, lambda c, i: F.when(F.abs(c["num"] - x["num"]) <= TOLERANCE, i))), F.lit(-1))
-        grown = F.transform(clusters, lambda c, i: F.when(i == at, F.struct(c["num"].alias("num"), (c["n"] + x["n"]).alias("n"), (c["w"] + x["w"]).alias("w"), c["seq"].alias("seq"))).otherwise(c))
-        return F.when(at >= 0, grown).otherwise(F.concat(clusters, F.array(F.struct(x["num"].alias("num"), x["n"].alias("n"), x["w"].alias("w"), x["seq"].alias("seq")))))
-
-    per = per.withColumn("clusters", F.aggregate("items", none, add))
-    best = F.array_max(F.transform("clusters", lambda c: F.struct(c["n"].alias("n"), F.round(c["w"], 6).alias("w"), (-c["seq"]).alias("s"), c["num"].alias("num"))))
-    return per.select(*FIELD, best["num"].alias("consensus_num"), best["n"].alias("n_agree"), F.size("clusters").cast("long").alias("n_clusters"))
+    item = F.struct(F.col("first.seq").alias("seq"), F.col("first.num").alias("num"), "n", F.col("weight").alias("w"), "first")
+    per = v.groupBy(*FIELD).agg(_folded(F.collect_list(item)).alias("x"))
+    return per.select(*FIELD, F.col("x.best.num").alias("consensus_num"), F.col("x.best.n").alias("n_agree"), F.col("x.n_clusters").alias("n_clusters"))
 
 
 def resolve(a: DataFrame) -> DataFrame:
-    """One row per field: status, consensus_num, consensus_txt, unit, resolution_confidence, n_assertions, n_agree, n_clusters.
+    """One row per field: status, consensus_num, consensus_txt, unit, resolution_confidence, n_assertions, n_agree, n_clusters, representative.
 
     Values count as numbers only if all of a field's values are. pending: one assertion; match: all agree; warning: all
-    agree but units differ; else conflict.
+    agree but units differ; else conflict. The representative is the earliest assertion that agrees with the consensus.
+
+    Assertions are read once: folded to one row per value and unit, those to one per text key, those to one per field.
     """
-    units = F.countDistinct(F.when(F.col("unit") != "", F.lower("unit")))
-    roll = a.groupBy(*FIELD).agg(
-        F.count("*").alias("n_assertions"), F.round(F.round(F.avg("confidence"), 8), 4).alias("resolution_confidence"), units.alias("n_units"),
-        F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("seq"))).alias("unit"), F.bool_and("is_num").alias("all_num"),
+    n_, w_ = F.sum("n").alias("n"), F.sum("w").alias("w")
+    carried = F.struct(*(c for c in CARRIED if c in a.columns))
+    values = a.groupBy(*FIELD, "is_num", "num", "txt", "unit").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"), F.min_by(carried, "seq").alias("first"))
+    value = F.struct(F.col("first.seq").alias("seq"), "num", "n", "w", "first")
+    keys = values.withColumn("key", text_key(canonical(F.col("num"), F.col("txt")))).groupBy(*FIELD, "key").agg(
+        n_, w_, F.min_by("first", "first.seq").alias("first"), F.bool_and("is_num").alias("all_num"), F.collect_list(F.when(F.col("is_num"), value)).alias("numbers"),
+        F.collect_set(F.when(F.col("unit") != "", F.lower("unit"))).alias("units"), F.min(F.when(F.col("unit").isNotNull(), F.struct("first.seq", "unit"))).alias("unit"),
     )
-    numbers = numeric_consensus(a.filter("is_num")).withColumnsRenamed({"n_agree": "num_agree", "n_clusters": "num_clusters"})
-    texts = text_consensus(a)
-    out = roll.join(texts, FIELD).join(numbers, FIELD, "left")
-    agree, clusters = F.when(F.col("all_num"), F.col("num_agree")).otherwise(F.col("n_agree")), F.when(F.col("all_num"), F.col("num_clusters")).otherwise(F.col("n_clusters"))
-    status = F.when(F.col("n_assertions") == 1, "pending").when(clusters > 1, "conflict").when(F.col("n_units") > 1, "warning").otherwise("match")
-    return out.select(
-        *FIELD, status.alias("status"), F.when(F.col("all_num"), F.col("consensus_num")).alias("consensus_num"), F.when(~F.col("all_num"), F.col("consensus_txt")).alias("consensus_txt"),
-        F.when(~F.col("all_num"), F.col("consensus_key")).alias("consensus_key"), "unit", "resolution_confidence", "n_assertions", agree.alias("n_agree"), clusters.alias("n_clusters"),
+    rank = F.struct(F.col("n"), F.round("w", 6).alias("w"), (-F.col("first.seq")).alias("s"))
+    roll = keys.groupBy(*FIELD).agg(
+        F.sum("n").alias("n_assertions"), F.round(F.round(F.sum("w") / F.sum("n"), 8), 4).alias("resolution_confidence"), F.count("*").alias("n_keys"), F.max_by(F.struct("key", "first", "n"), rank).alias("text"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("n_units"), F.min("unit")["unit"].alias("unit"), F.bool_and("all_num").alias("all_num"), F.flatten(F.collect_list("numbers")).alias("numbers"),
+    ).withColumn("number", F.when(F.col("all_num"), _folded(F.col("numbers"))))
+    c = F.col
+    either = lambda x, y: F.when(c("all_num"), c(x)).otherwise(c(y))
+    clusters = either("number.n_clusters", "n_keys")
+    status = F.when(c("n_assertions") == 1, "pending").when(clusters > 1, "conflict").when(c("n_units") > 1, "warning").otherwise("match")
+    return roll.select(
+        *FIELD, status.alias("status"), c("number.best.num").alias("consensus_num"), F.when(~c("all_num"), canonical(c("text.first.num"), c("text.first.txt"))).alias("consensus_txt"), F.when(~c("all_num"), c("text.key")).alias("consensus_key"),
+        "unit", "resolution_confidence", "n_assertions", either("number.best.n", "text.n").alias("n_agree"), clusters.alias("n_clusters"), either("number.best.first", "text.first").alias("representative"),
     )
 
 
 def flagged(a: DataFrame, fields: DataFrame) -> DataFrame:
-    """Assertions with is_consensus, is_outlier (only under conflict) and, for numbers, variance from the consensus."""
-    f = fields.select(*FIELD, "status", "consensus_num", "consensus_key")
+    """Assertions with their field's status and representative, is_consensus, is_outlier (only under conflict) and, for numbers, variance from the consensus."""
+    f = fields.select(*FIELD, "status", "consensus_num", "consensus_key", *(["representative"] if "representative" in fields.columns else []))
     numeric = F.col("consensus_num").isNotNull()
     agrees = F.when(numeric, F.abs(F.col("num") - F.col("consensus_num")) <= TOLERANCE).otherwise(text_key(canonical(F.col("num"), F.col("txt"))) == F.col("consensus_key"))
     out = a.join(f, FIELD).withColumn("is_consensus", F.coalesce(agrees, F.lit(False)))
@@ -97,6 +118,14 @@ def overlay(fields: DataFrame, choices: DataFrame) -> DataFrame:
     ).drop("value_num", "value_txt", "chosen")
 
 
+def validated(choices: DataFrame, a: DataFrame) -> DataFrame:
+    """``choices`` (FIELD, seq) with why each is rejected: UNKNOWN_FIELD, UNKNOWN_ASSERTION, or null if it may stand."""
+    known = a.select(*FIELD, "seq").distinct().withColumn("__there", F.lit(True))
+    fields = a.select(*FIELD).distinct().withColumn("__field", F.lit(True))
+    out = choices.join(fields, FIELD, "left").join(known, [*FIELD, "seq"], "left")
+    return out.withColumn("rejected", F.when(F.col("__field").isNull(), "UNKNOWN_FIELD").when(F.col("__there").isNull(), "UNKNOWN_ASSERTION")).drop("__field", "__there")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of rows with equal keys the last one by ``order``: an upsert as union and latest-wins, with partial maxima."""
     rest = [c for c in rows.columns if c not in keys]

@@ -10,6 +10,8 @@ from ..dims import SIGNATURES
 
 FIRST_PAGES = 2
 THRESHOLD = 0.70
+#: Types of documents that hold tables of goods.
+TABLE_TYPES = ("commercial_invoice", "packing_list", "unknown")
 
 
 def signatures(spark: SparkSession, of: dict[str, tuple[float, list[str]]] = SIGNATURES) -> DataFrame:

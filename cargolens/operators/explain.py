@@ -2,40 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scores import band
 from .consensus import FIELD, canonical
+from .linkage import ratio
 
 #: Advice by field; other fields get the last one. Our own wording.
 ADVICE = {
     "GROSS_WEIGHT": "Weigh the goods again or ask the shipper which document is right.",
+    "NET_WEIGHT": "Ask the shipper for the weight without packing and compare it with the packing list.",
     "PACKAGE_COUNT": "Count the packages and have the other document amended.",
+    "TOTAL_AMOUNT": "Compare with the sum of the goods rows and have the wrong document reissued.",
     "CONSIGNEE_NAME": "Check the consignee's registered name.",
+    "SHIPPER_NAME": "Check the shipper's registered name.",
+    "HS_CODE": "Look the goods up in the tariff and use one code in all documents.",
+    "INCOTERM": "Use the term of the sales contract in all documents.",
+    "CURRENCY_CODE": "Use the currency of the invoice in all documents.",
+    "VOLUME": "Work the volume out from the cartons' measures.",
+    "WEIGHT_CONSISTENCY": "Correct the document whose net and tare weights don't add up to its gross weight.",
     None: "Ask the issuer of the document that differs to amend it.",
 }
 MOST_OPTIONS = 4
+#: Of a field's sources, how many of one type and value matter for the options, and how many in all; pairs of them.
+_ALIKE, _SOURCES, _PAIRS = 2, 8, 6
+#: Ratios from which two texts are called a likely misspelling or similar.
+MISSPELT, SIMILAR = 0.90, 0.70
+
+
+def advice(entity_type: Column) -> Column:
+    return F.coalesce(*(F.when(entity_type == k, v) for k, v in ADVICE.items() if k), F.lit(ADVICE[None]))
 
 
 def explained(failed: DataFrame) -> DataFrame:
     """Failures with four layers: provenance, reasoning, confidence, recommendation."""
-    side = lambda x: F.struct(F.col(f"{x}_document_id").alias("document_id"), F.col(f"{x}_seq").alias("seq"), canonical(F.col(f"{x}_num"), F.col(f"{x}_txt")).alias("snippet"))
+    extra = [c for c in ("page", "bbox") if f"a_{c}" in failed.columns]
+    side = lambda x: F.struct(
+        F.col(f"{x}_document_id").alias("document_id"), F.col(f"{x}_seq").alias("seq"), canonical(F.col(f"{x}_num"), F.col(f"{x}_txt")).alias("snippet"),
+        F.concat_ws(":", F.lit("assertion"), f"{x}_document_id", "entity_type", f"{x}_seq").alias("assertion_id"), *(F.col(f"{x}_{c}").alias(c) for c in extra),
+    )
+    mean = F.round((F.col("a_confidence") + F.col("b_confidence")) / 2, 4)
+    return failed.withColumns({
+        "provenance": F.struct(side("a").alias("a"), side("b").alias("b")),
+        "reasoning": F.struct(reasoning_steps().alias("steps"), F.col("rule").alias("rule"), F.lit("conflict").alias("conclusion")),
+        "confidence": F.struct(mean.alias("mean"), F.round(F.col("a_confidence") * F.col("b_confidence"), 4).alias("product"), F.coalesce(F.col("similarity"), F.lit(0.0)).alias("semantic"), band(mean).alias("level")),
+        "recommendation": F.struct(advice(F.col("entity_type")).alias("advice"), (F.col("a_num") - F.col("b_num")).alias("delta"), F.when(F.col("kind") == "numeric", F.format_string("%+.4f", F.col("a_num") - F.col("b_num"))).otherwise("reconcile the texts").alias("change")),
+    })
+
+
+def reasoning_steps() -> Column:
+    """Four steps from what two documents state to the failure of a rule, for rows of ``rules.failures``."""
     a, b = canonical(F.col("a_num"), F.col("a_txt")), canonical(F.col("b_num"), F.col("b_txt"))
-    steps = F.array(
+    return F.array(
         F.concat(F.lit("Document "), F.col("a_document_id"), F.lit(" states "), a),
         F.concat(F.lit("Document "), F.col("b_document_id"), F.lit(" states "), b),
         F.concat(F.lit("Rule "), F.col("rule"), F.lit(" compares them")),
         F.concat(F.lit("They differ: "), F.coalesce(F.col("delta_text"), F.format_string("similarity %.2f", F.col("similarity")))),
     )
-    mean = F.round((F.col("a_confidence") + F.col("b_confidence")) / 2, 4)
-    advice = F.coalesce(*(F.when(F.col("entity_type") == k, v) for k, v in ADVICE.items() if k), F.lit(ADVICE[None]))
-    return failed.withColumns({
-        "provenance": F.struct(side("a").alias("a"), side("b").alias("b")),
-        "reasoning": F.struct(steps.alias("steps"), F.col("rule").alias("rule"), F.lit("conflict").alias("conclusion")),
-        "confidence": F.struct(mean.alias("mean"), F.round(F.col("a_confidence") * F.col("b_confidence"), 4).alias("product"), F.coalesce(F.col("similarity"), F.lit(0.0)).alias("semantic"), band(mean).alias("level")),
-        "recommendation": F.struct(advice.alias("advice"), (F.col("a_num") - F.col("b_num")).alias("delta"), F.when(F.col("kind") == "numeric", F.format_string("%+.4f", F.col("a_num") - F.col("b_num"))).otherwise("reconcile the texts").alias("change")),
-    })
 
 
 def source_pairs(a: DataFrame) -> DataFrame:
@@ -46,13 +71,75 @@ def source_pairs(a: DataFrame) -> DataFrame:
     return pairs.withColumn("percent", percent)
 
 
-def numeric_options(pairs: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:
-    """FIELD, options: replacing either value of a pair by the other, each once, in order, at most ``most``."""
-    option = lambda i, x, y: F.struct(F.col("a_seq"), F.col("b_seq"), F.lit(i).alias("side"), F.format_string("%s -> %s", canonical(F.col(x), F.lit(None)), canonical(F.col(y), F.lit(None))).alias("text"))
-    o = pairs.filter("percent IS NULL OR percent >= 0.01").select(*FIELD, F.inline(F.array(option(0, "a_num", "b_num"), option(1, "b_num", "a_num"))))
-    once = o.groupBy(*FIELD, "text").agg(F.min(F.struct("a_seq", "b_seq", "side")).alias("at"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return once.groupBy(*FIELD).agg(F.transform(F.slice(ordered, 1, most), lambda x: x["text"]).alias("options"))
+def _title(c: Column) -> Column:
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def _sources(a: DataFrame) -> DataFrame:
+    """FIELD, conflict_type, sources (seq, doc, value, num): those that can make a field's first options, in order.
+
+    Options only name a source's type and value, so of very many equal ones two are enough.
+    """
+    v = a.select(*FIELD, "seq", "num", "txt", "document_type", canonical(F.col("num"), F.col("txt")).alias("value"))
+    kinds = v.groupBy(*FIELD, "value").agg(F.bool_and(F.col("num").isNotNull()).alias("numeric"), F.bool_and(F.col("txt").isNotNull()).alias("text")).groupBy(*FIELD)
+    kinds = kinds.agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.count("*").alias("n"))
+    alike = F.row_number().over(Window.partitionBy(*FIELD, "document_type", "value").orderBy("seq"))
+    first = v.withColumn("k", alike).filter(F.col("k") <= _ALIKE).groupBy(*FIELD)
+    first = first.agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", _title(F.coalesce("document_type", F.lit("unknown"))).alias("doc"), "value", "num"))), 1, _SOURCES).alias("sources"))
+    kind = F.when((F.col("n") > 1) & F.col("numeric"), "numeric_variance").when((F.col("n") > 1) & F.col("text"), "text_mismatch").otherwise("other")
+    return first.join(kinds, FIELD).select(*FIELD, kind.alias("conflict_type"), "sources")
+
+
+def _collected(options: DataFrame, most: int) -> DataFrame:
+    """FIELD, options: those of rows (FIELD, k, texts) in order, each once, at most ``most``."""
+    rows = F.array_sort(F.collect_list(F.struct("k", "texts")))
+    return options.groupBy(*FIELD).agg(rows.alias("x")).select(*FIELD, F.slice(F.array_distinct(F.flatten(F.transform("x", lambda r: r["texts"]))), 1, most).alias("options"))
+
+
+def counterfactuals(a: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:
+    """FIELD, conflict_type, options, recommendation of every field of the assertions.
+
+    Numbers and texts: for each differing pair of sources, in order, what either would have to be, and how far or how
+    alike they are. Other fields: each source to be verified. Every field has at least one option and at most ``most``.
+    """
+    s = _sources(a).withColumn("label", F.lower(F.replace("entity_type", F.lit("_"), F.lit(" "))))
+    paired = F.flatten(F.transform("sources", lambda x, i: F.transform(F.slice("sources", i + 2, F.lit(_SOURCES)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    differing = F.slice(F.filter(paired, lambda p: p["x"]["value"] != p["y"]["value"]), 1, _PAIRS)
+    pairs = s.filter("conflict_type != 'other'").select(*FIELD, "conflict_type", "label", F.posexplode(differing).alias("k", "p"))
+    x, y, numeric = F.col("p.x"), F.col("p.y"), F.col("conflict_type") == "numeric_variance"
+    alike = ratio(F.lower(x["value"]), F.lower(y["value"]), ~numeric)
+    pairs = pairs.withColumns({"alike": alike, "percent": F.when(numeric & (y["num"] != 0), F.abs(x["num"] - y["num"]) / F.abs(y["num"]) * 100)})
+    were = lambda p, q: F.concat(F.lit("If the "), F.col("label"), F.lit(" of "), p["doc"], F.lit(" were "), q["value"], F.lit(" instead of "), p["value"], F.lit(", the documents would agree."))
+    far = F.when(F.col("percent") >= 0.01, F.concat(x["doc"], F.lit(" and "), y["doc"], F.lit(" differ by "), F.format_string("%.2f%%", F.col("percent"))))
+    hint = F.when(F.col("alike") >= MISSPELT, "likely a misspelling").when(F.col("alike") >= SIMILAR, "similar names: ask")
+    near = F.when(hint.isNotNull(), F.concat(x["value"], F.lit(" and "), y["value"], F.format_string(" are %.0f%% alike: ", F.col("alike") * 100), hint))
+    made = _collected(pairs.select(*FIELD, "k", F.array_compact(F.array(were(x, y), were(y, x), F.coalesce(far, near))).alias("texts")), most)
+    verify = F.slice(F.array_distinct(F.transform("sources", lambda q: F.concat(F.lit("Verify the "), F.col("label"), F.lit(" of "), q["doc"], F.lit(": "), q["value"]))), 1, most)
+    out = s.join(made, FIELD, "left")
+    options = F.when(F.col("conflict_type") == "other", verify).otherwise(F.col("options"))
+    sure = F.when(F.size(options) > 0, options).otherwise(F.array(F.concat(F.lit("Verify the "), F.col("label"), F.lit(" in all documents."))))
+    return out.select(*FIELD, "conflict_type", sure.alias("options"), advice(F.col("entity_type")).alias("recommendation"))
+
+
+def inconsistencies(w: DataFrame) -> DataFrame:
+    """``w`` (document_type, net, tare, gross: documents whose weights don't add up) with options and recommendation."""
+    detail = F.format_string("net %.2f and tare %.2f make %.2f, not %.2f", F.col("net"), F.col("tare"), F.col("net") + F.col("tare"), F.col("gross"))
+    options = F.array(F.concat(F.lit("Correct "), _title(F.col("document_type")), F.lit(" so that net and tare weight make the gross weight.")), F.concat(F.lit("Found: "), detail), F.lit("Weigh the shipment again and amend all documents."))
+    return w.withColumns({"options": options, "recommendation": F.lit(ADVICE["WEIGHT_CONSISTENCY"])})
+
+
+def with_counterfactuals(discrepancies: DataFrame, a: DataFrame) -> DataFrame:
+    """Discrepancies of fields with their options and recommendation; fields without assertions get the general ones."""
+    out = discrepancies.join(counterfactuals(a).drop("conflict_type"), FIELD, "left")
+    general = F.array(F.concat(F.lit("Verify the "), F.lower(F.replace("entity_type", F.lit("_"), F.lit(" "))), F.lit(" in all documents.")))
+    return out.withColumns({"options": F.coalesce("options", general), "recommendation": F.coalesce("recommendation", advice(F.col("entity_type")))})
+
+
+def text_options(pairs: DataFrame) -> DataFrame:
+    """Text pairs (a_txt, b_txt) with their ratio and a hint how to settle them."""
+    out = pairs.withColumn("ratio", ratio(F.lower("a_txt"), F.lower("b_txt")))
+    hint = F.when(F.col("ratio") >= MISSPELT, "likely a misspelling").when(F.col("ratio") >= SIMILAR, "similar names: ask").otherwise("different values")
+    return out.withColumn("hint", hint)
 
 
 def _field_id():
@@ -63,14 +150,14 @@ def _assertion_id():
     return F.concat_ws(":", F.lit("assertion"), "document_id", "entity_type", "seq")
 
 
-def nodes(a: DataFrame) -> DataFrame:
-    """id, kind of shipments, documents, fields and assertions."""
+def nodes(a: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """id, kind of shipments, documents, fields and assertions, beside the columns to keep."""
     kinds = {"shipment": F.col("shipment_id").cast("string"), "document": F.col("document_id"), "field": _field_id(), "assertion": _assertion_id()}
-    return a.select(F.inline(F.array(*(F.struct(v.alias("id"), F.lit(k).alias("kind")) for k, v in kinds.items())))).distinct()
+    return a.select(*(keep or []), F.inline(F.array(*(F.struct(v.alias("id"), F.lit(k).alias("kind")) for k, v in kinds.items())))).distinct()
 
 
-def edges(a: DataFrame) -> DataFrame:
-    """source, target, relation of the evidence graph; neighbours in a field's order must match."""
+def edges(a: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """source, target, relation of the evidence graph, beside the columns to keep; neighbours in a field's order must match."""
     last = F.concat_ws(":", F.lit("assertion"), F.concat_ws("-", "shipment_id", F.col("seq") - 1), "entity_type", F.col("seq") - 1)
     rows = F.array(
         F.struct(F.col("shipment_id").cast("string").alias("source"), F.col("document_id").alias("target"), F.lit("CONTAINS").alias("relation")),
@@ -78,4 +165,23 @@ def edges(a: DataFrame) -> DataFrame:
         F.struct(_assertion_id().alias("source"), _field_id().alias("target"), F.lit("ASSERTS_VALUE_FOR").alias("relation")),
         F.when(F.col("seq") > 1, F.struct(_assertion_id().alias("source"), last.alias("target"), F.lit("MUST_MATCH").alias("relation"))),
     )
-    return a.select(F.inline(F.array_compact(rows))).distinct()
+    return a.select(*(keep or []), F.inline(F.array_compact(rows))).distinct()
+
+
+def node_status(a: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with their status: their own (id, status) where there is one, else conflict for outliers, match for others.
+
+    ``a``: flagged assertions.
+    """
+    out = a.filter("is_outlier").select(_assertion_id().alias("id"), F.lit("conflict").alias("__flag")).distinct()
+    n = nodes(a).join(out, "id", "left")
+    stated = F.lit(None).cast("string")
+    if own is not None:
+        n, stated = n.join(own.select("id", F.col("status").alias("__own")), "id", "left"), F.col("__own")
+    return n.select("id", "kind", F.coalesce(stated, "__flag", F.lit("match")).alias("status"))
+
+
+def neighbours(edges: DataFrame, targets: DataFrame, relation: str | None = None) -> DataFrame:
+    """target, source, relation: the nodes with an edge to each of ``targets`` (id)."""
+    e = edges if relation is None else edges.filter(F.col("relation") == relation)
+    return e.join(targets.select(F.col("id").alias("target")), "target", "left_semi").select("target", "source", "relation")

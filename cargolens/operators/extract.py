@@ -1,4 +1,4 @@
-"""Field extraction from page tokens: by label and neighbour, by pattern, and the two combined."""
+"""Field extraction from page tokens: by label and neighbour, by pattern, and the whole document job."""
 
 from __future__ import annotations
 
@@ -6,64 +6,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dims import LABELS, PATTERNS
+from ..dims import DOCUMENT_FIELDS, LABELS
 from ..functions.normalize import by_type
 from ..functions.scores import entity_confidence
+from ..functions.shapes import PATTERNS, by_shape, plausible
+from ..sources.store import kept
+from . import documents as D
+from .linkage import letters, link_parts, may_reach, ratio
+from .parties import resolve_party, roles
 
 GATE = 0.60
-_NUMERIC = ("TOTAL_AMOUNT", "GROSS_WEIGHT", "NET_WEIGHT", "TARE_WEIGHT", "PACKAGE_COUNT", "VOLUME")
-_CODES = ("INVOICE_NUMBER", "AWB_NUMBER", "BL_NUMBER", "CONTAINER_NUMBER", "DO_NUMBER", "LC_NUMBER", "INVOICE_DATE")
+LABEL_RATIO, REFUSED_RATIO = 0.85, 0.90
 
 
-def plausible(entity_type: Column, text: Column) -> Column:
-    """Whether a token's shape suits the field: numbers and codes need a digit, texts two letters."""
-    digit = F.rlike(text, F.lit("[0-9]"))
-    return F.when(entity_type.isin(*_NUMERIC, *_CODES), digit).otherwise(F.rlike(text, F.lit(r"\p{L}{2}")))
+def label_texts(texts: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFrame:
+    """t, entity_types, is_label for those of the distinct ``texts`` (t: trimmed, lower case) that name a field or are a label.
+
+    A text names a field if, without its last colons, it holds one of the field's labels or is 0.85 like one. It is a
+    label, and so no value, if it is more than 0.90 like one. The labels are a fixed table.
+    """
+    dim = texts.sparkSession.createDataFrame([(e, x) for e, xs in labels.items() for x in xs], "entity_type string, label string").withColumn("ll", letters(F.col("label")))
+    x = texts.withColumn("cmp", F.regexp_replace("t", ":+$", "")).withColumns({"lc": letters(F.col("cmp")), "lt": letters(F.col("t"))})
+    holds = F.contains("cmp", F.col("label"))
+    like = may_reach(F.col("label"), F.col("cmp"), LABEL_RATIO, F.col("ll"), F.col("lc"))
+    same = may_reach(F.col("label"), F.col("t"), REFUSED_RATIO, F.col("ll"), F.col("lt"))
+    both = x.join(F.broadcast(dim), holds | like | same).withColumns({"holds": holds, "r": ratio(F.col("label"), F.col("cmp"), ~holds & like), "s": ratio(F.col("label"), F.col("t"), same)})
+    per = both.groupBy("t").agg(F.collect_set(F.when(F.col("holds") | (F.col("r") >= LABEL_RATIO), F.col("entity_type"))).alias("entity_types"), F.bool_or(F.coalesce(F.col("s") > REFUSED_RATIO, F.lit(False))).alias("is_label"))
+    return per.filter("is_label OR size(entity_types) > 0")
 
 
 def by_label(tokens: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFrame:
-    """document_id, entity_type, value, confidence: after a label's colon, else the first suitable one of the next three tokens.
+    """document_id, entity_type, value, confidence, pos, page: after a label's colon, else the first suitable one of the next three tokens.
 
-    ``tokens``: document_id, pos, text, confidence. Labels are a fixed table; those stated first win, then the first in order.
+    ``tokens``: document_id, page, pos, text, confidence. The first label in order that has a value counts.
     """
-    spark = tokens.sparkSession
-    rows = [(e, i * 100 + k, x) for i, (e, xs) in enumerate(labels.items()) for k, x in enumerate(xs)]
-    dim = spark.createDataFrame(rows, "entity_type string, rank int, label string")
+    plain = lambda c: F.lower(F.trim(c))
+    after = F.trim(F.regexp_extract("text", r":([\s\S]*)$", 1))
+    base = tokens.select("document_id", "page", "pos", "text", "confidence", plain("text").alias("t"), F.when(F.length(after) > 1, after).alias("own"))
+    known = label_texts(base.select("t").union(base.filter("own IS NOT NULL").select(plain("own"))).filter("t != ''").distinct(), labels)
+    refused = known.filter("is_label").select(F.col("t").alias("own_t"), F.lit(True).alias("own_is_label"))
+    base = base.join(known, "t", "left").withColumn("own_t", plain("own")).join(refused, "own_t", "left")
     w = Window.partitionBy("document_id").orderBy("pos")
-    near = tokens.select("document_id", "pos", "text", "confidence", *(F.struct(F.lead("text", k).over(w).alias("t"), F.lead("confidence", k).over(w).alias("c")).alias(f"n{k}") for k in (1, 2, 3)))
-    head = F.lower(F.trim(F.regexp_replace(F.split_part("text", F.lit(":"), F.lit(1)), r"\s+", " ")))
-    hit = near.withColumn("label", head).join(F.broadcast(dim), "label")
-    own = F.trim(F.regexp_extract("text", r":(.*)$", 1))
+    candidate = F.struct(F.trim("text").alias("value"), F.col("confidence").alias("c"), F.coalesce("is_label", F.lit(False)).alias("label"), "pos", "page")
+    hit = base.withColumns({f"n{k}": F.lead(candidate, k).over(w) for k in (1, 2, 3)}).filter("size(entity_types) > 0").withColumn("entity_type", F.explode("entity_types"))
     e = F.col("entity_type")
-    after = F.coalesce(*(F.when(plausible(e, F.col(f"n{k}.t")), F.struct(F.col(f"n{k}.t").alias("value"), F.least(F.lit(0.85), F.col(f"n{k}.c")).alias("confidence"))) for k in (1, 2, 3)))
-    found = F.when((F.length(own) > 0) & plausible(e, own), F.struct(own.alias("value"), F.least(F.lit(0.88), F.col("confidence")).alias("confidence"))).otherwise(after)
-    hit = hit.withColumn("f", found).filter("f IS NOT NULL")
-    best = hit.groupBy("document_id", "entity_type").agg(F.min_by("f", F.struct("rank", "pos")).alias("f"))
-    return best.select("document_id", "entity_type", "f.value", "f.confidence")
+    found = lambda value, most, c, pos, page: F.struct(value.alias("value"), F.least(F.lit(most), c).alias("confidence"), pos.alias("pos"), page.alias("page"))
+    ways = [F.when(F.col("own").isNotNull() & F.col("own_is_label").isNull() & plausible(e, F.col("own")), found(F.col("own"), 0.88, F.col("confidence"), F.col("pos"), F.col("page")))]
+    ways += [F.when(~F.col(f"n{k}.label") & plausible(e, F.col(f"n{k}.value")), found(F.col(f"n{k}.value"), 0.85, F.col(f"n{k}.c"), F.col(f"n{k}.pos"), F.col(f"n{k}.page"))) for k in (1, 2, 3)]
+    best = hit.withColumn("f", F.coalesce(*ways)).filter("f IS NOT NULL").groupBy("document_id", "entity_type").agg(F.min_by("f", "pos").alias("f"))
+    return best.select("document_id", "entity_type", "f.*")
 
 
-def by_pattern(docs: DataFrame, patterns: dict[str, list[str]] = PATTERNS, text: str = "text", confidence: Column | None = None) -> DataFrame:
-    """document_id, entity_type, value, confidence of the first matching pattern of each field in running text."""
-    some = lambda p: F.when(F.length(F.regexp_extract(F.col(text), f"(?i){p}", 1)) > 0, F.regexp_extract(F.col(text), f"(?i){p}", 1))
-    each = F.array(*(F.struct(F.lit(e).alias("entity_type"), F.coalesce(*(some(p) for p in ps)).alias("value")) for e, ps in patterns.items()))
-    sure = F.lit(0.65) if confidence is None else F.least(F.lit(0.90), confidence + 0.05)
-    return docs.select("document_id", sure.alias("confidence"), F.inline(each)).filter("value IS NOT NULL").select("document_id", "entity_type", "value", "confidence")
+def by_pattern(docs: DataFrame, tokens: DataFrame | None = None, patterns: dict[str, list[str]] = PATTERNS, text: str = "text") -> DataFrame:
+    """document_id, entity_type, value, confidence, pos, page of the first matching pattern of each field in running text.
+
+    With tokens, the least confidence of those that hold the value or lie within it, and a little more; without any, 0.65.
+    """
+    each = F.array(*(F.struct(F.lit(e).alias("entity_type"), by_shape(F.col(text), ps).alias("value")) for e, ps in patterns.items()))
+    found = docs.select("document_id", F.inline(each)).filter("value IS NOT NULL")
+    if tokens is None:
+        return found.select("document_id", "entity_type", "value", F.lit(0.65).alias("confidence"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("page"))
+    v, t = F.lower("value"), F.lower("text")
+    near = found.join(tokens.select("document_id", "text", F.col("confidence").alias("c"), "pos", "page"), "document_id").filter(F.contains(t, v) | F.contains(v, t))
+    near = near.groupBy("document_id", "entity_type").agg(F.min("c").alias("c"), F.min(F.struct("pos", "page")).alias("at"))
+    sure = F.coalesce(F.least(F.lit(0.90), F.col("c") + 0.05), F.lit(0.65))
+    return found.join(near, ["document_id", "entity_type"], "left").select("document_id", "entity_type", "value", sure.alias("confidence"), F.col("at.pos").alias("pos"), F.col("at.page").alias("page"))
 
 
 def combined(labelled: DataFrame, matched: DataFrame, gate: float = GATE) -> DataFrame:
     """A field's labelled value where there is one, else its pattern's; those under the gate are left out."""
-    key = ["document_id", "entity_type"]
-    a = labelled.select(*key, F.struct("value", "confidence").alias("a"))
-    b = matched.select(*key, F.struct("value", "confidence").alias("b"))
+    key, rest = ["document_id", "entity_type"], ["value", "confidence", "pos", "page"]
+    a = labelled.select(*key, F.struct(*rest).alias("a"))
+    b = matched.select(*key, F.struct(*rest).alias("b"))
     best = a.join(b, key, "full").select(*key, F.coalesce("a", "b").alias("x"), F.when(F.col("a").isNotNull(), "label").otherwise("pattern").alias("source"))
     return best.select(*key, "x.*", "source").filter(F.col("confidence") >= gate)
 
 
-def entities(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """The whole job: extract, normalise, score. One row per document and field."""
-    found = combined(by_label(tokens), by_pattern(docs))
-    n = found.withColumn("n", by_type(F.col("entity_type"), F.col("value")))
-    return n.select("document_id", "entity_type", "value", "n.num", "n.text", "n.unit", "n.warn", "source", entity_confidence(F.col("confidence"), F.lit(None).cast("double"), F.col("n.warn")).alias("score"))
+def required(types: DataFrame, fields: dict[str, list[str]] = DOCUMENT_FIELDS) -> DataFrame:
+    """document_id, document_type, entity_type: what a document of its type should state."""
+    stated = F.create_map(*(x for d, es in fields.items() for x in (F.lit(d), F.array(*map(F.lit, es)))))
+    return types.select("document_id", "document_type", F.explode(F.try_element_at(stated, F.col("document_type"))).alias("entity_type"))
+
+
+def local_fields(tokens: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
+    """What labels and patterns find of the fields that each document (types: document_id, document_type) should state."""
+    found = combined(by_label(tokens), by_pattern(docs, tokens))
+    return required(types).join(found, ["document_id", "entity_type"])
+
+
+def document_job(tokens: DataFrame, docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """One row per entity: document_id, document_type, entity_type, value, num, text, unit, warn, page, box, role, eligible, source, score.
+
+    Classified by keywords unless ``types`` are given, extracted, placed on the page, parties judged, normalised, scored,
+    and of equal values the surest. Organisations without a role are left out.
+    """
+    types = D.classify(docs, D.signatures(docs.sparkSession)).select("document_id", "document_type") if types is None else types
+    found = kept(local_fields(tokens, docs, types), "fields")  # three branches use it
+    placed = link_parts(found.select("document_id", "value"), tokens).select("document_id", "value", F.struct("x1", "y1", "x2", "y2").alias("box"), F.col("confidence").alias("ocr"))
+    e = found.join(placed, ["document_id", "value"], "left").withColumn("page", F.coalesce("page", F.lit(1)))
+    names = e.filter("entity_type = 'CONSIGNEE_NAME'").select("document_id", "page", F.col("entity_type").alias("value_id"), "value", "box.*")
+    judged = e.join(roles(names, tokens).select("document_id", F.col("value_id").alias("entity_type"), "role"), ["document_id", "entity_type"], "left")
+    out = resolve_party(judged).filter("effective_type IS NOT NULL").withColumn("n", by_type(F.col("effective_type"), F.col("value")))
+    match = F.when(F.col("box").isNotNull(), 1.0).otherwise(0.0)
+    out = out.select(
+        "document_id", "document_type", F.col("effective_type").alias("entity_type"), "value", "n.num", "n.text", "n.unit", "n.warn", "page", "box", "role", "eligible", "source", "pos",
+        entity_confidence(F.coalesce("ocr", "confidence"), match, F.col("n.warn")).alias("score"), F.coalesce(F.col("n.num").cast("string"), "n.text", "value").alias("key"),
+    )
+    return D.deduplicate(out, ["document_id", "entity_type", "key"], "score", "pos").drop("key", "pos")
 
 
 def with_errors(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Fuzzy linkage of values to page tokens: containment first, a similarity ratio only for what it leaves."""
+"""Fuzzy linkage of values to page tokens: containment first, a similarity ratio only for what it leaves.
+
+The ratio is the one operator here that runs Python. Before it, native bounds drop the pairs that can't reach the
+threshold: by length, and by letters that only one of the two texts has. A worker keeps the ratios of pairs it has seen,
+since the same words come up in many documents.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +13,50 @@ from pyspark.sql import functions as F
 
 THRESHOLD, PART_THRESHOLD, ROW_THRESHOLD = 0.60, 0.80, 0.30
 _BEST = ["page", "pos", "text", "x1", "y1", "x2", "y2", "confidence"]
+#: Pairs whose ratios a worker keeps, and letters of a pair that is worth keeping.
+_KEPT, _KEPT_LETTERS = 1_000_000, 80
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Share of two texts in matching blocks, 0 to 1: one Arrow batch at a time."""
+def ratio(a: Column, b: Column, need: Column | None = None) -> Column:
+    """Share of two texts in matching blocks, 0 to 1: one Arrow batch at a time; null where ``need`` is false or a text is null."""
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(x: pd.Series, y: pd.Series, asked: pd.Series) -> pd.Series:
+        import sys
         from difflib import SequenceMatcher
 
-        found: dict[tuple[str, str], float] = {}  # the same pairs come up in many documents
-        for pair in zip(x, y, strict=True):
-            if pair not in found:
-                found[pair] = SequenceMatcher(None, *pair).ratio()
-        return pd.Series([found[pair] for pair in zip(x, y, strict=True)], dtype="float64")
+        found: dict = sys.modules.setdefault("_cargolens_ratios", {})  # lives as long as the worker
+        out = []
+        for first, second, want in zip(x, y, asked, strict=True):
+            if not want or first is None or second is None:
+                out.append(None)
+                continue
+            r = found.get((first, second))
+            if r is None:
+                r = SequenceMatcher(None, first, second).ratio()
+                if len(first) + len(second) <= _KEPT_LETTERS:
+                    if len(found) >= _KEPT:
+                        found.clear()
+                    found[first, second] = r
+            out.append(r)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b, F.lit(True) if need is None else F.coalesce(need, F.lit(False)))
+
 
-    return F.pandas_udf(run, "double")(a, b)
+def letters(text: Column) -> Column:
+    """A bit for each kind of letter in a text."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 63))))
 
 
-def may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Whether lengths allow the ratio: it is at most twice the shorter over the sum."""
-    return 2 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b))
+def may_reach(a: Column, b: Column, threshold: float, letters_a: Column | None = None, letters_b: Column | None = None) -> Column:
+    """Whether a ratio of ``threshold`` is possible: it is twice the letters matched over all letters.
+
+    At most the shorter text's letters are matched, less one for each kind of letter that the other text lacks.
+    """
+    x, y = F.length(a), F.length(b)
+    if letters_a is not None and letters_b is not None:
+        x, y = x - F.bit_count(letters_a.bitwiseAND(F.bitwise_not(letters_b))), y - F.bit_count(letters_b.bitwiseAND(F.bitwise_not(letters_a)))
+    return 2 * F.least(x, y) >= (F.lit(threshold) - 1e-9) * (F.length(a) + F.length(b))
 
 
 def _scored(values: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
@@ -36,11 +65,10 @@ def _scored(values: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame
     # Of a document's equal tokens only the first can be the best.
     t = tokens.select("document_id", *_BEST, F.lower(F.trim("text")).alias("t")).filter("t != ''").groupBy("document_id", "t").agg(F.min_by(F.struct(*_BEST), "pos").alias("first")).select("document_id", "t", "first.*")
     inside = v.join(t, "document_id").filter(F.contains("t", F.col("v"))).withColumn("score", F.lit(1.0))
-    rest = v.join(inside.select("document_id", "value"), ["document_id", "value"], "left_anti").join(t, "document_id")
+    rest = v.join(inside.select("document_id", "value"), ["document_id", "value"], "left_anti").withColumn("lv", letters(F.col("v"))).join(t.withColumn("lt", letters(F.col("t"))), "document_id")
     part = F.contains(F.col("v"), F.col("t")) & (F.length("t") > 3)
-    within = rest.filter(part).withColumn("score", F.lit(0.85))
-    fuzzy = rest.filter(~part & may_reach(F.col("v"), F.col("t"), threshold)).withColumn("score", ratio(F.col("v"), F.col("t")))
-    return inside.unionByName(within).unionByName(fuzzy).filter(F.col("score") >= threshold)
+    rest = rest.filter(part | may_reach(F.col("v"), F.col("t"), threshold, F.col("lv"), F.col("lt"))).withColumn("score", F.coalesce(ratio(F.col("v"), F.col("t"), ~part), F.lit(0.85))).drop("lv", "lt")
+    return inside.unionByName(rest).filter(F.col("score") >= threshold)
 
 
 def link(values: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -54,43 +82,28 @@ def link_parts(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values to the union of the boxes of their words' tokens, and the least confidence; words of one letter don't count."""
     words = values.select("document_id", F.col("value").alias("whole"), F.explode(F.split(F.trim("value"), r"\s+")).alias("value")).filter(F.length("value") >= 2)
     found = words.join(link(words, tokens, PART_THRESHOLD), ["document_id", "value"])
-    return found.groupBy("document_id", F.col("whole").alias("value")).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("confidence").alias("confidence"), F.countDistinct("pos").alias("n_tokens"))
+    return found.groupBy("document_id", F.col("whole").alias("value")).agg(
+        F.min("page").alias("page"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("confidence").alias("confidence"), F.countDistinct("pos").alias("n_tokens")
+    )
 
 
-def row_boxes(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """Goods rows (document_id, description) to the text line that shares most of their whole words: its page, row and score.
-
-    ``fuzzy_row_boxes`` matches misread words too, and returns boxes.
-    """
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
-    both = items.join(lines, "document_id")
-    share = F.size(F.array_intersect(words(F.col("description")), words(F.col("text")))) / F.size(words(F.col("description")))
-    good = both.withColumn("score", share).filter(F.col("score") >= ROW_THRESHOLD)
-    best = good.groupBy("document_id", "description").agg(F.max_by(F.struct("page", "row", "score"), F.struct("score", -F.col("page"), -F.col("row"))).alias("b"))
-    return best.select("document_id", "description", "b.*")
+def value_pages(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """document_id, value, page: the page of the value's best token, 1 if it has none."""
+    return values.select("document_id", "value").distinct().join(link(values, tokens).select("document_id", "value", "page"), ["document_id", "value"], "left").select("document_id", "value", F.coalesce("page", F.lit(1)).alias("page"))
 
 
-def fuzzy_row_boxes(items: DataFrame, tokens: DataFrame, width: int = 595) -> DataFrame:
+def row_boxes(items: DataFrame, tokens: DataFrame, width: int = 595) -> DataFrame:
     """Goods rows (document_id, page, description) to their page's best token, ties to the first: its pos, score and box over the full width.
 
     The score is the larger of the share of the description's words over four letters that the token contains, and the
     ratio of its first 40 letters to the token.
     """
     d = items.select("document_id", "page", "description", F.lower(F.trim("description")).alias("d")).filter("d != ''").distinct()
-    d = d.withColumn("long", F.filter(F.split("d", r"\s+"), lambda w: F.length(w) > 4)).withColumn("d", F.substring("d", 1, 40))
-    t = tokens.select("document_id", "page", "y1", "y2", "pos", F.lower(F.trim("text")).alias("t"))
+    d = d.withColumn("long", F.filter(F.split("d", r"\s+"), lambda w: F.length(w) > 4)).withColumn("d", F.substring("d", 1, 40)).withColumn("ld", letters(F.col("d")))
+    t = tokens.select("document_id", "page", "y1", "y2", "pos", F.lower(F.trim("text")).alias("t")).withColumn("lt", letters(F.col("t")))
     both = d.join(t, ["document_id", "page"])
     both = both.withColumn("hits", F.size(F.filter("long", lambda w: F.contains(F.col("t"), w))) / F.greatest(F.size("long"), F.lit(1)))
-    # The ratio is only taken where lengths allow it to reach the threshold.
-    fuzzy = both.filter(may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD)).withColumn("score", F.greatest("hits", ratio(F.col("d"), F.col("t"))))
-    rest = both.filter(~may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD)).withColumn("score", F.col("hits"))
-    good = fuzzy.unionByName(rest).filter(F.col("score") >= ROW_THRESHOLD)
+    fuzzy = may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD, F.col("ld"), F.col("lt"))
+    good = both.filter((F.col("hits") >= ROW_THRESHOLD) | fuzzy).withColumn("score", F.greatest("hits", ratio(F.col("d"), F.col("t"), fuzzy))).filter(F.col("score") >= ROW_THRESHOLD)
     best = good.groupBy("document_id", "page", "description").agg(F.max_by(F.struct("pos", "score", "y1", "y2"), F.struct("score", -F.col("pos"))).alias("b"))
     return best.select("document_id", "page", "description", "b.pos", "b.score", F.lit(0).alias("x1"), "b.y1", F.lit(width).alias("x2"), (F.col("b.y2") + 5).alias("y2"))
-
-
-def text_options(pairs: DataFrame) -> DataFrame:
-    """Text pairs (a_txt, b_txt) with their ratio and a hint how to settle them."""
-    out = pairs.withColumn("ratio", ratio(F.lower("a_txt"), F.lower("b_txt")))
-    hint = F.when(F.col("ratio") >= 0.90, "likely a misspelling").when(F.col("ratio") >= 0.70, "similar names: ask").otherwise("different values")
-    return out.withColumn("hint", hint)

@@ -1,24 +1,32 @@
-"""Party roles from labels near a value on the page."""
+"""Party roles from an organisation's own name, and from labels near a value on the page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import PARTY_TYPES
 from ..functions.normalize import party_role
 
 ACCEPT = 0.75
 
 
+def named_role(value: Column) -> Column:
+    """Role that an organisation's own name tells."""
+    v = F.lower(value)
+    return F.when(F.rlike(v, F.lit(r"\b(?:bank|bancorp|banking)\b")), "issuing_bank").when(F.rlike(v, F.lit(r"\b(?:air|airlines?|air cargo|airways|cargo)\b")), "carrier")
+
+
 def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values (document_id, page, value_id, value, x1, y1, x2, y2) to role and score of the nearest role label.
 
     The same token with a colon 1.0; on the same row, to the right of a label, 0.92 less distance; below a label 0.82
-    less distance. Only label tokens enter the join, which is on document and page.
+    less distance. Only label tokens enter the join, which is on document and page. A value whose own name tells its
+    role doesn't ask for labels.
     """
     t = tokens.withColumn("role", party_role(F.col("text"))).filter("role IS NOT NULL")
     t = t.select("document_id", "page", "role", F.col("pos").alias("t_pos"), F.col("text").alias("t_text"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
-    both = values.join(t, ["document_id", "page"])
+    both = values.filter(named_role(F.col("value")).isNull()).join(t, ["document_id", "page"])
     same_token = F.contains(F.lower("t_text"), F.lower(F.trim("value"))) & F.contains(F.col("t_text"), F.lit(":"))
     same_row = (F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col("t_y1") + F.col("t_y2")) / 2) <= 48) & (F.col("x1") >= F.col("t_x2") - 16)
     down = F.col("y1") - F.col("t_y2")
@@ -30,7 +38,25 @@ def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     return best.select("document_id", "value_id", "b.*")
 
 
-def named_role(value):
-    """Role that an organisation's own name tells."""
-    v = F.lower(value)
-    return F.when(F.rlike(v, F.lit(r"\b(?:bank|bancorp|banking)\b")), "issuing_bank").when(F.rlike(v, F.lit(r"\b(?:air|airlines?|air cargo|airways|cargo)\b")), "carrier")
+def roles(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``values`` with their role: what their name tells, else the nearest label's; null if neither does."""
+    near = label_evidence(values, tokens).select("document_id", "value_id", F.col("role").alias("__near"))
+    return values.join(near, ["document_id", "value_id"], "left").withColumn("role", F.coalesce(named_role(F.col("value")), "__near")).drop("__near")
+
+
+def resolve_party(entities: DataFrame) -> DataFrame:
+    """``entities`` (entity_type, role) with effective_type and eligible.
+
+    Only names found as consignees are judged: a consignee stays one, another role gives its own type, and without a
+    role there is no type. Only consignees may become the shipment's.
+    """
+    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in PARTY_TYPES.items() for x in kv)), F.col("role"))
+    consignee = F.coalesce(F.col("role") == "consignee", F.lit(False))
+    judged = F.col("entity_type") == "CONSIGNEE_NAME"
+    return entities.withColumns({"effective_type": F.when(~judged | consignee, F.col("entity_type")).otherwise(own), "eligible": ~judged | consignee})
+
+
+def eligible(a: DataFrame, flag: str = "eligible", role: str = "role") -> DataFrame:
+    """Assertions that may speak for the consignee: by their flag, or where it is missing by a role that isn't another one. Other fields stay."""
+    again = F.col(role).isNull() | (F.col(role) == "consignee")
+    return a.filter((F.col("entity_type") != "CONSIGNEE_NAME") | F.coalesce(F.col(flag), again))

@@ -8,18 +8,16 @@ from pyspark.sql.window import Window
 
 from ..dims import AUTHORITY, DEFAULT_AUTHORITY, SEVERITY, SEVERITY_RANK
 from ..functions.scores import similarity
-from .consensus import FIELD, TOLERANCE, canonical
+from .consensus import CARRIED, FIELD, TOLERANCE, canonical
+from .linkage import may_reach, ratio
 
 MATCH = 0.85
 
 
 def outlier_pairs(flagged: DataFrame) -> DataFrame:
-    """The earliest assertion that isn't an outlier with each outlier of its field; columns a_* and b_*."""
-    cols = ["seq", "document_id", "num", "txt", "confidence"]
-    a = flagged.filter("not is_outlier").groupBy(*FIELD).agg(F.min_by(F.struct(*cols), "seq").alias("a"))
-    b = flagged.filter("is_outlier").select(*FIELD, "is_num", F.struct(*cols).alias("b"))
-    both = b.join(a, FIELD)
-    return both.select(*FIELD, "is_num", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in cols))
+    """Each outlier (b_*) with the earliest assertion that isn't one, its field's representative (a_*)."""
+    cols = [c for c in CARRIED if c in flagged.columns]
+    return flagged.filter("is_outlier").select(*FIELD, "is_num", *(F.col(f"representative.{c}").alias(f"a_{c}") for c in cols), *(F.col(c).alias(f"b_{c}") for c in cols))
 
 
 def failures(pairs: DataFrame) -> DataFrame:
@@ -79,6 +77,19 @@ def relative_conflicts(a: DataFrame, share: float = 0.005) -> DataFrame:
     return r.filter(F.col("high") - F.col("low") > share * F.greatest(F.abs("high"), F.abs("low")))
 
 
+def text_conflicts(a: DataFrame, share: float = 0.90, exact: tuple[str, ...] = ("HS_CODE",)) -> DataFrame:
+    """Fields with any two texts that differ by more than case (those of ``exact`` types), or whose ratio is under ``share``.
+
+    Texts are folded to the distinct ones of a field first. Lengths alone settle most pairs; the ratio is taken of the rest.
+    """
+    v = a.filter("txt IS NOT NULL").select(*FIELD, F.lower(F.trim("txt")).alias("v")).distinct()
+    pairs = v.join(v.withColumnRenamed("v", "w"), FIELD).filter("v < w")
+    strict = F.col("entity_type").isin(*exact)
+    sure = pairs.filter(strict | ~may_reach(F.col("v"), F.col("w"), share)).select(*FIELD)
+    rest = pairs.filter(~strict & may_reach(F.col("v"), F.col("w"), share))
+    return sure.unionByName(rest.filter(ratio(F.col("v"), F.col("w")) < share).select(*FIELD)).distinct()
+
+
 def authority(document_type: Column, entity_type: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for d, fields in AUTHORITY.items() for e, w in fields.items() for x in (f"{d}/{e}", w)))
     return F.coalesce(F.try_element_at(pairs, F.concat_ws("/", document_type, entity_type)), F.lit(DEFAULT_AUTHORITY))

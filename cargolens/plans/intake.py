@@ -2,335 +2,375 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import scores as S
+from ..functions import shapes
 from ..functions.normalize import event_hash, semantic_key
 from ..operators import consensus as C
+from ..operators import contracts as Q
 from ..operators import documents as D
+from ..operators import explain as X
 from ..operators import extract as E
+from ..operators import ledger as K
 from ..operators import linkage as L
 from ..operators import parties as P
 from ..operators import readiness as Y
 from ..operators.export import declarations, statistical_value
-from ..sources.bindings import assertions, dossiers, goods, lines, sql, table, tokens
+from ..sources import bundles as B
+from ..sources.bindings import agreed, assertions, decisions, dossiers, goods, lines, papers, sql, table, tokens, tokens_of
+from ..sources.store import shared_path
 from ..streaming import ingest as I
 
-ENTITY = "array<struct<entity_type:string,value:string,confidence:double>>"
 
+def src04_flatten_tokens(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return t.groupBy("document_id", "page").agg(F.count("*").alias("n_tokens"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
-def _extractions(spark, sf_dir) -> DataFrame:
-    """One JSON text per document, as extraction services return it; every ninth is not valid."""
-    a = assertions(spark, sf_dir)
-    e = F.array_sort(F.collect_list(F.struct("entity_type", F.coalesce("txt", F.col("num").cast("string")).alias("value"), "confidence")))
-    docs = a.groupBy("shipment_id", "document_id", "document_type", "seq").agg(e.alias("entities"))
-    body = F.to_json(F.struct("document_id", "document_type", "entities"))
-    return docs.select("shipment_id", "document_id", F.when(F.col("seq") % 9 == 0, "not json").otherwise(body).alias("raw"), F.when(F.col("seq") % 7 == 0, "error").otherwise("done").alias("status"))
 
+def _files(spark, sf_dir) -> DataFrame:
+    ext = F.when(F.col("l_linenumber") == 7, ".docx").when(F.col("l_linenumber") % 2 == 0, ".PDF").otherwise(".pdf")
+    kind = F.get(F.array(*map(F.lit, ["invoice", "packing-list", "AWB", "bill_of_lading", "delivery order", "scan"])), (F.col("q") % 6).cast("int"))
+    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("dossier_id"), "seq", F.concat(F.col("l_partkey"), F.lit("_"), kind, F.lit("_"), F.col("seq"), ext).alias("name"))
 
-def _parsed(df: DataFrame) -> DataFrame:
-    """Done documents whose JSON is an object."""
-    return df.filter("status = 'done'").withColumn("x", F.from_json("raw", f"document_id string, document_type string, entities {ENTITY}")).filter("x.document_id IS NOT NULL")
 
+_FILES = "files AS (SELECT l_orderkey AS dossier_id, seq, l_partkey || '_' || k || '_' || seq || CASE WHEN l_linenumber = 7 THEN '.docx' WHEN l_linenumber % 2 = 0 THEN '.PDF' ELSE '.pdf' END AS name, k FROM (SELECT *, ['invoice', 'packing-list', 'AWB', 'bill_of_lading', 'delivery order', 'scan'][q % 6 + 1] AS k FROM lines))"
 
-def src01_extraction_scan(spark, sf_dir):
-    rows = _parsed(_extractions(spark, sf_dir)).select("document_id", F.posexplode("x.entities").alias("ent_seq", "e"))
-    return rows.select("document_id", "ent_seq", "e.entity_type", F.round("e.confidence", 4).alias("confidence"))
 
+def flt18_type_of_name(spark, sf_dir):
+    return _files(spark, sf_dir).select("dossier_id", "seq", D.type_of_name(F.col("name")).alias("document_type"))
 
-def flt02_usable_extractions(spark, sf_dir):
-    return _parsed(_extractions(spark, sf_dir)).groupBy("shipment_id").agg(F.count("*").alias("n_documents"))
 
+def src08_table_scan(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 
-def src04_flatten_tokens(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    return t.groupBy("document_id", "page").agg(F.count("*").alias("n_tokens"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
+def _cache(spark, sf_dir) -> DataFrame:
+    """Normalisation cache events: every part's description at every use."""
+    p = table(spark, sf_dir, "part").select("p_partkey", semantic_key(F.lit("GOODS"), F.concat_ws(" ", "p_name", "p_type")).alias("cache_key"), F.upper("p_name").alias("canonical"))
+    return lines(spark, sf_dir).join(p, F.col("l_partkey") == F.col("p_partkey")).select("cache_key", F.concat_ws("/", "canonical", F.col("l_partkey")).alias("canonical"), F.struct("l_shipdate", "l_orderkey", "seq").alias("used"))
 
-def src05_json_map(spark, sf_dir):
-    """A map of expected fields, one row per key."""
-    m = F.from_json(F.concat(F.lit('{"p_brand": "'), F.col("p_brand"), F.lit('", "p_type": "'), F.col("p_type"), F.lit('"}')), "map<string,string>")
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(m).alias("field", "value"))
 
+_CACHE = "cache AS (SELECT 'GOODS:' || list_aggregate(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), 'string_agg', ' ') AS cache_key, upper(p_name) || '/' || l_partkey AS canonical, l_shipdate, l_orderkey, seq FROM lines JOIN part ON l_partkey = p_partkey)"
 
-def _files(spark, sf_dir) -> DataFrame:
-    ext = F.when(F.col("l_linenumber") == 7, ".docx").when(F.col("l_linenumber") % 2 == 0, ".PDF").otherwise(".pdf")
-    kind = F.get(F.array(*map(F.lit, ["invoice", "packing-list", "AWB", "bill_of_lading", "delivery order", "scan"])), (F.col("q") % 6).cast("int"))
-    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("dossier_id"), "seq", F.concat(F.col("l_partkey"), F.lit("_"), kind, F.lit("_"), F.col("seq"), ext).alias("name"))
 
+def win01_next_row_index(spark, sf_dir):
+    return goods(spark, sf_dir).groupBy("shipment_id").agg((F.max("seq") + 1).alias("next_index"))
 
-_FILES = "files AS (SELECT l_orderkey AS dossier_id, seq, l_partkey || '_' || k || '_' || seq || CASE WHEN l_linenumber = 7 THEN '.docx' WHEN l_linenumber % 2 = 0 THEN '.PDF' ELSE '.pdf' END AS name, k FROM (SELECT *, ['invoice', 'packing-list', 'AWB', 'bill_of_lading', 'delivery order', 'scan'][q % 6 + 1] AS k FROM lines))"
 
+def snk12_statistical_value(spark, sf_dir):
+    rate = F.when(F.col("seq") % 3 == 0, "n/a").otherwise("305")
+    return goods(spark, sf_dir).select("shipment_id", "seq", statistical_value((F.round(F.col("total_price") * 100)).cast("long").cast("string"), rate).alias("cents"))
 
-def src06_intake(spark, sf_dir):
-    return _files(spark, sf_dir).groupBy("dossier_id").agg(F.bool_and(F.lower("name").endswith(".pdf")).alias("accepted"), F.count("*").alias("n_files"))
 
+def fn16_line_confidence(spark, sf_dir):
+    return goods(spark, sf_dir).select("shipment_id", "seq", S.line_item_confidence(F.col("quantity"), F.when(F.col("seq") % 3 > 0, F.col("unit_price")), F.col("total_price")).alias("confidence"))
 
-def src07_upload_listing(spark, sf_dir):
-    parts = F.split("name", "_", 2)
-    return _files(spark, sf_dir).select("dossier_id", "seq", parts[0].alias("file_id"), parts[1].alias("file_name"))
 
+def set3_key_difference(spark, sf_dir):
+    m = F.when(F.col("l_linenumber") % 2 == 0, F.create_map(F.lit("document_id"), F.lit(1), F.lit("x"), F.lit(2))).otherwise(F.create_map(F.lit("entities"), F.lit(1)))
+    need = F.array(F.lit("document_id"), F.lit("entities"))
+    return lines(spark, sf_dir).select("l_orderkey", "seq", F.array_join(F.array_except(need, F.map_keys(m)), ",").alias("missing"), F.array_join(F.array_except(F.map_keys(m), need), ",").alias("extra"))
 
-def flt18_type_of_name(spark, sf_dir):
-    return _files(spark, sf_dir).select("dossier_id", "seq", D.type_of_name(F.col("name")).alias("document_type"))
 
+def join01_dossier_documents(spark, sf_dir):
+    d, l = dossiers(spark, sf_dir), lines(spark, sf_dir).select(F.col("l_orderkey").alias("dossier_id"), "seq")
+    return d.join(l, "dossier_id", "left").select("dossier_id", "status", "seq")
 
-def join19_new_files(spark, sf_dir):
-    f = _files(spark, sf_dir)
-    return f.join(f.filter("seq % 2 = 0"), ["dossier_id", "name"], "left_anti").groupBy("dossier_id").agg(F.count("*").alias("n"))
 
+def top03_ordered_rows(spark, sf_dir):
+    w = Window.partitionBy("shipment_id").orderBy("seq")
+    return goods(spark, sf_dir).select("shipment_id", "seq", F.lag("description").over(w).alias("before"))
 
-def src08_table_scan(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 
+_SIGS = {"a": (1.0, ["the ", "thing", "nder", "licen"]), "b": (0.8, ["que ", "ment", "ción"]), "c": (1.0, ["ung ", "sch", "ß"])}
 
-def src10_goods_json(spark, sf_dir):
-    """Goods rows from JSON texts: missing numbers are 0, rows without a description are left out, texts that aren't lists give none."""
-    row = F.to_json(F.array(F.struct(F.col("description"), F.when(F.col("seq") % 2 == 0, F.col("quantity")).alias("quantity")), F.struct(F.lit("").alias("description"), F.lit(1.0).alias("quantity"))))
-    g = goods(spark, sf_dir).select("shipment_id", "seq", F.when(F.col("seq") % 5 == 0, '{"a": 1}').otherwise(row).alias("raw"))
-    item = "array<struct<description:string,quantity:double,unit:string>>"
-    return g.filter(F.rlike("raw", F.lit(r"^\s*\["))).select("shipment_id", "seq", F.inline(F.from_json("raw", item))).filter("description != ''").select("shipment_id", "seq", "description", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("unit", F.lit("pieces")).alias("unit"))
 
+def join11_keyword_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.keyword_hits(docs, D.signatures(spark, _SIGS)).groupBy("keyword").agg(F.count("*").alias("n"))
 
-def _cache(spark, sf_dir) -> DataFrame:
-    """Normalisation cache events: every part's description at every use."""
-    p = table(spark, sf_dir, "part").select("p_partkey", semantic_key(F.lit("GOODS"), F.concat_ws(" ", "p_name", "p_type")).alias("cache_key"), F.upper("p_name").alias("canonical"))
-    return lines(spark, sf_dir).join(p, F.col("l_partkey") == F.col("p_partkey")).select("cache_key", F.concat_ws("/", "canonical", F.col("l_partkey")).alias("canonical"), F.struct("l_shipdate", "l_orderkey", "seq").alias("used"))
 
+def agg01_classify(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.classify(docs, D.signatures(spark, _SIGS), "doc_id").select("doc_id", "document_type", "confidence", F.array_join("evidence", ",").alias("evidence"))
 
-_CACHE = "cache AS (SELECT 'GOODS:' || list_aggregate(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), 'string_agg', ' ') AS cache_key, upper(p_name) || '/' || l_partkey AS canonical, l_shipdate, l_orderkey, seq FROM lines JOIN part ON l_partkey = p_partkey)"
+
+def win06_normalised_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    per = D.keyword_hits(docs, D.signatures(spark, _SIGS)).groupBy("doc_id", "document_type").agg(F.count("*").alias("hits"))
+    return per.select("doc_id", "document_type", F.round(F.col("hits") / F.sum("hits").over(Window.partitionBy("doc_id")), 4).alias("share"))
+
+
+def fn31_two_tier_choice(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("model_type"), F.lit(0.9).alias("model_confidence"))
+    return D.choose(D.classify(docs, D.signatures(spark, _SIGS), "doc_id"), model, "doc_id")
+
+
+def agg07_entity_dedup(spark, sf_dir):
+    e = lines(spark, sf_dir).select(F.col("l_orderkey").alias("document_id"), F.lit("GROSS_WEIGHT").alias("entity_type"), F.col("q").alias("key"), "confidence", "seq")
+    return D.deduplicate(e, ["document_id", "entity_type", "key"])
+
+
+def agg08_box_union(spark, sf_dir):
+    return D.box_union(tokens(spark, sf_dir).filter(F.length("text") >= 8), ["document_id", "page"])
+
+
+def agg13_profile_merge(spark, sf_dir):
+    return _profile(spark, sf_dir)
+
+
+def win02_adjacent_values(spark, sf_dir):
+    return D.adjacent_values(tokens(spark, sf_dir), ["the", "token", "de"]).filter("value IS NOT NULL").select("document_id", "pos", "label", "value")
+
+
+def win03_reading_order(spark, sf_dir):
+    return D.reading_order(tokens(spark, sf_dir))
+
+
+def aud01_append_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return e.select(ts.alias("ts"), "user_id", event_hash(ts, F.lit("events"), F.col("event_type"), F.col("value").cast("decimal(12,2)").cast("string")).alias("event_hash"))
+
+
+def str03_live_progress(spark, sf_dir):
+    docs = lambda b: I.progress(b.select(F.col("o_custkey").alias("dossier_id"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "error").otherwise("pending").alias("status")))
+    return _streamed(spark, sf_dir, "orders", docs)
+
+
+ENTITY = "array<struct<entity_type:string,value:string,confidence:double>>"
+RESULT = f"document_id string, document_type string, entities {ENTITY}"
+
+
+def _extractions(spark, sf_dir) -> DataFrame:
+    """One JSON text per document, as extraction services return it; every ninth is not valid."""
+    a = assertions(spark, sf_dir)
+    e = F.array_sort(F.collect_list(F.struct("entity_type", F.coalesce("txt", F.col("num").cast("string")).alias("value"), "confidence")))
+    docs = a.groupBy("shipment_id", "document_id", "document_type", "seq").agg(e.alias("entities"), F.first("confidence").alias("confidence"))
+    body = F.to_json(F.struct("document_id", "document_type", "entities"))
+    return docs.select("shipment_id", "document_id", "document_type", "seq", "confidence", F.when(F.col("seq") % 9 == 0, "not json").otherwise(body).alias("raw"), F.when(F.col("seq") % 7 == 0, "error").otherwise("done").alias("status"))
+
+
+def src01_extraction_scan(spark, sf_dir):
+    rows = K.entity_rows(K.usable(_extractions(spark, sf_dir), RESULT))
+    return rows.select("document_id", "ent_seq", "entity.entity_type", F.round("entity.confidence", 4).alias("confidence"))
+
+
+def flt02_usable_extractions(spark, sf_dir):
+    return K.usable(_extractions(spark, sf_dir), RESULT).groupBy("shipment_id").agg(F.count("*").alias("n_documents"))
+
+
+def src06_intake(spark, sf_dir):
+    return K.intake(_files(spark, sf_dir))
+
+
+def src07_upload_listing(spark, sf_dir):
+    return K.stored_names(_files(spark, sf_dir)).select("dossier_id", "seq", "file_id", "file_name")
+
+
+def join19_new_files(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return K.new_files(f, f.filter("seq % 2 = 0"), ["dossier_id", "name"]).groupBy("dossier_id").agg(F.count("*").alias("n"))
+
+
+def src10_goods_json(spark, sf_dir):
+    """Goods rows from JSON texts: missing numbers are 0, rows without a description are left out, texts that aren't lists give none."""
+    row = F.to_json(F.array(F.struct(F.col("description"), F.when(F.col("seq") % 2 == 0, F.col("quantity")).alias("quantity")), F.struct(F.lit("").alias("description"), F.lit(1.0).alias("quantity"))))
+    g = goods(spark, sf_dir).select("shipment_id", "seq", F.when(F.col("seq") % 5 == 0, '{"a": 1}').otherwise(row).alias("raw"))
+    return K.goods_rows(g).drop("raw")
 
 
 def snk03_cache_upsert(spark, sf_dir):
-    return C.latest(_cache(spark, sf_dir), ["cache_key"], [F.col("used")]).select("cache_key", "canonical")
+    return K.cache_upsert(_cache(spark, sf_dir), [F.col("used")])
 
 
 def snk04_hit_counter(spark, sf_dir):
-    return _cache(spark, sf_dir).groupBy("cache_key").agg(F.count("*").alias("hit_count"))
+    return K.hit_counts(_cache(spark, sf_dir))
 
 
 def snk05_cache_purge(spark, sf_dir):
     c = _cache(spark, sf_dir).select(F.when(F.col("used.seq") % 3 == 0, F.regexp_replace("cache_key", "^GOODS", "PORT")).otherwise(F.col("cache_key")).alias("cache_key"))
-    return c.filter(F.split_part("cache_key", F.lit(":"), F.lit(1)).isin("GOODS")).groupBy("cache_key").agg(F.count("*").alias("n"))
+    return K.purged(c, ["PORT"]).groupBy("cache_key").agg(F.count("*").alias("n"))
 
 
 def src09_seed_rows(spark, sf_dir):
     """Seed rows of the cache whose key isn't there yet, beside the used keys."""
-    seeds = spark.createDataFrame([(k, v) for k, _, _, v in dims.CACHE_SEEDS], "cache_key string, canonical string")
-    have = C.latest(_cache(spark, sf_dir), ["cache_key"], [F.col("used")]).select("cache_key", "canonical")
-    return have.unionByName(seeds.join(have, "cache_key", "left_anti"))
+    return K.seeded(snk03_cache_upsert(spark, sf_dir), [(k, v) for k, _, _, v in dims.CACHE_SEEDS])
 
 
 def join02_canonical_lookup(spark, sf_dir):
-    cache = C.latest(_cache(spark, sf_dir), ["cache_key"], [F.col("used")]).select("cache_key", F.col("canonical"))
-    raw = table(spark, sf_dir, "part").select("p_partkey", semantic_key(F.lit("GOODS"), F.concat_ws(" ", "p_type", "p_name")).alias("cache_key"))
-    return raw.join(cache, "cache_key", "left").select("p_partkey", F.col("canonical").isNotNull().alias("known"))
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.lit("GOODS").alias("entity_type"), F.concat_ws(" ", "p_type", "p_name").alias("raw"))
+    return K.canonical_lookup(raw, snk03_cache_upsert(spark, sf_dir)).select("p_partkey", F.col("canonical").isNotNull().alias("known"))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    raw = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand")))
+    return table(spark, sf_dir, "part").select(F.lit("GOODS").alias("entity_type"), raw.alias("raw"))
 
 
 def join03_cache_misses(spark, sf_dir):
-    raw = table(spark, sf_dir, "part").select(semantic_key(F.lit("GOODS"), F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand")))).alias("cache_key"))
-    return raw.join(_cache(spark, sf_dir).select("cache_key"), "cache_key", "left_anti").distinct()
+    return K.canonicalize_misses(_asked(spark, sf_dir), _cache(spark, sf_dir)).select("cache_key")
+
+
+def join03_canonicalized_misses(spark, sf_dir):
+    """Distinct misses through a caller's function, which here writes them in capitals."""
+
+    def capitals(batches):
+        for pdf in batches:
+            yield pdf.assign(canonical=pdf["canonical"].str.upper())
+
+    return K.canonicalize_misses(_asked(spark, sf_dir), _cache(spark, sf_dir), capitals).select("cache_key", "canonical")
 
 
 def snk07_metadata_upsert(spark, sf_dir):
     m = lines(spark, sf_dir).select(F.col("l_orderkey").alias("shipment_id"), F.lit("transport_mode").alias("field_name"), F.when(F.col("q") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("q").cast("string"))).alias("value"), "seq")
-    m = m.withColumn("value", F.trim("value")).filter("value != ''")
-    return C.latest(m, ["shipment_id", "field_name"], [F.col("seq")]).select("shipment_id", "field_name", "value")
+    return K.metadata_upsert(m, [F.col("seq")])
 
 
 def snk08_line_append(spark, sf_dir):
     """New goods rows go on from the shipment's last row index."""
     g = goods(spark, sf_dir)
-    old, new = g.filter("seq <= 2"), g.filter("seq > 2")
-    last = old.groupBy("shipment_id").agg(F.max("seq").alias("last"))
-    rn = F.row_number().over(Window.partitionBy("shipment_id").orderBy("seq"))
-    return new.withColumn("rn", rn).join(last, "shipment_id", "left").select("shipment_id", "seq", (F.coalesce("last", F.lit(0)) + F.col("rn")).alias("row_index"))
-
-
-def win01_next_row_index(spark, sf_dir):
-    return goods(spark, sf_dir).groupBy("shipment_id").agg((F.max("seq") + 1).alias("next_index"))
+    return K.append_rows(g.filter("seq <= 2").withColumn("row_index", F.col("seq")), g.filter("seq > 2"), [F.col("seq")]).select("shipment_id", "seq", "row_index")
 
 
 def snk09_status_update(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
-    return C.latest(e, ["user_id"], [F.col("at")]).select("user_id", F.col("event_type").alias("status"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), F.col("ts").alias("at"), "event_id")
+    return K.status_update(e, "user_id", [F.col("at"), F.col("event_id")]).select("user_id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 def snk10_cascade_delete(spark, sf_dir):
-    gone = dossiers(spark, sf_dir).filter("status = 'pending'").select("dossier_id")
-    return lines(spark, sf_dir).join(gone, F.col("l_orderkey") == F.col("dossier_id"), "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-def snk12_statistical_value(spark, sf_dir):
-    rate = F.when(F.col("seq") % 3 == 0, "n/a").otherwise("305")
-    return goods(spark, sf_dir).select("shipment_id", "seq", statistical_value((F.round(F.col("total_price") * 100)).cast("long").cast("string"), rate).alias("cents"))
+    """Rows that are left of dossiers and documents once pending dossiers are deleted."""
+    d = dossiers(spark, sf_dir)
+    left = K.cascade_delete(d.filter("status = 'pending'"), {"dossiers": d, "documents": lines(spark, sf_dir).withColumn("dossier_id", F.col("l_orderkey"))})
+    n = lambda t: left[t].groupBy("dossier_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(t))
+    return n("dossiers").unionByName(n("documents"))
 
 
 def flt01_declaration_fields(spark, sf_dir):
-    return assertions(spark, sf_dir).filter(F.col("entity_type").isin(*(f for f in dims.DECLARATION_FIELDS if f != "VESSEL_NAME"))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    """Assertions of the fields that a declaration has; each third document also states a field of its own."""
+    a = assertions(spark, sf_dir).withColumn("entity_type", F.when((F.col("seq") % 3 == 0) & (F.col("entity_type") == "VESSEL_NAME"), "CREW_LIST").otherwise(F.col("entity_type")))
+    return a.filter(F.col("entity_type").isin(*dims.DECLARATION_FIELDS)).select("shipment_id", "seq", "entity_type")
 
 
 def flt04_type_precedence(spark, sf_dir):
-    t = F.coalesce(F.when(F.col("seq") % 3 == 0, F.col("l_returnflag")), F.when(F.col("seq") % 3 == 1, F.col("l_linestatus")), F.lit("unknown"))
-    return lines(spark, sf_dir).select("l_orderkey", "seq", t.alias("document_type"))
+    stated, parsed = F.when(F.col("seq") % 3 == 0, F.col("l_returnflag")), F.when(F.col("seq") % 3 == 1, F.col("l_linestatus"))
+    return lines(spark, sf_dir).select("l_orderkey", "seq", K.document_type(stated, parsed).alias("document_type"))
 
 
 def flt05_labels(spark, sf_dir):
-    kinds = assertions(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"))
-    labels = spark.createDataFrame(list(dims.FIELD_LABELS.items()), "entity_type string, label string")
-    return kinds.join(F.broadcast(labels), "entity_type", "left").select("entity_type", "n", F.coalesce("label", F.initcap(F.replace("entity_type", F.lit("_"), F.lit(" ")))).alias("label"))
+    """Labels of every agreed field and its kind of document."""
+    e = agreed(spark, sf_dir).select("shipment_id", "entity_type")
+    return K.labelled(e, "entity_type", dims.FIELD_LABELS)
 
 
 def flt06_source_label(spark, sf_dir):
-    return _files(spark, sf_dir).select("dossier_id", "seq", F.concat_ws(" — ", F.lit("Invoice"), "name").alias("source_label"))
+    f = _files(spark, sf_dir).withColumn("document_type", D.type_of_name(F.col("name")))
+    return K.labelled(f, "document_type", dims.DOCUMENT_LABELS).select("dossier_id", "seq", K.source_label(F.col("label"), F.col("name")).alias("source_label"))
 
 
 def flt08_tariff_search(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter((F.col("p_type") == "ECONOMY") & (F.lower("p_brand").contains("#1") | F.lower("p_name").contains("red"))).select("p_partkey")
+    return K.search(table(spark, sf_dir, "part"), "RED", ["p_brand", "p_name"], F.col("p_type") == "ECONOMY").select("p_partkey")
 
 
 def flt11_channel_progress(spark, sf_dir):
     d = dossiers(spark, sf_dir)
-    channel = F.when(F.col("dossier_id") % 10 == 0, "hold").when(F.col("status") == "done", "green").when(F.col("status") == "processing", "review").otherwise("pending")
-    return d.select("dossier_id", channel.alias("channel"), F.when(F.col("status") == "done", 100).when(F.col("status") == "processing", 50).otherwise(0).alias("progress"))
+    override = F.when(F.col("dossier_id") % 10 == 0, "hold")
+    return d.select("dossier_id", K.channel(F.col("status"), override).alias("channel"), K.progress(F.col("status")).alias("progress"))
 
 
-def flt12_contract(spark, sf_dir):
-    """Violations of each document's contract as codes; documents without any pass."""
-    x = _extractions(spark, sf_dir).withColumn("x", F.from_json("raw", f"document_id string, document_type string, entities {ENTITY}"))
-    bad = F.array_compact(F.array(F.when(F.col("x.document_id").isNull(), "NO_ID"), F.when(F.col("status") != "done", "NOT_DONE"), F.when(F.exists("x.entities", lambda e: e["confidence"] < 0.92), "LOW_CONFIDENCE")))
-    return x.select("document_id", F.array_join(bad, ",").alias("violations"))
+def _contract(spark, sf_dir) -> DataFrame:
+    """A full extraction result of every line as JSON, with a fault that its line number names."""
+    n = F.col("l_linenumber")
+    entity = F.struct(F.lit("GROSS_WEIGHT").alias("entity_type"), F.col("q").cast("string").alias("value"), F.lit(None).cast("string").alias("normalized_value"), F.lit("kg").alias("unit"), F.lit(1).alias("page"), F.when(n == 2, F.array(F.lit(1), F.lit(2))).when(n == 3, F.array(*map(F.lit, (1, 2, 3, 4)))).alias("bbox"), F.when(n == 4, 1.5).otherwise(F.col("confidence")).alias("extraction_confidence"), F.lit(0.5).alias("classification_confidence"), F.lit(False).alias("normalization_warning"))
+    word = F.struct(F.lit("KG").alias("text"), F.lit(1).alias("page"), F.array(*map(F.lit, (1, 2, 3, 4))).alias("bbox"), F.when(n == 5, -0.1).otherwise(0.9).alias("ocr_confidence"))
+    whole = F.to_json(F.struct(F.lit("d").alias("document_id"), F.lit("bl").alias("document_type"), F.col("confidence").alias("classification_confidence"), F.array().cast("array<string>").alias("classification_evidence"), F.array(entity).alias("entities"), F.array(word).alias("raw_ocr"), F.lit(1).alias("processing_time_ms"), F.array().cast("array<string>").alias("errors")), {"ignoreNullFields": "false"})
+    raw = F.when(n == 6, F.replace(F.replace(whole, F.lit('"errors"'), F.lit('"faults"')), F.lit('"unit"'), F.lit('"units"'))).when(n == 7, "[1]").otherwise(whole)
+    return lines(spark, sf_dir).select("l_orderkey", "seq", raw.alias("raw"))
 
 
-def flt14_line_admission(spark, sf_dir):
-    c = F.col
-    bad = F.array_compact(F.array(F.when(F.length("description") < 8, "DESCRIPTION"), F.when(c("quantity") <= 1, "QUANTITY"), F.when(F.abs(c("quantity") * c("unit_price") - c("total_price")) > F.greatest(0.02 * c("total_price"), F.lit(0.01)), "TOTAL")))
-    return goods(spark, sf_dir).select("shipment_id", "seq", F.array_join(bad, ",").alias("violations"))
+def flt12_contract(spark, sf_dir):
+    """Violations of each result's contract as codes; results without any pass."""
+    return _contract(spark, sf_dir).select("l_orderkey", "seq", F.array_join(Q.result_violations(F.col("raw")), ",").alias("violations"))
 
 
-def fn16_line_confidence(spark, sf_dir):
-    return goods(spark, sf_dir).select("shipment_id", "seq", S.line_item_confidence(F.col("quantity"), F.when(F.col("seq") % 3 > 0, F.col("unit_price")), F.col("total_price")).alias("confidence"))
+def flt14_line_admission(spark, sf_dir):
+    """Goods rows against all limits: some without a unit, with a very long reference, with a price below zero or no number."""
+    g = goods(spark, sf_dir)
+    s = F.col("seq")
+    row = {"description": F.col("description"), "unit": F.when(s % 7 == 0, " ").otherwise(F.col("unit")), "source_reference": F.when(s % 5 == 0, F.repeat(F.lit("r"), 501)).otherwise("p. 1"), "quantity": F.col("quantity").cast("string"), "unit_price": F.when(s % 6 == 0, "n/a").when(s % 4 == 0, "-1").otherwise(F.col("unit_price").cast("string")), "total_price": F.col("total_price").cast("string")}
+    return g.select("shipment_id", "seq", F.array_join(Q.line_violations(row), ",").alias("violations"))
 
 
 def flt15_metadata_admission(spark, sf_dir):
-    keys = F.array(F.lit("transport_mode"), F.when(F.col("l_linenumber") % 2 == 0, "colour").otherwise("declarant_code"))
-    return lines(spark, sf_dir).select("l_orderkey", "seq", F.array_join(F.array_except(keys, F.array(*map(F.lit, dims.REQUIRED_PROFILE))), ",").alias("unknown"))
-
-
-def set3_key_difference(spark, sf_dir):
-    m = F.when(F.col("l_linenumber") % 2 == 0, F.create_map(F.lit("document_id"), F.lit(1), F.lit("x"), F.lit(2))).otherwise(F.create_map(F.lit("entities"), F.lit(1)))
-    need = F.array(F.lit("document_id"), F.lit("entities"))
-    return lines(spark, sf_dir).select("l_orderkey", "seq", F.array_join(F.array_except(need, F.map_keys(m)), ",").alias("missing"), F.array_join(F.array_except(F.map_keys(m), need), ",").alias("extra"))
+    s = F.col("seq")
+    values = F.create_map(F.when(s % 2 == 0, "colour").otherwise("declarant_code"), F.when(s % 3 == 0, " ").when(s % 5 == 0, F.repeat(F.lit("v"), 201)).otherwise("v"), F.lit("transport_mode"), F.when(s % 3 == 0, "").otherwise("4"))
+    return lines(spark, sf_dir).select("l_orderkey", "seq", F.array_join(Q.metadata_violations(values), ",").alias("violations"), F.size(Q.cleaned_metadata(values)).alias("n_clean"))
 
 
 def flt16_table_types(spark, sf_dir):
-    return assertions(spark, sf_dir).filter(F.col("document_type").isin("commercial_invoice", "packing_list", "unknown")).groupBy("document_type").agg(F.countDistinct("document_id").alias("n"))
+    return assertions(spark, sf_dir).filter(F.col("document_type").isin(*D.TABLE_TYPES)).select("document_id", "document_type").distinct()
 
 
 def flt19_rule_catalogue(spark, sf_dir):
     """Rules with how many fields of the data each one applies to."""
-    rules = spark.createDataFrame([("NUMERIC_MATCH", "Numbers agree", True), ("TEXT_MATCH", "Texts agree", False)], "rule string, label string, is_num boolean")
-    n = assertions(spark, sf_dir).groupBy("is_num").agg(F.countDistinct("shipment_id", "entity_type").alias("n_fields"))
-    return rules.join(n, "is_num").select("rule", "label", "n_fields")
-
-
-def join01_dossier_documents(spark, sf_dir):
-    d, l = dossiers(spark, sf_dir), lines(spark, sf_dir).select(F.col("l_orderkey").alias("dossier_id"), "seq")
-    return d.join(l, "dossier_id", "left").select("dossier_id", "status", "seq")
+    return K.rule_catalogue(assertions(spark, sf_dir)).select("rule", "label", "status", "n_fields")
 
 
 def agg10_dossier_listing(spark, sf_dir):
-    d, f = dossiers(spark, sf_dir), _files(spark, sf_dir)
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), "|")
-    per = f.groupBy("dossier_id").agg(F.count("*").alias("n_documents"), names.alias("documents"))
-    return d.join(per, "dossier_id", "left").select("dossier_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "documents")
+    out = K.listing(dossiers(spark, sf_dir), _files(spark, sf_dir))
+    return out.select("dossier_id", "n_documents", F.array_join(F.transform("documents", lambda x: x["name"]), "|").alias("documents"))
 
 
 def top01_latest_dossiers(spark, sf_dir):
-    return dossiers(spark, sf_dir).orderBy(F.desc("created_at"), "dossier_id").limit(50).select("dossier_id", "status")
-
-
-def top03_ordered_rows(spark, sf_dir):
-    w = Window.partitionBy("shipment_id").orderBy("seq")
-    return goods(spark, sf_dir).select("shipment_id", "seq", F.lag("description").over(w).alias("before"))
+    return K.newest(dossiers(spark, sf_dir)).select("dossier_id", "status")
 
 
 def top06_oldest_pending(spark, sf_dir):
-    w = Window.partitionBy("owner_id").orderBy("created_at", "dossier_id")
-    return dossiers(spark, sf_dir).filter("status = 'pending'").select("owner_id", "dossier_id", F.row_number().over(w).alias("place"))
-
-
-_SIGS = {"a": (1.0, ["the ", "thing", "nder", "licen"]), "b": (0.8, ["que ", "ment", "ción"]), "c": (1.0, ["ung ", "sch", "ß"])}
-
-
-def join11_keyword_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return D.keyword_hits(docs, D.signatures(spark, _SIGS)).groupBy("keyword").agg(F.count("*").alias("n"))
-
-
-def agg01_classify(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return D.classify(docs, D.signatures(spark, _SIGS), "doc_id").select("doc_id", "document_type", "confidence", F.array_join("evidence", ",").alias("evidence"))
+    return K.oldest_pending(dossiers(spark, sf_dir), "owner_id").select("owner_id", "dossier_id", "place")
 
 
-def win06_normalised_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    per = D.keyword_hits(docs, D.signatures(spark, _SIGS)).groupBy("doc_id", "document_type").agg(F.count("*").alias("hits"))
-    return per.select("doc_id", "document_type", F.round(F.col("hits") / F.sum("hits").over(Window.partitionBy("doc_id")), 4).alias("share"))
-
-
-def fn31_two_tier_choice(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("model_type"), F.lit(0.9).alias("model_confidence"))
-    return D.choose(D.classify(docs, D.signatures(spark, _SIGS), "doc_id"), model, "doc_id")
-
-
-def agg07_entity_dedup(spark, sf_dir):
-    e = lines(spark, sf_dir).select(F.col("l_orderkey").alias("document_id"), F.lit("GROSS_WEIGHT").alias("entity_type"), F.col("q").alias("key"), "confidence", "seq")
-    return D.deduplicate(e, ["document_id", "entity_type", "key"])
-
-
-def agg08_box_union(spark, sf_dir):
-    return D.box_union(tokens(spark, sf_dir).filter(F.length("text") >= 8), ["document_id", "page"])
+def agg09_dossier_outcome(spark, sf_dir):
+    return K.outcome(_extractions(spark, sf_dir), "shipment_id")
 
 
-def agg09_dossier_outcome(spark, sf_dir):
-    e = _extractions(spark, sf_dir)
-    return e.groupBy("shipment_id").agg(F.when(F.bool_and(F.col("status") == "done"), "done").otherwise("error").alias("outcome"))
+def _stated(spark, sf_dir) -> DataFrame:
+    return assertions(spark, sf_dir).select("document_id", "document_type", "entity_type", "seq", F.coalesce("txt", F.col("num").cast("bigint").cast("string")).alias("value"))
 
 
 def agg11_telemetry(spark, sf_dir):
-    a = assertions(spark, sf_dir)
-    need = spark.createDataFrame([(d, e) for d, es in dims.DOCUMENT_FIELDS.items() for e in es], "document_type string, entity_type string")
-    docs = a.select("document_id", "document_type").distinct().join(F.broadcast(need), "document_type")
-    out = docs.join(a.select("document_id", "entity_type", F.lit(1).alias("there")).distinct(), ["document_id", "entity_type"], "left")
-    return out.groupBy("document_type").agg(F.count("*").alias("requested"), F.count("there").alias("local"), (F.count("*") - F.count("there")).alias("missing"))
+    """Even documents' fields are found locally; of the others' every third document's are recovered."""
+    a = _stated(spark, sf_dir)
+    return K.telemetry(E.required(a.select("document_id", "document_type").distinct()), a.filter("seq % 2 = 0"), a.filter("seq % 3 = 0"))
 
 
 def join15_missing_fields(spark, sf_dir):
-    a = assertions(spark, sf_dir)
-    need = spark.createDataFrame([(d, e) for d, es in dims.DOCUMENT_FIELDS.items() for e in es], "document_type string, entity_type string")
-    docs = a.select("document_id", "document_type").distinct().join(F.broadcast(need), "document_type")
-    return docs.join(a.select("document_id", "entity_type"), ["document_id", "entity_type"], "left_anti").groupBy("entity_type").agg(F.count("*").alias("n"))
+    """Fields that a document of its type should state and doesn't, each."""
+    a = _stated(spark, sf_dir)
+    return E.required(a.select("document_id", "document_type").distinct()).join(a, ["document_id", "entity_type"], "left_anti").select("document_id", "entity_type")
 
 
 def agg15_ocr_quality(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    return t.groupBy("document_id").agg(F.count("*").alias("n_tokens"), F.round(F.round(F.avg("confidence"), 8), 4).alias("confidence"), F.count_if(F.rlike("text", F.lit("[0-9]"))).alias("n_values"))
+    """Lines read from papers against the fields that they should hold; what is found are the papers' labelled values."""
+    t = papers(spark, sf_dir)
+    said = lambda pos, field, value: t.filter(f"pos = {pos}").select("document_id", F.lit(field).alias("entity_type"), value.alias("value"))
+    expected = said(3, "CONSIGNEE_NAME", F.upper("text")).unionByName(said(11, "GROSS_WEIGHT", F.concat("text", F.when(F.col("document_id") % 10 == 0, "x").otherwise(""))))
+    return K.ocr_quality(t, expected, said(3, "CONSIGNEE_NAME", F.col("text")).unionByName(said(11, "GROSS_WEIGHT", F.col("text"))))
 
 
 def agg16_transport_document(spark, sf_dir):
-    return assertions(spark, sf_dir).groupBy("shipment_id").agg(F.max(F.col("document_type").isin("awb", "bl")).alias("has_transport"))
+    return Y.has_transport_document(agreed(spark, sf_dir))
 
 
 def agg14_has_line_items(spark, sf_dir):
-    return goods(spark, sf_dir).groupBy("shipment_id").agg(F.bool_or(F.length(F.trim("description")) > 9).alias("has_items"))
+    """Documents' goods rows and reviewers' rows; some have no description."""
+    g = goods(spark, sf_dir).select("shipment_id", F.when(F.col("unit_price") < 1000, F.col("description")).otherwise(" ").alias("description"))
+    reviewed = dossiers(spark, sf_dir).select(F.col("dossier_id").alias("shipment_id"), F.when(F.col("status") == "done", "cotton").alias("description"))
+    return Y.has_line_items(g.unionByName(reviewed))
 
 
 def _shipments(spark, sf_dir) -> DataFrame:
@@ -338,219 +378,285 @@ def _shipments(spark, sf_dir) -> DataFrame:
 
 
 def _profile(spark, sf_dir) -> DataFrame:
-    """Profile values from documents (priority by order) and from reviewers (above them)."""
+    """Profile values from documents (priority by order) and, for finished dossiers, from reviewers (above them)."""
     names = F.array(*map(F.lit, dims.REQUIRED_PROFILE))
     doc = lines(spark, sf_dir).select(F.col("l_orderkey").alias("shipment_id"), F.get(names, (F.col("seq") % 11).cast("int")).alias("field_name"), F.when(F.col("q") % 5 == 0, " ").otherwise(F.col("q").cast("string")).alias("value"), F.col("seq").alias("priority"))
-    rev = dossiers(spark, sf_dir).filter("dossier_id % 3 = 0").select(F.col("dossier_id").alias("shipment_id"), F.explode(names).alias("field_name"), F.lit("R").alias("value"), F.lit(1000).cast("long").alias("priority"))
+    reviewed = F.when(F.col("field_name") == "currency_rate", "305").otherwise("R")
+    rev = dossiers(spark, sf_dir).filter("status = 'done'").select(F.col("dossier_id").alias("shipment_id"), F.explode(names).alias("field_name")).select("shipment_id", "field_name", reviewed.alias("value"), F.lit(1000).cast("long").alias("priority"))
     return Y.merged_profile(doc.unionByName(rev))
 
 
-_PROFILE = f"""names AS (SELECT {dims.REQUIRED_PROFILE!r} AS n), parts AS (SELECT l_orderkey AS shipment_id, n[seq % 11 + 1] AS field_name, CASE WHEN q % 5 = 0 THEN ' ' ELSE q::VARCHAR END AS value, seq AS priority FROM lines, names
-  UNION ALL SELECT dossier_id, unnest(n), 'R', 1000 FROM dossiers, names WHERE dossier_id % 3 = 0),
-  profile AS (SELECT shipment_id, field_name, arg_max(value, priority) AS value FROM parts WHERE trim(value) <> '' GROUP BY 1, 2)"""
-
-
-def agg13_profile_merge(spark, sf_dir):
-    return _profile(spark, sf_dir)
-
-
-_NEED = ["GROSS_WEIGHT", "PACKAGE_COUNT", "CONSIGNEE_NAME", "HS_CODE"]
+def _field_values(spark, sf_dir) -> DataFrame:
+    """Fields of all shipments: resolved from the documents and overlaid with reviewers' choices, and those that the documents agree on."""
+    chosen = C.latest(decisions(spark, sf_dir), C.FIELD, [F.col("seq")])
+    f = C.overlay(C.resolve(assertions(spark, sf_dir)), chosen)
+    return f.select("shipment_id", "entity_type", "status", C.canonical(F.col("consensus_num"), F.col("consensus_txt")).alias("value")).unionByName(agreed(spark, sf_dir))
 
 
-def _field_values(spark, sf_dir) -> DataFrame:
-    f = C.resolve(assertions(spark, sf_dir))
-    return f.select("shipment_id", "entity_type", "status", C.canonical(F.col("consensus_num"), F.col("consensus_txt")).alias("value"))
+def _assessed(spark, sf_dir) -> DataFrame:
+    documents = lines(spark, sf_dir).select(F.col("l_orderkey").alias("shipment_id"))
+    return Y.assess(_shipments(spark, sf_dir), documents, _field_values(spark, sf_dir), _profile(spark, sf_dir), goods(spark, sf_dir))
 
 
 def join16_required_fields(spark, sf_dir):
-    b = Y.field_blockers(_shipments(spark, sf_dir), _field_values(spark, sf_dir), _NEED)
-    return b.groupBy("code", "field").agg(F.count("*").alias("n"))
+    """Blockers from fields and profile, each."""
+    return _assessed(spark, sf_dir).select("shipment_id", F.inline("blockers")).filter(F.col("field").isin(*dims.REQUIRED_FIELDS, *dims.REQUIRED_PROFILE))
 
 
 def set1_blocker_union(spark, sf_dir):
-    s = _shipments(spark, sf_dir)
-    b = Y.profile_blockers(s, _profile(spark, sf_dir)).unionByName(Y.absent(s, goods(spark, sf_dir), "MISSING_LINE_ITEMS", "line_items"))
-    return b.groupBy("code").agg(F.count("*").alias("n"))
+    """How many blockers of each kind a shipment has."""
+    return _assessed(spark, sf_dir).select("shipment_id", F.inline("blockers")).groupBy("shipment_id", "code").agg(F.count("*").alias("n"))
 
 
 def agg12_readiness(spark, sf_dir):
-    s = _shipments(spark, sf_dir)
-    parts = [Y.field_blockers(s, _field_values(spark, sf_dir), ["VESSEL_NAME"]), Y.profile_blockers(s, _profile(spark, sf_dir)), Y.absent(s, goods(spark, sf_dir), "MISSING_LINE_ITEMS", "line_items")]
-    return Y.assess(s, parts).select("shipment_id", "blocker_count", "export_allowed")
+    blockers = F.array_sort(F.transform("blockers", lambda b: F.concat_ws(":", b["code"], b["field"])))
+    return _assessed(spark, sf_dir).select("shipment_id", "blocker_count", "export_allowed", F.array_join(blockers, ",").alias("blockers"))
+
+
+def _declarations(spark, sf_dir) -> DataFrame:
+    items = goods(spark, sf_dir).select("shipment_id", F.col("seq").alias("row_index"), "description", F.floor("total_price").cast("string").alias("total_price"))
+    return declarations(_assessed(spark, sf_dir), items, F.lit("2026-01-31"))
 
 
 def snk11_declarations(spark, sf_dir):
-    a = _field_values(spark, sf_dir).select("shipment_id", "entity_type", "value")
-    meta = _profile(spark, sf_dir)
-    items = goods(spark, sf_dir).select("shipment_id", F.col("seq").alias("row_index"), "description", F.col("total_price").cast("string").alias("total_price"))
-    return declarations(a, meta, items)
+    """Values read back from the declarations of shipments that may be exported."""
+    x = lambda path, how=F.xpath_string: how("xml", F.lit(f"/ASYCUDA/{path}"))
+    return _declarations(spark, sf_dir).select(
+        "shipment_id", x("Traders/Exporter/Exporter_name").alias("exporter"), x("Traders/Consignee/Consignee_name").alias("consignee"), x("General_information/Value_details/Invoice_total_amount").alias("total"),
+        x("General_information/Value_details/Invoice_currency_code").alias("currency"), x("General_information/Country/Country_of_export_code").alias("export_country"), x("Transport/Delivery_place").alias("place"), x("Identification/Registration/Date").alias("registered"),
+        x("Item[1]/Tariff/Commodity_code").alias("hs_code"), x("Item[1]/Weight/Gross_mass").alias("gross"), F.size(x("Item/Item_Number/text()", F.xpath)).cast("long").alias("n_items"), x("Item[1]/Goods_description/Commercial_description").alias("description"), x("Item[1]/Valuation_item/Statistical_value").cast("double").alias("statistical"),
+    )
+
+
+def snk11_documents(spark, sf_dir):
+    """The declarations themselves."""
+    return _declarations(spark, sf_dir)
 
 
 def join05_party_labels(spark, sf_dir):
-    """Words of eight letters or more against labels: some frequent words stand for labels here."""
-    t = tokens(spark, sf_dir).withColumn("text", F.when(F.col("text") == "the", "Shipper").when(F.col("text") == "de", "Consignee:").when(F.col("text") == "der", "Notify party").otherwise(F.col("text")))
-    v = t.filter((F.length("text") >= 12) & (F.col("document_id") % 1 == 0)).select("document_id", "page", F.col("pos").alias("value_id"), F.col("text").alias("value"), "x1", "y1", "x2", "y2")
-    return P.label_evidence(v, t).select("document_id", "value_id", "role", "score")
+    """Every line of the papers against the role labels on its page."""
+    return P.label_evidence(_values(spark, sf_dir), papers(spark, sf_dir)).select("document_id", "value_id", "role", "score")
+
+
+def _values(spark, sf_dir) -> DataFrame:
+    return papers(spark, sf_dir).select("document_id", "page", F.col("pos").alias("value_id"), F.col("text").alias("value"), "x1", "y1", "x2", "y2")
 
 
 def join06_party_types(spark, sf_dir):
-    role = P.named_role(F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, " Bank").when(F.col("c_custkey") % 3 == 1, " Airlines").otherwise(" Mills")))
-    types = spark.createDataFrame(list(dims.PARTY_TYPES.items()), "role string, entity_type string")
-    return table(spark, sf_dir, "customer").select("c_custkey", role.alias("role")).join(F.broadcast(types), "role", "left").select("c_custkey", "role", "entity_type", F.col("role").isNull().alias("eligible"))
+    """Every line of the papers taken for a consignee, judged by its name and the labels near it."""
+    judged = P.resolve_party(P.roles(_values(spark, sf_dir), papers(spark, sf_dir)).withColumn("entity_type", F.lit("CONSIGNEE_NAME")))
+    return judged.select("document_id", "value_id", "role", "effective_type", "eligible")
 
 
 def flt03_consignee_filter(spark, sf_dir):
+    """Assertions of all fields; consignees without a flag are judged again by their names."""
     flag = F.when(F.col("seq") % 3 == 0, False).when(F.col("seq") % 3 == 1, True)
-    a = assertions(spark, sf_dir).filter("entity_type = 'CONSIGNEE_NAME'").withColumn("eligible", flag)
-    return a.filter(F.coalesce("eligible", P.named_role(F.col("txt")).isNull())).groupBy("shipment_id").agg(F.count("*").alias("n"))
+    name = F.concat_ws(" ", "txt", F.when(F.col("seq") % 2 == 0, "Airways"))
+    a = assertions(spark, sf_dir).withColumns({"eligible": flag, "role": P.named_role(name)})
+    return P.eligible(a).select("shipment_id", "seq", "entity_type")
 
 
 def join07_link_values(spark, sf_dir):
+    """The beginning of every word of five letters or more, distinct by document."""
     t = tokens(spark, sf_dir)
-    v = t.filter("pos % 97 = 5").select("document_id", F.substring("text", 1, 5).alias("value")).distinct()
-    return D.link_values(v, t).select("document_id", "value", "page", "pos", "score")
+    return D.link_values(t.filter(F.length("text") >= 5).select("document_id", F.substring("text", 1, 5).alias("value")).distinct(), t).select("document_id", "value", "page", "pos", "score")
 
 
-def _misread(spark, sf_dir) -> DataFrame:
-    """All words of six or more letters with a letter read wrong, distinct by document."""
-    return tokens(spark, sf_dir).filter(F.length("text") >= 6).select("document_id", F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 40)).alias("value")).distinct()
+def join07_fuzzy_linkage(spark, sf_dir):
+    return L.link(_misread(spark, sf_dir), papers(spark, sf_dir)).select("document_id", "value", "pos", F.round("score", 6).alias("score"))
 
 
-def join07_fuzzy_linkage(spark, sf_dir):
-    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir)).select("document_id", "value", "pos", F.round("score", 6).alias("score"))
+def _misread(spark, sf_dir) -> DataFrame:
+    """Every line of the papers with its fourth letter read wrong."""
+    return papers(spark, sf_dir).select("document_id", F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 60)).alias("value")).distinct()
 
 
 def join08_multi_token_boxes(spark, sf_dir):
-    """Every two words in a row, as one value."""
-    t = tokens(spark, sf_dir)
+    """Every two lines in a row, as one value."""
+    t = papers(spark, sf_dir)
     after = t.select("document_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("next"))
-    v = t.join(after, ["document_id", "pos"]).select("document_id", F.concat_ws(" ", "text", "next").alias("value")).distinct()
-    return L.link_parts(v, t)
+    return L.link_parts(t.join(after, ["document_id", "pos"]).select("document_id", F.concat_ws(" ", "text", "next").alias("value")).distinct(), t)
 
 
 def join09_value_pages(spark, sf_dir):
-    return L.link(_misread(spark, sf_dir), tokens(spark, sf_dir)).groupBy("page").agg(F.count("*").alias("n"))
+    """Values on pages of the documents, one of which isn't there at all."""
+    t = tokens(spark, sf_dir)
+    last = t.groupBy("document_id").agg(F.max_by("text", "pos").alias("value"))
+    return L.value_pages(last.unionByName(last.select("document_id", F.lit("9#9#9#9#9").alias("value"))), t)
 
 
 def join10_row_boxes(spark, sf_dir):
-    rows = D.reading_order(tokens(spark, sf_dir).filter("page = 1"))
-    items = rows.filter("row = 2").select("document_id", F.concat(F.col("text"), F.lit(" total")).alias("description"))
-    return L.row_boxes(items, rows).select("document_id", "page", "row", F.round("score", 6).alias("score"))
+    """Of every page the longest row, its fourth letter read wrong, among the page's rows."""
+    rows = D.reading_order(tokens(spark, sf_dir)).select("document_id", "page", F.col("row").alias("pos"), "text", (F.col("row") * 20).alias("y1"), (F.col("row") * 20 + 12).alias("y2"))
+    wrong = F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 200))
+    items = rows.groupBy("document_id", "page").agg(F.max_by(wrong, F.struct(F.length("text"), -F.col("pos"))).alias("description"))
+    return L.row_boxes(items, rows).select("document_id", "page", "pos", "y1", "y2", F.round("score", 6).alias("score"))
 
 
 def xai06_text_options(spark, sf_dir):
-    a = assertions(spark, sf_dir)
-    names = a.filter("entity_type = 'CONSIGNEE_NAME'").select("txt").distinct()
-    pairs = names.select(F.col("txt").alias("a_txt")).join(names.select(F.col("txt").alias("b_txt")), F.col("a_txt") < F.col("b_txt"))  # at most nine names
-    return L.text_options(pairs).select("a_txt", "b_txt", F.round("ratio", 6).alias("ratio"), "hint")
+    """Options of fields whose texts differ, over all assertions."""
+    o = X.counterfactuals(assertions(spark, sf_dir)).filter("conflict_type = 'text_mismatch'")
+    return o.select("shipment_id", "entity_type", F.array_join("options", "|").alias("options"))
 
 
-def win02_adjacent_values(spark, sf_dir):
-    return D.adjacent_values(tokens(spark, sf_dir), ["the", "token", "de"]).filter("value IS NOT NULL").select("document_id", "pos", "label", "value")
-
-
-def win03_reading_order(spark, sf_dir):
-    return D.reading_order(tokens(spark, sf_dir))
+def fn27_value_shape(spark, sf_dir):
+    """Whether each line of the papers has the shape of each field's values, and whether it is a label."""
+    t = papers(spark, sf_dir)
+    fields = F.array(*map(F.lit, ["GROSS_WEIGHT", "CURRENCY_CODE", "INVOICE_NUMBER", "CONSIGNEE_NAME", "PORT_OF_LOADING"]))
+    known = E.label_texts(t.select(F.lower("text").alias("t")).distinct()).filter("is_label").select("t", F.lit(True).alias("label"))
+    each = t.withColumn("t", F.lower("text")).join(known, "t", "left").withColumn("field", F.explode(fields))
+    return each.select("document_id", "pos", "field", (shapes.plausible(F.col("field"), F.col("text")) & F.col("label").isNull()).alias("plausible"))
 
 
 def win05_ordinals(spark, sf_dir):
-    return tokens(spark, sf_dir).groupBy("document_id").agg(F.max("pos").alias("last"), F.countDistinct("pos").alias("n"))
+    """The ordinal of every entity in its document."""
+    e = assertions(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list("entity_type")).alias("x"))
+    return e.select("document_id", F.posexplode("x").alias("ordinal", "entity_type"))
 
 
-_EXT_LABELS = {"GROSS_WEIGHT": ["the", "de"], "CONSIGNEE_NAME": ["und", "and"]}
+def _texts(spark, sf_dir) -> DataFrame:
+    """The papers' lines as running text."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return papers(spark, sf_dir).groupBy("document_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("text"))
 
 
 def ext01_label_match(spark, sf_dir):
-    """Frequent words stand for labels here."""
-    return E.by_label(tokens(spark, sf_dir), _EXT_LABELS)
-
-
-def _texts(spark, sf_dir) -> DataFrame:
-    """Documents' texts, each with an invoice number and a weight after it."""
-    more = F.concat(F.lit("INV-"), F.col("doc_id"), F.lit(" weighs "), F.col("n_chars"), F.lit(" kgs"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "text", more).alias("text"))
+    return E.by_label(papers(spark, sf_dir)).select("document_id", "entity_type", "value", F.round("confidence", 4).alias("confidence"))
 
 
 def ext02_pattern_match(spark, sf_dir):
-    return E.by_pattern(_texts(spark, sf_dir)).groupBy("entity_type").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+    return E.by_pattern(_texts(spark, sf_dir), papers(spark, sf_dir)).select("document_id", "entity_type", "value")
 
 
 def ext03_combined(spark, sf_dir):
-    return E.combined(ext01_label_match(spark, sf_dir), E.by_pattern(_texts(spark, sf_dir))).groupBy("entity_type", "source").agg(F.count("*").alias("n"))
+    t = papers(spark, sf_dir)
+    return E.combined(E.by_label(t), E.by_pattern(_texts(spark, sf_dir), t)).select("document_id", "entity_type", "value", "source")
+
+
+def _job(spark, sf_dir) -> DataFrame:
+    return E.document_job(papers(spark, sf_dir), _texts(spark, sf_dir))
 
 
 def ext04_document_job(spark, sf_dir):
-    return E.entities(tokens(spark, sf_dir), _texts(spark, sf_dir))
+    return _job(spark, sf_dir).select("document_id", "document_type", "entity_type", "value", "num", "text", "unit", "page", "role", "eligible", "source", F.col("box.y1").alias("y1"), "score")
 
 
 def ext06_error_rows(spark, sf_dir):
-    d = _texts(spark, sf_dir)
-    return E.with_errors(d, E.entities(tokens(spark, sf_dir), d)).select("document_id", F.size("entities").alias("n_entities"), F.size("errors").alias("n_errors"))
+    """Every third document has no text, and so an error."""
+    keep = lambda df: df.filter("document_id % 3 > 0")
+    t, d = papers(spark, sf_dir), _texts(spark, sf_dir)
+    return E.with_errors(d, E.document_job(keep(t), keep(d))).select("document_id", F.size("entities").alias("n_entities"), F.size("errors").alias("n_errors"))
 
 
 def ext05_reprocess(spark, sf_dir):
-    e = _parsed(_extractions(spark, sf_dir)).select(F.explode("x.entities").alias("e")).select("e.*")
-    return e.withColumn("score", S.entity_confidence(F.col("confidence"), F.lit(None).cast("double"), F.lit(False))).groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
-
-
-def aud01_append_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return e.select(ts.alias("ts"), "user_id", event_hash(ts, F.lit("events"), F.col("event_type"), F.col("value").cast("decimal(12,2)").cast("string")).alias("event_hash"))
+    e = K.usable(_extractions(spark, sf_dir), RESULT).select("document_id", F.explode("x.entities").alias("e")).select("document_id", "e.*")
+    return e.select("document_id", "entity_type", S.entity_confidence(F.col("confidence"), F.lit(None).cast("double"), F.lit(False)).alias("score"))
 
 
 def aud02_trail(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_events"), F.min("ts").cast("string").alias("first"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_id").alias("event_hash"))
+    return K.trail(e, "user_id").select("user_id", F.col("event_hash").alias("event_id"), "place", "n_events")
 
 
 def aud03_derived_trail(spark, sf_dir):
-    e = _extractions(spark, sf_dir)
-    acts = F.array(F.lit("classified"), F.when(F.col("status") == "done", "extracted").otherwise("failed"))
-    return e.select("shipment_id", F.explode(acts).alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+    return K.derived_trail(_extractions(spark, sf_dir), C.resolve(assertions(spark, sf_dir)), _assessed(spark, sf_dir)).drop("stage")
 
 
 def rpt01_shipment_status(spark, sf_dir):
+    d = _extractions(spark, sf_dir).withColumn("dossier_id", F.col("shipment_id"))
+    rows = F.transform("documents", lambda x: F.concat_ws("/", x["document_id"], x["document_type"], F.format_string("%.2f", x["confidence"]), x["status"]))
+    return K.status_report(dossiers(spark, sf_dir), d).select("dossier_id", "status", "progress", "n_documents", "n_done", F.coalesce(F.array_join(rows, "|"), F.lit("")).alias("documents"))
+
+
+def _written(spark, df: DataFrame, name: str) -> str:
+    """The path of ``df`` (body) written as JSON lines."""
+    path = shared_path(spark, name)
+    B.write_documents(df, path)
+    return path
+
+
+def src02_result_bundles(spark, sf_dir):
+    """A bundle of results for every shipment, written and read back."""
+    e = _extractions(spark, sf_dir).filter("raw != 'not json'")
+    body = F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("document_id", F.from_json("raw", RESULT).alias("r"))))).alias("documents")))
+    path = _written(spark, e.groupBy("shipment_id").agg(body.alias("body")), "bundles")
+    rows = K.entity_rows(K.usable(B.read_bundles(spark, path, multi_line=False).withColumn("status", F.lit("done")), RESULT))
+    return rows.select(F.col("name").alias("document_id"), "ent_seq", "entity.entity_type")
+
+
+def src03_page_readings(spark, sf_dir):
+    """The papers as page readings, written and read back."""
+    t = papers(spark, sf_dir)
+    one = F.struct("text", "page", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence")
+    p = t.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))), lambda x: x["t"]).alias("tokens"))
+    page = F.struct(F.lit(1).alias("page_number"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), "tokens")
+    path = _written(spark, p.select(F.to_json(F.struct(F.col("document_id").cast("string").alias("file_path"), F.lit(1).alias("total_pages"), F.array(page).alias("pages"))).alias("body")), "pages")
+    return B.read_pages(spark, path, multi_line=False).select(F.col("file_path").cast("long").alias("document_id"), "pos", "text", F.col("y1").cast("long").alias("y1"), "confidence")
+
+
+def src05_manifest(spark, sf_dir):
+    """A manifest of expected values for every shipment, written and read back."""
+    f = agreed(spark, sf_dir).groupBy("shipment_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", F.struct(F.lower("entity_type").alias("label"), "value"))))).alias("expected_fields"))
+    doc = F.struct(F.concat("shipment_id", F.lit(".pdf")).alias("file"), F.lit("commercial_invoice").alias("document_type"), F.lit(1).alias("pages"), "expected_fields")
+    path = _written(spark, f.select(F.to_json(F.struct(F.col("shipment_id").cast("string").alias("shipment_reference"), F.array(doc).alias("documents"))).alias("body")), "manifests")
+    return B.expected_fields(B.read_manifest(spark, path, multi_line=False)).select("file", "entity_type", "label", "value")
+
+
+def snk01_save_results(spark, sf_dir):
+    """Pending documents with the results of those that are done or failed; every fifth has none yet."""
     e = _extractions(spark, sf_dir)
-    done = F.count_if(F.col("status") == "done")
-    return e.groupBy("shipment_id").agg(F.count("*").alias("n_documents"), done.alias("n_done"), F.floor(100 * done / F.count("*")).alias("progress"))
+    r = e.filter("seq % 5 > 0").select("document_id", "document_type", "raw", F.when(F.col("status") == "error", "unreadable").alias("error"))
+    return K.save_results(e.select("document_id", F.lit("pending").alias("status")), r).select("document_id", "status", "document_type", F.length("raw").isNotNull().alias("has_result"), "error")
 
 
-def _stream_dir(spark) -> str:
-    """A new folder for a stream's sink and checkpoint, in the shared folder where one is set."""
-    import tempfile
+def snk02_create_dossiers(spark, sf_dir):
+    d, docs = K.created(_files(spark, sf_dir).select("dossier_id", "name", F.concat_ws("/", "dossier_id", "seq", "name").alias("path")), F.lit("2026-01-31"))
+    return d.select("dossier_id", F.lit("").alias("document_id"), F.lit("").alias("original_name"), "status").unionByName(docs.select("dossier_id", "document_id", "original_name", "status"))
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
+
+def snk13_downloads(spark, sf_dir):
+    """Each shipment's graph and each user's trail as JSON documents, written and read back."""
+    a = assertions(spark, sf_dir)
+    trail = K.trail(table(spark, sf_dir, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_id").alias("event_hash")), "user_id").drop("n_events")
+    graph = _written(spark, B.graph_documents(X.nodes(a, keep=["shipment_id"]), X.edges(a, keep=["shipment_id"])), "graphs")
+    audit = _written(spark, B.audit_documents(trail, "user_id"), "trails")
+    size = lambda path: F.coalesce(F.size(F.from_json(F.get_json_object("value", path), "array<string>")), F.lit(0))
+    g = spark.read.text(graph).select(F.lit("graph").alias("kind"), F.get_json_object("value", "$.shipment_id").alias("key"), size("$.nodes").alias("n"), size("$.edges").alias("m"))
+    t = spark.read.text(audit).select(F.lit("audit").alias("kind"), F.get_json_object("value", "$.user_id").alias("key"), size("$.events").alias("n"), F.get_json_object("value", "$.count").cast("int").alias("m"))
+    return g.unionByName(t)
 
 
 def _streamed(spark, sf_dir, name: str, process) -> DataFrame:
-    where = _stream_dir(spark)
+    where = shared_path(spark, "stream")
     schema = table(spark, sf_dir, name).schema
     I.ingest(spark, f"{sf_dir}/{name}.parquet*", schema, f"{where}/out", f"{where}/checkpoint", process)
     return spark.read.parquet(f"{where}/out").drop("epoch")
 
 
 def str01_ingest(spark, sf_dir):
-    return _streamed(spark, sf_dir, "orders", lambda b: b.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("done")))
+    """Pages read from an arriving table of documents go through classification and extraction; documents without words fail alone."""
+
+    def extracted(batch: DataFrame) -> DataFrame:
+        docs = batch.select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "text", F.lit("Gross weight 5 kgs")).alias("text"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("ok"))
+        found = E.combined(E.by_label(tokens_of(docs.filter("ok"))), E.by_pattern(docs.filter("ok"))).filter("entity_type = 'GROSS_WEIGHT'").withColumn("score", F.col("confidence"))
+        return E.with_errors(docs, found).select("document_id", F.when(F.size("errors") == 0, "done").otherwise("error").alias("status"), F.size("entities").alias("n_entities"))
+
+    return _streamed(spark, sf_dir, "documents", extracted)
 
 
 def str02_audit_stream(spark, sf_dir):
-    where = _stream_dir(spark)
+    """Audit events without repeats: every event comes twice within the watermark."""
+    where = shared_path(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("events").alias("module"), F.col("event_type").alias("action"), F.col("props").alias("outcome"))
+    one = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    twice = one.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    e = twice.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("events").alias("module"), F.col("event_type").alias("action"), F.col("event_id").cast("string").alias("outcome"))
     q = I.audit_events(e).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{where}/out").select("event_hash", F.col("ts").cast("string").alias("ts"))
-
+    return spark.read.parquet(f"{where}/out").select("event_hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
-def str03_live_progress(spark, sf_dir):
-    docs = lambda b: I.progress(b.select(F.col("o_custkey").alias("dossier_id"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "error").otherwise("pending").alias("status")))
-    return _streamed(spark, sf_dir, "orders", docs)
 
-
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai")} | {"fn16_line_confidence": fn16_line_confidence, "fn31_two_tier_choice": fn31_two_tier_choice}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai", "fn2")} | {"fn16_line_confidence": fn16_line_confidence, "fn31_two_tier_choice": fn31_two_tier_choice}
 
 _PAY = "e.seq % 9 <> 0 AND e.seq % 7 <> 0"
 _FV = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN num::VARCHAR ELSE regexp_replace(lower(txt), '[^a-z0-9]+', '', 'g') END AS key, count(*) AS n, round(sum(confidence), 6) AS w, min(seq) AS s, arg_min(num, seq) AS num, arg_min(txt, seq) AS txt FROM assertions GROUP BY 1, 2, 3, 4),
@@ -558,15 +664,10 @@ _FV = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN
   units AS (SELECT shipment_id, entity_type, count(DISTINCT lower(unit)) AS n_units FROM assertions GROUP BY 1, 2),
   fields AS (SELECT shipment_id, entity_type, CASE WHEN total = 1 THEN 'pending' WHEN n_clusters > 1 THEN 'conflict' WHEN n_units > 1 THEN 'warning' ELSE 'match' END AS status, coalesce(txt, num::BIGINT::VARCHAR) AS value, num FROM best JOIN units USING (shipment_id, entity_type) WHERE place = 1)"""
 _SIG_SQL = "sig AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, {w}, {len(k)}, '{x}')" for i, (t, (w, k)) in enumerate(_SIGS.items()) for x in k) + ") AS s(document_type, ordinal, weight, n_keywords, keyword)), hits AS (SELECT doc_id, sig.* FROM documents JOIN sig ON contains(lower(text), keyword)), per AS (SELECT doc_id, document_type, ordinal, round(count(*) / any_value(n_keywords) * any_value(weight), 4) AS score, string_agg(keyword, ',' ORDER BY keyword) AS evidence FROM hits GROUP BY 1, 2, 3), top AS (SELECT *, round(score / sum(score) OVER (PARTITION BY doc_id), 4) AS share FROM per QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) = 1), classified AS (SELECT doc_id, coalesce(document_type, 'unknown') AS document_type, coalesce(share, 0.3333) AS confidence, coalesce(evidence, '') AS evidence FROM documents LEFT JOIN top USING (doc_id))"
-_DOCF = "need AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{e}')" for d, es in dims.DOCUMENT_FIELDS.items() for e in es) + ") AS n(document_type, entity_type)), docs AS (SELECT DISTINCT document_id, document_type FROM assertions)"
-_B = f"""b AS (SELECT shipment_id, CASE WHEN f.value IS NULL THEN 'MISSING_FIELD' ELSE 'UNRESOLVED_FIELD' END AS code, 'VESSEL_NAME' AS field FROM (SELECT dossier_id AS shipment_id FROM dossiers) d LEFT JOIN (SELECT * FROM fields WHERE entity_type = 'VESSEL_NAME') f USING (shipment_id) WHERE f.value IS NULL OR status IN ('conflict', 'warning', 'pending')
-  UNION ALL SELECT dossier_id, 'MISSING_DECLARATION_METADATA', k FROM (SELECT dossier_id, unnest({dims.REQUIRED_PROFILE!r}) AS k FROM dossiers) p WHERE NOT EXISTS (SELECT 1 FROM profile q WHERE q.shipment_id = p.dossier_id AND q.field_name = k)
-  UNION ALL SELECT dossier_id, 'MISSING_LINE_ITEMS', 'line_items' FROM dossiers WHERE dossier_id NOT IN (SELECT shipment_id FROM goods))"""
 ORACLES = {
     "src01_extraction_scan": sql("assertions", f"SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY entity_type) - 1)::INT AS ent_seq, entity_type, round(confidence, 4) AS confidence FROM assertions e WHERE {_PAY}"),
     "flt02_usable_extractions": sql("lines", f"SELECT l_orderkey AS shipment_id, count(*) AS n_documents FROM lines e WHERE {_PAY} GROUP BY 1"),
     "src04_flatten_tokens": sql("tokens", "SELECT document_id, page, count(*) AS n_tokens, round(sum(confidence), 4) AS confidence FROM tokens GROUP BY 1, 2"),
-    "src05_json_map": "SELECT p_partkey, 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part",
     "src06_intake": sql("lines", f", {_FILES} SELECT dossier_id, bool_and(lower(name) LIKE '%.pdf') AS accepted, count(*) AS n_files FROM files GROUP BY 1"),
     "src07_upload_listing": sql("lines", f", {_FILES} SELECT dossier_id, seq, split_part(name, '_', 1) AS file_id, substr(name, strpos(name, '_') + 1) AS file_name FROM files"),
     "flt18_type_of_name": sql("lines", f", {_FILES} SELECT dossier_id, seq, CASE k WHEN 'packing-list' THEN 'packing_list' WHEN 'AWB' THEN 'awb' WHEN 'bill_of_lading' THEN 'bl' WHEN 'delivery order' THEN 'delivery_order' ELSE 'commercial_invoice' END AS document_type FROM files"),
@@ -582,22 +683,11 @@ ORACLES = {
     "snk07_metadata_upsert": sql("lines", "SELECT l_orderkey AS shipment_id, 'transport_mode' AS field_name, arg_max(q::VARCHAR, seq) AS value FROM lines WHERE q % 4 <> 0 GROUP BY 1"),
     "snk08_line_append": sql("goods", "SELECT shipment_id, seq, seq AS row_index FROM goods WHERE seq > 2"),
     "win01_next_row_index": sql("goods", "SELECT shipment_id, max(seq) + 1 AS next_index FROM goods GROUP BY 1"),
-    "snk09_status_update": "SELECT user_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "snk10_cascade_delete": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "snk12_statistical_value": sql("goods", "SELECT shipment_id, seq, CASE WHEN seq % 3 <> 0 THEN CAST(round(total_price * 100) AS BIGINT) * 305.0 END AS cents FROM goods"),
-    "flt01_declaration_fields": sql("assertions", "SELECT entity_type, count(*) AS n FROM assertions WHERE entity_type <> 'VESSEL_NAME' GROUP BY 1"),
     "flt04_type_precedence": sql("lines", "SELECT l_orderkey, seq, CASE seq % 3 WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus ELSE 'unknown' END AS document_type FROM lines"),
-    "flt05_labels": sql("assertions", "SELECT entity_type, count(*) AS n, CASE entity_type WHEN 'GROSS_WEIGHT' THEN 'Gross Weight' WHEN 'PACKAGE_COUNT' THEN 'Package Count' WHEN 'CONSIGNEE_NAME' THEN 'Consignee Name' ELSE 'Vessel Name' END AS label FROM assertions GROUP BY 1"),
-    "flt06_source_label": sql("lines", f", {_FILES} SELECT dossier_id, seq, 'Invoice — ' || name AS source_label FROM files"),
-    "flt08_tariff_search": "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND (lower(p_brand) LIKE '%#1%' OR lower(p_name) LIKE '%red%')",
     "flt11_channel_progress": sql("dossiers", "SELECT dossier_id, CASE WHEN dossier_id % 10 = 0 THEN 'hold' WHEN status = 'done' THEN 'green' WHEN status = 'processing' THEN 'review' ELSE 'pending' END AS channel, CASE status WHEN 'done' THEN 100 WHEN 'processing' THEN 50 ELSE 0 END AS progress FROM dossiers"),
-    "flt12_contract": sql("lines", "SELECT l_orderkey || '-' || seq AS document_id, concat_ws(',', CASE WHEN seq % 9 = 0 THEN 'NO_ID' END, CASE WHEN seq % 7 = 0 THEN 'NOT_DONE' END, CASE WHEN seq % 9 <> 0 AND confidence < 0.92 THEN 'LOW_CONFIDENCE' END) AS violations FROM lines"),
-    "flt14_line_admission": sql("goods", "SELECT shipment_id, seq, concat_ws(',', CASE WHEN length(description) < 8 THEN 'DESCRIPTION' END, CASE WHEN quantity <= 1 THEN 'QUANTITY' END, CASE WHEN abs(quantity * unit_price - total_price) > greatest(0.02 * total_price, 0.01) THEN 'TOTAL' END) AS violations FROM goods"),
     "fn16_line_confidence": sql("goods", "SELECT shipment_id, seq, CASE WHEN seq % 3 = 0 THEN 0.75 WHEN abs(quantity * unit_price - total_price) <= 0.02 * total_price + 0.01 THEN 0.92 ELSE 0.7 END AS confidence FROM goods"),
-    "flt15_metadata_admission": sql("lines", "SELECT l_orderkey, seq, CASE WHEN l_linenumber % 2 = 0 THEN 'colour' ELSE '' END AS unknown FROM lines"),
     "set3_key_difference": sql("lines", "SELECT l_orderkey, seq, CASE WHEN l_linenumber % 2 = 0 THEN 'entities' ELSE 'document_id' END AS missing, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE '' END AS extra FROM lines"),
-    "flt16_table_types": sql("assertions", "SELECT document_type, count(DISTINCT document_id) AS n FROM assertions WHERE document_type IN ('commercial_invoice', 'packing_list') GROUP BY 1"),
-    "flt19_rule_catalogue": sql("assertions", "SELECT CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END AS rule, CASE WHEN is_num THEN 'Numbers agree' ELSE 'Texts agree' END AS label, count(DISTINCT shipment_id || entity_type) AS n_fields FROM assertions GROUP BY is_num"),
     "join01_dossier_documents": sql("lines dossiers", "SELECT dossier_id, status, seq FROM dossiers LEFT JOIN lines ON l_orderkey = dossier_id"),
     "agg10_dossier_listing": sql("lines dossiers", f", {_FILES} SELECT dossier_id, count(name) AS n_documents, string_agg(name, '|' ORDER BY seq) AS documents FROM dossiers LEFT JOIN files USING (dossier_id) GROUP BY 1"),
     "top01_latest_dossiers": sql("dossiers", "SELECT dossier_id, status FROM dossiers ORDER BY created_at DESC, dossier_id LIMIT 50"),
@@ -610,36 +700,86 @@ ORACLES = {
     "agg07_entity_dedup": sql("lines", "SELECT l_orderkey AS document_id, 'GROSS_WEIGHT' AS entity_type, q AS key, confidence, seq FROM lines QUALIFY row_number() OVER (PARTITION BY l_orderkey, q ORDER BY confidence DESC, seq) = 1"),
     "agg08_box_union": sql("tokens", "SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM tokens WHERE length(text) >= 8 GROUP BY 1, 2"),
     "agg09_dossier_outcome": sql("lines", "SELECT l_orderkey AS shipment_id, CASE WHEN bool_and(seq % 7 <> 0) THEN 'done' ELSE 'error' END AS outcome FROM lines GROUP BY 1"),
-    "agg11_telemetry": sql("assertions", f", {_DOCF} SELECT document_type, count(*) AS requested, count(a.document_id) AS local, count(*) - count(a.document_id) AS missing FROM docs JOIN need USING (document_type) LEFT JOIN (SELECT DISTINCT document_id, entity_type FROM assertions) a USING (document_id, entity_type) GROUP BY 1"),
-    "join15_missing_fields": sql("assertions", f", {_DOCF} SELECT entity_type, count(*) AS n FROM docs JOIN need USING (document_type) WHERE (document_id, entity_type) NOT IN (SELECT document_id, entity_type FROM assertions) GROUP BY 1"),
-    "agg15_ocr_quality": sql("tokens", "SELECT document_id, count(*) AS n_tokens, round(round(avg(confidence), 8), 4) AS confidence, count(*) FILTER (regexp_matches(text, '[0-9]')) AS n_values FROM tokens GROUP BY 1"),
-    "agg16_transport_document": sql("assertions", "SELECT shipment_id, bool_or(document_type IN ('awb', 'bl')) AS has_transport FROM assertions GROUP BY 1"),
-    "agg14_has_line_items": sql("goods", "SELECT shipment_id, bool_or(length(trim(description)) > 9) AS has_items FROM goods GROUP BY 1"),
-    "agg13_profile_merge": sql("lines dossiers", f", {_PROFILE} SELECT * FROM profile"),
-    "join10_row_boxes": sql("tokens", ", l AS (SELECT document_id, (y1 // 20)::INT AS row, list_distinct(list(lower(text))) AS w FROM tokens WHERE page = 1 GROUP BY 1, 2), d AS (SELECT document_id, list_distinct(list_append(w, 'total')) AS w FROM l WHERE row = 2), s AS (SELECT document_id, row, len(list_intersect(d.w, l.w)) / len(d.w) AS score FROM d JOIN l USING (document_id)) SELECT document_id, 1::BIGINT AS page, row, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, row) = 1"),
-    "join16_required_fields": sql("assertions dossiers", f"{_FV}, x AS (SELECT dossier_id AS shipment_id, unnest({_NEED!r}) AS entity_type FROM dossiers), y AS (SELECT * FROM x LEFT JOIN fields USING (shipment_id, entity_type)) SELECT 'MISSING_FIELD' AS code, entity_type AS field, count(*) AS n FROM y WHERE value IS NULL GROUP BY 2 UNION ALL SELECT 'UNRESOLVED_FIELD', entity_type, count(*) FROM y WHERE status IN ('conflict', 'warning', 'pending') GROUP BY 2 UNION ALL SELECT 'INVALID_NUMBER', entity_type, count(*) FROM y WHERE num <= 0 GROUP BY 2"),
-    "set1_blocker_union": sql("assertions dossiers goods", f"{_FV}, {_PROFILE}, {_B} SELECT code, count(*) AS n FROM b WHERE field <> 'VESSEL_NAME' GROUP BY 1"),
-    "agg12_readiness": sql("assertions dossiers goods", f"{_FV}, {_PROFILE}, {_B} SELECT dossier_id AS shipment_id, count(code) AS blocker_count, count(code) = 0 AS export_allowed FROM dossiers LEFT JOIN b ON dossier_id = shipment_id GROUP BY 1"),
-    "join05_party_labels": sql("tokens", r""", t AS (SELECT * REPLACE (CASE text WHEN 'the' THEN 'Shipper' WHEN 'de' THEN 'Consignee:' WHEN 'der' THEN 'Notify party' ELSE text END AS text) FROM tokens),
-        l AS (SELECT *, CASE WHEN n LIKE '%bank%' THEN 'issuing_bank' WHEN n LIKE '%forwarder%' OR n LIKE '%handling agent%' THEN 'freight_forwarder' WHEN n LIKE '%airline%' OR n LIKE '%carrier%' OR n LIKE '%agent%' THEN 'carrier' WHEN n LIKE '%notify%' THEN 'notify_party' WHEN n LIKE '%beneficiary%' THEN 'beneficiary' WHEN n LIKE '%exporter%' OR n LIKE '%shipper%' OR n LIKE '%seller%' THEN 'shipper' WHEN n LIKE '%consignee%' OR n LIKE '%bill to%' OR n LIKE '%deliver to%' OR n LIKE '%buyer%' THEN 'consignee' END AS role
-          FROM (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n FROM t)),
-        s AS (SELECT v.document_id, v.pos AS value_id, l.role, l.pos AS t_pos, CASE WHEN contains(lower(l.text), lower(v.text)) AND contains(l.text, ':') THEN 1.0 WHEN abs((v.y1 + v.y2) / 2 - (l.y1 + l.y2) / 2) <= 48 AND v.x1 >= l.x2 - 16 THEN 0.92 - least(greatest(v.x1 - l.x2, 0), 300) / 3000
-          WHEN v.y1 - l.y2 BETWEEN -16 AND 180 AND abs(v.x1 - l.x1) <= 180 THEN 0.82 - least(v.y1 - l.y2, 160) / 1600 END AS score FROM t v JOIN l ON l.document_id = v.document_id AND l.page = v.page AND l.role IS NOT NULL WHERE length(v.text) >= 12)
-        SELECT document_id, value_id, role, round(score, 6) AS score FROM s WHERE round(score, 6) >= 0.75 QUALIFY row_number() OVER (PARTITION BY document_id, value_id ORDER BY round(score, 6) DESC, t_pos) = 1"""),
-    "join06_party_types": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'issuing_bank' WHEN 1 THEN 'carrier' END AS role, CASE c_custkey % 3 WHEN 0 THEN 'ISSUING_BANK' WHEN 1 THEN 'CARRIER_NAME' END AS entity_type, c_custkey % 3 = 2 AS eligible FROM customer",
-    "flt03_consignee_filter": sql("assertions", "SELECT shipment_id, count(*) AS n FROM assertions WHERE entity_type = 'CONSIGNEE_NAME' AND seq % 3 <> 0 GROUP BY 1"),
-    "join07_link_values": sql("tokens", ", v AS (SELECT DISTINCT document_id, left(text, 5) AS value FROM tokens WHERE pos % 97 = 5), s AS (SELECT document_id, value, page, pos, CASE WHEN contains(lower(text), lower(value)) THEN 1.0 WHEN contains(lower(value), lower(text)) AND length(text) > 3 THEN 0.85 END AS score FROM v JOIN tokens USING (document_id)) SELECT * FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, value ORDER BY score DESC, pos) = 1"),
     "win02_adjacent_values": sql("tokens", ", n AS (SELECT document_id, pos, lower(text) AS label, [lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w] AS x FROM tokens WINDOW w AS (PARTITION BY document_id ORDER BY pos)) SELECT document_id, pos, label, list_filter(x, lambda y: regexp_matches(y, '[0-9]'))[1] AS value FROM n WHERE label IN ('the', 'token', 'de') AND len(list_filter(x, lambda y: regexp_matches(y, '[0-9]'))) > 0"),
     "win03_reading_order": sql("tokens", "SELECT document_id, page, (y1 // 20)::INT AS row, string_agg(text, ' ' ORDER BY x1) AS text FROM tokens GROUP BY 1, 2, 3"),
-    "win05_ordinals": sql("tokens", "SELECT document_id, max(pos) AS last, count(*) AS n FROM tokens GROUP BY 1"),
-    "ext01_label_match": sql("tokens", r""", n AS (SELECT document_id, pos, lower(split_part(text, ':', 1)) AS label, [{'t': lead(text, 1) OVER w, 'c': lead(confidence, 1) OVER w}, {'t': lead(text, 2) OVER w, 'c': lead(confidence, 2) OVER w}, {'t': lead(text, 3) OVER w, 'c': lead(confidence, 3) OVER w}] AS x FROM tokens WINDOW w AS (PARTITION BY document_id ORDER BY pos)),
-        f AS (SELECT document_id, pos, CASE WHEN label IN ('the', 'de') THEN 'GROSS_WEIGHT' ELSE 'CONSIGNEE_NAME' END AS entity_type, label IN ('de', 'and') AS later, CASE WHEN label IN ('the', 'de') THEN list_filter(x, lambda y: regexp_matches(y.t, '[0-9]'))[1] ELSE list_filter(x, lambda y: regexp_matches(y.t, '\p{L}{2}'))[1] END AS y FROM n WHERE label IN ('the', 'de', 'und', 'and'))
-        SELECT document_id, entity_type, y.t AS value, least(0.85, y.c) AS confidence FROM f WHERE y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, entity_type ORDER BY later, pos) = 1""".replace("\\\\p", "\\p")),
-    "ext05_reprocess": sql("assertions", f"SELECT entity_type, count(*) AS n, round(sum(floor(least(9500, 55 * round(confidence * 100) + 35 * 75 + 1000) / 100 + 0.5) / 100), 2) AS score FROM assertions e WHERE {_PAY} GROUP BY 1"),
     "aud01_append_events": "SELECT t AS ts, user_id, left(sha256(t || '|events|' || event_type || '|' || printf('%.2f', value)), 16) AS event_hash FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events)",
-    "aud02_trail": "SELECT user_id, count(*) AS n_events, min(ts)::VARCHAR AS first FROM events GROUP BY 1",
-    "aud03_derived_trail": sql("lines", "SELECT unnest(['classified', CASE WHEN seq % 7 = 0 THEN 'failed' ELSE 'extracted' END]) AS action, count(*) AS n FROM lines GROUP BY 1"),
-    "rpt01_shipment_status": sql("lines", "SELECT l_orderkey AS shipment_id, count(*) AS n_documents, count(*) FILTER (seq % 7 <> 0) AS n_done, floor(100 * count(*) FILTER (seq % 7 <> 0) / count(*))::BIGINT AS progress FROM lines GROUP BY 1"),
-    "str01_ingest": "SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders",
     "str03_live_progress": "SELECT o_custkey AS dossier_id, count(*) AS n_documents, count(*) FILTER (o_orderstatus = 'F') AS n_done, count(*) FILTER (o_orderstatus = 'O') AS n_error FROM orders GROUP BY 1",
 }
+_REQ = "need AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{e}')" for d, es in dims.DOCUMENT_FIELDS.items() for e in es) + ") AS n(document_type, entity_type))"
+_REQUIRED = f"['{'\', \''.join(dims.REQUIRED_FIELDS)}']"
+_PROFILE = f"""names AS (SELECT {dims.REQUIRED_PROFILE!r} AS n), parts AS (SELECT l_orderkey AS shipment_id, n[seq % 11 + 1] AS field_name, CASE WHEN q % 5 = 0 THEN ' ' ELSE q::VARCHAR END AS value, seq AS priority FROM lines, names
+  UNION ALL SELECT dossier_id, k, CASE WHEN k = 'currency_rate' THEN '305' ELSE 'R' END, 1000 FROM (SELECT dossier_id, unnest(n) AS k FROM dossiers, names WHERE status = 'done')),
+  profile AS (SELECT shipment_id, field_name, arg_max(value, priority) AS value FROM parts WHERE trim(value) <> '' GROUP BY 1, 2)"""
+_SHIP = f"""{_FV}, chosen AS (SELECT shipment_id, entity_type, coalesce(arg_max(value_txt, seq), arg_max(value_num, seq)::BIGINT::VARCHAR) AS value FROM decisions GROUP BY 1, 2),
+  stated AS (SELECT shipment_id, entity_type, CASE WHEN c.value IS NULL THEN status ELSE 'resolved' END AS status, coalesce(c.value, f.value) AS value FROM fields f LEFT JOIN chosen c USING (shipment_id, entity_type) UNION ALL SELECT shipment_id, entity_type, status, value FROM agreed),
+  need AS (SELECT dossier_id AS shipment_id, unnest({_REQUIRED}) AS entity_type FROM dossiers), asked AS (SELECT * FROM need LEFT JOIN stated USING (shipment_id, entity_type)),
+  b AS (SELECT shipment_id, 'MISSING_FIELD' AS code, entity_type AS field FROM asked WHERE value IS NULL
+  UNION ALL SELECT shipment_id, 'UNRESOLVED_FIELD', entity_type FROM asked WHERE value IS NOT NULL AND status IN ('conflict', 'warning', 'pending')
+  UNION ALL SELECT shipment_id, 'INVALID_NUMBER', entity_type FROM asked WHERE entity_type IN ('TOTAL_AMOUNT', 'GROSS_WEIGHT', 'PACKAGE_COUNT') AND TRY_CAST(value AS DOUBLE) <= 0
+  UNION ALL SELECT shipment_id, 'INVALID_CURRENCY', entity_type FROM asked WHERE entity_type = 'CURRENCY_CODE' AND NOT regexp_full_match(upper(value), '[A-Z]{{3}}')
+  UNION ALL SELECT shipment_id, 'INVALID_INCOTERM', entity_type FROM asked WHERE entity_type = 'INCOTERM' AND upper(value) NOT IN ('EXW', 'FCA', 'CPT', 'CIP', 'DAP', 'DPU', 'DDP', 'FAS', 'FOB', 'CFR', 'CIF')
+  UNION ALL SELECT dossier_id, 'NO_DOCUMENTS', 'dossier' FROM dossiers WHERE dossier_id NOT IN (SELECT l_orderkey FROM lines)
+  UNION ALL SELECT dossier_id, 'MISSING_TRANSPORT_DOCUMENT', 'transport_document' FROM dossiers WHERE dossier_id NOT IN (SELECT shipment_id FROM stated WHERE entity_type IN ('AWB_NUMBER', 'BL_NUMBER'))
+  UNION ALL SELECT dossier_id, 'MISSING_LINE_ITEMS', 'line_items' FROM dossiers WHERE dossier_id NOT IN (SELECT shipment_id FROM goods WHERE description <> '')
+  UNION ALL SELECT dossier_id, 'MISSING_DECLARATION_METADATA', k FROM (SELECT dossier_id, unnest({dims.REQUIRED_PROFILE!r}) AS k FROM dossiers) p WHERE NOT EXISTS (SELECT 1 FROM profile q WHERE q.shipment_id = p.dossier_id AND q.field_name = k))"""
+
+
+def _ship(body: str) -> str:
+    return sql("decisions agreed dossiers goods", f", {_PROFILE}{_SHIP} {body}")
+
+
+_EVIDENCE = r""", l AS (SELECT *, CASE WHEN n LIKE '%bank%' THEN 'issuing_bank' WHEN n LIKE '%forwarder%' OR n LIKE '%handling agent%' THEN 'freight_forwarder' WHEN n LIKE '%airline%' OR n LIKE '%carrier%' OR n LIKE '%agent%' THEN 'carrier' WHEN n LIKE '%notify%' THEN 'notify_party' WHEN n LIKE '%beneficiary%' THEN 'beneficiary' WHEN n LIKE '%exporter%' OR n LIKE '%shipper%' OR n LIKE '%seller%' THEN 'shipper' WHEN n LIKE '%consignee%' OR n LIKE '%bill to%' OR n LIKE '%deliver to%' OR n LIKE '%buyer%' THEN 'consignee' END AS role
+    FROM (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n FROM papers)),
+  own AS (SELECT *, CASE WHEN regexp_matches(lower(text), '\b(bank|bancorp|banking)\b') THEN 'issuing_bank' WHEN regexp_matches(lower(text), '\b(air|airlines?|airways|cargo)\b') THEN 'carrier' END AS named FROM papers),
+  s AS (SELECT v.document_id, v.pos AS value_id, l.role, l.pos AS t_pos, CASE WHEN contains(lower(l.text), lower(v.text)) AND contains(l.text, ':') THEN 1.0 WHEN abs((v.y1 + v.y2) / 2 - (l.y1 + l.y2) / 2) <= 48 AND v.x1 >= l.x2 - 16 THEN 0.92 - least(greatest(v.x1 - l.x2, 0), 300) / 3000
+    WHEN v.y1 - l.y2 BETWEEN -16 AND 180 AND abs(v.x1 - l.x1) <= 180 THEN 0.82 - least(v.y1 - l.y2, 160) / 1600 END AS score FROM own v JOIN l ON l.document_id = v.document_id AND l.page = v.page AND l.role IS NOT NULL WHERE v.named IS NULL),
+  near AS (SELECT document_id, value_id, role, round(score, 6) AS score FROM s WHERE round(score, 6) >= 0.75 QUALIFY row_number() OVER (PARTITION BY document_id, value_id ORDER BY round(score, 6) DESC, t_pos) = 1)"""
+ORACLES |= {
+    "flt01_declaration_fields": sql("assertions", "SELECT shipment_id, seq, entity_type FROM assertions WHERE NOT (entity_type = 'VESSEL_NAME' AND seq % 3 = 0)"),
+    "flt05_labels": sql("agreed", "SELECT shipment_id, entity_type, CASE entity_type WHEN 'AWB_NUMBER' THEN 'Air Waybill Number' WHEN 'BL_NUMBER' THEN 'Bill of Lading Number' WHEN 'HS_CODE' THEN 'HS Code' WHEN 'COUNTRY_OF_ORIGIN' THEN 'Country of Origin' WHEN 'PORT_OF_LOADING' THEN 'Port of Loading' WHEN 'PORT_OF_DISCHARGE' THEN 'Port of Discharge' WHEN 'CURRENCY_CODE' THEN 'Currency' WHEN 'INVOICE_NUMBER' THEN 'Invoice Number' WHEN 'SHIPPER_NAME' THEN 'Shipper Name' WHEN 'TOTAL_AMOUNT' THEN 'Total Amount' ELSE 'Incoterm' END AS label FROM agreed"),
+    "flt06_source_label": sql("lines", f", {_FILES} SELECT dossier_id, seq, CASE k WHEN 'packing-list' THEN 'Packing List' WHEN 'AWB' THEN 'Air Waybill' WHEN 'bill_of_lading' THEN 'Bill of Lading' WHEN 'delivery order' THEN 'Delivery Order' ELSE 'Commercial Invoice' END || ' — ' || name AS source_label FROM files"),
+    "flt08_tariff_search": "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND (lower(p_brand) LIKE '%red%' OR lower(p_name) LIKE '%red%')",
+    "flt12_contract": sql("lines", "SELECT l_orderkey, seq, CASE l_linenumber WHEN 2 THEN 'BAD_BOX' WHEN 4 THEN 'BAD_ENTITY_CONFIDENCE' WHEN 5 THEN 'BAD_TOKEN_CONFIDENCE' WHEN 6 THEN 'MISSING_FIELD:errors,MISSING_ENTITY_FIELD:unit' WHEN 7 THEN 'NOT_AN_OBJECT' ELSE '' END AS violations FROM lines"),
+    "flt14_line_admission": sql("goods", "SELECT shipment_id, seq, concat_ws(',', CASE WHEN seq % 7 = 0 THEN 'REQUIRED_TEXT' END, CASE WHEN seq % 5 = 0 THEN 'TOO_LONG' END, CASE WHEN seq % 6 = 0 THEN 'NOT_A_NUMBER' END, CASE WHEN seq % 6 <> 0 AND seq % 4 = 0 THEN 'NOT_POSITIVE' END, CASE WHEN seq % 6 <> 0 AND abs(quantity * CASE WHEN seq % 4 = 0 THEN -1 ELSE unit_price END - total_price) > greatest(0.02 * total_price, 0.01) THEN 'TOTAL_MISMATCH' END) AS violations FROM goods"),
+    "flt15_metadata_admission": sql("lines", "SELECT l_orderkey, seq, concat_ws(',', CASE WHEN seq % 2 = 0 THEN 'UNKNOWN_KEY:colour' END, CASE WHEN seq % 3 = 0 THEN 'EMPTY' END, CASE WHEN seq % 3 <> 0 AND seq % 5 = 0 THEN 'TOO_LONG' END) AS violations, CASE WHEN seq % 3 = 0 THEN 0 ELSE 2 END AS n_clean FROM lines"),
+    "flt16_table_types": sql("assertions", "SELECT DISTINCT document_id, document_type FROM assertions WHERE document_type IN ('commercial_invoice', 'packing_list')"),
+    "flt19_rule_catalogue": sql("assertions", "SELECT CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END AS rule, CASE WHEN is_num THEN 'Numbers agree' ELSE 'Texts agree' END AS label, 'Ready' AS status, count(DISTINCT shipment_id || entity_type) AS n_fields FROM assertions GROUP BY is_num"),
+    "flt03_consignee_filter": sql("assertions", "SELECT shipment_id, seq, entity_type FROM assertions WHERE entity_type <> 'CONSIGNEE_NAME' OR seq % 3 = 1 OR (seq % 3 = 2 AND seq % 2 = 1)"),
+    "snk09_status_update": "SELECT user_id, event_type AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "snk10_cascade_delete": "SELECT o_orderkey AS dossier_id, 'dossiers' AS kind, 1 AS n FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT l_orderkey, 'documents', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
+    "join03_canonicalized_misses": sql("lines", f", {_CACHE}, w AS (SELECT trim(p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END) AS raw FROM part), k AS (SELECT raw, 'GOODS:' || list_aggregate(list_sort(list_filter(string_split_regex(lower(raw), '[^a-z0-9]+'), lambda x: x <> '')), 'string_agg', ' ') AS cache_key FROM w) SELECT cache_key, upper(min(raw)) AS canonical FROM k WHERE cache_key NOT IN (SELECT cache_key FROM cache) GROUP BY 1"),
+    "agg11_telemetry": sql("assertions", f", {_REQ}, docs AS (SELECT DISTINCT document_id, document_type, seq FROM assertions), r AS (SELECT d.*, a.entity_type IS NOT NULL AND seq % 2 = 0 AS l, a.entity_type IS NOT NULL AND seq % 3 = 0 AS v FROM docs d JOIN need USING (document_type) LEFT JOIN (SELECT DISTINCT document_id, entity_type FROM assertions) a ON a.document_id = d.document_id AND a.entity_type = need.entity_type) SELECT document_id, document_type, count(*) AS requested, count(*) FILTER (l) AS local, count(*) FILTER (NOT l) AS fallback, count(*) FILTER (NOT l AND v) AS recovered, count(*) FILTER (NOT l AND NOT v) AS failed FROM r GROUP BY 1, 2"),
+    "join15_missing_fields": sql("assertions", f", {_REQ}, docs AS (SELECT DISTINCT document_id, document_type FROM assertions) SELECT document_id, entity_type FROM docs JOIN need USING (document_type) WHERE (document_id, entity_type) NOT IN (SELECT document_id, entity_type FROM assertions)"),
+    "agg15_ocr_quality": sql("papers", "SELECT document_id, count(*) AS n_tokens, round(round(avg(confidence), 8), 4) AS confidence, 2 AS n_expected, CASE WHEN document_id % 10 = 0 THEN 1 ELSE 2 END AS n_recovered FROM papers GROUP BY 1"),
+    "agg16_transport_document": sql("agreed", "SELECT shipment_id, bool_or(entity_type IN ('AWB_NUMBER', 'BL_NUMBER')) AS has_transport FROM agreed GROUP BY 1"),
+    "agg14_has_line_items": sql("dossiers goods", "SELECT shipment_id, bool_or(h) AS has_items FROM (SELECT shipment_id, unit_price < 1000 AND trim(description) <> '' AS h FROM goods UNION ALL SELECT dossier_id, status = 'done' FROM dossiers) GROUP BY 1"),
+    "agg13_profile_merge": sql("lines dossiers", f", {_PROFILE} SELECT * FROM profile"),
+    "join16_required_fields": _ship(f"SELECT shipment_id, code, field FROM b WHERE list_contains({_REQUIRED}, field) OR list_contains({dims.REQUIRED_PROFILE!r}, field)"),
+    "set1_blocker_union": _ship("SELECT shipment_id, code, count(*) AS n FROM b GROUP BY 1, 2"),
+    "agg12_readiness": _ship("SELECT dossier_id AS shipment_id, count(code) AS blocker_count, count(code) = 0 AS export_allowed, coalesce(string_agg(code || ':' || field, ',' ORDER BY code || ':' || field), '') AS blockers FROM dossiers LEFT JOIN b ON dossier_id = shipment_id GROUP BY 1"),
+    "snk11_declarations": _ship("""
+      , f AS (PIVOT stated ON entity_type IN ('SHIPPER_NAME', 'CONSIGNEE_NAME', 'TOTAL_AMOUNT', 'CURRENCY_CODE', 'COUNTRY_OF_ORIGIN', 'PORT_OF_DISCHARGE', 'HS_CODE', 'GROSS_WEIGHT') USING any_value(value) GROUP BY shipment_id),
+      i AS (SELECT shipment_id, count(*) AS n_items, arg_min(description, seq) AS description, arg_min(floor(total_price), seq) AS price FROM goods GROUP BY 1)
+      SELECT shipment_id, SHIPPER_NAME AS exporter, CONSIGNEE_NAME AS consignee, TOTAL_AMOUNT AS total, CURRENCY_CODE AS currency, CASE WHEN length(COUNTRY_OF_ORIGIN) = 2 THEN upper(COUNTRY_OF_ORIGIN) ELSE '' END AS export_country, PORT_OF_DISCHARGE AS place, '2026-01-31' AS registered,
+        HS_CODE AS hs_code, GROSS_WEIGHT AS gross, n_items, description, price * 305 AS statistical FROM f JOIN i USING (shipment_id) WHERE shipment_id NOT IN (SELECT shipment_id FROM b) AND shipment_id IN (SELECT dossier_id FROM dossiers)"""),
+    "join05_party_labels": sql("papers", f"{_EVIDENCE} SELECT * FROM near"),
+    "join06_party_types": sql("papers", f"{_EVIDENCE}, r AS (SELECT own.document_id, own.pos AS value_id, coalesce(named, near.role) AS role FROM own LEFT JOIN near ON near.document_id = own.document_id AND near.value_id = own.pos) SELECT *, CASE role WHEN 'carrier' THEN 'CARRIER_NAME' WHEN 'issuing_bank' THEN 'ISSUING_BANK' WHEN 'shipper' THEN 'SHIPPER_NAME' WHEN 'consignee' THEN 'CONSIGNEE_NAME' END AS effective_type, coalesce(role = 'consignee', false) AS eligible FROM r"),
+    "join07_link_values": sql("tokens", ", v AS (SELECT DISTINCT document_id, left(text, 5) AS value FROM tokens WHERE length(text) >= 5), s AS (SELECT document_id, value, page, pos, CASE WHEN contains(lower(text), lower(value)) THEN 1.0 WHEN contains(lower(value), lower(text)) AND length(text) > 3 THEN 0.85 END AS score FROM v JOIN tokens USING (document_id)) SELECT * FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, value ORDER BY score DESC, pos) = 1"),
+    "ext02_pattern_match": """WITH o AS (SELECT o_orderkey AS document_id, o_orderkey % 4 AS kind, (100 + o_orderkey % 900) || ' kgs' AS w, o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice) AS BIGINT)::VARCHAR AS p FROM orders),
+      v AS (SELECT document_id, unnest([{'e': 'GROSS_WEIGHT', 'v': w}, {'e': 'NET_WEIGHT', 'v': w}, {'e': 'TARE_WEIGHT', 'v': w}, {'e': 'INVOICE_NUMBER', 'v': CASE WHEN kind = 0 THEN 'INV-' || k END}, {'e': 'CURRENCY_CODE', 'v': CASE WHEN kind IN (0, 2) THEN 'USD' END}, {'e': 'TOTAL_AMOUNT', 'v': CASE WHEN kind IN (0, 2) THEN p END},
+        {'e': 'INCOTERM', 'v': CASE WHEN kind = 0 THEN 'FOB Colombo' END}, {'e': 'PACKAGE_COUNT', 'v': CASE WHEN kind IN (1, 3) THEN (10 + c % 90) || ' cartons' END}, {'e': 'CONTAINER_NUMBER', 'v': CASE WHEN kind = 3 THEN 'MSKU' || (1000000 + k) END}]) AS x FROM o)
+      SELECT document_id, x.e AS entity_type, x.v AS value FROM v WHERE x.v IS NOT NULL""",
+    "win05_ordinals": sql("assertions", "SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY entity_type) - 1)::INT AS ordinal, entity_type FROM assertions"),
+    "ext05_reprocess": sql("assertions", f"SELECT document_id, entity_type, floor(least(9500, 55 * round(confidence * 100) + 35 * 75 + 1000) / 100 + 0.5) / 100 AS score FROM assertions e WHERE {_PAY}"),
+    "aud02_trail": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n_events FROM events",
+    "aud03_derived_trail": _ship("SELECT l_orderkey AS shipment_id, 'classified' AS action, l_orderkey || '-' || seq AS subject, ['commercial_invoice', 'packing_list', 'bl', 'awb'][seq % 4 + 1] AS outcome FROM lines UNION ALL SELECT l_orderkey, 'extracted', l_orderkey || '-' || seq, CASE WHEN seq % 7 = 0 THEN 'error' ELSE 'done' END FROM lines UNION ALL SELECT shipment_id, 'resolved', count(*) || ' fields', count(*) FILTER (status = 'conflict') || ' conflicts' FROM fields GROUP BY 1 UNION ALL SELECT dossier_id, 'assessed', count(code) || ' blockers', CASE WHEN count(code) = 0 THEN 'ready' ELSE 'blocked' END FROM dossiers LEFT JOIN b ON dossier_id = shipment_id GROUP BY dossier_id"),
+    "rpt01_shipment_status": sql("lines dossiers", "SELECT dossier_id, status, CASE status WHEN 'done' THEN 100 WHEN 'processing' THEN 50 ELSE 0 END AS progress, count(seq) AS n_documents, count(seq) FILTER (seq % 7 <> 0) AS n_done, coalesce(string_agg(l_orderkey || '-' || seq || '/' || ['commercial_invoice', 'packing_list', 'bl', 'awb'][seq % 4 + 1] || '/' || printf('%.2f', confidence) || '/' || CASE WHEN seq % 7 = 0 THEN 'error' ELSE 'done' END, '|' ORDER BY seq), '') AS documents FROM dossiers LEFT JOIN lines ON l_orderkey = dossier_id GROUP BY 1, 2"),
+    "src02_result_bundles": sql("assertions", "SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY entity_type) - 1)::INT AS ent_seq, entity_type FROM assertions WHERE seq % 9 <> 0"),
+    "src03_page_readings": sql("papers", "SELECT document_id, pos, text, y1, confidence FROM papers"),
+    "src05_manifest": sql("agreed", "SELECT shipment_id || '.pdf' AS file, entity_type, lower(entity_type) AS label, value FROM agreed"),
+    "snk01_save_results": sql("lines", "SELECT l_orderkey || '-' || seq AS document_id, CASE WHEN seq % 5 = 0 THEN 'pending' WHEN seq % 7 = 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN seq % 5 > 0 THEN ['commercial_invoice', 'packing_list', 'bl', 'awb'][seq % 4 + 1] END AS document_type, seq % 5 > 0 AS has_result, CASE WHEN seq % 5 > 0 AND seq % 7 = 0 THEN 'unreadable' END AS error FROM lines"),
+    "snk02_create_dossiers": sql("lines", f", {_FILES} SELECT DISTINCT dossier_id, '' AS document_id, '' AS original_name, 'pending' AS status FROM files UNION ALL SELECT dossier_id, left(sha256(dossier_id || '/' || dossier_id || '/' || seq || '/' || name), 32), name, 'pending' FROM files"),
+    "snk13_downloads": sql("assertions", "SELECT 'graph' AS kind, shipment_id::VARCHAR AS key, (1 + count(DISTINCT document_id) + count(DISTINCT entity_type) + count(*))::INT AS n, (count(DISTINCT document_id) + count(DISTINCT entity_type) + count(*) + count(*) FILTER (seq > 1))::INT AS m FROM assertions GROUP BY shipment_id UNION ALL SELECT 'audit', user_id::VARCHAR, count(*)::INT, count(*)::INT FROM events GROUP BY user_id"),
+    "str01_ingest": "SELECT doc_id AS document_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'error' ELSE 'done' END AS status, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0 ELSE 1 END AS n_entities FROM documents",
+    "str02_audit_stream": "SELECT DISTINCT left(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|events|' || event_type || '|' || event_id), 16) AS event_hash, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events",
+}

@@ -35,6 +35,16 @@ def _line_query(**columns):
     return run
 
 
+def _parsed_query(make, *fields: str):
+    """The fields of one parsed struct per line."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = lines(spark, sf_dir)
+        return base.select(*LINE_KEY, make(base).alias("x")).select(*LINE_KEY, *(f"x.{f}" for f in fields))
+
+    return run
+
+
 def _raw_number(_) -> Column:
     c = F.col("cents")
     return _pick(F.col("l_linenumber"), F.concat(F.lit("USD "), _grouped(c, ",", ".")), F.concat(_grouped(c, ".", ",")), F.concat(F.lit("lkr"), _grouped(c, ",", "."), F.lit(" only")), F.concat(F.floor(c / 100).cast("string"), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0")))
@@ -89,12 +99,25 @@ def set4_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.size(F.array_intersect(x, y)).alias("n_both"), F.size(F.array_union(x, y)).alias("n_either"))
 
 
-def fn18_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the mean vector of its label."""
+def _beside_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector beside the mean vector of its label."""
     v = table(spark, sf_dir, "embeddings")
     at = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = at.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("center"))
-    return v.join(mean, "label").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("center")), 5).alias("cosine"))
+    return v.join(mean, "label")
+
+
+def fn18_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _beside_means(spark, sf_dir).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("center")), 5).alias("cosine"))
+
+
+def fn19_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of ports: some equal but for case and dots, some with vectors, some with words only."""
+    k = F.col("vec_id") % 3
+    name = F.concat(F.lit("Port "), F.col("label"))
+    other = F.when(k == 0, F.concat(F.lower(name), F.lit("."))).otherwise(F.concat(F.lit("Port of "), F.col("label")))
+    like = S.similarity(name, other, F.when(k < 2, F.col("embedding")), F.col("center"))
+    return _beside_means(spark, sf_dir).select("vec_id", F.round(like, 5).alias("similarity"))
 
 
 def fn14_entity_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,20 +185,11 @@ def fn22_declaration_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fn27_value_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a word could be a number, a code or a text: digits decide, and a label isn't a value."""
-    w = F.col("text")
-    numeric, code = F.rlike(w, F.lit(r"^[-+]?[0-9][0-9.,]*$")), F.rlike(w, F.lit(r"^(?=.*[0-9])[A-Za-z0-9/_-]{4,}$"))
-    from ..sources.bindings import tokens
-
-    return tokens(spark, sf_dir).groupBy(F.when(numeric, "number").when(code, "code").when(F.rlike(w, F.lit(r"[A-Za-z]{2}")), "text").otherwise("other").alias("shape")).agg(F.count("*").alias("n"))
-
-
 QUERIES = {
     "fn01_number": _line_query(value=lambda d: N.number(_raw_number(d))),
-    "fn02_weight": _line_query(value=lambda d: N.weight(_raw_weight(d))["value"], unit=lambda d: N.weight(_raw_weight(d))["unit"], warn=lambda d: N.weight(_raw_weight(d))["warn"]),
-    "fn03_volume": _line_query(value=lambda d: N.volume(_raw_volume(d))["value"], warn=lambda d: N.volume(_raw_volume(d))["warn"]),
-    "fn04_package_count": _line_query(value=lambda d: N.package_count(_raw_count(d))["value"], unit=lambda d: N.package_count(_raw_count(d))["unit"], warn=lambda d: N.package_count(_raw_count(d))["warn"]),
+    "fn02_weight": _parsed_query(lambda d: N.weight(_raw_weight(d)), "value", "unit", "warn"),
+    "fn03_volume": _parsed_query(lambda d: N.volume(_raw_volume(d)), "value", "warn"),
+    "fn04_package_count": _parsed_query(lambda d: N.package_count(_raw_count(d)), "value", "unit", "warn"),
     "fn05_incoterm": _line_query(code=lambda d: N.incoterm(_pick(F.col("l_linenumber"), F.lit(" Free On Board "), F.lit("CIF London"), F.lit("delivered duty paid"), F.lit("terms: fca, exw"), F.concat(F.lit("x"), F.col("q").cast("string"))))),
     "fn06_currency": _line_query(code=lambda d: N.currency(_pick(F.col("l_linenumber"), F.lit("usd"), F.lit("US Dollars"), F.lit(" yen"), F.lit("Chf"), F.lit("Sri Lankan Rupee"), F.lit("franc")))),
     "fn07_date": _line_query(day=lambda d: N.iso_date(_raw_date(d))),
@@ -189,6 +203,7 @@ QUERIES = {
     "fn15_model_confidence": fn15_model_confidence,
     "fn17_jaccard": fn17_jaccard,
     "fn18_cosine": fn18_cosine,
+    "fn19_similarity": fn19_similarity,
     "fn20_first_number": _line_query(value=lambda d: N.first_number(F.concat(F.lit("about -"), _grouped(F.col("cents"), ",", "."), F.lit(" or 7")))),
     "fn21_country": fn21_country,
     "fn22_declaration_formats": fn22_declaration_formats,
@@ -196,7 +211,6 @@ QUERIES = {
     "fn24_net_mass": _line_query(net=lambda d: F.greatest(F.lit(0.0), F.col("l_quantity") * 10 - F.col("l_linenumber") * 22.5)),
     "fn25_event_hash": fn25_event_hash,
     "fn26_party_role": fn26_party_role,
-    "fn27_value_shape": fn27_value_shape,
     "fn28_ids": fn28_ids,
     "fn29_strip_fences": fn29_strip_fences,
     "fn30_spread_scores": fn30_spread_scores,
@@ -237,6 +251,9 @@ ORACLES = {
     "fn18_cosine": """WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i),
         p AS (SELECT vec_id, sum(x * m) AS d, sqrt(sum(x * x)) AS a, sqrt(sum(m * m)) AS b FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) JOIN c USING (label, i) GROUP BY vec_id)
         SELECT vec_id, round(d / (a * b), 5) AS cosine FROM p""",
+    "fn19_similarity": """WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i),
+        p AS (SELECT vec_id, sum(x * m) AS d, sqrt(sum(x * x)) AS a, sqrt(sum(m * m)) AS b FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) JOIN c USING (label, i) GROUP BY vec_id)
+        SELECT vec_id, round(CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN d / (a * b) ELSE 2 / 3 END, 5) AS similarity FROM p""",
     "fn20_first_number": _lines("-cents / 100 AS value"),
     "fn21_country": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN length(n_name) = 2 THEN upper(n_name) END ELSE upper(left(n_name, 2)) END AS code FROM nation",
     "fn22_declaration_formats": _lines("seq, l_linenumber % 4 < 2 AS currency_ok, seq % 3 < 2 AS incoterm_ok, q % 3 = 0 AND q > 0 AS number_ok"),
@@ -244,8 +261,6 @@ ORACLES = {
     "fn24_net_mass": _lines("greatest(0, l_quantity * 10 - l_linenumber * 22.5) AS net"),
     "fn25_event_hash": "SELECT event_id, left(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || event_type || '|record|' || props), 16) AS event_hash FROM events",
     "fn26_party_role": "SELECT c_custkey, ['shipper', 'notify_party', 'consignee', 'issuing_bank', 'carrier', 'freight_forwarder', 'consignee', NULL][c_custkey % 8 + 1] AS role FROM customer",
-    "fn27_value_shape": sql("tokens", r"""SELECT CASE WHEN regexp_matches(text, '^[-+]?[0-9][0-9.,]*$') THEN 'number' WHEN regexp_matches(text, '^[A-Za-z0-9/_-]{4,}$') AND regexp_matches(text, '[0-9]') THEN 'code'
-        WHEN regexp_matches(text, '[A-Za-z]{2}') THEN 'text' ELSE 'other' END AS shape, count(*) AS n FROM tokens GROUP BY 1"""),
     "fn28_ids": sql("assertions", "SELECT 'shipment:' || shipment_id || ':field:' || entity_type AS canonical_field_id, 'assertion:' || document_id || ':' || entity_type || ':' || seq AS assertion_id FROM assertions"),
     "fn29_strip_fences": "SELECT c_custkey, '{\"id\": ' || c_custkey || '}' AS body FROM customer",
     "fn30_spread_scores": _lines(", ".join(f"CASE WHEN l_linenumber % 4 = {i} THEN confidence ELSE round((1 - confidence) / 3, 4) END AS {x}" for i, x in enumerate("abcd"))),

@@ -12,7 +12,7 @@ from ..functions.normalize import text_key
 from ..operators import consensus as C
 from ..operators import explain as X
 from ..operators import rules as R
-from ..sources.bindings import assertions, dossiers, goods, lines, sql, table
+from ..sources.bindings import assertions, decisions, lines, sql, table
 
 FIELD = C.FIELD
 
@@ -36,7 +36,7 @@ def agg03_numeric_consensus(spark, sf_dir):
 
 
 def agg04_field_rollup(spark, sf_dir):
-    return _fields(spark, sf_dir).drop("consensus_key")
+    return _fields(spark, sf_dir).drop("consensus_key", "representative")
 
 
 def agg05_assertion_flags(spark, sf_dir):
@@ -55,29 +55,6 @@ def top02_conflicts_first(spark, sf_dir):
     return f.select(*FIELD, "status", order.alias("place"))
 
 
-def _choices(spark, sf_dir) -> DataFrame:
-    """Reviewer decisions: for every fifth shipment the weight of its last document, twice for some."""
-    a = assertions(spark, sf_dir).filter("entity_type = 'GROSS_WEIGHT' AND shipment_id % 5 = 0")
-    rows = a.filter("seq <= 2").select(*FIELD, "seq", F.col("num").alias("value_num"), F.lit(None).cast("string").alias("value_txt"))
-    return C.latest(rows, FIELD, [F.col("seq")])
-
-
-def join04_reviewer_overlay(spark, sf_dir):
-    return C.overlay(_fields(spark, sf_dir), _choices(spark, sf_dir)).select(*FIELD, "status", "consensus_num", "consensus_txt")
-
-
-def snk06_resolution_upsert(spark, sf_dir):
-    return _choices(spark, sf_dir)
-
-
-def join17_resolution_validation(spark, sf_dir):
-    """Decisions whose assertion isn't one of the field's are rejected."""
-    a = assertions(spark, sf_dir)
-    asked = a.filter("entity_type = 'GROSS_WEIGHT'").select("shipment_id", "entity_type", (F.col("seq") + F.col("shipment_id") % 3).alias("seq"))
-    ok = asked.join(a.select("shipment_id", "entity_type", "seq"), ["shipment_id", "entity_type", "seq"], "left_semi").withColumn("accepted", F.lit(True))
-    return ok.unionByName(asked.join(a.select("shipment_id", "entity_type", "seq"), ["shipment_id", "entity_type", "seq"], "left_anti").withColumn("accepted", F.lit(False)))
-
-
 def _pairs(spark, sf_dir) -> DataFrame:
     a = assertions(spark, sf_dir)
     return R.outlier_pairs(C.flagged(a, C.resolve(a)))
@@ -113,10 +90,6 @@ def win04_first_members(spark, sf_dir):
     return C.flagged(a, C.resolve(a)).filter("not is_outlier").groupBy(*FIELD).agg(F.min("seq").alias("first_seq"))
 
 
-def join14_source_pairs(spark, sf_dir):
-    return X.source_pairs(assertions(spark, sf_dir).filter("entity_type = 'GROSS_WEIGHT'")).select("shipment_id", "a_seq", "b_seq", F.round("percent", 4).alias("percent"))
-
-
 def rul05_weight_consistency(spark, sf_dir):
     w = lines(spark, sf_dir).select("l_orderkey", "seq", F.col("l_quantity").alias("gross"), F.round(F.col("l_quantity") * (1 - F.col("l_discount")), 2).alias("net"), F.col("l_linenumber").cast("double").alias("tare"))
     return R.weight_inconsistent(w)
@@ -143,11 +116,6 @@ def join13_must_match(spark, sf_dir):
     return R.must_match(edges, a).select(*FIELD, "a_seq", "b_seq")
 
 
-def xai01_provenance(spark, sf_dir):
-    p = X.explained(R.failures(_pairs(spark, sf_dir)))
-    return p.select(*FIELD, F.col("provenance.a.document_id").alias("a_document"), F.col("provenance.b.document_id").alias("b_document"), F.size("reasoning.steps").alias("n_steps"))
-
-
 def xai03_confidence(spark, sf_dir):
     p = X.explained(R.failures(_pairs(spark, sf_dir)))
     return p.select(*FIELD, "a_seq", "b_seq", F.round("confidence.mean", 4).alias("mean"), F.round("confidence.product", 4).alias("product"), F.col("confidence.level").alias("level"))
@@ -158,60 +126,123 @@ def xai04_recommendation(spark, sf_dir):
     return p.filter("kind = 'numeric'").select(*FIELD, "a_seq", "b_seq", F.round("recommendation.delta", 4).alias("delta"))
 
 
+def flt07_discrepancy_search(spark, sf_dir):
+    d = R.tiered(_fields(spark, sf_dir).filter("status = 'conflict'"))
+    return d.filter((F.col("severity") == "high") & F.lower(F.col("entity_type")).contains("weight")).select("shipment_id", "entity_type")
+
+
+def flt09_needs_review(spark, sf_dir):
+    return _fields(spark, sf_dir).select(*FIELD, F.col("status").isin("conflict", "warning", "pending").alias("needs_review"))
+
+
+def snk06_resolution_upsert(spark, sf_dir):
+    """Of reviewers' decisions on a field the last one."""
+    return C.latest(decisions(spark, sf_dir), FIELD, [F.col("seq")])
+
+
+def join04_reviewer_overlay(spark, sf_dir):
+    return C.overlay(_fields(spark, sf_dir), snk06_resolution_upsert(spark, sf_dir)).select(*FIELD, "status", "consensus_num", "consensus_txt")
+
+
+def join17_resolution_validation(spark, sf_dir):
+    """Decisions, some on a field or an assertion that isn't there; those are rejected with the reason."""
+    a = assertions(spark, sf_dir)
+    field = F.when(F.col("seq") % 5 == 0, "FLIGHT_NUMBER").otherwise(F.col("entity_type"))
+    asked = decisions(spark, sf_dir).select("shipment_id", field.alias("entity_type"), (F.col("seq") + F.when(F.col("seq") % 3 == 0, 100).otherwise(0)).alias("seq"))
+    return C.validated(asked, a).select(*FIELD, "seq", "rejected")
+
+
+def join14_source_pairs(spark, sf_dir):
+    return X.source_pairs(assertions(spark, sf_dir).filter("is_num")).select(*FIELD, "a_seq", "b_seq", F.round("percent", 4).alias("percent"))
+
+
+def rul07_text_conflict(spark, sf_dir):
+    return R.text_conflicts(assertions(spark, sf_dir)).select(*FIELD)
+
+
+def xai01_provenance(spark, sf_dir):
+    p = X.explained(R.failures(_pairs(spark, sf_dir)))
+    side = lambda x: (F.col(f"provenance.{x}.document_id").alias(f"{x}_document"), F.col(f"provenance.{x}.assertion_id").alias(f"{x}_id"), F.col(f"provenance.{x}.snippet").alias(f"{x}_snippet"), F.array_join(F.col(f"provenance.{x}.bbox").cast("array<string>"), ",").alias(f"{x}_box"))
+    return p.select(*FIELD, *side("a"), *side("b"))
+
+
+def xai02_reasoning(spark, sf_dir):
+    """The steps from what both documents state to the failure."""
+    p = X.explained(R.failures(_pairs(spark, sf_dir)))
+    return p.select(*FIELD, "a_seq", "b_seq", F.array_join("reasoning.steps", "; ").alias("steps"), F.col("reasoning.rule").alias("rule"), F.col("reasoning.conclusion").alias("conclusion"))
+
+
 def xai05_counterfactuals(spark, sf_dir):
-    o = X.numeric_options(X.source_pairs(assertions(spark, sf_dir).filter("entity_type = 'GROSS_WEIGHT'")))
-    return o.select("shipment_id", F.size("options").alias("n_options"))
+    """Options of fields whose numbers differ, over all assertions."""
+    o = X.counterfactuals(assertions(spark, sf_dir)).filter("conflict_type = 'numeric_variance'")
+    return o.select(*FIELD, F.array_join("options", "|").alias("options"))
+
+
+def xai07_all_options(spark, sf_dir):
+    """Failures with the options and advice of their field: a batch."""
+    a = assertions(spark, sf_dir)
+    d = X.with_counterfactuals(R.discrepancies(R.failures(R.outlier_pairs(C.flagged(a, C.resolve(a))))), a)
+    return d.select("discrepancy_id", *FIELD, F.size("options").alias("n_options"), F.get("options", F.lit(0)).alias("first"), "recommendation")
+
+
+def xai07_inconsistency_options(spark, sf_dir):
+    w = lines(spark, sf_dir).select("l_orderkey", "seq", F.lit("packing_list").alias("document_type"), F.col("l_quantity").alias("gross"), F.round(F.col("l_quantity") * (1 - F.col("l_discount")), 2).alias("net"), F.col("l_linenumber").cast("double").alias("tare"))
+    return X.inconsistencies(R.weight_inconsistent(w)).select("l_orderkey", "seq", F.get("options", F.lit(1)).alias("found"), F.size("options").alias("n_options"))
 
 
 def set05_ordered_distinct(spark, sf_dir):
-    a = assertions(spark, sf_dir).filter("entity_type = 'VESSEL_NAME'")
-    values = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "txt"))), lambda x: x["txt"]))
-    return a.groupBy("shipment_id").agg(F.array_join(values, "|").alias("options"))
+    """A field's values in order of evidence, each once."""
+    v = assertions(spark, sf_dir).select(*FIELD, "seq", F.coalesce("txt", F.col("num").cast("bigint").cast("string")).alias("value"))
+    once = v.groupBy(*FIELD, "value").agg(F.min("seq").alias("seq")).groupBy(*FIELD)
+    return once.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "|").alias("options"))
 
 
 def top05_capped_options(spark, sf_dir):
-    a = assertions(spark, sf_dir).filter("entity_type = 'GROSS_WEIGHT'")
-    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "num"))), 1, 4)
-    return a.groupBy("shipment_id").agg(first.alias("x")).select("shipment_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v["num"]).alias("total"))
+    """A field's first four documents."""
+    w = Window.partitionBy(*FIELD).orderBy("seq")
+    return assertions(spark, sf_dir).withColumn("place", F.row_number().over(w)).filter("place <= 4").select(*FIELD, "document_id", "place")
 
 
 def grf01_nodes(spark, sf_dir):
-    return X.nodes(assertions(spark, sf_dir)).groupBy("kind").agg(F.countDistinct("id").alias("n"))
+    return X.nodes(assertions(spark, sf_dir))
 
 
 def grf02_edges(spark, sf_dir):
-    return X.edges(assertions(spark, sf_dir)).groupBy("relation").agg(F.count("*").alias("n"))
+    return X.edges(assertions(spark, sf_dir))
+
+
+def set02_graph_union(spark, sf_dir):
+    """How many nodes and edges of each kind a shipment's graph has."""
+    a = assertions(spark, sf_dir)
+    n = X.nodes(a, keep=["shipment_id"]).groupBy("shipment_id", "kind").agg(F.count("*").alias("n"))
+    return n.unionByName(X.edges(a, keep=["shipment_id"]).groupBy("shipment_id", F.col("relation").alias("kind")).agg(F.count("*").alias("n")))
 
 
 def grf03_node_status(spark, sf_dir):
+    """Status of every node; fields have their own."""
     a = assertions(spark, sf_dir)
     f = C.resolve(a)
-    return C.flagged(a, f).groupBy(F.when(F.col("is_outlier"), "conflict").otherwise("match").alias("status")).agg(F.count("*").alias("n"))
+    own = f.select(F.concat_ws(":", F.lit("shipment"), "shipment_id", F.lit("field"), "entity_type").alias("id"), "status")
+    return X.node_status(C.flagged(a, f), own)
 
 
 def grf04_neighbours(spark, sf_dir):
-    e = X.edges(assertions(spark, sf_dir)).filter("relation = 'ASSERTS_VALUE_FOR'")
-    return e.groupBy(F.col("target").alias("field_id")).agg(F.count("*").alias("n_assertions"))
-
-
-def flt07_discrepancy_search(spark, sf_dir):
-    d = R.tiered(_fields(spark, sf_dir).filter("status = 'conflict'"))
-    return d.filter((F.col("severity") == "high") & F.lower(F.col("entity_type")).contains("weight")).select("shipment_id", "entity_type")
-
-
-def flt09_needs_review(spark, sf_dir):
-    return _fields(spark, sf_dir).select(*FIELD, F.col("status").isin("conflict", "warning", "pending").alias("needs_review"))
+    """The assertions of every field."""
+    a = assertions(spark, sf_dir)
+    return X.neighbours(X.edges(a), X.nodes(a).filter("kind = 'field'"), "ASSERTS_VALUE_FOR").select("target", "source")
 
 
 def join18_entity_outlier(spark, sf_dir):
+    """Assertions that an outlier of the same document, field and page stands for."""
     a = assertions(spark, sf_dir)
     out = C.flagged(a, C.resolve(a)).filter("is_outlier").select("document_id", "entity_type", "page").distinct()
-    return a.join(out, ["document_id", "entity_type", "page"], "left_semi").groupBy("entity_type").agg(F.count("*").alias("n"))
+    return a.join(out, ["document_id", "entity_type", "page"], "left_semi").select("document_id", "entity_type", "page")
 
 
 def agg17_selection_counts(spark, sf_dir):
+    """Conflicts and settled fields of every shipment."""
     f = _fields(spark, sf_dir)
-    return f.groupBy("entity_type").agg(F.count_if(F.col("status") == "conflict").alias("n_conflicts"), F.count("*").alias("n_fields"))
+    return f.groupBy("shipment_id").agg(F.count_if(F.col("status") == "conflict").alias("n_conflicts"), F.count("*").alias("n_fields"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in ("agg", "top", "joi", "snk", "rul", "win", "xai", "set", "grf", "flt") and callable(v) and k[-1] != "_" and any(ch.isdigit() for ch in k[:6])}
@@ -241,7 +272,6 @@ def _r(body: str) -> str:
 
 _F = "shipment_id, entity_type"
 _AUTH = " ".join(f"WHEN document_type = '{d}' AND entity_type = '{e}' THEN {w}" for d in ("commercial_invoice", "packing_list", "bl", "awb") for e, w in dims.AUTHORITY[d].items() if e in ("GROSS_WEIGHT", "PACKAGE_COUNT", "CONSIGNEE_NAME", "VESSEL_NAME"))
-_CHOICES = ", choices AS (SELECT shipment_id, 'GROSS_WEIGHT' AS entity_type, max(seq) AS seq, arg_max(num, seq) AS value_num FROM assertions WHERE entity_type = 'GROSS_WEIGHT' AND shipment_id % 5 = 0 AND seq <= 2 GROUP BY 1)"
 ORACLES = {
     "agg02_text_consensus": _r(f"SELECT {_F}, consensus_key, consensus_txt, n_agree, n_clusters FROM fields WHERE consensus_txt IS NOT NULL"),
     "agg03_numeric_consensus": _r(f"SELECT {_F}, consensus_num, n_agree, n_clusters FROM fields WHERE consensus_num IS NOT NULL"),
@@ -249,9 +279,6 @@ ORACLES = {
     "agg05_assertion_flags": _r(f"SELECT {_F}, seq, status, is_consensus, status = 'conflict' AND NOT is_consensus AS is_outlier, variance FROM flagged"),
     "agg06_status_summary": _r("SELECT shipment_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("match", "warning", "conflict", "pending", "resolved")) + " FROM fields GROUP BY 1"),
     "top02_conflicts_first": _r(f"SELECT {_F}, status, row_number() OVER (PARTITION BY shipment_id ORDER BY status <> 'conflict', entity_type) AS place FROM fields"),
-    "join04_reviewer_overlay": _r(f"{_CHOICES} SELECT {_F}, CASE WHEN c.seq IS NULL THEN status ELSE 'resolved' END AS status, coalesce(value_num, consensus_num) AS consensus_num, consensus_txt FROM fields LEFT JOIN choices c USING (shipment_id, entity_type)"),
-    "snk06_resolution_upsert": sql("assertions", f"{_CHOICES} SELECT *, NULL::VARCHAR AS value_txt FROM choices"),
-    "join17_resolution_validation": sql("assertions", f", k AS (SELECT {_F}, seq + shipment_id % 3 AS seq FROM assertions WHERE entity_type = 'GROSS_WEIGHT') SELECT k.*, EXISTS (SELECT 1 FROM assertions a WHERE a.shipment_id = k.shipment_id AND a.entity_type = k.entity_type AND a.seq = k.seq) AS accepted FROM k"),
     "join12_representative_pairs": _r(f"SELECT {_F}, a_seq, b_seq FROM pairs"),
     "rul01_numeric_failures": _r(f"SELECT {_F}, a_seq, b_seq, round(delta, 4) AS delta, printf('difference of %.2f', delta) AS delta_text FROM failures WHERE is_num"),
     "rul02_text_failures": _r(f"SELECT {_F}, a_seq, b_seq, round(similarity, 6) AS similarity FROM failures WHERE NOT is_num"),
@@ -259,24 +286,34 @@ ORACLES = {
     "rul04_tiered_severity": _r("SELECT shipment_id, entity_type, severity, rank, row_number() OVER (PARTITION BY shipment_id ORDER BY rank DESC, entity_type) AS place FROM ranked"),
     "top04_by_severity": _r("SELECT shipment_id, entity_type, severity FROM ranked QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY rank DESC, entity_type) = 1"),
     "win04_first_members": _r(f"SELECT {_F}, a_seq AS first_seq FROM reps"),
-    "join14_source_pairs": sql("assertions", "SELECT a.shipment_id, a.seq AS a_seq, b.seq AS b_seq, round(abs(a.num - b.num) / abs(b.num) * 100, 4) AS percent FROM assertions a JOIN assertions b ON a.shipment_id = b.shipment_id AND a.seq < b.seq WHERE a.entity_type = 'GROSS_WEIGHT' AND b.entity_type = 'GROSS_WEIGHT' AND a.num <> b.num"),
     "rul05_weight_consistency": sql("lines", "SELECT l_orderkey, seq, l_quantity AS gross, round(l_quantity * (1 - l_discount), 2) AS net, l_linenumber::DOUBLE AS tare FROM lines WHERE abs(round(l_quantity * (1 - l_discount), 2) + l_linenumber - l_quantity) > 0.5"),
     "rul06_cif_consistency": sql("lines", "SELECT l_orderkey, seq, round(cents / 100 + CASE WHEN l_linenumber % 3 = 0 THEN l_quantity + 1 ELSE 0 END, 2) AS calculated FROM lines WHERE l_linenumber % 3 = 1 AND l_quantity > 1"),
     "rul07_relative_conflict": sql("assertions", f"SELECT {_F} FROM assertions WHERE is_num GROUP BY ALL HAVING max(num) - min(num) > 0.005 * greatest(abs(max(num)), abs(min(num)))"),
     "rul08_truth_score": sql("assertions", f", t AS (SELECT {_F}, coalesce(txt, num::BIGINT::VARCHAR) AS value, round(sum(confidence * CASE {_AUTH} ELSE 0.5 END), 4) AS truth_score, min(seq) AS s FROM assertions GROUP BY 1, 2, 3) SELECT {_F}, value, truth_score FROM t QUALIFY row_number() OVER (PARTITION BY shipment_id, entity_type ORDER BY truth_score DESC, s) = 1"),
     "join13_must_match": sql("assertions", f"SELECT {_F}, seq - 1 AS a_seq, seq AS b_seq FROM (SELECT *, lag(num) OVER (PARTITION BY shipment_id, entity_type ORDER BY seq) AS before FROM assertions WHERE is_num) WHERE abs(num - before) > 0.01"),
-    "xai01_provenance": _r(f"SELECT {_F}, a_document, b_document, 4 AS n_steps FROM failures"),
     "xai03_confidence": _r(f"SELECT {_F}, a_seq, b_seq, round((a_conf + b_conf) / 2, 4) AS mean, round(a_conf * b_conf, 4) AS product, CASE WHEN round((a_conf + b_conf) / 2, 4) >= 0.9 THEN 'high' WHEN round((a_conf + b_conf) / 2, 4) >= 0.7 THEN 'medium' ELSE 'low' END AS level FROM failures"),
     "xai04_recommendation": _r(f"SELECT {_F}, a_seq, b_seq, round(a_num - b_num, 4) AS delta FROM failures WHERE is_num"),
-    "xai05_counterfactuals": sql("assertions", ", p AS (SELECT a.shipment_id, a.num AS x, b.num AS y FROM assertions a JOIN assertions b ON a.shipment_id = b.shipment_id AND a.seq < b.seq WHERE a.entity_type = 'GROSS_WEIGHT' AND b.entity_type = 'GROSS_WEIGHT' AND a.num <> b.num), o AS (SELECT shipment_id, x, y FROM p UNION SELECT shipment_id, y, x FROM p) SELECT shipment_id, least(4, count(*))::INT AS n_options FROM o GROUP BY 1"),
-    "set05_ordered_distinct": sql("assertions", ", f AS (SELECT shipment_id, txt, min(seq) AS s FROM assertions WHERE entity_type = 'VESSEL_NAME' GROUP BY 1, 2) SELECT shipment_id, string_agg(txt, '|' ORDER BY s) AS options FROM f GROUP BY 1"),
-    "top05_capped_options": sql("assertions", "SELECT shipment_id, count(*)::INT AS n, sum(num) AS total FROM assertions WHERE entity_type = 'GROSS_WEIGHT' AND seq <= 4 GROUP BY 1"),
-    "grf01_nodes": sql("assertions", "SELECT 'shipment' AS kind, count(DISTINCT shipment_id) AS n FROM assertions UNION ALL SELECT 'document', count(DISTINCT document_id) FROM assertions UNION ALL SELECT 'field', count(DISTINCT shipment_id || entity_type) FROM assertions UNION ALL SELECT 'assertion', count(*) FROM assertions"),
-    "grf02_edges": sql("assertions", "SELECT 'CONTAINS' AS relation, count(*) AS n FROM (SELECT DISTINCT document_id FROM assertions) UNION ALL SELECT 'HAS_FIELD', count(*) FROM (SELECT DISTINCT shipment_id, entity_type FROM assertions) UNION ALL SELECT 'ASSERTS_VALUE_FOR', count(*) FROM assertions UNION ALL SELECT 'MUST_MATCH', count(*) FROM assertions WHERE seq > 1"),
-    "grf03_node_status": _r("SELECT CASE WHEN status = 'conflict' AND NOT is_consensus THEN 'conflict' ELSE 'match' END AS status, count(*) AS n FROM flagged GROUP BY 1"),
-    "grf04_neighbours": sql("assertions", "SELECT 'shipment:' || shipment_id || ':field:' || entity_type AS field_id, count(*) AS n_assertions FROM assertions GROUP BY 1"),
     "flt07_discrepancy_search": _r("SELECT shipment_id, entity_type FROM ranked WHERE severity = 'high' AND lower(entity_type) LIKE '%weight%'"),
     "flt09_needs_review": _r(f"SELECT {_F}, status IN ('conflict', 'warning', 'pending') AS needs_review FROM fields"),
-    "join18_entity_outlier": _r("SELECT entity_type, count(*) AS n FROM assertions a WHERE EXISTS (SELECT 1 FROM flagged f WHERE f.document_id = a.document_id AND f.entity_type = a.entity_type AND f.page = a.page AND f.status = 'conflict' AND NOT f.is_consensus) GROUP BY 1"),
-    "agg17_selection_counts": _r("SELECT entity_type, count(*) FILTER (status = 'conflict') AS n_conflicts, count(*) AS n_fields FROM fields GROUP BY 1"),
+}
+
+_TXT = "coalesce(txt, num::BIGINT::VARCHAR)"
+_STATES = lambda x: f"'Document ' || {x}_document || ' states ' || coalesce({x}_txt, {x}_num::BIGINT::VARCHAR)"
+ORACLES |= {
+    "snk06_resolution_upsert": sql("decisions", f"SELECT {_F}, max(seq) AS seq, arg_max(value_num, seq) AS value_num, arg_max(value_txt, seq) AS value_txt FROM decisions GROUP BY 1, 2"),
+    "join04_reviewer_overlay": sql("assertions decisions", _RESOLVED + f", chosen AS (SELECT {_F}, arg_max(value_num, seq) AS cn, arg_max(value_txt, seq) AS ct, true AS there FROM decisions GROUP BY 1, 2) SELECT {_F}, CASE WHEN there THEN 'resolved' ELSE status END AS status, CASE WHEN there THEN cn ELSE consensus_num END AS consensus_num, CASE WHEN there THEN ct ELSE consensus_txt END AS consensus_txt FROM fields LEFT JOIN chosen USING (shipment_id, entity_type)"),
+    "join17_resolution_validation": sql("assertions decisions", f", k AS (SELECT shipment_id, CASE WHEN seq % 5 = 0 THEN 'FLIGHT_NUMBER' ELSE entity_type END AS entity_type, seq + CASE WHEN seq % 3 = 0 THEN 100 ELSE 0 END AS seq FROM decisions) SELECT {_F}, seq, CASE WHEN entity_type = 'FLIGHT_NUMBER' THEN 'UNKNOWN_FIELD' WHEN seq > 100 THEN 'UNKNOWN_ASSERTION' END AS rejected FROM k"),
+    "join14_source_pairs": sql("assertions", f", n AS MATERIALIZED (SELECT {_F}, seq, num FROM assertions WHERE is_num) SELECT {_F}, a.seq AS a_seq, b.seq AS b_seq, round(CASE WHEN b.num <> 0 THEN abs(a.num - b.num) / abs(b.num) * 100 END, 4) AS percent FROM n a JOIN n b USING (shipment_id, entity_type) WHERE a.seq < b.seq AND a.num <> b.num"),
+    "xai01_provenance": _r(f"SELECT {_F}, a_document, b_document, 'assertion:' || a_document || ':' || entity_type || ':' || a_seq AS a_id, 'assertion:' || b_document || ':' || entity_type || ':' || b_seq AS b_id, coalesce(a_txt, a_num::BIGINT::VARCHAR) AS a_snippet, coalesce(b_txt, b_num::BIGINT::VARCHAR) AS b_snippet, array_to_string(x.bbox, ',') AS a_box, array_to_string(y.bbox, ',') AS b_box FROM failures f JOIN (SELECT DISTINCT document_id, bbox FROM assertions) x ON x.document_id = a_document JOIN (SELECT DISTINCT document_id, bbox FROM assertions) y ON y.document_id = b_document"),
+    "xai02_reasoning": _r(f"SELECT {_F}, a_seq, b_seq, {_STATES('a')} || '; ' || {_STATES('b')} || '; Rule ' || CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END || ' compares them; They differ: ' || CASE WHEN is_num THEN printf('difference of %.2f', delta) ELSE printf('similarity %.2f', similarity) END AS steps, CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END AS rule, 'conflict' AS conclusion FROM failures"),
+    "set05_ordered_distinct": sql("assertions", f", v AS (SELECT {_F}, {_TXT} AS value, min(seq) AS s FROM assertions GROUP BY 1, 2, 3) SELECT {_F}, string_agg(value, '|' ORDER BY s) AS options FROM v GROUP BY 1, 2"),
+    "top05_capped_options": sql("assertions", f"SELECT {_F}, document_id, row_number() OVER (PARTITION BY shipment_id, entity_type ORDER BY seq) AS place FROM assertions QUALIFY place <= 4"),
+    "grf01_nodes": sql("assertions", "SELECT DISTINCT shipment_id::VARCHAR AS id, 'shipment' AS kind FROM assertions UNION ALL SELECT DISTINCT document_id, 'document' FROM assertions UNION ALL SELECT DISTINCT 'shipment:' || shipment_id || ':field:' || entity_type, 'field' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'assertion' FROM assertions"),
+    "grf02_edges": sql("assertions", "SELECT DISTINCT shipment_id::VARCHAR AS source, document_id AS target, 'CONTAINS' AS relation FROM assertions UNION ALL SELECT DISTINCT shipment_id::VARCHAR, 'shipment:' || shipment_id || ':field:' || entity_type, 'HAS_FIELD' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'shipment:' || shipment_id || ':field:' || entity_type, 'ASSERTS_VALUE_FOR' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'assertion:' || shipment_id || '-' || (seq - 1) || ':' || entity_type || ':' || (seq - 1), 'MUST_MATCH' FROM assertions WHERE seq > 1"),
+    "set02_graph_union": sql("assertions", "SELECT * FROM (SELECT shipment_id, unnest(['shipment', 'document', 'field', 'assertion', 'CONTAINS', 'HAS_FIELD', 'ASSERTS_VALUE_FOR', 'MUST_MATCH']) AS kind, unnest([1, d, f, n, d, f, n, m]) AS n FROM (SELECT shipment_id, count(DISTINCT document_id) AS d, count(DISTINCT entity_type) AS f, count(*) AS n, count(*) FILTER (seq > 1) AS m FROM assertions GROUP BY 1)) WHERE n > 0"),
+    "grf03_node_status": _r("SELECT DISTINCT shipment_id::VARCHAR AS id, 'shipment' AS kind, 'match' AS status FROM assertions UNION ALL SELECT DISTINCT document_id, 'document', 'match' FROM assertions UNION ALL SELECT 'shipment:' || shipment_id || ':field:' || entity_type, 'field', status FROM fields UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'assertion', CASE WHEN status = 'conflict' AND NOT is_consensus THEN 'conflict' ELSE 'match' END FROM flagged"),
+    "grf04_neighbours": sql("assertions", "SELECT 'shipment:' || shipment_id || ':field:' || entity_type AS target, 'assertion:' || document_id || ':' || entity_type || ':' || seq AS source FROM assertions"),
+    "join18_entity_outlier": _r("SELECT document_id, entity_type, page FROM flagged WHERE status = 'conflict' AND NOT is_consensus"),
+    "agg17_selection_counts": _r("SELECT shipment_id, count(*) FILTER (status = 'conflict') AS n_conflicts, count(*) AS n_fields FROM fields GROUP BY 1"),
+    "xai07_inconsistency_options": sql("lines", ", w AS (SELECT l_orderkey, seq, l_quantity AS gross, round(l_quantity * (1 - l_discount), 2) AS net, l_linenumber::DOUBLE AS tare FROM lines) SELECT l_orderkey, seq, printf('Found: net %.2f and tare %.2f make %.2f, not %.2f', net, tare, net + tare, gross) AS found, 3 AS n_options FROM w WHERE abs(net + tare - gross) > 0.5"),
 }

@@ -23,7 +23,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document (row) of a shipment says about four fields.
 
-    shipment_id, seq, document_id, document_type, entity_type, num, txt, is_num, unit, confidence, page
+    shipment_id, seq, document_id, document_type, entity_type, num, txt, is_num, unit, confidence, page, bbox, reviewed
     """
     base = lines(spark, sf_dir)
     kinds = F.array(*map(F.lit, ["commercial_invoice", "packing_list", "bl", "awb"]))
@@ -47,10 +47,74 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return base.select(
         F.col("l_orderkey").alias("shipment_id"), "seq", F.concat_ws("-", "l_orderkey", "seq").alias("document_id"), F.get(kinds, (F.col("seq") % 4).cast("int")).alias("document_type"),
-        "confidence", (F.col("l_linenumber") % 3).alias("page"), F.inline(claims),
+        "confidence", (F.col("l_linenumber") % 3).alias("page"), F.array(F.lit(10), F.col("l_linenumber") * 20, F.lit(100), F.col("l_linenumber") * 20 + 12).cast("array<int>").alias("bbox"),
+        (F.col("l_returnflag") != "N").alias("reviewed"), F.inline(claims),
     )
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewers' choices in order of ``seq``: shipment_id, entity_type, seq (of the chosen assertion), value_num, value_txt."""
+    return assertions(spark, sf_dir).filter("reviewed").select("shipment_id", "entity_type", "seq", F.col("num").alias("value_num"), F.col("txt").alias("value_txt"))
+
+
+#: What documents agree on, by shipment: a value's text from columns of orders; null where no document states it.
+_AGREED = {
+    "INVOICE_NUMBER": "CASE WHEN o_orderkey % 29 > 0 THEN 'INV-' || o_orderkey END",
+    "SHIPPER_NAME": "'Seller ' || (o_custkey % 50) || ' Mills'",
+    "TOTAL_AMOUNT": "CASE WHEN o_orderkey % 17 = 0 THEN '0' ELSE CAST(CAST(round(o_totalprice) AS BIGINT) AS {text}) END",
+    "CURRENCY_CODE": "CASE WHEN o_orderkey % 19 = 0 THEN 'US$' WHEN o_custkey % 3 = 0 THEN 'USD' WHEN o_custkey % 3 = 1 THEN 'EUR' ELSE 'LKR' END",
+    "INCOTERM": "CASE WHEN o_orderkey % 23 = 0 THEN 'XYZ' WHEN o_custkey % 2 = 0 THEN 'FOB' ELSE 'CIF' END",
+    "COUNTRY_OF_ORIGIN": "CASE WHEN o_custkey % 2 = 0 THEN 'in' ELSE 'Sri Lanka' END",
+    "PORT_OF_LOADING": "CASE WHEN o_custkey % 2 = 0 THEN 'Chennai' ELSE 'Galle' END",
+    "PORT_OF_DISCHARGE": "'Colombo'",
+    "HS_CODE": "'6109' || (10 + o_custkey % 80)",
+    "AWB_NUMBER": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '631-' || (10000000 + o_orderkey) END",
+    "BL_NUMBER": "CASE WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'MAEU' || (100000000 + o_orderkey) END",
+}
+_AGREED_STATUS = "CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'conflict' ELSE 'match' END"
+
+
+def agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shipment_id, entity_type, status, value of fields that the documents of a shipment agree on."""
+    rows = F.array(*(F.struct(F.lit(k).alias("entity_type"), F.expr(v.format(text="STRING")).alias("value")) for k, v in _AGREED.items()))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("shipment_id"), F.expr(_AGREED_STATUS).alias("status"), F.inline(rows)).filter("value IS NOT NULL").select("shipment_id", "entity_type", "status", "value")
+
+
+#: The lines of a paper, as an expression of columns of orders each; ``kind`` names its type.
+PAPER_KINDS = ["commercial_invoice", "packing_list", "awb", "bl"]
+_PAPER = [
+    "CASE kind WHEN 0 THEN 'COMMERCIAL INVOICE' WHEN 1 THEN 'PACKING LIST' WHEN 2 THEN 'AIR WAYBILL' ELSE 'BILL OF LADING' END",
+    "CASE kind WHEN 0 THEN 'Invoice No: INV-' || o_orderkey WHEN 2 THEN 'MAWB HAWB IATA' ELSE 'Ref. ' || o_orderkey END",
+    "'Consignee:'",
+    "'Trader ' || (o_custkey % 97) || ' Ltd'",
+    "'Notes'",
+    "'Shipper'",
+    "'Seller ' || (o_custkey % 50) || CASE WHEN o_custkey % 5 = 0 THEN ' Bank' ELSE ' Mills' END",
+    "CASE WHEN kind IN (0, 2) THEN 'Grand Total: USD ' || CAST(CAST(round(o_totalprice) AS BIGINT) AS {text}) ELSE 'Packages' END",
+    "CASE WHEN kind IN (0, 2) THEN 'Currency' ELSE (10 + o_custkey % 90) || ' cartons' END",
+    "CASE WHEN kind IN (0, 2) THEN 'USD' ELSE 'stowed' END",
+    "'Gros Weight'",
+    "(100 + o_orderkey % 900) || ' kgs'",
+    "CASE kind WHEN 0 THEN 'Sold FOB Colombo' WHEN 3 THEN 'Box MSKU' || (1000000 + o_orderkey) ELSE 'in good order' END",
+]
+
+
+def _paper_rows(text: str) -> list[str]:
+    return [x.format(text=text) for x in _PAPER]
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read from one trade paper of every order: document_id, document_type, page, pos, text, x1, y1, x2, y2, confidence.
+
+    Lines stand 60 apart under each other; a label misspelt, values after a colon, on the next line, or in running text.
+    """
+    o = table(spark, sf_dir, "orders").withColumn("kind", F.col("o_orderkey") % 4)
+    t = o.select(F.col("o_orderkey").alias("document_id"), "kind", F.posexplode(F.array(*(F.expr(x) for x in _paper_rows("STRING")))).alias("pos", "text"))
+    kinds = F.get(F.array(*map(F.lit, PAPER_KINDS)), F.col("kind").cast("int"))
+    y = F.col("pos").cast("long") * 60
+    return t.select("document_id", kinds.alias("document_type"), F.lit(1).cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "text", F.lit(40).cast("long").alias("x1"), y.alias("y1"), F.lit(240).cast("long").alias("x2"), (y + 12).alias("y2"), ((90 + F.col("pos") % 5) / 100).alias("confidence"))
+
+
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "processing").otherwise("pending")
@@ -66,32 +130,44 @@ def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents as page tokens: document_id, page, pos, text, box (x1, y1, x2, y2), confidence.
+    """Words of the documents as page tokens."""
+    return tokens_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """Words of ``docs`` (document_id, text) as page tokens: document_id, page, pos, text, box (x1, y1, x2, y2), confidence.
 
     Ten words a row, 40 rows a page; a box is 90 wide and 12 high on a grid of 100 by 20.
     """
     words = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(words).alias("pos", "text"))
+    t = docs.select("document_id", F.posexplode(words).alias("pos", "text"))
     x, y = (F.col("pos") % 10) * 100, F.floor(F.col("pos") / 10) % 40 * 20
     return t.select("document_id", (F.floor(F.col("pos") / 400) + 1).alias("page"), "pos", "text", x.alias("x1"), y.alias("y1"), (x + 90).alias("x2"), (y + 12).alias("y2"), ((F.col("pos") % 10 + 90) / 100).alias("confidence"))
 
 
 #: The same views for the SQL that states the queries' results.
 SQL = {
-    "lines": "lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q, round(1 - l_discount, 2) AS confidence FROM lineitem)",
-    "assertions": """assertions AS (
-      SELECT l_orderkey AS shipment_id, seq, l_orderkey || '-' || seq AS document_id, ['commercial_invoice', 'packing_list', 'bl', 'awb'][seq % 4 + 1] AS document_type, confidence, l_linenumber % 3 AS page, c.*
-      FROM lines, LATERAL (
-        SELECT 'GROSS_WEIGHT' AS entity_type, l_quantity AS num, NULL::VARCHAR AS txt, true AS is_num, CASE WHEN l_linestatus = 'O' THEN 'kg' ELSE 'KG' END AS unit
-        UNION ALL SELECT 'PACKAGE_COUNT', 25 * floor(l_quantity / 25), NULL, true, CASE WHEN l_linenumber % 3 = 0 THEN 'pieces' ELSE 'cartons' END
-        UNION ALL SELECT 'CONSIGNEE_NAME', NULL, CASE l_linenumber % 3 WHEN 0 THEN 'Trader ' || l_returnflag || ' Ltd.' WHEN 1 THEN upper('Trader ' || l_returnflag || ' Ltd') ELSE 'trader-' || lower(l_returnflag) || '-ltd' END, false, NULL
-        UNION ALL SELECT 'VESSEL_NAME', NULL, 'MV Star ' || (q % 3), false, NULL) c)""",
+    "lines": "lines AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q, round(1 - l_discount, 2) AS confidence FROM lineitem)",
+    "assertions": "assertions AS MATERIALIZED (" + " UNION ALL ".join(
+        f"""SELECT l_orderkey AS shipment_id, seq, l_orderkey || '-' || seq AS document_id, ['commercial_invoice', 'packing_list', 'bl', 'awb'][seq % 4 + 1] AS document_type, confidence, l_linenumber % 3 AS page,
+        [10, l_linenumber * 20, 100, l_linenumber * 20 + 12]::INT[] AS bbox, l_returnflag <> 'N' AS reviewed, {claim} FROM lines"""
+        for claim in (
+            "'GROSS_WEIGHT' AS entity_type, l_quantity AS num, NULL::VARCHAR AS txt, true AS is_num, CASE WHEN l_linestatus = 'O' THEN 'kg' ELSE 'KG' END AS unit",
+            "'PACKAGE_COUNT', 25 * floor(l_quantity / 25), NULL, true, CASE WHEN l_linenumber % 3 = 0 THEN 'pieces' ELSE 'cartons' END",
+            "'CONSIGNEE_NAME', NULL, CASE l_linenumber % 3 WHEN 0 THEN 'Trader ' || l_returnflag || ' Ltd.' WHEN 1 THEN upper('Trader ' || l_returnflag || ' Ltd') ELSE 'trader-' || lower(l_returnflag) || '-ltd' END, false, NULL",
+            "'VESSEL_NAME', NULL, 'MV Star ' || (q % 3), false, NULL",
+        )
+    ) + ")",
+    "decisions": "decisions AS (SELECT shipment_id, entity_type, seq, num AS value_num, txt AS value_txt FROM assertions WHERE reviewed)",
+    "agreed": "agreed AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT o_orderkey AS shipment_id, '{k}' AS entity_type, {_AGREED_STATUS} AS status, {v.format(text='VARCHAR')} AS value FROM orders" for k, v in _AGREED.items()) + ") WHERE value IS NOT NULL)",
+    "papers": "papers AS (SELECT document_id, ['commercial_invoice', 'packing_list', 'awb', 'bl'][kind + 1] AS document_type, 1 AS page, pos, t[pos + 1] AS text, 40 AS x1, pos * 60 AS y1, 240 AS x2, pos * 60 + 12 AS y2, (90 + pos % 5) / 100 AS confidence FROM (SELECT o_orderkey AS document_id, kind, ["
+    + ", ".join(_paper_rows("VARCHAR")) + f"] AS t, unnest(range({len(_PAPER)})) AS pos FROM (SELECT *, o_orderkey % 4 AS kind FROM orders)))",
     "dossiers": "dossiers AS (SELECT o_orderkey AS dossier_id, o_custkey AS owner_id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'processing' ELSE 'pending' END AS status FROM orders)",
     "goods": "goods AS (SELECT l_orderkey AS shipment_id, seq, p_name AS description, l_quantity AS quantity, p_retailprice AS unit_price, CASE WHEN l_linenumber % 4 = 0 THEN round(l_quantity * p_retailprice, 2) ELSE l_extendedprice END AS total_price, 'pieces' AS unit FROM lines JOIN part ON l_partkey = p_partkey)",
     "tokens": r"""tokens AS (SELECT document_id, pos // 400 + 1 AS page, pos, text, (pos % 10) * 100 AS x1, (pos // 10) % 40 * 20 AS y1, (pos % 10) * 100 + 90 AS x2, (pos // 10) % 40 * 20 + 12 AS y2, (pos % 10 + 90) / 100 AS confidence
       FROM (SELECT doc_id AS document_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents)))""",
 }
-_NEEDS = {"assertions": ["lines"], "goods": ["lines"]}
+_NEEDS = {"assertions": ["lines"], "goods": ["lines"], "decisions": ["lines", "assertions"]}
 
 
 def sql(views: str, body: str) -> str:

@@ -17,7 +17,7 @@ def test_link_against_brute_force(spark):
             want[v] = (-best[1], best[0])
     assert got == want
     items = [(1, 1, "Cott0n shirts"), (1, 2, "Widgets of steel"), (1, 3, "Invo1ce")]
-    rows = {r["description"]: r for r in L.fuzzy_row_boxes(spark.createDataFrame(items, "document_id long, page long, description string"), tokens).collect()}
+    rows = {r["description"]: r for r in L.row_boxes(spark.createDataFrame(items, "document_id long, page long, description string"), tokens).collect()}
     for _, page, d in items:
         long = [w for w in d.lower().split() if len(w) > 4]
         s = {i: max(sum(w in t.lower() for w in long) / max(len(long), 1), SequenceMatcher(None, d.lower()[:40], t.lower()).ratio()) for i, t in enumerate(TEXTS) if 1 + i // 4 == page}

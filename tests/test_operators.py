@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 from cargolens.functions import normalize as N
 from cargolens.functions import scores as S
 from cargolens.operators import consensus as C
+from cargolens.operators import contracts as Q
 from cargolens.operators import documents as D
 from cargolens.operators import explain as X
 from cargolens.operators import parties as P
 from cargolens.operators import readiness as Y
 from cargolens.operators import rules as R
 from cargolens.operators.export import declarations
+from cargolens.sources import bundles as B
 
 RAW = [
     ("GROSS_WEIGHT", "450 KG", 450.0, None, "kg", False), ("GROSS_WEIGHT", "1,000.00 LBS", 453.592, None, "kg", False), ("GROSS_WEIGHT", "2 MT", 2000.0, None, "kg", False),
@@ -114,25 +116,80 @@ def ready_fields(spark, pending=None):
     return spark.createDataFrame([(1, f, "pending" if f == pending else "match", value.get(f, "x")) for f in REQUIRED_FIELDS], "shipment_id long, entity_type string, status string, value string")
 
 
-def test_readiness(spark):
+def assessed(spark, fields, profile=None, there=True, extra=()):
     from cargolens.dims import REQUIRED_PROFILE
 
     s = spark.createDataFrame([(1,)], "shipment_id long")
-    profile = spark.createDataFrame([(1, k, "305.00" if k == "currency_rate" else "v") for k in REQUIRED_PROFILE], "shipment_id long, field_name string, value string")
-    assert Y.assess(s, [Y.field_blockers(s, ready_fields(spark)), Y.profile_blockers(s, profile)]).first()["export_allowed"]
-    r = Y.assess(s, [Y.field_blockers(s, ready_fields(spark, "HS_CODE")), Y.profile_blockers(s, profile)]).first()
-    assert [(b["code"], b["field"]) for b in r["blockers"]] == [("UNRESOLVED_FIELD", "HS_CODE")]
-    none = Y.assess(s, [Y.field_blockers(s, ready_fields(spark).limit(0)), Y.profile_blockers(s, profile.limit(0))]).first()
-    assert none["blocker_count"] == 23
+    profile = [(1, k, "305.00" if k == "currency_rate" else "v") for k in REQUIRED_PROFILE] + list(extra) if profile is None else profile
+    items = spark.createDataFrame([(1, 1, "cotton", "125.0"), (1, 2, "silk", "n/a")] if there else [(1, 1, "", "")], "shipment_id long, row_index int, description string, total_price string")
+    return Y.assess(s, s if there else s.limit(0), fields, spark.createDataFrame(profile, "shipment_id long, field_name string, value string"), items), items
 
 
-def test_declaration_xml(spark):
-    from cargolens.dims import REQUIRED_PROFILE
+def test_readiness(spark):
+    awb = spark.createDataFrame([(1, "AWB_NUMBER", "match", "1")], ready_fields(spark).schema)
+    assert assessed(spark, ready_fields(spark).union(awb))[0].first()["export_allowed"]
+    codes = lambda r: [(b["code"], b["field"]) for b in r["blockers"]]
+    assert codes(assessed(spark, ready_fields(spark, "HS_CODE"))[0].first()) == [("UNRESOLVED_FIELD", "HS_CODE"), ("MISSING_TRANSPORT_DOCUMENT", "transport_document")]
+    none = assessed(spark, ready_fields(spark).limit(0), [], False)[0].first()
+    assert none["blocker_count"] == 12 + 11 + 3 and not none["export_allowed"] and {("NO_DOCUMENTS", "dossier"), ("MISSING_LINE_ITEMS", "line_items")} < set(codes(none))
+    odd = {"TOTAL_AMOUNT": "-1", "CURRENCY_CODE": "US$", "INCOTERM": "XYZ"}
+    bad = ready_fields(spark).union(awb).withColumn("value", F.coalesce(*(F.when(F.col("entity_type") == k, v) for k, v in odd.items()), "value"))
+    assert {c for c, _ in codes(assessed(spark, bad)[0].first())} == {"INVALID_NUMBER", "INVALID_CURRENCY", "INVALID_INCOTERM"}
+
 
-    profile = spark.createDataFrame([(1, k, "305.00" if k == "currency_rate" else "v") for k in REQUIRED_PROFILE], "shipment_id long, field_name string, value string")
-    items = spark.createDataFrame([(1, 1, "cotton", "125.0"), (1, 2, "silk", "n/a")], "shipment_id long, row_index int, description string, total_price string")
-    xml = declarations(ready_fields(spark).select("shipment_id", "entity_type", "value"), profile, items).first()["xml"]
-    assert "<Statistical_value>38125.0</Statistical_value>" in xml and xml.count("<Item>") == 2 and "Trading_country" not in xml
+def test_declaration_xml(spark):
+    awb = spark.createDataFrame([(1, "AWB_NUMBER", "match", "1"), (1, "COUNTRY_OF_ORIGIN", "match", "lk")], ready_fields(spark).schema)
+    fields = ready_fields(spark).filter("entity_type != 'COUNTRY_OF_ORIGIN'").union(awb)
+    xml = declarations(*assessed(spark, fields, extra=[(1, "financial_code", "F1"), (1, "trading_country", "SG")]), F.lit("2026-01-31")).first()["xml"]
+    assert "<Statistical_value>38125.0</Statistical_value>" in xml and xml.count("<Item>") == 2 and xml.startswith("<?xml") and "XMLSchema-instance" in xml
+    assert "<Trading_country>SG<" in xml and "<Country_of_export_code>LK<" in xml and "<Financial_code>F1<" in xml and "<Date>2026-01-31<" in xml and "<Bank>" in xml and "Branch" not in xml
+    assert declarations(*assessed(spark, ready_fields(spark)), F.lit("")).count() == 0  # no transport document
+
+
+def test_contracts(spark):
+    import json
+
+    good = {"document_id": "d", "document_type": "bl", "classification_confidence": 1, "classification_evidence": [], "processing_time_ms": 3, "errors": [],
+            "entities": [dict.fromkeys(Q.ENTITY_KEYS, None) | {"bbox": [1, 2.5, -3, 4e1], "extraction_confidence": 0, "classification_confidence": 1.0}], "raw_ocr": [dict.fromkeys(Q.TOKEN_KEYS, None) | {"ocr_confidence": 0.5}]}
+    change = lambda **x: json.dumps(good | x)
+    box = lambda b: change(entities=[good["entities"][0] | {"bbox": b}])
+    raw = [change(), change(classification_confidence=2), change(classification_confidence="x"), box([1, 2, 3]), box(["1", 2, 3, 4]), box(None), "[]", None, "{}", change(raw_ocr=[{"text": "a", "page": 1, "bbox": []}])]
+    got = [r["v"] for r in spark.createDataFrame(list(enumerate(raw)), "i int, raw string").select("i", Q.result_violations(F.col("raw")).alias("v")).orderBy("i").collect()]
+    assert got[:8] == [[], ["BAD_CONFIDENCE"], ["BAD_CONFIDENCE"], ["BAD_BOX"], ["BAD_BOX"], [], ["NOT_AN_OBJECT"], ["NOT_AN_OBJECT"]] and len(got[8]) == 8 and got[9] == ["MISSING_TOKEN_FIELD:ocr_confidence"]
+    rows = [("cloth", "m", "p1", "2", "5", "10"), (" ", "m", "p1", "2", "5", "10"), ("c" * 1001, "m", "p", "2", "5", "10.2"), ("c", "m", "p", "Infinity", "5", "10"), ("c", "m", "p", "0", "-5", "0"), ("c", "m", "p", "2", "5", "10.21")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, description string, unit string, source_reference string, quantity string, unit_price string, total_price string")
+    passed, refused = Q.split(df, Q.line_violations({c: F.col(c) for c in df.columns[1:]}))
+    assert [r["i"] for r in passed.collect()] == [0] and [r["violations"] for r in refused.orderBy("i").collect()] == [["REQUIRED_TEXT"], ["TOO_LONG"], ["NOT_A_NUMBER"], ["NOT_POSITIVE"], ["TOTAL_MISMATCH"]]
+
+
+def test_counterfactuals(spark):
+    a = evidence(spark, [("GROSS_WEIGHT", 450.0, 0.9, None), ("GROSS_WEIGHT", 448.5, 0.9, None), ("CONSIGNEE_NAME", "ABC Textiles", 0.9, None), ("CONSIGNEE_NAME", "ABC Textlies", 0.9, None), ("HS_CODE", "1", 0.9, None)])
+    a = a.withColumn("document_type", F.get(F.array(F.lit("awb"), F.lit("packing_list")), (F.col("seq") % 2).cast("int")))
+    got = {r["entity_type"]: r for r in X.counterfactuals(a).collect()}
+    w = got["GROSS_WEIGHT"]["options"]
+    assert w[0] == "If the gross weight of Packing List were 448.5 instead of 450, the documents would agree." and w[2] == "Packing List and Awb differ by 0.33%" and len(w) == 3
+    assert got["CONSIGNEE_NAME"]["options"][2] == "ABC Textiles and ABC Textlies are 92% alike: likely a misspelling"
+    assert got["HS_CODE"]["options"] == ["Verify the hs code of Packing List: 1"] and all(r["recommendation"] and 1 <= len(r["options"]) <= 4 for r in got.values())
+    many = evidence(spark, [("VOLUME", float(i % 7), 0.9, None) for i in range(300)])
+    assert len(X.counterfactuals(many).first()["options"]) == 4
+
+
+def test_bundles_of_many_lines(spark, tmp_path):
+    import json
+
+    (tmp_path / "b.json").write_text(json.dumps({"documents": {"a.pdf": {"document_id": "1", "entities": []}, "b.pdf": {"document_id": "2"}}}, indent=2))
+    assert {(r["name"], json.loads(r["raw"])["document_id"]) for r in B.read_bundles(spark, str(tmp_path / "b.json")).collect()} == {("a.pdf", "1"), ("b.pdf", "2")}
+    word = lambda t: {"text": t, "page": 1, "bbox": [1, 2, 3, 4], "confidence": 0.98765}
+    (tmp_path / "p.json").write_text(json.dumps({"file_path": "x.pdf", "total_pages": 2, "pages": [{"page_number": 1, "width": 5, "height": 6, "tokens": [word("a"), word("b")]}, {"page_number": 2, "width": 5, "height": 6, "tokens": [word("c")]}]}, indent=2))
+    assert [(r["pos"], r["page"], r["text"], r["x2"], r["confidence"]) for r in B.read_pages(spark, str(tmp_path / "p.json")).orderBy("pos").collect()] == [(0, 1, "a", 3.0, 0.9877), (1, 1, "b", 3.0, 0.9877), (2, 2, "c", 3.0, 0.9877)]
+    (tmp_path / "m.json").write_text(json.dumps({"shipment_reference": "S", "documents": [{"file": "x.pdf", "document_type": "bl", "pages": 1, "expected_fields": {"HS_CODE": {"label": "HS", "value": "6109"}}, "expected_lines": ["a"]}]}, indent=2))
+    m = B.read_manifest(spark, str(tmp_path / "m.json"))
+    assert m.first()["lines"] == ["a"] and B.expected_fields(m).first()["value"] == "6109"
+
+
+def test_text_conflicts(spark):
+    a = evidence(spark, [("SHIPPER_NAME", "Seller Mills", 0.9, None), ("SHIPPER_NAME", "SELLER Mills", 0.9, None), ("HS_CODE", "6109100", 0.9, None), ("HS_CODE", "6109101", 0.9, None), ("INCOTERM", "FOB", 0.9, None), ("INCOTERM", "CIF", 0.9, None)])
+    assert {r["entity_type"] for r in R.text_conflicts(a).collect()} == {"HS_CODE", "INCOTERM"}
 
 
 def test_reading_order_uses_row_anchors(spark):
