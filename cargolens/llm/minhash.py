@@ -11,7 +11,7 @@
    could change the components is compared in the end: there is no cap.
 4. A candidate pair is read batch by batch: after each, if the posterior probability that its similarity reaches
    the threshold (uniform prior) is under ``miss``, it is pruned. Survivors are verified on the full sets, which a
-   second scan makes for them only.
+   second scan makes for them only, of digests of the shingles' words instead of the hashes used before.
 5. Components of the verified links give the result.
 
 Defined results: texts without words, and null texts, have no shingles and link with nothing; texts with fewer words
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import compact, cut, read_table, ship, small
 from .components import components
-from .shingles import mix, shingle_sets, slices
+from .shingles import exact_shingles, mix, shingle_sets, slices
 
 #: 28 bands of 5: a pair at similarity 0.85 shares none with probability 7e-8, one at 0.8 with 1.5e-5.
 BANDS, ROWS = 28, 5
@@ -43,8 +43,8 @@ BATCH, MISS = 20, 1e-6
 ROUND_PAIRS = (8, 64)
 #: Ids held in a broadcast when the second scan looks for the survivors' texts (8 bytes each).
 SCAN_IDS = 1_000_000
-#: Sets that are joined in one partition; more are dealt out.
-SETS_AT_ONCE = 4_000
+#: Bytes of sets that are joined in one partition; more are dealt out.
+SETS_BYTES = 1 << 25
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1 << 62, dtype=np.uint64, size=HASHES) * np.uint64(2) + np.uint64(1)
@@ -78,7 +78,7 @@ def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, part in slices(pdf["text"].tolist()):
-                yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(part)].to_numpy(), "items": [s.tobytes() for s in shingle_sets(part, size)]})
+                yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(part)].to_numpy(), "items": [exact_shingles(t, size).tobytes() for t in part]})
 
     return run
 
@@ -183,10 +183,10 @@ def _by_rarity(ids: DataFrame, rows: DataFrame, id_type: str, percent: int, size
     """Buckets (key, id, side) of the ids by their rarest shingles, those with two or more members."""
     sets = rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_tokens(size), f"id {id_type}, tokens array<long>")
     each = cut(sets.select("id", F.explode("tokens").alias("token")), "minhash-tokens")
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    often = cut(each.groupBy("token").agg(F.count("*").alias("n")), "minhash-often")
     ordered = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))  # a text's own shingles
     dealt = cut(ordered.select("id", F.transform("x", lambda t: t["token"]).alias("tokens")).mapInPandas(_rarest(percent), f"key long, id {id_type}, side int").distinct(), "minhash-rarest")
-    return cut(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi"), "minhash-buckets")
+    return cut(dealt.join(cut(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "minhash-shared"), "key", "left_semi"), "minhash-buckets")
 
 
 def _ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -200,7 +200,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, id_type: str,
     link = f"u {id_type}, v {id_type}"
     alive = compact(cut(_ends(pairs, reps, "sig").mapInPandas(_plausible(percent / 100, miss), link), "minhash-plausible"))
     ids = cut(alive.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "minhash-ids")
-    sets = compact(cut(rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_sets(size), f"id {id_type}, items binary").filter(F.length("items") > 0), "minhash-sets"), SETS_AT_ONCE)
+    sets = cut(rows.join(small(ids, SCAN_IDS), "id", "left_semi").mapInPandas(_sets(size), f"id {id_type}, items binary").filter(F.length("items") > 0), "minhash-sets")
+    if (sets.agg(F.sum(F.length("items"))).first()[0] or 0) <= SETS_BYTES:
+        sets = sets.coalesce(1)
     return compact(cut(_ends(alive, sets, "items").mapInPandas(_confirmed(percent), link).distinct(), "minhash-links"))
 
 
@@ -215,14 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(usable.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("x"), F.count("*").alias("members")).select(*same, "x.id", "x.sig", "members"), "minhash-classes")
     reps = classes.select("id", "sig")
     keys = cut(reps.mapInPandas(_banded, f"key long, id {id_type}").distinct(), "minhash-bands")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # A table of one row per key is written before it is joined: then both sides of the join are plain shuffles, and
+    # Spark can split the partition of a key that very many rows have.
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-shared")
     bucketed = cut(keys.join(shared, "key"), "minhash-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _verified(pairs.select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct(), rows, reps, id_type, percent, miss, size)
 
     weight = bucketed.groupBy("id").agg(F.sum("n").alias("weight"))
-    hubs = bucketed.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("pivot"))
+    hubs = cut(bucketed.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("pivot")), "minhash-hubs")
     left = cut(bucketed.join(hubs, "key").filter("id != pivot").select("key", "id", "pivot", F.lit(0).alias("side")), "minhash-left")
     links = verified(left)
     found, done, banded = components(links), 0, True
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = labelled.groupBy("key", "label").agg(*(F.count_if(F.col("side") == k).alias(c) for c, k in (("same", 0), ("low", 1), ("high", -1))), F.min("id").alias("first"))
         s_, l_, h_ = F.col("same"), F.col("low"), F.col("high")
         cross = (F.sum(s_) * F.sum(s_) - F.sum(s_ * s_)) / 2 + F.sum(l_) * F.sum(h_) - F.sum(l_ * h_)
-        open_ = counts.groupBy("key").agg(F.sum(s_ + l_ + h_).alias("n"), cross.alias("cross"), F.min("first").alias("first")).filter("cross > 0")
+        open_ = cut(counts.groupBy("key").agg(F.sum(s_ + l_ + h_).alias("n"), cross.alias("cross"), F.min("first").alias("first")).filter("cross > 0"), "minhash-counts")
         left = compact(cut(labelled.join(open_, "key").select("key", "id", "side", "label", "n", "cross", "first"), "minhash-open"))
         if left.isEmpty():
             break
