@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: Largest number of narrow rows that an operator gathers in one partition after counting them.
 COMPACT_ROWS = 20_000
+#: Rows of a key beyond which its rows aren't dealt by that key. At most one key in so many rows is that hot.
+HOT_ROWS = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,32 @@ def compact(df: DataFrame, rows: int = COMPACT_ROWS) -> DataFrame:
     return df.coalesce(1) if df.count() <= rows else df
 
 
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of ``rows`` with ``unique``, a table from ``cut`` with one row per text key and ``n``, how many rows have it.
+
+    A table of few rows is broadcast. Else keys with more than HOT_ROWS rows are broadcast if they are few, and their rows
+    are dealt by ``spread`` in the shuffle that joins the other keys.
+    """
+    if unique.count() <= broadcast_rows:
+        return rows.join(F.broadcast(unique), key, "left")
+    rest = [c for c in unique.columns if c != key]
+    hot = unique.filter(F.col(n) > HOT_ROWS).select(F.col(key).alias("__hot_key"), *(F.col(c).alias(f"__hot_{c}") for c in rest))
+    if hot.isEmpty() or hot.count() > broadcast_rows:
+        return rows.join(unique, key, "left")
+    cold = unique.filter(F.col(n) <= HOT_ROWS).select(F.col(key).alias("__cold_key"), *(F.col(c).alias(f"__cold_{c}") for c in rest))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+    dealt = F.when(F.col("__hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit("~"), F.xxhash64(spread).cast("string")))
+    out = marked.withColumn("__dealt", dealt).join(cold, F.col("__dealt") == F.col("__cold_key"), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in rest))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A small table of stated rows, parsed from one literal: no Python runs on executors for it."""
+    body = json.dumps([dict(zip(schema, r, strict=True)) for r in rows])
+    kind = "array<struct<" + ",".join(f"{k}:{v}" for k, v in schema.items()) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(body), kind)))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

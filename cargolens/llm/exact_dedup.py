@@ -1,9 +1,12 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-The first pass groups rows by length and prefix hash with map-side partial counts: a group of two or more in it
-lies within a length shared by two or more rows, so both refinements take one narrow shuffle. Only texts in such
-groups are hashed in full in the second pass. Groups are aggregated before they are shuffled, so a text that a third
-of all rows share costs one row per task.
+1. Lengths that two or more rows share. 2. Of rows with such a length, the prefix hashes that two or more share. 3. Of
+rows with such a prefix, the full text is read and hashed. Each step is a narrow aggregation with map-side partial counts,
+so a text that a third of all rows share costs one row per task, and only the last one touches more than a text's
+beginning.
+
+The groups are joined back by their hash. Groups of more than ``common.HOT_ROWS`` rows, of which there are few, are
+broadcast after counting them, so that their rows aren't dealt to one task.
 
 Defined results: a null text counts as empty; empty texts are equal to each other. The row with the largest id stays;
 null ids lose to any other id, and a group with null ids only keeps them. Rows that repeat an id and its text each
@@ -13,45 +16,39 @@ clash with result columns are replaced in ``exact_duplicates`` and untouched in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, read_table, small
+from .common import BROADCAST_ROWS, cut, read_table, small, spread_join
 
-_LEN, _PRE, _HASH, _FLAG, _KEEP, _N = (f"__dedup_{x}" for x in ("length", "prefix", "hash", "flag", "keep", "n"))
+_LEN, _PRE, _HASH, _KEEP, _N = (f"__dedup_{x}" for x in ("length", "prefix", "hash", "keep", "n"))
 
 
-def _groups(rows: DataFrame, id_col: str, text, prefix_chars: int, broadcast_rows: int) -> DataFrame:
-    """One row for each full text that occurs twice or more: length, prefix hash, full hash, id that stays, size."""
-    shared = cut(rows.groupBy(_LEN, _PRE).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1).drop(_N), "dedup-prefixes")
-    survivors = rows.join(small(shared, broadcast_rows), [_LEN, _PRE], "left_semi")
-    return cut(
-        survivors.groupBy(_LEN, _PRE, F.sha2(text.cast("binary"), 256).alias(_HASH))
-        .agg(F.max(id_col).alias(_KEEP), F.count("*").alias(_N))
-        .filter(F.col(_N) > 1),
-        "dedup-groups",
-    )
+def _shared(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys that two or more rows have."""
+    return cut(rows.groupBy(*keys).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1).select(*keys), name)
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int, hash_all: bool) -> DataFrame:
-    """``docs`` with the reserved columns _HASH (null where refinement stopped earlier), _KEEP and _N."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int) -> DataFrame:
+    """One row for each full text that occurs twice or more: full hash, id that stays, size."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({_LEN: F.length(text), _PRE: F.xxhash64(F.substring(text, 1, prefix_chars))})
-    groups = _groups(rows.select(id_col, text_col, _LEN, _PRE), id_col, text, prefix_chars, broadcast_rows)
-    full = F.sha2(text.cast("binary"), 256)
-    if hash_all or groups.count() > broadcast_rows:
-        # Hashing while scanning moves 64 characters of each row; joining first would move its text.
-        rows = rows.withColumn(_HASH, full)
-    else:
-        flags = groups.select(_LEN, _PRE).distinct().withColumn(_FLAG, F.lit(True))
-        rows = rows.join(F.broadcast(flags), [_LEN, _PRE], "left").withColumn(_HASH, F.when(F.col(_FLAG), full)).drop(_FLAG)
-    return rows.join(small(groups, broadcast_rows), [_LEN, _PRE, _HASH], "left")
+    rows = docs.select(F.col(id_col).alias(_KEEP), text.alias("__dedup_text")).withColumn(_LEN, F.length("__dedup_text"))
+    rows = rows.join(small(_shared(rows, [_LEN], "dedup-lengths"), broadcast_rows), _LEN, "left_semi").withColumn(_PRE, F.xxhash64(F.substring("__dedup_text", 1, prefix_chars)))
+    rows = rows.join(small(_shared(rows, [_LEN, _PRE], "dedup-prefixes"), broadcast_rows), [_LEN, _PRE], "left_semi")
+    per = rows.groupBy(F.sha2(F.col("__dedup_text").cast("binary"), 256).alias(_HASH)).agg(F.max(_KEEP).alias(_KEEP), F.count("*").alias(_N))
+    return cut(per.filter(F.col(_N) > 1), "dedup-groups")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int) -> DataFrame:
+    """``docs`` with the reserved columns _HASH, and _KEEP and _N (null for texts that occur once)."""
+    full = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return spread_join(docs.withColumn(_HASH, full), _groups(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows), _HASH, _N, F.col(id_col), broadcast_rows)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    found = _judged(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows, True)
-    keep = F.when(F.col(_N).isNull(), F.col(id_col)).otherwise(F.col(_KEEP))
+    """One row per input row: id, keep_id, group_size, kept, text_sha256. Texts are hashed where they are read and don't move."""
+    found = _judged(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows)
+    keep: Column = F.when(F.col(_N).isNull(), F.col(id_col)).otherwise(F.col(_KEEP))
     return found.select(
         F.col(id_col),
         keep.alias("keep_id"),
@@ -62,8 +59,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    found = _judged(docs, id_col, text_col, prefix_chars, broadcast_rows, False)
+    """The rows of ``docs`` that stay, with the columns of ``docs``.
+
+    Texts stay in place while the groups can be broadcast; beyond that, rows are dealt by hash once.
+    """
+    found = _judged(docs, id_col, text_col, prefix_chars, broadcast_rows)
     return found.filter(F.col(_N).isNull() | F.col(id_col).eqNullSafe(F.col(_KEEP))).select(*docs.columns)
 
 
