@@ -1,24 +1,28 @@
 """Content-addressed WARC archive.
 
-An archive is two tables. ``payloads`` holds each distinct payload once, under its SHA-256. ``records`` holds every
-record's exact header bytes and the address of its payload. Original records are rebuilt by joining the two. On reading,
-each stored payload is hashed again, and a record counts as verified only if that hash is its address.
+An archive is two tables. ``payloads`` holds each distinct payload once, under its SHA-256, in buckets of that address.
+``records`` holds every record's exact header bytes and the address of its payload. Original records are rebuilt by
+joining the two: a response's bytes are its header and its payload, a revisit's are its header. On reading, each stored
+payload is hashed again, and a record counts as verified only if that hash is its address and its header names the digest
+of its payload.
 
 Payloads are deduplicated in one aggregation whose map side keeps one copy per task, so a payload that a third of all
-pages share is moved a few times. Reading digests or lengths never joins payload bytes: they are computed where the
-payload is stored, and Spark drops the bytes from the join.
+pages share is moved a few times. When records are rebuilt, headers go to the buckets of payloads, so no payload is
+dealt again. Records of an address that very many share are revisits, which need its length and digest only, or have
+payloads under ``least`` bytes: those addresses are broadcast after counting them (``common.spread_join``).
 
 ``write_files`` and ``read_files`` exchange archives with other tools as WARC 1.1 files.
 
 Defined results: a null payload is empty; payloads under ``least`` bytes are always responses; of equal longer ones the
 largest id is the response, the others are revisits that refer to it. Rows that repeat the largest id are all responses.
-A null id is written as an empty page id and sorts below all others. Null or odd addresses: control characters are
-percent-encoded, a null leaves the header out. An empty table gives an empty archive. Only id, address and payload
-are read, so other columns can't clash.
+A null id has no id field and sorts below all others; ids of text are written percent-encoded. In addresses, blanks and
+control characters are percent-encoded, each by its own code; a null leaves the field out. An empty table gives an empty
+archive. Only id, address and payload are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,9 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, ship
+from .common import HOT_ROWS, read_table, shared_dir, ship, spread_join
 
 LEAST = 1000
+#: Addresses that are broadcast with what is known of their payloads, or with payloads under ``LEAST`` bytes.
+ADDRESSES = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _NL = "\r\n"
 
@@ -39,6 +45,14 @@ def _record_id(name: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)), F.lit(">"))
 
 
+def _escaped(url: Column) -> Column:
+    """Blanks and control characters as percent and their code."""
+    out = url
+    for code in (*range(33), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(F.rlike(url, F.lit(r"[\x00-\x20\x7F]")), out).otherwise(url)
+
+
 def _header(record_type: Column, name: Column, url: Column, sha1: Column, size: Column, refers: Column) -> Column:
     """Everything of a record before its payload: WARC fields, then the HTTP head that its block begins with."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(_NL + _NL))
@@ -48,13 +62,13 @@ def _header(record_type: Column, name: Column, url: Column, sha1: Column, size:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), record_type),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(name)),
-        F.concat(F.lit("X-Page-ID: "), name),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(url, r"[\x00-\x20\x7F]", "%20")),
+        F.concat(F.lit("X-Page-ID: "), F.url_encode(name)),
+        F.concat(F.lit("WARC-Target-URI: "), _escaped(url)),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(refers))),
-        F.when(revisit, F.concat(F.lit("X-Refers-To-Page-ID: "), refers)),
+        F.when(revisit, F.concat(F.lit("X-Refers-To-Page-ID: "), F.url_encode(refers))),
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")),
     )
@@ -66,35 +80,47 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("address"))
     spark = pages.sparkSession
-    stored = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.max("id").alias("last_id"))
-    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    known = spark.read.parquet(f"{path}/payloads").select("address", "last_id", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The aggregation deals addresses as buckets do, so each bucket is one file, of the task that has it.
+    stored = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+    stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "address").saveAsTable(_table(path))
+    known = spark.table(_table(path)).select("address", "last_id", "n", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
+    name = lambda c: F.col(c).cast("string")
     kind = F.when((F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("last_id")), "revisit").otherwise("response")
-    records = rows.select("id", "url", "address").join(known, "address").withColumn("record_type", kind)
-    records = records.select("id", "address", _header(F.col("record_type"), name("id"), F.col("url"), F.col("sha1"), F.col("size"), name("last_id")).alias("header"))
+    records = spread_join(rows.select("id", "url", "address"), known, "address", "n", F.col("id"), ADDRESSES).withColumn("record_type", kind)
+    records = records.select("address", F.col("n").alias("n_address"), _header(F.col("record_type"), name("id"), F.col("url"), F.col("sha1"), F.col("size"), name("last_id")).alias("header"))
     records.write.option("compression", "zstd").parquet(f"{path}/records")
 
 
+def _table(path: str) -> str:
+    """The name under which the session knows an archive's buckets."""
+    return "warc_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+
+
 def _field(header: Column, name: str) -> Column:
-    return F.regexp_extract(header, rf"\n{name}: ([^\r\n]*)", 1)
+    return F.when(F.contains(header, F.lit(f"\n{name}: ")), F.regexp_extract(header, rf"\n{name}: ([^\r\n]*)", 1))
 
 
 def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """id, record_type, url, payload_digest (SHA-1), payload_bytes, refers_to, verified, payload, record (all its bytes), from the stored tables.
-
-    Columns that aren't used cost nothing: without ``payload`` and ``record`` no payload leaves its place.
-    """
-    stored = spark.read.parquet(f"{path}/payloads").select("address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("address")).alias("verified"))
+    """id, record_type, url, payload_digest (SHA-1), payload_bytes, refers_to, verified, payload (null for revisits), record (all its bytes), from the stored tables."""
+    if not spark.catalog.tableExists(_table(path)):  # written by another session: the same files, without their buckets
+        stored = spark.read.parquet(f"{path}/payloads")
+    else:
+        stored = spark.table(_table(path))
+    about = (F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("address")).alias("intact"))
     text = F.col("header").cast("string")
-    kind = _field(text, "WARC-Type")
-    heads = spark.read.parquet(f"{path}/records").select("address", "header", _field(text, "X-Page-ID").alias("page"), kind.alias("record_type"), _field(text, "WARC-Target-URI").alias("url"), F.when(kind == "revisit", _field(text, "X-Refers-To-Page-ID")).alias("refers"), _field(text, "WARC-Payload-Digest").alias("digest"))
-    id_of = lambda c: F.when(F.col(c) != "", F.col(c)).cast(id_type)
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return heads.join(stored, "address").select(
-        id_of("page").alias("id"), "record_type", "url", "payload_digest", "payload_bytes", id_of("refers").alias("refers_to"),
-        (F.col("verified") & (F.col("digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))).alias("verified"),
-        "payload", F.concat(F.col("header"), block, F.lit(b"\r\n\r\n")).alias("record"),
+    heads = spark.read.parquet(f"{path}/records").select("address", "n_address", "header", _field(text, "WARC-Type").alias("record_type"))
+    responses, revisits = heads.filter("record_type = 'response'"), heads.filter("record_type != 'response'")
+    hot = F.col("n_address") > HOT_ROWS  # of responses: payloads under ``least`` bytes, since longer ones have one response
+    wide = stored.select("address", "payload", *about)
+    whole = responses.filter(~hot).join(wide, "address").unionByName(spread_join(responses.filter(hot), stored.filter(F.col("n") > HOT_ROWS).select("address", "payload", *about, "n"), "address", "n", F.col("header"), ADDRESSES).drop("n"))
+    named = spread_join(revisits, stored.select("address", *about, "n"), "address", "n", F.col("header"), ADDRESSES).drop("n").withColumn("payload", F.lit(None).cast("binary"))
+    both = whole.unionByName(named).withColumn("record", F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n")))
+    id_of = lambda name: F.url_decode(_field(text, name)).cast(id_type)
+    return both.select(
+        id_of("X-Page-ID").alias("id"), "record_type", _field(text, "WARC-Target-URI").alias("url"), "payload_digest", "payload_bytes",
+        F.when(F.col("record_type") == "revisit", id_of("X-Refers-To-Page-ID")).alias("refers_to"),
+        (F.coalesce("intact", F.lit(False)) & (_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))).alias("verified"), "payload", "record",
     )
 
 
@@ -125,18 +151,29 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, rebuilt by joining header and payload, and what its bytes say; ``record_bytes`` and ``record_sha256`` are of the whole record."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     pages = read_table(spark, sf_dir, "pages")
     write_archive(pages, path)
     back = read_archive(spark, path, dict(pages.dtypes)["page_id"])
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return back.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified",
+        F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"),
+    )
 
 
-OP6_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to, true AS verified
-FROM d
+#: The records are made again here, byte by byte, from the pages.
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, html, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last_id FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type FROM d),
+h AS (SELECT *, sha256('page:' || page_id) AS a, sha256('page:' || last_id) AS b,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || payload_bytes || chr(13) || chr(10) || chr(13) || chr(10) AS http FROM r),
+f AS (SELECT *, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || record_type,
+    'WARC-Record-ID: <urn:uuid:' || a[1:8] || '-' || a[9:12] || '-5' || a[14:16] || '-8' || a[18:20] || '-' || a[21:32] || '>', 'X-Page-ID: ' || page_id, 'WARC-Target-URI: ' || url, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Payload-Digest: sha1:' || payload_digest,
+    CASE WHEN record_type = 'revisit' THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+    CASE WHEN record_type = 'revisit' THEN 'WARC-Refers-To: <urn:uuid:' || b[1:8] || '-' || b[9:12] || '-5' || b[14:16] || '-8' || b[18:20] || '-' || b[21:32] || '>' END,
+    CASE WHEN record_type = 'revisit' THEN 'X-Refers-To-Page-ID: ' || last_id END,
+    'Content-Type: application/http;msgtype=response', 'Content-Length: ' || (strlen(http) + CASE WHEN record_type = 'revisit' THEN 0 ELSE payload_bytes END)) || chr(13) || chr(10) || chr(13) || chr(10) || http || CASE WHEN record_type = 'revisit' THEN '' ELSE html END || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM h)
+SELECT page_id, payload_bytes, payload_digest, record_type, CASE WHEN record_type = 'revisit' THEN last_id END AS refers_to, true AS verified, strlen(record) AS record_bytes, sha256(record) AS record_sha256 FROM f
 """
