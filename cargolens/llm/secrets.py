@@ -5,12 +5,13 @@ text, are identifiers (``user = x``), secrets (mixed tokens of 20 or more charac
 host). An interval join within each text, its scope, reports a weak part only if a complementary part lies within
 ``reach`` characters: an identifier or endpoint needs a secret near it, a secret needs an identifier or endpoint.
 
-The join is on the text's key and a bin of ``reach`` characters, so a text with very many parts is split by position,
-and it is a semi join: no pairs are made. Only texts with parts enter it, as offsets without their text.
+One scan finds all spans and writes them without the texts; everything after it works on offsets. The join is on the
+row's number in that table and a bin of ``reach`` characters, so a text with very many parts is split by position, and it
+is a semi join: no pairs are made. Only texts with weak parts enter it.
 
-Defined results: null texts count as empty; offsets are code points, ends exclusive; rows are keyed by id and text
-hash, so repeated ids with different texts stay apart and repeated rows each get the same spans; null ids are kept; an
-empty table gives no rows. Only the id and the text are read, so other columns can't clash.
+Defined results: null texts count as empty; offsets are code points, ends exclusive; rows are told apart by number, so
+repeated ids and rows each get their own spans; null ids are kept; an empty table gives no rows. Only the id and the text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 from .spans import joined, tagged, with_spans
 
 STRONG = ("assign", "access", "hex")
@@ -36,7 +37,7 @@ PATTERNS = {
 NEEDS = {"identifier": ("assign", "hex", "secret"), "secret": ("access", "identifier", "endpoint"), "endpoint": ("assign", "access", "hex", "secret")}
 #: Text without which a kind can't occur: a cheap test before its expression runs.
 _MUST = {"access": "AKIA", "endpoint": "://"}
-_KEY = ["__s_id", "__s_hash"]
+_SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
 
 
 def _with_kinds(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -48,42 +49,32 @@ def _with_kinds(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def linked(parts: DataFrame, reach: int) -> DataFrame:
-    """The weak rows of ``parts`` (key, kind, start, end) that have a complementary part within ``reach`` characters."""
-    pairs = parts.sparkSession.createDataFrame([(k, n) for k, needs in NEEDS.items() for n in needs], "kind string, other string")
-    weak = parts.filter(F.col("kind").isin(*WEAK)).distinct().join(F.broadcast(pairs), "kind")
+    """The weak rows of ``parts`` (row, kind, start, end) that have a complementary part within ``reach`` characters."""
+    needs = F.create_map(*(x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    weak = parts.filter(F.col("kind").isin(*WEAK)).distinct().withColumn("other", F.explode(F.element_at(needs, F.col("kind"))))
     # Both sides lie in all bins that they touch, partners in one more on each side, which is ``reach`` or more characters.
     weak = weak.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))))
     near = parts.select(
-        *(F.col(c).alias(f"o_{c}") for c in _KEY), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+        F.col("row").alias("o_row"), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
         F.explode(F.sequence(F.floor(F.col("start") / reach) - 1, F.floor(F.col("end") / reach) + 1)).alias("o_bin"),
     )
-    same = F.col("__s_id").eqNullSafe(F.col("o___s_id")) & (F.col("__s_hash") == F.col("o___s_hash")) & (F.col("bin") == F.col("o_bin")) & (F.col("other") == F.col("o_kind"))
+    same = (F.col("row") == F.col("o_row")) & (F.col("bin") == F.col("o_bin")) & (F.col("other") == F.col("o_kind"))
     close = (F.col("o_start") - F.col("end") <= reach) & (F.col("start") - F.col("o_end") <= reach)
     apart = (F.col("o_start") != F.col("start")) | (F.col("o_end") != F.col("end"))
-    return weak.join(near, same & close & apart, "left_semi").select(*_KEY, "kind", "start", "end").distinct()
+    return weak.join(near, same & close & apart, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 300) -> DataFrame:
     """id, and for each kind an array of (start, end, value, part); weak kinds hold linked spans only."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias(_KEY[0]), text.alias("__s_text"), F.xxhash64(text).alias(_KEY[1]))
-    strong = _with_kinds(rows, STRONG)
-    # A text without a weak part has nothing to link.
-    parts = (
-        _with_kinds(rows.filter(F.rlike(F.col("__s_text"), F.lit(PATTERNS["identifier"])) | F.contains(F.col("__s_text"), F.lit("://")) | F.rlike(F.col("__s_text"), F.lit(PATTERNS["secret"]))), (*STRONG, *WEAK))
-        .select(*_KEY, F.explode(F.concat(*(tagged(F.col(k), F.lit(k).alias("kind"), "start", "end") for k in (*STRONG, *WEAK)))).alias("x"))
-        .select(*_KEY, "x.*")
-    )
-    weak = linked(parts, reach).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("weak"))
-    weak = weak.withColumnsRenamed({c: f"o_{c}" for c in _KEY})
-    out = strong.join(weak, F.col(_KEY[0]).eqNullSafe(F.col(f"o_{_KEY[0]}")) & (F.col(_KEY[1]) == F.col(f"o_{_KEY[1]}")), "left")
-    cutout = lambda x: F.substring(F.col("__s_text"), x["start"] + 1, x["end"] - x["start"])
-
-    def of(k: str) -> Column:
-        mine = F.filter(F.coalesce(F.col("weak"), F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda x: x["kind"] == k)
-        return F.transform(mine, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), cutout(x).alias("value"), cutout(x).alias("part")))
-
-    return out.select(F.col(_KEY[0]).alias(id_col), *STRONG, *(of(k).alias(k) for k in WEAK))
+    rows = docs.select(F.col(id_col).alias("__s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__s_text"))
+    found = _with_kinds(rows, (*STRONG, *WEAK)).drop("__s_text").withColumn("row", F.monotonically_increasing_id())
+    found = cut(found, "secrets-spans")  # numbers its rows for good
+    some = found.filter(F.size(F.concat(*WEAK)) > 0)
+    parts = some.select("row", F.explode(F.concat(*(tagged(F.col(k), F.lit(k).alias("kind"), "start", "end") for k in (*STRONG, *WEAK)))).alias("x")).select("row", "x.*")
+    weak = linked(parts, reach).groupBy(F.col("row").alias("o_row")).agg(F.collect_set(F.concat_ws(":", "kind", "start", "end")).alias("weak"))
+    out = found.join(weak, F.col("row") == F.col("o_row"), "left")
+    of = lambda k: F.filter(F.col(k), lambda x: F.array_contains(F.col("weak"), F.concat_ws(":", F.lit(k), x["start"], x["end"])))
+    return out.select(F.col("__s_id").alias(id_col), *STRONG, *(F.when(F.col("weak").isNotNull(), of(k)).otherwise(F.array().cast(_SPAN)).alias(k) for k in WEAK))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
