@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space that separates words: blank and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -60,6 +61,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_as_stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a scan of Parquet files that Spark wrote, with ``name``: each row's place, from 0, by number of its file and row in it.
+
+    A scan may read files in any order; this is the order in which they were written. Only file names and counts are joined.
+    """
+    path = F.col("_metadata.file_path")
+    task = F.regexp_extract(F.col("__file"), r"part-(\d+)[^/]*$", 1).cast("long")
+    files = df.groupBy(path.alias("__file")).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy(task, "__file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+    offsets = cut(files.select("__file", F.coalesce(before, F.lit(0)).alias("__before")), "file-offsets")
+    rows = df.select("*", path.alias("__at"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(small(offsets), F.col("__at") == F.col("__file")).select(*df.columns, (F.col("__before") + F.col("__row")).alias(name))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a table from ``cut``) marked for broadcast if its counted rows are few, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, read_table, shared_dir, small
+from .common import BROADCAST_ROWS, cut, literal_table, read_table, shared_dir, small
 
 BLOCK, PERIOD = 16, 1000
 #: Blocks that the driver holds before it writes them.
-CHUNK = 200_000
+CHUNK = 20_000
+#: Rows of the order (id, source, position) that are broadcast after counting them; then texts are dealt once, else twice.
+ORDER_ROWS = 500_000
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -76,7 +78,8 @@ def earliest_deadlines(weights: list[float], sizes: list[int], block: int) -> It
 def _numbered(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` (id, source) with ``ordinal`` within the source, from 0, in the order of the ids' MD5."""
     ranges = max(1, math.ceil(total / max(1000, math.isqrt(total))))
-    drawn = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    # Null ids can't be told apart, so they are numbered as they come instead of all falling into one range.
+    drawn = F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))).cast("binary"))
     of = F.floor(F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") * ranges / (1 << 32))
     rows = rows.withColumns({"drawn": drawn, "range": of})
     sizes = rows.groupBy("source", "range").agg(F.count("*").alias("size"))
@@ -100,8 +103,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     if any(w <= 0 for w in shares):
         raise ValueError("a weight must be above zero")
 
-    kind = dict(rows.dtypes)["source"]
-    plan = spark.createDataFrame([(s, j) for j, s in enumerate(names)], f"p_source {kind}, p_index int")
+    plan = literal_table(spark, [(s, j) for j, s in enumerate(names)], {"p_source": dict(rows.dtypes)["source"], "p_index": "int"})
     plan = F.broadcast(plan) if len(names) <= BROADCAST_ROWS else plan
     rows = _numbered(rows, sum(sizes)).withColumn("block", F.floor(F.col("ordinal") / block))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
@@ -111,14 +113,12 @@ def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
 
 def _by_block(rows: DataFrame, sizes: list[int], shares: list[float], block: int) -> DataFrame:
     """``rows`` (p_index, block) with ``slot`` and ``before``, from a table of all blocks."""
-    import pyarrow as pa
-
     spark, names = rows.sparkSession, ("b_index", "b_block", "slot", "before")
     path = f"{shared_dir(spark)}/mixing-blocks-{uuid.uuid4().hex}"
     schema = "b_index long, b_block long, slot long, before long"
     for chunk in batched(earliest_deadlines(shares, sizes, block), CHUNK):
-        spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*chunk, strict=True), strict=True)})).write.mode("append").parquet(path)
-    blocks = spark.read.schema(schema).parquet(path) if sizes else spark.createDataFrame([], schema)
+        literal_table(spark, list(chunk), dict.fromkeys(names, "long")).write.mode("append").parquet(path)
+    blocks = spark.read.schema(schema).parquet(path) if sizes else literal_table(spark, [], dict.fromkeys(names, "long"))
     return rows.join(small(blocks), (F.col("p_index") == F.col("b_index")) & (F.col("block") == F.col("b_block")))
 
 
@@ -129,8 +129,8 @@ def _by_period(rows: DataFrame, sizes: list[int], shares: list[float], block: in
     for j, i, slot, _ in earliest_deadlines(slots, slots, 1):
         turns.append((j, i, slots[j], slot, list(had)))
         had[j] += 1
-    turns = cut(spark.createDataFrame(turns, "p_index int, p_turn long, p_quota long, p_slot long, p_had array<long>"), "mixing-period")
-    quota = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "p_index int, p_per long"))
+    turns = cut(literal_table(spark, turns, {"p_index": "int", "p_turn": "long", "p_quota": "long", "p_slot": "long", "p_had": "array<long>"}), "mixing-period")
+    quota = F.broadcast(literal_table(spark, list(enumerate(slots)), {"p_index": "int", "p_per": "long"}))
     keyed = rows.join(quota, "p_index").withColumn("p_turn", F.col("block") % F.col("p_per"))
     placed = keyed.join(F.broadcast(turns), ["p_index", "p_turn"])  # ``period`` rows
     cycles, held, per = F.floor(F.col("block") / F.col("p_quota")), F.array(*[F.lit(n).cast("long") for n in sizes]), F.array(*[F.lit(k).cast("long") for k in slots])
@@ -146,8 +146,11 @@ def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "
     order = schedule(docs, weights, id_col, source_col, block, period).select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("position").alias("__mix_position"))
     # Rows that repeat an id and source share the first one's place.
     order = cut(order.groupBy("__mix_id", "__mix_source").agg(F.min("__mix_position").alias("__mix_position")), "mixing-order")
-    out = docs.join(order, F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
-    return out.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*(c for c in docs.columns if c != position_col), *([F.col("__mix_position").alias(position_col)] if position_col else []))
+    out = docs.join(small(order, ORDER_ROWS), F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
+    # Positions have no gaps, so ranges of them follow from their number, without sampling the rows.
+    last, parts = order.agg(F.max("__mix_position")).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.coalesce("__mix_position", F.lit(0)) * parts / (last + 1)).cast("int")
+    return out.repartitionById(parts, part).sortWithinPartitions("__mix_position").select(*(c for c in docs.columns if c != position_col), *([F.col("__mix_position").alias(position_col)] if position_col else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, sealed, words_of
+from .common import literal_table, read_table, sealed, words_of
 
 #: Measurements that the rules read, in the ledger's order.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower")
@@ -127,7 +127,8 @@ def ablations(of: DataFrame) -> DataFrame:
     """policy, rule, n, n_kept, n_kept_without (kept if that rule were dropped), n_failed: from a ledger, by bit arithmetic."""
     spark = of.sparkSession
     patterns = of.groupBy("failed_bits").agg(F.count("*").alias("n"))
-    plan = spark.createDataFrame([(v, name, m, 1 << k) for v, m in POLICIES.items() for k, name in enumerate(RULE_NAMES) if m >> k & 1], "policy int, rule string, mask long, bit long")
+    stated = [(v, name, m, 1 << k) for v, m in POLICIES.items() for k, name in enumerate(RULE_NAMES) if m >> k & 1]
+    plan = literal_table(spark, stated, {"policy": "int", "rule": "string", "mask": "long", "bit": "long"})
     b, m, bit = F.col("failed_bits"), F.col("mask"), F.col("bit")
     total = lambda keep: F.sum(F.when(keep, F.col("n")).otherwise(0))
     return (
