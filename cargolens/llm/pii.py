@@ -38,6 +38,10 @@ PATTERNS = {
 CONTEXT_GAIN, CONTEXT_CHARS = 0.4, 40
 
 
+#: Characters of the pieces that a text is cut into, so that a span's context is found without reading from its start.
+PIECE = 1024
+
+
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
@@ -66,10 +70,15 @@ _CONFIRM = {
 _NEEDS = {"email": "@", "phone": "+"}
 
 
-def _score(text: Column, kind: str, x: Column) -> Column:
+def _score(kind: str, x: Column) -> Column:
+    """The kind's score, raised by context words near a span: looked for in the pieces of text that it touches and the next ones."""
     _, base, words = PATTERNS[kind]
-    start = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-    near = F.lower(F.concat_ws(" ", F.substring(text, start + 1, x["start"] - start), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
+    pieces = F.col("__pii_pieces")
+    piece = lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit(""))
+    first, last = F.floor(x["start"] / PIECE), F.floor(x["end"] / PIECE)
+    before = F.concat(F.when(first > 0, piece(first - 1)).otherwise(F.lit("")), F.substring(piece(first), F.lit(1), (x["start"] - first * PIECE).cast("int")))
+    after = F.concat(F.substring(piece(last), (x["end"] - last * PIECE + 1).cast("int"), F.lit(CONTEXT_CHARS)), piece(last + 1))
+    near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
     return F.when(F.rlike(near, F.lit(words)), F.least(F.lit(1.0), F.lit(base + CONTEXT_GAIN))).otherwise(F.lit(base))
 
 
@@ -85,8 +94,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     text = F.col("__pii_text")
     out = with_spans(out, "__pii_text", {f"__pii_{k}": (PATTERNS[k][0], 0, F.contains(text, F.lit(_NEEDS[k])) if k in _NEEDS else F.rlike(text, F.lit("[0-9]"))) for k in kinds})
 
+    found = F.size(F.concat(*(F.col(f"__pii_{k}") for k in kinds))) > 0
+    out = sealed(out, {"__pii_pieces": F.when(found, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
+
     def scored(k: str) -> Column:
-        with_score = F.transform(_confirmed(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _score(text, k, x).alias("score")))
+        with_score = F.transform(_confirmed(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _score(k, x).alias("score")))
         return with_score if k in BASE else F.filter(with_score, lambda x: x["score"] >= threshold)
 
     return sealed(out, {k: scored(k) for k in kinds}).select(id_col, *kinds)

@@ -33,6 +33,8 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in got}
     assert kept and len({texts[i] for i in kept}) == len(kept)
     assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert all(stage(spark, docs, SF).columns == docs.columns for _, stage in corpus_pipeline.STAGES[:-1])
 
 
 def _sequences(spark, sf_dir, monkeypatch, stages):
@@ -52,7 +54,7 @@ def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "pack", lambda *a, **k: packing.pack(*a, **k, capacity=256, shard_pieces=50))
     last = corpus_pipeline.STAGES[-2:]
     with_mix, without = (_sequences(spark, str(tmp_path), monkeypatch, s) for s in (last, last[1:]))
-    swapped = [("mixing", lambda s, d, _: mixing.in_mixed_order(d, {"a": 1.0, "b": 30.0}, position_col=corpus_pipeline.POSITION)), last[1]]
+    swapped = [("mixing", lambda s, d, _: mixing.in_mixed_order(d, {"a": 1.0, "b": 30.0})), last[1]]
     other = _sequences(spark, str(tmp_path), monkeypatch, swapped)
     assert with_mix.keys() == without.keys() == other.keys() and with_mix != without and with_mix != other
     for order, weights in ((with_mix, None), (other, {"a": 1.0, "b": 30.0})):
