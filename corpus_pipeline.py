@@ -1,21 +1,22 @@
 """From documents to packed training sequences: rules, exact and near deduplication, mixing, packing.
 
-Each stage reads what the one before it wrote. All but the last return the columns of ``documents``; mixing adds the
-position of each document, which packing follows.
+Each stage reads what the one before it wrote. All but the last return the columns of ``documents``. What mixing decides
+is the order of the rows that it writes, which packing reads off the files and follows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm.common import cut, read_table
+from cargolens.llm.common import cut, numbered_as_stored, read_table
 from cargolens.llm.exact_dedup import drop_exact_duplicates
 from cargolens.llm.minhash import drop_near_duplicates
 from cargolens.llm.mixing import in_mixed_order
 from cargolens.llm.packing import pack, tokenizer_path
 from cargolens.llm.quality_rules import keep_good
 
-POSITION = "mix_position"
+#: Packing's name for a document's place in the files that it reads.
+PLACE = "__place"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +35,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves sources to their weights, with their positions in it."""
-    return in_mixed_order(docs, position_col=POSITION)
+    """All documents, in the order that interleaves sources to their weights."""
+    return in_mixed_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences, which keep the order of the mix."""
-    return pack(docs, tokenizer_path(), order_col=POSITION if POSITION in docs.columns else None)
+    """Pieces of documents and their places in sequences, which keep the order in which mixing wrote the documents."""
+    return pack(numbered_as_stored(docs, PLACE), tokenizer_path(), order_col=PLACE)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mix), ("packing", packing)]
