@@ -67,19 +67,14 @@ def box_union(rows: DataFrame, keys: list[str]) -> DataFrame:
 def reading_order(tokens: DataFrame, gap: float = 14.0) -> DataFrame:
     """document_id, page, row, text: rows begin where a token's middle lies more than ``gap`` below its row's first one.
 
-    Rows follow from a fold over a page's tokens, which a page bounds; within rows from left to right.
+    Where rows begin follows from a fold over a page's distinct middles, which a page bounds; within rows from left to right.
     """
     item = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("mid"), F.col("x1").alias("x"), "pos", "text")
-    pages = tokens.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(acc: Column, t: Column) -> Column:
-        new = t["mid"] - acc["anchor"] > gap
-        row = acc["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, t["mid"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(F.col("items")[0]["mid"].alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
-    pages = pages.withColumn("rows", F.aggregate("items", start, step, lambda a: a["rows"]))
-    each = pages.select("document_id", "page", F.explode(F.arrays_zip("items", "rows")).alias("z")).select("document_id", "page", F.col("z.rows").alias("row"), "z.items.*")
+    pages = tokens.groupBy("document_id", "page").agg(F.collect_list(item).alias("items"))
+    middles = F.array_sort(F.array_distinct(F.transform("items", lambda t: t["mid"])))
+    begins = F.aggregate(middles, F.array().cast("array<double>"), lambda rows, m: F.when((F.size(rows) == 0) | (m - F.element_at(rows, -1) > gap), F.concat(rows, F.array(m))).otherwise(rows))
+    each = pages.withColumn("begins", begins).select("document_id", "page", "begins", F.inline("items"))
+    each = each.withColumn("row", F.size(F.filter("begins", lambda m: m <= F.col("mid"))) - 1)
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda t: t["text"]), " ")
     return each.groupBy("document_id", "page", "row").agg(line.alias("text"))
 
