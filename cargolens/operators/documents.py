@@ -81,8 +81,11 @@ def reading_order(tokens: DataFrame, gap: float = 14.0) -> DataFrame:
 
 def link_values(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values (document_id, value) to their best token: one that holds the value 1.0, one within the value 0.85; first in order."""
-    v, t = F.lower(F.trim(F.col("value"))), F.lower(F.trim(F.col("text")))
-    both = values.join(tokens.filter(F.trim("text") != ""), "document_id")
+    v, t = F.lower(F.trim(F.col("value"))), F.col("t")
+    # Of a document's equal tokens only the first can be the best.
+    place = ["page", "pos", "text", "x1", "y1", "x2", "y2", "confidence"]
+    first = tokens.withColumn("t", F.lower(F.trim("text"))).filter("t != ''").groupBy("document_id", "t").agg(F.min_by(F.struct(*place), "pos").alias("x")).select("document_id", "t", "x.*")
+    both = values.join(first, "document_id")
     score = F.when(F.contains(t, v), 1.0).when(F.contains(v, t) & (F.length(t) > 3), 0.85)
     hit = both.withColumn("score", score).filter(F.col("score").isNotNull())
     best = hit.groupBy("document_id", "value").agg(F.max_by(F.struct("page", "pos", "text", "x1", "y1", "x2", "y2", "confidence", "score"), F.struct("score", -F.col("pos"))).alias("b"))
