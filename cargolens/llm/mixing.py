@@ -4,7 +4,9 @@ A source's rows, in an order drawn by hash, form blocks. With weight w, block i
 on and must have run by slot ceil((i + 1) / w); among the blocks that may run, the earliest deadline goes first. So at
 every slot each source has had its weight's share of blocks, less than one block more or less. Weights are the stated
 numbers as exact fractions of their sum. The driver goes through the blocks, not the rows, once, with one heap entry a
-source, and writes their slots in chunks.
+source, and writes their slots in chunks. A block has 16 rows, or as many more as keep the blocks to about two million
+(``BLOCKS``), so that the driver's work doesn't grow with the rows; all rows are scheduled either way, and the deviation
+from the target stays under one block.
 
 With a ``period``, weights are rounded to whole numbers of slots out of it instead, at least one each (``quotas``). The
 schedule then repeats: one period is gone through, and a block's slot is its period and its place in the period. Shares
@@ -37,6 +39,8 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_ROWS, cut, literal_table, read_table, shared_dir, small
 
 BLOCK, PERIOD = 16, 1000
+#: Blocks that the driver schedules, one more a source at most; beyond 16 times as many rows, blocks have more rows instead.
+BLOCKS = 2_000_000
 #: Blocks that the driver holds before it writes them.
 CHUNK = 20_000
 #: Rows of the order (id, source, position) that are broadcast after counting them; then texts are dealt once, else twice.
@@ -90,10 +94,11 @@ def _numbered(rows: DataFrame, total: int) -> DataFrame:
     return rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range"))).select("id", "source", (F.col("before") + F.col("within")).alias("ordinal"))
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, period: int | None = None) -> DataFrame:
     """id, source, block, slot, position (from 0, gapless): one row per input row.
 
-    ``weights``: source to weight; without it a source weighs the square root of its rows. ``period``: rounds weights to slots out of it.
+    ``weights``: source to weight; without it a source weighs the square root of its rows. ``block``: rows of a block; without it
+    as stated above, or 16 with a period. ``period``: rounds weights to slots out of it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"))
@@ -102,12 +107,14 @@ def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     sizes, shares = [counted[s] for s in names], [weights[s] if weights else math.sqrt(counted[s]) for s in names]
     if any(w <= 0 for w in shares):
         raise ValueError("a weight must be above zero")
+    periodic = bool(period) and len(names) <= period  # the driver's work is that of one period
+    block = block or (BLOCK if periodic else max(BLOCK, -(-sum(sizes) // BLOCKS)))
 
     plan = literal_table(spark, [(s, j) for j, s in enumerate(names)], {"p_source": dict(rows.dtypes)["source"], "p_index": "int"})
     plan = F.broadcast(plan) if len(names) <= BROADCAST_ROWS else plan
     rows = _numbered(rows, sum(sizes)).withColumn("block", F.floor(F.col("ordinal") / block))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    placed = _by_period(rows, sizes, shares, block, period) if period and len(names) <= period else _by_block(rows, sizes, shares, block)
+    placed = _by_period(rows, sizes, shares, block, period) if periodic else _by_block(rows, sizes, shares, block)
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", (F.col("before") + F.col("ordinal") % block).alias("position"))
 
 
@@ -138,7 +145,7 @@ def _by_period(rows: DataFrame, sizes: list[int], shares: list[float], block: in
     return placed.withColumns({"slot": cycles * period + F.col("p_slot"), "before": before})
 
 
-def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None, position_col: str | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, period: int | None = None, position_col: str | None = None) -> DataFrame:
     """The rows and columns of ``docs``, in the order of the mix: by range of positions over partitions, sorted within each.
 
     With ``position_col`` the position is also a column of that name, for readers that don't keep the order of rows.

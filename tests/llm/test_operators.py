@@ -175,6 +175,18 @@ def test_mixing_of_many_sources(spark):
         mixing.schedule(docs(spark, [(1, "t", "x")]), {"x": 0.0})
 
 
+def test_mixing_bounds_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 20)
+    table = docs(spark, [(i, "t", "ab"[i % 4 == 0]) for i in range(1001)])
+    got = sorted(mixing.schedule(table, {"a": 3.0, "b": 1.0}).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(1001)) and len({(r["source"], r["block"]) for r in got}) <= 20 + 2
+    had = Counter()
+    for t, r in enumerate(got[:900], 1):
+        had[r["source"]] += 1
+        assert abs(had["a"] - 0.75 * t) < 51  # rows of a block
+    assert len({(r["source"], r["block"]) for r in mixing.schedule(table, block=7).collect()}) == -(-750 // 7) + -(-251 // 7)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
