@@ -117,7 +117,7 @@ def agg07_entity_dedup(spark, sf_dir):
 
 
 def agg08_box_union(spark, sf_dir):
-    return D.box_union(tokens(spark, sf_dir).filter(F.length("text") >= 8), ["document_id", "page"])
+    return D.box_union(tokens(spark, sf_dir), ["document_id", "page"])
 
 
 def agg13_profile_merge(spark, sf_dir):
@@ -698,7 +698,7 @@ ORACLES = {
     "win06_normalised_scores": f"WITH {_SIG_SQL}, h AS (SELECT doc_id, document_type, count(*) AS n FROM hits GROUP BY 1, 2) SELECT doc_id, document_type, round(n / sum(n) OVER (PARTITION BY doc_id), 4) AS share FROM h",
     "fn31_two_tier_choice": f"WITH {_SIG_SQL} SELECT doc_id, CASE WHEN confidence >= 0.7 OR doc_id % 2 = 1 THEN document_type ELSE lang END AS document_type, CASE WHEN confidence >= 0.7 OR doc_id % 2 = 1 THEN confidence ELSE 0.9 END AS confidence FROM classified JOIN documents USING (doc_id)",
     "agg07_entity_dedup": sql("lines", "SELECT l_orderkey AS document_id, 'GROSS_WEIGHT' AS entity_type, q AS key, confidence, seq FROM lines QUALIFY row_number() OVER (PARTITION BY l_orderkey, q ORDER BY confidence DESC, seq) = 1"),
-    "agg08_box_union": sql("tokens", "SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM tokens WHERE length(text) >= 8 GROUP BY 1, 2"),
+    "agg08_box_union": sql("tokens", "SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM tokens GROUP BY 1, 2"),
     "agg09_dossier_outcome": sql("lines", "SELECT l_orderkey AS shipment_id, CASE WHEN bool_and(seq % 7 <> 0) THEN 'done' ELSE 'error' END AS outcome FROM lines GROUP BY 1"),
     "win02_adjacent_values": sql("tokens", ", n AS (SELECT document_id, pos, lower(text) AS label, [lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w] AS x FROM tokens WINDOW w AS (PARTITION BY document_id ORDER BY pos)) SELECT document_id, pos, label, list_filter(x, lambda y: regexp_matches(y, '[0-9]'))[1] AS value FROM n WHERE label IN ('the', 'token', 'de') AND len(list_filter(x, lambda y: regexp_matches(y, '[0-9]'))) > 0"),
     "win03_reading_order": sql("tokens", "SELECT document_id, page, (y1 // 20)::INT AS row, string_agg(text, ' ' ORDER BY x1) AS text FROM tokens GROUP BY 1, 2, 3"),

@@ -23,3 +23,44 @@ def test_link_against_brute_force(spark):
         s = {i: max(sum(w in t.lower() for w in long) / max(len(long), 1), SequenceMatcher(None, d.lower()[:40], t.lower()).ratio()) for i, t in enumerate(TEXTS) if 1 + i // 4 == page}
         i = max(s, key=lambda k: (s[k], -k))
         assert (rows[d]["pos"], round(rows[d]["score"], 6), rows[d]["x1"], rows[d]["y1"], rows[d]["x2"], rows[d]["y2"]) == (i, round(s[i], 6), 0, 20 * i, 595, 20 * i + 17)
+
+
+SCHEMA = "document_id long, page long, pos long, text string, x1 long, y1 long, x2 long, y2 long, confidence double"
+
+
+def best(value, tokens, threshold):
+    """The best of a document's tokens, ties to the first; None if none reaches the threshold."""
+    v, found = value.lower().strip(), []
+    for t in tokens:
+        text = (t[3] or "").lower().strip()
+        if v and text:
+            score = 1.0 if v in text else 0.85 if text in v and len(text) > 3 else SequenceMatcher(None, v, text).ratio()
+            if score >= threshold:
+                found.append((score, -t[2], t))
+    return max(found)[2] if found else None
+
+
+def test_parts_and_pages_against_brute_force(spark):
+    texts = {1: TEXTS, 2: ["Trader", "Tr4der", "42", "Ltd", "steel", "pipes", None, "", "Colombo"], 3: ["alone"]}
+    tokens = [(d, 1 + i // 3, i, t, 7 * i, 20 * i, 7 * i + 50, 20 * i + 12, (90 - i) / 100) for d, ts in texts.items() for i, t in enumerate(ts)]
+    values = [(1, "Cotton shirts"), (1, "blue widgets"), (1, "x shirts"), (1, "q"), (2, "Trader 42 Ltd"), (2, "stee1 pipes  Col0mbo"), (2, "nothing here"), (2, None), (2, ""), (3, "alone alone"), (4, "Cotton")]
+    t, v = spark.createDataFrame(tokens, SCHEMA), spark.createDataFrame([*values, values[0]], "document_id long, value string")
+    of = {d: [x for x in tokens if x[0] == d] for d in range(1, 5)}
+
+    want = {}
+    for d, value in values:
+        parts = [best(w, of[d], L.PART_THRESHOLD) for w in (value or "").split() if len(w) >= 2]
+        parts = {x[2]: x for x in parts if x}.values()
+        if parts:
+            want[d, value] = (*(min(x[k] for x in parts) for k in (1, 4, 5)), *(max(x[k] for x in parts) for k in (6, 7)), min(x[8] for x in parts), len(parts))
+    got = L.link_parts(v, t).collect()
+    assert {(r["document_id"], r["value"]): (r["page"], r["x1"], r["y1"], r["x2"], r["y2"], r["confidence"], r["n_tokens"]) for r in got} == want and len(got) == len(want) >= 5
+
+    want = {(d, value): (best(value or "", of[d], L.THRESHOLD) or (d, 1))[1] for d, value in values}
+    got = L.value_pages(v, t).collect()
+    assert {(r["document_id"], r["value"]): r["page"] for r in got} == want and len(got) == len(want) and max(want.values()) > 1
+
+
+def test_linkage_of_empty_tables(spark):
+    t, v = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "document_id long, value string")
+    assert all(f(v, t).count() == 0 for f in (L.link, L.link_parts, L.value_pages))
