@@ -656,7 +656,7 @@ def str02_audit_stream(spark, sf_dir):
     return spark.read.parquet(f"{where}/out").select("event_hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai", "fn2")} | {"fn16_line_confidence": fn16_line_confidence, "fn31_two_tier_choice": fn31_two_tier_choice}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai", "fn2")} | {"fn16_line_confidence": fn16_line_confidence, "fn27_value_shape": fn27_value_shape, "fn31_two_tier_choice": fn31_two_tier_choice}
 
 _PAY = "e.seq % 9 <> 0 AND e.seq % 7 <> 0"
 _FV = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN num::VARCHAR ELSE regexp_replace(lower(txt), '[^a-z0-9]+', '', 'g') END AS key, count(*) AS n, round(sum(confidence), 6) AS w, min(seq) AS s, arg_min(num, seq) AS num, arg_min(txt, seq) AS txt FROM assertions GROUP BY 1, 2, 3, 4),
