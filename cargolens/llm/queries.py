@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that states their results."""
 
-from . import exact_dedup, line_crf, lm, minhash, mixing, packing, pii, quality_rules, repair, secrets, token_counts, warc
+from . import exact_dedup, line_crf, lm, minhash, mixing, packing, pii, prefix_trie, quality_rules, repair, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_minhash": minhash.op10_minhash,
         "op11_token_counts": token_counts.op11_token_counts,
         "op12_conversation_repair": repair.op12_conversation_repair,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 

@@ -110,6 +110,7 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], EXTRA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
 
