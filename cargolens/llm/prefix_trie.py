@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, read_table, ship, small, spread_join
-from .turns import numbered
+from .turns import SQL_CRC, numbered, sql_crc32
 
 #: Conversations that share their first turns, and the bound of how many turns they share.
 FAMILY, HEADS = 100, 6
@@ -141,3 +141,17 @@ def trie(convs: DataFrame, turns: DataFrame, block_turns: int = BLOCK_TURNS) ->
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(read_table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = f"""WITH {SQL_CRC},
+  turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS own, conv_id - conv_id % 100 AS base FROM turns GROUP BY conv_id),
+  headed AS (SELECT convs.*, {sql_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM convs, crc_table),
+  seqs AS (SELECT a.conv_id, list_concat(coalesce(b.own[1:h], []), own_of_a[h + 1:]) AS seq FROM (SELECT conv_id, base, h, own AS own_of_a FROM headed) AS a LEFT JOIN convs AS b ON b.conv_id = a.base),
+  prefixes AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS p, seq[d].x AS x FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM seqs)),
+  nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(any_value(x)), 0) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+  kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+  full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+  sums AS (SELECT p[1:k] AS p, sum(CAST((n_convs - 1) * chars AS BIGINT)) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS k FROM full_nodes) GROUP BY 1)
+  SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, sums.n_leaves, CAST(saved AS BIGINT) AS saved_tokens, a.ends_sha256
+  FROM full_nodes AS a JOIN sums USING (p) LEFT JOIN nodes AS b ON a.d > 0 AND b.p = a.p[1:a.d - 1]"""

@@ -28,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_minhash": minhash.OP10_SQL,
+        "op12_conversation_repair": repair.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, ship, small
-from .turns import numbered
+from .turns import SQL_CRC, numbered, sql_crc32
 
 #: Rows of a block.
 BLOCK_ROWS = 1024
@@ -294,3 +294,49 @@ def repair(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def _least(*ways: str) -> str:
+    """The least of SQL structs of cost, audit and repaired text; null if all are."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _with(way: str, cost: str, letter: str, line: str) -> str:
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'r': {way}.r || {line}}} END"
+
+
+def _sql() -> str:
+    put = {k: f"'{role}:' || chr(10)" for k, role in (("u", "user"), ("a", "assistant"))}
+    line = {"u": "'user:' || text || chr(10)", "a": "'assistant:' || text || chr(10)", "k": "role || ':' || text || chr(10)"}
+    stays = "(f = 'truncated')::INT"
+
+    def after(state: int, source: dict) -> str:
+        own = source[state]
+        before = {SYSTEM: [NOTHING], USER: [NOTHING, SYSTEM, ASSISTANT], ASSISTANT: [USER]}.get(state, [])
+        kept = [f"CASE WHEN i = '{' sua'[state]}' AND f NOT IN ('blank', 'duplicate') THEN {_with(source[b], stays, 'K', line['k'])} END" for b in before]
+        kept.append(f"CASE WHEN i = '' AND f NOT IN ('blank', 'duplicate') THEN {_with(own, stays, 'K', line['k'])} END")
+        moved = [f"CASE WHEN f NOT IN ('blank', 'duplicate') THEN {_with(source[b], f'{REROLE} + {stays}', 'R', line[' sua'[state]])} END" for b in before if state != SYSTEM]
+        return _least(_with(own, str(DELETE), "D", "''"), *kept, *moved)
+
+    names = {k: f"q{k}" for k in range(4)}
+    closed = f"SELECT *, {_least('m2', _with('m3', str(INSERT), 'I', put['u']))} AS w2 FROM (SELECT *, {_least('q3', _with('m2', str(INSERT), 'I', put['a']))} AS m3 FROM (SELECT *, {_least('q2', _with('q0', str(INSERT), 'I', put['u']), _with('q1', str(INSERT), 'I', put['u']))} AS m2 FROM SOURCE))"
+    source = {**names, USER: "w2", ASSISTANT: "m3"}
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR))"
+    return f"""WITH RECURSIVE {SQL_CRC},
+  shown AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+  coded AS (SELECT shown.*, {sql_crc32("k")} % 20 AS code FROM shown, crc_table),
+  copies AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+  marked AS (SELECT *, sha256(length(role) || ':' || role || text) AS mark, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended FROM copies),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, mark, copy) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, mark, copy) AS seen, left(role, 1) AS i FROM marked),
+  judged AS (SELECT *, CASE WHEN ended = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY place) || i AS pair FROM placed),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+  walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS place, CAST({{'c': 0, 'a': '', 'r': ''}} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS q0, {none} AS q1, {none} AS q2, {none} AS q3 FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL SELECT conv_id, place, {', '.join(after(k, source) for k in range(4))} FROM ({closed.replace("SOURCE", "(SELECT walk.conv_id, j.place, q0, q1, q2, q3, j.role, j.text, j.i, j.f FROM walk JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM walk.conv_id AND j.place = walk.place + 1)")})),
+  ended AS (SELECT conv_id, {_least('q0', 'm3')} AS best FROM ({closed.replace("SOURCE", "(SELECT walk.* FROM walk LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM walk.conv_id WHERE place = coalesce(n, 0))")}))
+  SELECT ended.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(left(best.r, greatest(length(best.r) - 1, 0))) AS repaired_sha256
+  FROM ended LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+
+OP12_SQL = _sql()

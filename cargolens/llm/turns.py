@@ -23,3 +23,12 @@ def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFram
     before = F.sum("__rows").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     runs = cut(runs.select("__key", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")), f"{name}-runs")
     return stored.join(small(runs), F.col(key).eqNullSafe(F.col("__key")) & (part == F.col("__part"))).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("place"))
+
+
+#: crc32 in SQL: its table by the polynomial's rule, and the checksum of an ASCII text. Both go into a WITH list.
+SQL_CRC = """crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def sql_crc32(text: str) -> str:
+    """The unsigned crc32 of an SQL text of ASCII characters; the query reads crc_table."""
+    return f"xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(({text})[i]) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
