@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,23 +22,42 @@ def signatures(spark: SparkSession, of: dict[str, tuple[float, list[str]]] = SIG
     return spark.createDataFrame(rows, "document_type string, ordinal int, weight double, n_keywords int, keyword string")
 
 
-def keyword_hits(docs: DataFrame, sig: DataFrame, text: str = "text") -> DataFrame:
-    """Each document with the keywords found in its text: a stated table of keywords against all documents, broadcast."""
-    return docs.join(F.broadcast(sig), F.contains(F.lower(F.col(text)), F.col("keyword")))
+def _branches(words: set[str]) -> str:
+    """A pattern for the longest of the words that a text goes on with; words that begin alike share their beginning."""
+    ways = [re.escape(c) + _branches({w[1:] for w in words if w[:1] == c}) for c in sorted({w[0] for w in words if w})]
+    return f"(?:{'|'.join(ways)})" + "?" * ("" in words) if ways else ""
+
+
+def keyword_hits(docs: DataFrame, of: dict[str, tuple[float, list[str]]] = SIGNATURES, text: str = "text") -> DataFrame:
+    """Each document with the stated keywords found in its text, and their document_type, ordinal, weight and n_keywords.
+
+    A text is read once: at each of its places one look-ahead finds the longest keyword that begins there, overlapping
+    ones included. The keywords that a found one begins with are there as well.
+    """
+    spark, words = docs.sparkSession, {k for _, ks in of.values() for k in ks}
+    begins = F.create_map(*(x for w in sorted(words) for x in (F.lit(w), F.array(*(F.lit(k) for k in sorted(words) if w.startswith(k))))))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?=({_branches(words)}))"), F.lit(1)))
+    each = docs.withColumn("keyword", F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: F.try_element_at(begins, w))))))
+    return each.join(F.broadcast(signatures(spark, of)), "keyword").select(*docs.columns, "document_type", "ordinal", "weight", "n_keywords", "keyword")
+
+
+def first_pages(tokens: DataFrame, pages: int = FIRST_PAGES) -> DataFrame:
+    """document_id, text: the words of each document's first pages, which decide its type."""
+    rows = F.array_sort(F.collect_list(F.struct("page", "pos", "text")))
+    return tokens.filter(F.col("page") <= pages).groupBy("document_id").agg(F.concat(F.array_join(F.transform(rows, lambda t: t["text"]), " "), F.lit(" ")).alias("text"))
 
 
-def classify(docs: DataFrame, sig: DataFrame, id_col: str = "document_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, of: dict[str, tuple[float, list[str]]] = SIGNATURES, id_col: str = "document_id", text: str = "text") -> DataFrame:
     """id, document_type, confidence, evidence: share of keywords found, weighted, as part of all types' scores.
 
     Ties go to the type stated first; a document without any keyword is unknown, with an equal share of confidence.
     """
-    hits = keyword_hits(docs.select(id_col, text), sig, text)
+    hits = keyword_hits(docs.select(id_col, text), of, text)
     score = F.round(F.count("*") / F.first("n_keywords") * F.first("weight"), 4)
     per = hits.groupBy(id_col, "document_type", "ordinal").agg(score.alias("score"), F.sort_array(F.collect_set("keyword")).alias("evidence"))
     best = per.groupBy(id_col).agg(F.max_by(F.struct("document_type", "score", "evidence"), F.struct("score", -F.col("ordinal"))).alias("b"), F.round(F.sum("score"), 4).alias("total"))
-    n_types = sig.select("document_type").distinct().count()
     out = docs.select(id_col).join(best, id_col, "left")
-    return out.select(id_col, F.coalesce("b.document_type", F.lit("unknown")).alias("document_type"), F.coalesce(F.round(F.col("b.score") / F.col("total"), 4), F.lit(round(1 / n_types, 4))).alias("confidence"), F.coalesce("b.evidence", F.array().cast("array<string>")).alias("evidence"))
+    return out.select(id_col, F.coalesce("b.document_type", F.lit("unknown")).alias("document_type"), F.coalesce(F.round(F.col("b.score") / F.col("total"), 4), F.lit(round(1 / len(of), 4))).alias("confidence"), F.coalesce("b.evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
 def choose(keyword: DataFrame, model: DataFrame, id_col: str = "document_id", threshold: float = THRESHOLD) -> DataFrame:

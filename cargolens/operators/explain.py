@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import band
+from ..sources.store import kept
 from .consensus import FIELD, canonical
 from .linkage import ratio
 
@@ -26,8 +27,6 @@ ADVICE = {
     None: "Ask the issuer of the document that differs to amend it.",
 }
 MOST_OPTIONS = 4
-#: Of a field's sources, how many of one type and value matter for the options, and how many in all; pairs of them.
-_ALIKE, _SOURCES, _PAIRS = 2, 8, 6
 #: Ratios from which two texts are called a likely misspelling or similar.
 MISSPELT, SIMILAR = 0.90, 0.70
 
@@ -75,19 +74,30 @@ def _title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def _sources(a: DataFrame) -> DataFrame:
-    """FIELD, conflict_type, sources (seq, doc, value, num): those that can make a field's first options, in order.
+def _sources(a: DataFrame, most: int) -> DataFrame:
+    """FIELD, conflict_type, sources (seq, doc, value, num) in order: those from which the field's first ``most`` options can come.
 
-    Options only name a source's type and value, so of very many equal ones two are enough.
+    Options name a source's document type and value only, its class. Let v be the first source's value. Every class with
+    another value gives a new option beside the first source, and every class with v one beside any class with another
+    value, before a class that comes later gives any; the first pair gives two. So ``most`` classes with v and ``most`` - 1
+    with other values are enough. Of a class, a pair that is new takes its first place, or its next one after the first
+    place of another class: so of the places between two first places of classes the first is enough. Both bounds
+    depend on ``most`` alone, not on how many sources a field has.
     """
-    v = a.select(*FIELD, "seq", "num", "txt", "document_type", canonical(F.col("num"), F.col("txt")).alias("value"))
-    kinds = v.groupBy(*FIELD, "value").agg(F.bool_and(F.col("num").isNotNull()).alias("numeric"), F.bool_and(F.col("txt").isNotNull()).alias("text")).groupBy(*FIELD)
-    kinds = kinds.agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.count("*").alias("n"))
-    alike = F.row_number().over(Window.partitionBy(*FIELD, "document_type", "value").orderBy("seq"))
-    first = v.withColumn("k", alike).filter(F.col("k") <= _ALIKE).groupBy(*FIELD)
-    first = first.agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", _title(F.coalesce("document_type", F.lit("unknown"))).alias("doc"), "value", "num"))), 1, _SOURCES).alias("sources"))
+    v = a.select(*FIELD, "seq", "num", "txt", _title(F.coalesce("document_type", F.lit("unknown"))).alias("doc"), canonical(F.col("num"), F.col("txt")).alias("value"))
+    classes = v.groupBy(*FIELD, "doc", "value").agg(F.min("seq").alias("first"), F.min_by("num", "seq").alias("num"), F.bool_and(F.col("num").isNotNull()).alias("numeric"), F.bool_and(F.col("txt").isNotNull()).alias("text"))
+    kinds = classes.groupBy(*FIELD, "value").agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.min("first").alias("first")).groupBy(*FIELD)
+    kinds = kinds.agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.count("*").alias("n"), F.min_by("value", "first").alias("v"))
     kind = F.when((F.col("n") > 1) & F.col("numeric"), "numeric_variance").when((F.col("n") > 1) & F.col("text"), "text_mismatch").otherwise("other")
-    return first.join(kinds, FIELD).select(*FIELD, kind.alias("conflict_type"), "sources")
+    near = classes.drop("numeric", "text").join(kinds.select(*FIELD, kind.alias("conflict_type"), "v"), FIELD).withColumn("same", F.col("value") == F.col("v"))
+    rank = F.row_number().over(Window.partitionBy(*FIELD, "same").orderBy("first"))
+    near = near.withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("same") | (F.col("rank") < most))
+    near = kept(near.withColumn("firsts", F.collect_list("first").over(Window.partitionBy(*FIELD))), "classes")  # at most 2 * most - 1 rows of a field
+    placed = v.select(*FIELD, "doc", "value", "seq").join(near.select(*FIELD, "doc", "value", "num", "firsts"), [*FIELD, "doc", "value"])
+    slot = F.size(F.filter("firsts", lambda f: f <= F.col("seq")))
+    few = placed.groupBy(*FIELD, "doc", "value", slot.alias("slot")).agg(F.min("seq").alias("seq"), F.first("num").alias("num"))
+    listed = few.groupBy(*FIELD).agg(F.array_sort(F.collect_list(F.struct("seq", "doc", "value", "num"))).alias("sources"))
+    return listed.join(near.select(*FIELD, "conflict_type").distinct(), FIELD).select(*FIELD, "conflict_type", "sources")
 
 
 def _collected(options: DataFrame, most: int) -> DataFrame:
@@ -102,15 +112,17 @@ def counterfactuals(a: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:
     Numbers and texts: for each differing pair of sources, in order, what either would have to be, and how far or how
     alike they are. Other fields: each source to be verified. Every field has at least one option and at most ``most``.
     """
-    s = _sources(a).withColumn("label", F.lower(F.replace("entity_type", F.lit("_"), F.lit(" "))))
-    paired = F.flatten(F.transform("sources", lambda x, i: F.transform(F.slice("sources", i + 2, F.lit(_SOURCES)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    differing = F.slice(F.filter(paired, lambda p: p["x"]["value"] != p["y"]["value"]), 1, _PAIRS)
+    s = kept(_sources(a, most), "sources").withColumn("label", F.lower(F.replace("entity_type", F.lit("_"), F.lit(" "))))
+    paired = F.flatten(F.transform("sources", lambda x, i: F.transform(F.slice("sources", i + 2, F.size("sources")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    differing = F.filter(paired, lambda p: p["x"]["value"] != p["y"]["value"])
     pairs = s.filter("conflict_type != 'other'").select(*FIELD, "conflict_type", "label", F.posexplode(differing).alias("k", "p"))
+    once = F.min(F.struct("k", "p", "conflict_type", "label"))  # later pairs of two classes in the same order say the same
+    pairs = pairs.groupBy(*FIELD, "p.x.doc", "p.x.value", F.col("p.y.doc").alias("doc2"), F.col("p.y.value").alias("value2")).agg(once.alias("o")).select(*FIELD, "o.*")
     x, y, numeric = F.col("p.x"), F.col("p.y"), F.col("conflict_type") == "numeric_variance"
     alike = ratio(F.lower(x["value"]), F.lower(y["value"]), ~numeric)
     pairs = pairs.withColumns({"alike": alike, "percent": F.when(numeric & (y["num"] != 0), F.abs(x["num"] - y["num"]) / F.abs(y["num"]) * 100)})
     were = lambda p, q: F.concat(F.lit("If the "), F.col("label"), F.lit(" of "), p["doc"], F.lit(" were "), q["value"], F.lit(" instead of "), p["value"], F.lit(", the documents would agree."))
-    far = F.when(F.col("percent") >= 0.01, F.concat(x["doc"], F.lit(" and "), y["doc"], F.lit(" differ by "), F.format_string("%.2f%%", F.col("percent"))))
+    far = F.when(F.col("percent") >= 0.01, F.concat(x["doc"], F.lit(" and "), y["doc"], F.lit(" differ by "), F.format_string("%.2f%%", F.round("percent", 2))))
     hint = F.when(F.col("alike") >= MISSPELT, "likely a misspelling").when(F.col("alike") >= SIMILAR, "similar names: ask")
     near = F.when(hint.isNotNull(), F.concat(x["value"], F.lit(" and "), y["value"], F.format_string(" are %.0f%% alike: ", F.col("alike") * 100), hint))
     made = _collected(pairs.select(*FIELD, "k", F.array_compact(F.array(were(x, y), were(y, x), F.coalesce(far, near))).alias("texts")), most)

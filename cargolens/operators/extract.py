@@ -94,19 +94,36 @@ def local_fields(tokens: DataFrame, docs: DataFrame, types: DataFrame) -> DataFr
     return required(types).join(found, ["document_id", "entity_type"])
 
 
-def document_job(tokens: DataFrame, docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """One row per entity: document_id, document_type, entity_type, value, num, text, unit, warn, page, box, role, eligible, source, score.
+def placed(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``found`` (document_id, value, page, ...) with box, ocr (confidence of the value's tokens) and page, 1 if it has none."""
+    box = link_parts(found.select("document_id", "value"), tokens).select("document_id", "value", F.struct("x1", "y1", "x2", "y2").alias("box"), F.col("confidence").alias("ocr"))
+    return found.join(box, ["document_id", "value"], "left").withColumn("page", F.coalesce("page", F.lit(1)))
 
-    Classified by keywords unless ``types`` are given, extracted, placed on the page, parties judged, normalised, scored,
-    and of equal values the surest. Organisations without a role are left out.
-    """
-    types = D.classify(docs, D.signatures(docs.sparkSession)).select("document_id", "document_type") if types is None else types
-    found = kept(local_fields(tokens, docs, types), "fields")  # three branches use it
-    placed = link_parts(found.select("document_id", "value"), tokens).select("document_id", "value", F.struct("x1", "y1", "x2", "y2").alias("box"), F.col("confidence").alias("ocr"))
-    e = found.join(placed, ["document_id", "value"], "left").withColumn("page", F.coalesce("page", F.lit(1)))
-    names = e.filter("entity_type = 'CONSIGNEE_NAME'").select("document_id", "page", F.col("entity_type").alias("value_id"), "value", "box.*")
-    judged = e.join(roles(names, tokens).select("document_id", F.col("value_id").alias("entity_type"), "role"), ["document_id", "entity_type"], "left")
-    out = resolve_party(judged).filter("effective_type IS NOT NULL").withColumn("n", by_type(F.col("effective_type"), F.col("value")))
+
+def judged(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``found`` (document_id, entity_type, value, page, box) with role, effective_type and eligible: consignees by their name and the labels near them."""
+    names = found.filter("entity_type = 'CONSIGNEE_NAME'").select("document_id", "page", F.col("entity_type").alias("value_id"), "value", "box.*")
+    return resolve_party(found.join(roles(names, tokens).select("document_id", F.col("value_id").alias("entity_type"), "role"), ["document_id", "entity_type"], "left"))
+
+
+def excluded(found: DataFrame) -> DataFrame:
+    """document_id, warnings: one for each organisation of ``judged`` rows that has no role and so is left out."""
+    text = F.concat(F.lit("Left out as consignee, no role is near it: "), F.col("value"))
+    return found.filter("effective_type IS NULL").groupBy("document_id").agg(F.array_sort(F.collect_list(text)).alias("warnings"))
+
+
+def typed(tokens: DataFrame) -> DataFrame:
+    """document_id, document_type, confidence, evidence by the keywords on each document's first pages."""
+    return D.classify(D.first_pages(tokens))
+
+
+def _judged_fields(tokens: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
+    found = kept(local_fields(tokens, docs, types.select("document_id", "document_type")), "fields")  # three branches use it
+    return judged(placed(found, tokens), tokens)
+
+
+def _entities(e: DataFrame) -> DataFrame:
+    out = e.filter("effective_type IS NOT NULL").withColumn("n", by_type(F.col("effective_type"), F.col("value")))
     match = F.when(F.col("box").isNotNull(), 1.0).otherwise(0.0)
     out = out.select(
         "document_id", "document_type", F.col("effective_type").alias("entity_type"), "value", "n.num", "n.text", "n.unit", "n.warn", "page", "box", "role", "eligible", "source", "pos",
@@ -115,9 +132,53 @@ def document_job(tokens: DataFrame, docs: DataFrame, types: DataFrame | None = N
     return D.deduplicate(out, ["document_id", "entity_type", "key"], "score", "pos").drop("key", "pos")
 
 
-def with_errors(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per document: its entities, or an empty list and an error where nothing could be extracted."""
-    per = found.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("entity_type", "value", "score"))).alias("entities"))
-    out = docs.select("document_id").join(per, "document_id", "left")
-    errors = F.when(F.col("entities").isNull(), F.array(F.lit("no field found"))).otherwise(F.array().cast("array<string>"))
-    return out.select("document_id", F.coalesce("entities", F.array().cast("array<struct<entity_type:string,value:string,score:double>>")).alias("entities"), errors.alias("errors"))
+def document_job(tokens: DataFrame, docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """One row per entity: document_id, document_type, entity_type, value, num, text, unit, warn, page, box, role, eligible, source, score.
+
+    Classified by the keywords of its first pages unless ``types`` are given, extracted, placed on the page, parties
+    judged, normalised, scored, and of equal values the surest. Organisations without a role are left out.
+    """
+    return _entities(_judged_fields(tokens, docs, typed(tokens) if types is None else types))
+
+
+#: Columns of an entity in a document's result.
+ENTITY = ["entity_type", "value", "num", "text", "unit", "warn", "page", "box", "role", "eligible", "score"]
+RESULT_ENTITY = "struct<entity_type:string,value:string,num:double,text:string,unit:string,warn:boolean,page:bigint,box:struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>,role:string,eligible:boolean,score:double>"
+RESULT_TOKEN = "struct<page:bigint,pos:bigint,text:string,x1:bigint,y1:bigint,x2:bigint,y2:bigint,confidence:double>"
+
+
+def faults(tokens: Column) -> Column:
+    """Why an array of RESULT_TOKEN can't be processed, as codes; empty if it can."""
+    bad = lambda code, broken: F.when(F.exists(tokens, broken), code)
+    return F.array_compact(F.array(
+        F.when(tokens.isNull() | (F.size(tokens) == 0), "NO_TOKENS"), bad("NO_TEXT", lambda t: t["text"].isNull()), bad("BAD_PAGE", lambda t: F.coalesce(t["page"] < 1, F.lit(True))),
+        bad("BAD_BOX", lambda t: ~F.coalesce((t["x1"] <= t["x2"]) & (t["y1"] <= t["y2"]), F.lit(False))), bad("BAD_CONFIDENCE", lambda t: ~F.coalesce(t["confidence"].between(0, 1), F.lit(False))),
+    ))
+
+
+def error_results(documents: DataFrame, errors: Column) -> DataFrame:
+    """The contract's row of documents (document_id) that couldn't be processed: unknown, nothing found, ``errors`` (an array)."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return documents.select(
+        "document_id", F.lit("unknown").alias("document_type"), F.lit(0.0).alias("classification_confidence"), none("string").alias("classification_evidence"), none(RESULT_ENTITY).alias("entities"),
+        none(RESULT_TOKEN).alias("raw_ocr"), errors.alias("errors"), none("string").alias("warnings"),
+    )
+
+
+def results(documents: DataFrame) -> DataFrame:
+    """One row of the contract per document (document_id, tokens: array of RESULT_TOKEN), whatever befalls it.
+
+    document_id, document_type, classification_confidence, classification_evidence, entities, raw_ocr, errors, warnings.
+    Documents with ``faults`` get an error row each and don't enter the job; the others aren't touched by them.
+    """
+    told = kept(documents.select("document_id", F.col("tokens").cast(f"array<{RESULT_TOKEN}>").alias("tokens"), faults(F.col("tokens")).alias("__faults")), "documents")
+    good = told.filter("size(__faults) = 0")
+    tokens = good.select("document_id", F.inline("tokens"))
+    docs = good.select("document_id", F.array_join(F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(t["page"].alias("page"), t["pos"].alias("pos"), t["text"].alias("text")))), lambda t: t["text"]), " ").alias("text"))
+    types = kept(typed(tokens), "types")
+    e = kept(_judged_fields(tokens, docs, types), "judged")  # what is kept and what is left out
+    entities = _entities(e).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*ENTITY).cast(RESULT_ENTITY))).alias("entities"))
+    out = good.join(types, "document_id").join(entities, "document_id", "left").join(excluded(e), "document_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    done = out.select("document_id", "document_type", F.col("confidence").alias("classification_confidence"), F.col("evidence").alias("classification_evidence"), empty("entities", RESULT_ENTITY), F.col("tokens").alias("raw_ocr"), F.array().cast("array<string>").alias("errors"), empty("warnings", "string"))
+    return done.unionByName(error_results(told.filter("size(__faults) > 0"), F.col("__faults")))

@@ -74,13 +74,20 @@ def cache_upsert(events: DataFrame, order: list[Column]) -> DataFrame:
     return latest(events, ["cache_key"], order).select("cache_key", "canonical")
 
 
-def hit_counts(lookups: DataFrame) -> DataFrame:
-    return lookups.groupBy("cache_key").agg(F.count("*").alias("hit_count"))
+def hit_counts(cache: DataFrame, lookups: DataFrame) -> DataFrame:
+    """``cache`` (cache_key, hit_count, ...) with one hit more for each lookup of a key; keys that aren't looked up stay as they are."""
+    n = lookups.groupBy("cache_key").agg(F.count("*").alias("__n"))
+    return cache.join(n, "cache_key", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0)) + F.coalesce("__n", F.lit(0))).select(*cache.columns)
 
 
-def purged(cache: DataFrame, types: list[str]) -> DataFrame:
-    """Entries of other types than the purged ones; a key begins with its type and a colon."""
-    return cache.filter(~F.split_part("cache_key", F.lit(":"), F.lit(1)).isin(*types))
+def of_types(types: list[str], key: str = "cache_key") -> Column:
+    """Whether a cache key is of one of the types; a key begins with its type and a colon."""
+    return F.split_part(key, F.lit(":"), F.lit(1)).isin(*types)
+
+
+def purged(cache: DataFrame, keep: list[str]) -> DataFrame:
+    """Entries of the types to keep; all others are deleted."""
+    return cache.filter(of_types(keep))
 
 
 def seeded(cache: DataFrame, seeds: list[tuple[str, str]]) -> DataFrame:
@@ -146,8 +153,14 @@ def save_results(documents: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def status_update(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """key, status, updated_at: the last of each key's events (status, at)."""
-    return latest(events.select(key, "status", F.col("at").alias("updated_at"), F.struct(*order).alias("__order")), [key], [F.col("__order")]).drop("__order")
+    """key, status, error, updated_at: the last of each key's events (status, error, at); only an error status keeps its text."""
+    error = F.when(F.col("status") == ERROR, F.col("error"))
+    return latest(events.select(key, "status", error.alias("error"), F.col("at").alias("updated_at"), F.struct(*order).alias("__order")), [key], [F.col("__order")]).drop("__order")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each key with their ``place``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= most)
 
 
 def cascade_delete(gone: DataFrame, tables: dict[str, DataFrame], key: str = "dossier_id") -> dict[str, DataFrame]:

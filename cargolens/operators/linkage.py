@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
+
 THRESHOLD, PART_THRESHOLD, ROW_THRESHOLD = 0.60, 0.80, 0.30
 _BEST = ["page", "pos", "text", "x1", "y1", "x2", "y2", "confidence"]
 #: Pairs whose ratios a worker keeps, and letters of a pair that is worth keeping.
@@ -79,12 +81,20 @@ def link(values: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def link_parts(values: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Values to the union of the boxes of their words' tokens, and the least confidence; words of one letter don't count."""
-    words = values.select("document_id", F.col("value").alias("whole"), F.explode(F.split(F.trim("value"), r"\s+")).alias("value")).filter(F.length("value") >= 2)
+    """Values to the box and confidence of the token that is like the whole value, else to the union of the boxes of their words' tokens and the least confidence.
+
+    Words of one letter don't count.
+    """
+    values = values.select("document_id", "value").distinct()
+    whole = kept(link(values, tokens), "whole")  # used for what it places and for what it leaves
+    one = whole.select("document_id", "value", "page", "x1", "y1", "x2", "y2", "confidence", F.lit(1).cast("long").alias("n_tokens"))
+    left = values.join(whole.select("document_id", "value"), ["document_id", "value"], "left_anti")
+    words = left.select("document_id", F.col("value").alias("whole"), F.explode(F.split(F.trim("value"), r"\s+")).alias("value")).filter(F.length("value") >= 2).distinct()
     found = words.join(link(words, tokens, PART_THRESHOLD), ["document_id", "value"])
-    return found.groupBy("document_id", F.col("whole").alias("value")).agg(
+    parts = found.groupBy("document_id", F.col("whole").alias("value")).agg(
         F.min("page").alias("page"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("confidence").alias("confidence"), F.countDistinct("pos").alias("n_tokens")
     )
+    return one.unionByName(parts)
 
 
 def value_pages(values: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from .reconciling import flagship  # noqa: F401
 
-AREAS = ["normalizing", "reconciling", "intake"]
+AREAS = ["normalizing", "reconciling", "intake", "stores"]
 
 
 def _all(name: str) -> dict:

@@ -11,6 +11,7 @@ from ..functions import scores as S
 from ..functions.normalize import text_key
 from ..operators import consensus as C
 from ..operators import explain as X
+from ..operators import ledger as K
 from ..operators import rules as R
 from ..sources.bindings import assertions, decisions, lines, sql, table
 
@@ -198,9 +199,15 @@ def set05_ordered_distinct(spark, sf_dir):
 
 
 def top05_capped_options(spark, sf_dir):
-    """A field's first four documents."""
-    w = Window.partitionBy(*FIELD).orderBy("seq")
-    return assertions(spark, sf_dir).withColumn("place", F.row_number().over(w)).filter("place <= 4").select(*FIELD, "document_id", "place")
+    """The first four options of every field in numeric conflict, each with its place."""
+    o = X.counterfactuals(assertions(spark, sf_dir)).filter("conflict_type = 'numeric_variance'")
+    return o.select(*FIELD, F.posexplode("options").alias("place", "option"))
+
+
+def top05_first_documents(spark, sf_dir):
+    """Every shipment's first three documents."""
+    d = lines(spark, sf_dir).select(F.col("l_orderkey").alias("shipment_id"), "seq", F.concat_ws("-", "l_orderkey", "seq").alias("document_id"))
+    return K.first_of(d, ["shipment_id"], [F.col("seq")], 3).select("shipment_id", "document_id", "place")
 
 
 def grf01_nodes(spark, sf_dir):
@@ -272,7 +279,16 @@ def _r(body: str) -> str:
 
 _F = "shipment_id, entity_type"
 _AUTH = " ".join(f"WHEN document_type = '{d}' AND entity_type = '{e}' THEN {w}" for d in ("commercial_invoice", "packing_list", "bl", "awb") for e, w in dims.AUTHORITY[d].items() if e in ("GROSS_WEIGHT", "PACKAGE_COUNT", "CONSIGNEE_NAME", "VESSEL_NAME"))
+_OPTIONS = """, src AS (SELECT shipment_id, entity_type, seq, num, coalesce(txt, num::BIGINT::VARCHAR) AS value, CASE document_type WHEN 'bl' THEN 'Bl' WHEN 'awb' THEN 'Awb' WHEN 'packing_list' THEN 'Packing List' ELSE 'Commercial Invoice' END AS doc, lower(replace(entity_type, '_', ' ')) AS label FROM assertions WHERE is_num),
+  pairs AS (SELECT x.shipment_id, x.entity_type, x.seq AS i, y.seq AS j, x.label, x.doc AS d, x.value AS v, y.doc AS e, y.value AS w, abs(x.num - y.num) / abs(y.num) * 100 AS percent FROM src AS x JOIN src AS y ON x.shipment_id = y.shipment_id AND x.entity_type = y.entity_type AND x.seq < y.seq AND x.value <> y.value),
+  said AS (SELECT shipment_id, entity_type, i, j, 1 AS k, 'If the ' || label || ' of ' || d || ' were ' || w || ' instead of ' || v || ', the documents would agree.' AS option FROM pairs UNION ALL SELECT shipment_id, entity_type, i, j, 2, 'If the ' || label || ' of ' || e || ' were ' || v || ' instead of ' || w || ', the documents would agree.' FROM pairs
+    UNION ALL SELECT shipment_id, entity_type, i, j, 3, d || ' and ' || e || ' differ by ' || printf('%.2f%%', round(percent, 2)) FROM pairs WHERE percent >= 0.01),
+  said_once AS (SELECT shipment_id, entity_type, option, min((i, j, k)) AS first_at FROM said GROUP BY 1, 2, 3),
+  options AS (SELECT shipment_id, entity_type, option, row_number() OVER (PARTITION BY shipment_id, entity_type ORDER BY first_at) AS n FROM said_once QUALIFY n <= 4)"""
 ORACLES = {
+    "xai05_counterfactuals": sql("assertions", f"{_OPTIONS} SELECT {_F}, string_agg(option, '|' ORDER BY n) AS options FROM options GROUP BY 1, 2"),
+    "top05_capped_options": sql("assertions", f"{_OPTIONS} SELECT {_F}, CAST(n - 1 AS INT) AS place, option FROM options"),
+    "top05_first_documents": sql("lines", "SELECT l_orderkey AS shipment_id, l_orderkey || '-' || seq AS document_id, seq AS place FROM lines WHERE seq <= 3"),
     "agg02_text_consensus": _r(f"SELECT {_F}, consensus_key, consensus_txt, n_agree, n_clusters FROM fields WHERE consensus_txt IS NOT NULL"),
     "agg03_numeric_consensus": _r(f"SELECT {_F}, consensus_num, n_agree, n_clusters FROM fields WHERE consensus_num IS NOT NULL"),
     "agg04_field_rollup": _r("SELECT * EXCLUDE (consensus_key) FROM fields"),
@@ -307,7 +323,6 @@ ORACLES |= {
     "xai01_provenance": _r(f"SELECT {_F}, a_document, b_document, 'assertion:' || a_document || ':' || entity_type || ':' || a_seq AS a_id, 'assertion:' || b_document || ':' || entity_type || ':' || b_seq AS b_id, coalesce(a_txt, a_num::BIGINT::VARCHAR) AS a_snippet, coalesce(b_txt, b_num::BIGINT::VARCHAR) AS b_snippet, array_to_string(x.bbox, ',') AS a_box, array_to_string(y.bbox, ',') AS b_box FROM failures f JOIN (SELECT DISTINCT document_id, bbox FROM assertions) x ON x.document_id = a_document JOIN (SELECT DISTINCT document_id, bbox FROM assertions) y ON y.document_id = b_document"),
     "xai02_reasoning": _r(f"SELECT {_F}, a_seq, b_seq, {_STATES('a')} || '; ' || {_STATES('b')} || '; Rule ' || CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END || ' compares them; They differ: ' || CASE WHEN is_num THEN printf('difference of %.2f', delta) ELSE printf('similarity %.2f', similarity) END AS steps, CASE WHEN is_num THEN 'NUMERIC_MATCH' ELSE 'TEXT_MATCH' END AS rule, 'conflict' AS conclusion FROM failures"),
     "set05_ordered_distinct": sql("assertions", f", v AS (SELECT {_F}, {_TXT} AS value, min(seq) AS s FROM assertions GROUP BY 1, 2, 3) SELECT {_F}, string_agg(value, '|' ORDER BY s) AS options FROM v GROUP BY 1, 2"),
-    "top05_capped_options": sql("assertions", f"SELECT {_F}, document_id, row_number() OVER (PARTITION BY shipment_id, entity_type ORDER BY seq) AS place FROM assertions QUALIFY place <= 4"),
     "grf01_nodes": sql("assertions", "SELECT DISTINCT shipment_id::VARCHAR AS id, 'shipment' AS kind FROM assertions UNION ALL SELECT DISTINCT document_id, 'document' FROM assertions UNION ALL SELECT DISTINCT 'shipment:' || shipment_id || ':field:' || entity_type, 'field' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'assertion' FROM assertions"),
     "grf02_edges": sql("assertions", "SELECT DISTINCT shipment_id::VARCHAR AS source, document_id AS target, 'CONTAINS' AS relation FROM assertions UNION ALL SELECT DISTINCT shipment_id::VARCHAR, 'shipment:' || shipment_id || ':field:' || entity_type, 'HAS_FIELD' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'shipment:' || shipment_id || ':field:' || entity_type, 'ASSERTS_VALUE_FOR' FROM assertions UNION ALL SELECT 'assertion:' || document_id || ':' || entity_type || ':' || seq, 'assertion:' || shipment_id || '-' || (seq - 1) || ':' || entity_type || ':' || (seq - 1), 'MUST_MATCH' FROM assertions WHERE seq > 1"),
     "set02_graph_union": sql("assertions", "SELECT * FROM (SELECT shipment_id, unnest(['shipment', 'document', 'field', 'assertion', 'CONTAINS', 'HAS_FIELD', 'ASSERTS_VALUE_FOR', 'MUST_MATCH']) AS kind, unnest([1, d, f, n, d, f, n, m]) AS n FROM (SELECT shipment_id, count(DISTINCT document_id) AS d, count(DISTINCT entity_type) AS f, count(*) AS n, count(*) FILTER (seq > 1) AS m FROM assertions GROUP BY 1)) WHERE n > 0"),

@@ -115,6 +115,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("document_id", kinds.alias("document_type"), F.lit(1).cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "text", F.lit(40).cast("long").alias("x1"), y.alias("y1"), F.lit(240).cast("long").alias("x2"), (y + 12).alias("y2"), ((90 + F.col("pos") % 5) / 100).alias("confidence"))
 
 
+def paper_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers as readings of one document each: document_id, tokens (array of page, pos, text, box, confidence)."""
+    token = F.struct("page", "pos", "text", "x1", "y1", "x2", "y2", "confidence")
+    return papers(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+
+
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "processing").otherwise("pending")

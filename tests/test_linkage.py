@@ -43,12 +43,15 @@ def best(value, tokens, threshold):
 def test_parts_and_pages_against_brute_force(spark):
     texts = {1: TEXTS, 2: ["Trader", "Tr4der", "42", "Ltd", "steel", "pipes", None, "", "Colombo"], 3: ["alone"]}
     tokens = [(d, 1 + i // 3, i, t, 7 * i, 20 * i, 7 * i + 50, 20 * i + 12, (90 - i) / 100) for d, ts in texts.items() for i, t in enumerate(ts)]
-    values = [(1, "Cotton shirts"), (1, "blue widgets"), (1, "x shirts"), (1, "q"), (2, "Trader 42 Ltd"), (2, "stee1 pipes  Col0mbo"), (2, "nothing here"), (2, None), (2, ""), (3, "alone alone"), (4, "Cotton")]
+    values = [(1, "Cotton shirts"), (1, "blue widgets"), (1, "in shirts x blue y widgets of wool"), (1, "x shirts"), (1, "q"), (2, "Trader 42 Ltd"), (2, "stee1 pipes  Col0mbo"), (2, "nothing here"), (2, None), (2, ""), (3, "alone alone"), (4, "Cotton")]
     t, v = spark.createDataFrame(tokens, SCHEMA), spark.createDataFrame([*values, values[0]], "document_id long, value string")
     of = {d: [x for x in tokens if x[0] == d] for d in range(1, 5)}
 
     want = {}
     for d, value in values:
+        if whole := best(value or "", of[d], L.THRESHOLD):  # one token for the whole value comes first
+            want[d, value] = (*(whole[k] for k in (1, 4, 5, 6, 7, 8)), 1)
+            continue
         parts = [best(w, of[d], L.PART_THRESHOLD) for w in (value or "").split() if len(w) >= 2]
         parts = {x[2]: x for x in parts if x}.values()
         if parts:

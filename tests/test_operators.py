@@ -99,7 +99,7 @@ def test_dedup_keeps_the_surest(spark):
 
 def test_classifier(spark):
     docs = spark.createDataFrame([("a", "PACKING LIST: 12 carton, net weight 3, gross weight 4"), ("b", "hello"), ("c", None)], "document_id string, text string")
-    got = {r["document_id"]: r for r in D.classify(docs, D.signatures(spark)).collect()}
+    got = {r["document_id"]: r for r in D.classify(docs).collect()}
     assert got["a"]["document_type"] == "packing_list" and got["b"]["document_type"] == got["c"]["document_type"] == "unknown" and got["b"]["confidence"] == 0.1429
 
 
