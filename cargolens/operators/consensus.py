@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import text_key
+from ..sources.store import kept
+from .islands import islands
 
 FIELD = ["shipment_id", "entity_type"]
 TOLERANCE = 0.01
+#: Assertions of a field beyond which its numbers are folded by islands instead of in one row; the results are the same.
+LARGE = 1000
 
 
 def canonical(num: Column, txt: Column) -> Column:
@@ -57,38 +61,74 @@ def _folded(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), none, add, winner)
 
 
-def numeric_consensus(a: DataFrame) -> DataFrame:
+def _large(a: DataFrame, most: int) -> DataFrame | None:
+    """Fields with more than ``most`` assertions, None if there are none: a count that reads the field's two columns only."""
+    many = a.groupBy(*FIELD).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*FIELD)
+    return None if many.isEmpty() else kept(many, "large-fields")
+
+
+def _by_islands(v: DataFrame) -> DataFrame:
+    """FIELD, x (best, n_clusters) of rows with an item each (seq, num, n, w, first).
+
+    Sorted by number, values part into islands where neighbours lie further apart than the tolerance. A value and its
+    cluster's first one are never in two islands, so each island is folded alone, and the field's best is the best of all.
+    """
+    apart = islands(v.withColumn("__num", F.col("item.num")), FIELD, "__num", lambda x, y: F.coalesce(y - x > TOLERANCE, F.lit(True)))
+    per = apart.groupBy(*FIELD, "island").agg(_folded(F.collect_list("item")).alias("x"))
+    return per.groupBy(*FIELD).agg(F.struct(F.max("x.best").alias("best"), F.sum("x.n_clusters").alias("n_clusters")).alias("x"))
+
+
+def numeric_consensus(a: DataFrame, large: int = LARGE) -> DataFrame:
     """Greedy clusters in order of evidence: a value joins the first cluster whose first member is within TOLERANCE.
 
     FIELD, consensus_num, n_agree, n_clusters. Only distinct values are folded: repeats always follow their first one.
     """
     v = _values(a, F.col("num"))
     item = F.struct(F.col("first.seq").alias("seq"), F.col("first.num").alias("num"), "n", F.col("weight").alias("w"), "first")
-    per = v.groupBy(*FIELD).agg(_folded(F.collect_list(item)).alias("x"))
+    v = v.select(*FIELD, item.alias("item"))
+    many = _large(a, large)
+    rest = v if many is None else v.join(many, FIELD, "left_anti")
+    per = rest.groupBy(*FIELD).agg(_folded(F.collect_list("item")).alias("x"))
+    if rest is not v:
+        per = per.unionByName(_by_islands(v.join(many, FIELD, "left_semi")).select(*FIELD, F.col("x").cast(per.schema["x"].dataType).alias("x")))
     return per.select(*FIELD, F.col("x.best.num").alias("consensus_num"), F.col("x.best.n").alias("n_agree"), F.col("x.n_clusters").alias("n_clusters"))
 
 
-def resolve(a: DataFrame) -> DataFrame:
+def resolve(a: DataFrame, large: int = LARGE) -> DataFrame:
     """One row per field: status, consensus_num, consensus_txt, unit, resolution_confidence, n_assertions, n_agree, n_clusters, representative.
 
     Values count as numbers only if all of a field's values are. pending: one assertion; match: all agree; warning: all
     agree but units differ; else conflict. The representative is the earliest assertion that agrees with the consensus.
 
-    Assertions are read once: folded to one row per value and unit, those to one per text key, those to one per field.
+    Assertions are folded to one row per value and unit, those to one per text key, those to one per field. The numbers of
+    a field with more than ``large`` assertions aren't gathered in its row but folded by islands.
     """
     n_, w_ = F.sum("n").alias("n"), F.sum("w").alias("w")
     carried = F.struct(*(c for c in CARRIED if c in a.columns))
     values = a.groupBy(*FIELD, "is_num", "num", "txt", "unit").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"), F.min_by(carried, "seq").alias("first"))
     value = F.struct(F.col("first.seq").alias("seq"), "num", "n", "w", "first")
-    keys = values.withColumn("key", text_key(canonical(F.col("num"), F.col("txt")))).groupBy(*FIELD, "key").agg(
-        n_, w_, F.min_by("first", "first.seq").alias("first"), F.bool_and("is_num").alias("all_num"), F.collect_list(F.when(F.col("is_num"), value)).alias("numbers"),
-        F.collect_set(F.when(F.col("unit") != "", F.lower("unit"))).alias("units"), F.min(F.when(F.col("unit").isNotNull(), F.struct("first.seq", "unit"))).alias("unit"),
-    )
     rank = F.struct(F.col("n"), F.round("w", 6).alias("w"), (-F.col("first.seq")).alias("s"))
-    roll = keys.groupBy(*FIELD).agg(
-        F.sum("n").alias("n_assertions"), F.round(F.round(F.sum("w") / F.sum("n"), 8), 4).alias("resolution_confidence"), F.count("*").alias("n_keys"), F.max_by(F.struct("key", "first", "n"), rank).alias("text"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("n_units"), F.min("unit")["unit"].alias("unit"), F.bool_and("all_num").alias("all_num"), F.flatten(F.collect_list("numbers")).alias("numbers"),
-    ).withColumn("number", F.when(F.col("all_num"), _folded(F.col("numbers"))))
+
+    def rolled(values: DataFrame, listed: bool) -> DataFrame:
+        """One row per field; with the list of its numbers, if that is asked for."""
+        numbers = [F.collect_list(F.when(F.col("is_num"), value)).alias("numbers")] if listed else []
+        keys = values.withColumn("key", text_key(canonical(F.col("num"), F.col("txt")))).groupBy(*FIELD, "key").agg(
+            n_, w_, F.min_by("first", "first.seq").alias("first"), F.bool_and("is_num").alias("all_num"), *numbers,
+            F.collect_set(F.when(F.col("unit") != "", F.lower("unit"))).alias("units"), F.min(F.when(F.col("unit").isNotNull(), F.struct("first.seq", "unit"))).alias("unit"),
+        )
+        units = F.array_distinct(F.flatten(F.collect_list("units"))) if listed else F.flatten(F.collect_set("units"))
+        return keys.groupBy(*FIELD).agg(
+            F.sum("n").alias("n_assertions"), F.round(F.round(F.sum("w") / F.sum("n"), 8), 4).alias("resolution_confidence"), F.count("*").alias("n_keys"), F.max_by(F.struct("key", "first", "n"), rank).alias("text"),
+            F.size(F.array_distinct(units)).alias("n_units"), F.min("unit")["unit"].alias("unit"), F.bool_and("all_num").alias("all_num"), *([F.flatten(F.collect_list("numbers")).alias("numbers")] if listed else []),
+        )
+
+    many = _large(a, large)
+    rest = values if many is None else values.join(many, FIELD, "left_anti")
+    roll = rolled(rest, True).withColumn("number", F.when(F.col("all_num"), _folded(F.col("numbers")))).drop("numbers")
+    if rest is not values:
+        few = values.join(many, FIELD, "left_semi")
+        number = _by_islands(few.filter("is_num").select(*FIELD, value.alias("item"))).select(*FIELD, F.col("x").cast(roll.schema["number"].dataType).alias("x"))
+        roll = roll.unionByName(rolled(few, False).join(number, FIELD, "left").withColumn("number", F.when(F.col("all_num"), F.col("x"))).drop("x"))
     c = F.col
     either = lambda x, y: F.when(c("all_num"), c(x)).otherwise(c(y))
     clusters = either("number.n_clusters", "n_keys")

@@ -88,29 +88,21 @@ def box_union(rows: DataFrame, keys: list[str]) -> DataFrame:
 def reading_order(tokens: DataFrame, gap: float = 14.0) -> DataFrame:
     """document_id, page, row, text: rows begin where a token's middle lies more than ``gap`` below its row's first one.
 
-    Where rows begin follows from a fold over a page's distinct middles, which a page bounds; within rows from left to right.
+    A page's distinct middles part into islands where neighbours lie more than ``gap`` apart: a row never spans two, so
+    each island is folded alone. Tokens only take part with their middle, and as the words of their row.
     """
-    item = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("mid"), F.col("x1").alias("x"), "pos", "text")
-    pages = tokens.groupBy("document_id", "page").agg(F.collect_list(item).alias("items"))
-    middles = F.array_sort(F.array_distinct(F.transform("items", lambda t: t["mid"])))
-    begins = F.aggregate(middles, F.array().cast("array<double>"), lambda rows, m: F.when((F.size(rows) == 0) | (m - F.element_at(rows, -1) > gap), F.concat(rows, F.array(m))).otherwise(rows))
-    each = pages.withColumn("begins", begins).select("document_id", "page", "begins", F.inline("items"))
-    each = each.withColumn("row", F.size(F.filter("begins", lambda m: m <= F.col("mid"))) - 1)
+    page = ["document_id", "page"]
+    mid = ((F.col("y1") + F.col("y2")) / 2).alias("mid")
+    down = Window.partitionBy(*page).orderBy("mid")
+    middles = tokens.select(*page, mid).distinct().withColumn("far", F.coalesce(F.col("mid") - F.lag("mid").over(down) > gap, F.lit(True)).cast("int"))
+    apart = middles.withColumn("island", F.sum("far").over(down)).groupBy(*page, "island").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
+    begins = F.aggregate("mids", F.array().cast("array<double>"), lambda rows, m: F.when((F.size(rows) == 0) | (m - F.element_at(rows, -1) > gap), F.concat(rows, F.array(m))).otherwise(rows))
+    apart = apart.withColumn("begins", begins)
+    before = F.coalesce(F.sum(F.size("begins")).over(Window.partitionBy(*page).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = apart.withColumn("before", before).select(*page, "begins", "before", F.explode("mids").alias("mid"))
+    rows = rows.select(*page, "mid", (F.col("before") + F.size(F.filter("begins", lambda m: m <= F.col("mid"))) - 1).cast("int").alias("row"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda t: t["text"]), " ")
-    return each.groupBy("document_id", "page", "row").agg(line.alias("text"))
-
-
-def link_values(values: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Values (document_id, value) to their best token: one that holds the value 1.0, one within the value 0.85; first in order."""
-    v, t = F.lower(F.trim(F.col("value"))), F.col("t")
-    # Of a document's equal tokens only the first can be the best.
-    place = ["page", "pos", "text", "x1", "y1", "x2", "y2", "confidence"]
-    first = tokens.withColumn("t", F.lower(F.trim("text"))).filter("t != ''").groupBy("document_id", "t").agg(F.min_by(F.struct(*place), "pos").alias("x")).select("document_id", "t", "x.*")
-    both = values.join(first, "document_id")
-    score = F.when(F.contains(t, v), 1.0).when(F.contains(v, t) & (F.length(t) > 3), 0.85)
-    hit = both.withColumn("score", score).filter(F.col("score").isNotNull())
-    best = hit.groupBy("document_id", "value").agg(F.max_by(F.struct("page", "pos", "text", "x1", "y1", "x2", "y2", "confidence", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("document_id", "value", "b.*")
+    return tokens.select(*page, mid, F.col("x1").alias("x"), "pos", "text").join(rows, [*page, "mid"]).groupBy(*page, "row").agg(line.alias("text"))
 
 
 def adjacent_values(tokens: DataFrame, labels: list[str], reach: int = 3) -> DataFrame:

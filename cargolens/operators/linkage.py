@@ -1,8 +1,12 @@
-"""Fuzzy linkage of values to page tokens: containment first, a similarity ratio only for what it leaves.
+"""Linkage of values to page tokens: containment first, a similarity ratio only for what it leaves.
 
-The ratio is the one operator here that runs Python. Before it, native bounds drop the pairs that can't reach the
-threshold: by length, and by letters that only one of the two texts has. A worker keeps the ratios of pairs it has seen,
-since the same words come up in many documents.
+Values and tokens meet through inverted indexes, by document, and never all with all. A text that contains another has
+all its letter grams, so the contained one looks for those that have that of its grams which is likely the rarest. Two texts whose ratio reaches a
+threshold share so many letters that they have two of them in common among the first ones of each in one fixed order, so
+both are indexed by pairs of these; pairs of texts whose lengths or shared letters rule the threshold out are dropped.
+
+The ratio is the one operator here that runs Python. It is taken of each value's most promising token first, then only of
+tokens whose shared letters could still beat that. A worker keeps the ratios of pairs it has seen.
 """
 
 from __future__ import annotations
@@ -50,6 +54,12 @@ def letters(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 63))))
 
 
+def bound(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """The most that the ratio of two texts can be: as many letters match as the shorter has, less one for each kind that the other lacks."""
+    x, y = F.length(a) - F.bit_count(letters_a.bitwiseAND(F.bitwise_not(letters_b))), F.length(b) - F.bit_count(letters_b.bitwiseAND(F.bitwise_not(letters_a)))
+    return 2 * F.least(x, y) / (F.length(a) + F.length(b))
+
+
 def may_reach(a: Column, b: Column, threshold: float, letters_a: Column | None = None, letters_b: Column | None = None) -> Column:
     """Whether a ratio of ``threshold`` is possible: it is twice the letters matched over all letters.
 
@@ -61,23 +71,147 @@ def may_reach(a: Column, b: Column, threshold: float, letters_a: Column | None =
     return 2 * F.least(x, y) >= (F.lit(threshold) - 1e-9) * (F.length(a) + F.length(b))
 
 
-def _scored(values: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """(document_id, value, token, score) for every token whose score may be the best, at least ``threshold``."""
-    v = values.select("document_id", "value", F.lower(F.trim("value")).alias("v")).filter("v != ''").distinct()
-    # Of a document's equal tokens only the first can be the best.
-    t = tokens.select("document_id", *_BEST, F.lower(F.trim("text")).alias("t")).filter("t != ''").groupBy("document_id", "t").agg(F.min_by(F.struct(*_BEST), "pos").alias("first")).select("document_id", "t", "first.*")
-    inside = v.join(t, "document_id").filter(F.contains("t", F.col("v"))).withColumn("score", F.lit(1.0))
-    rest = v.join(inside.select("document_id", "value"), ["document_id", "value"], "left_anti").withColumn("lv", letters(F.col("v"))).join(t.withColumn("lt", letters(F.col("t"))), "document_id")
-    part = F.contains(F.col("v"), F.col("t")) & (F.length("t") > 3)
-    rest = rest.filter(part | may_reach(F.col("v"), F.col("t"), threshold, F.col("lv"), F.col("lt"))).withColumn("score", F.coalesce(ratio(F.col("v"), F.col("t"), ~part), F.lit(0.85))).drop("lv", "lt")
-    return inside.unionByName(rest).filter(F.col("score") >= threshold)
+#: Letters of a gram, and pairs of values and tokens of a document up to which each value meets each token.
+GRAM, FEW_PAIRS = 5, 4096
+#: Letters from rare to common, after all other characters; repeats of a letter come before its first. Any fixed order is right.
+_RARE = "zqjxkvbpygfwmucldrhsnioate"
+
+
+def _rarity(gram: Column) -> Column:
+    """A gram's place in a fixed order, rare letters first."""
+    letters = F.transform(F.array_remove(F.split(gram, ""), ""), lambda c: F.instr(F.lit(_RARE), c))
+    return F.aggregate(letters, F.lit(0), lambda x, y: x + y)
+
+
+def contained(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, h: texts ``n`` of ``needles`` (keys, n) in texts ``h`` of ``hay`` (keys, h), both distinct by key.
+
+    A needle is looked up by that of its grams of GRAM letters (of all its letters if it has fewer) whose letters are the
+    rarest; what has the gram is then searched.
+    """
+    grams = lambda t, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, k)))
+    size = F.least(F.length("n"), F.lit(GRAM))
+    own = needles.filter("n != ''").select(*keys, "n", size.alias("k"), F.array_min(F.transform(grams(F.col("n"), size), lambda g: F.struct(_rarity(g).alias("r"), g.alias("g"))))["g"].alias("gram"))
+    asked = own.groupBy(*(F.col(c).alias(f"__{c}") for c in keys)).agg(F.array_sort(F.collect_set("k")).alias("__ks"))  # lengths of grams that a key's needles ask for
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    each = F.flatten(F.transform(F.filter("__ks", lambda k: k <= F.length("h")), lambda k: grams(F.col("h"), k)))
+    index = hay.filter("h != ''").join(asked, same).select(*keys, "h", F.explode(each).alias("gram"))
+    return own.join(index, [*keys, "gram"]).filter(F.contains(F.col("h"), F.col("n"))).select(*keys, "n", "h")
+
+
+def _elements(text: Column) -> Column:
+    """A text's letters as an array of letter and how many times it came before, in the fixed order."""
+    chars = F.array_remove(F.split(text, ""), "")
+    place = lambda c: F.format_string("%02d", F.instr(F.lit(_RARE), c))
+    times = F.transform(chars, lambda c, i: F.struct(place(c).alias("place"), c.alias("c"), F.size(F.filter(F.slice(chars, 1, i), lambda d: d == c)).alias("k")))
+    return F.transform(F.array_sort(F.transform(times, lambda t: F.struct((F.when(t["k"] > 0, 0).otherwise(1)).alias("again"), t["place"].alias("place"), t["c"].alias("c"), t["k"].alias("k")))), lambda t: F.concat_ws(" ", t["c"], t["k"].cast("string")))
+
+
+def _least_shared(n: Column, threshold: float) -> Column:
+    """Letters that a text of n letters must share with one of any length for a ratio of ``threshold``."""
+    return F.ceil((threshold / (2 - threshold)) * n - 1e-9)
+
+
+def _signatures(elements: Column, threshold: float) -> Column:
+    """What two texts whose ratio reaches the threshold have one of in common.
+
+    Texts that must share two letters or more share two among the first n - least + 2 of each (n letters): their pairs.
+    Texts of so few letters that one is enough are found by single letters, and so are those that one of them may be like.
+    """
+    n = F.size(elements)
+    few = int((2 - threshold) / threshold + 1e-9)  # at most so many letters: one shared letter may be enough
+    partner = int(few * (2 - threshold) / threshold + 1e-9)
+    first = F.slice(elements, F.lit(1), (n - _least_shared(n, threshold) + 2).cast("int"))
+    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda b: F.concat_ws("|", a, b))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(n > few, pairs).otherwise(none), F.when(n <= partner, elements).otherwise(none))
+
+
+def _by_signature(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    sig = lambda df, c: df.filter(F.col(c) != "").select(*keys, c, F.explode(_signatures(_elements(F.col(c)), threshold)).alias("sig"))
+    x, y = F.length("n"), F.length("h")
+    met = sig(left, "n").join(sig(right, "h"), [*keys, "sig"]).filter(2 * F.least(x, y) >= (threshold - 1e-9) * (x + y)).select(*keys, "n", "h").distinct()
+    return met.withColumn("most", 2 * F.size(F.array_intersect(_elements(F.col("n")), _elements(F.col("h")))) / (x + y))
+
+
+def candidates(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, few: int | None = None) -> DataFrame:
+    """keys, n, h, most: pairs of texts (n of ``left``, h of ``right``, distinct by key) whose ratio may reach the threshold, and the most that it can be.
+
+    Keys with at most ``few`` pairs in all take each pair, bounded by kinds of letters; the others, however many texts
+    they have, take the signatures that two texts share. Either way loses none.
+    """
+    few = FEW_PAIRS if few is None else few
+    n = left.groupBy(*keys).agg(F.count("*").alias("a")).join(right.groupBy(*keys).agg(F.count("*").alias("b")), keys)
+    many = kept(n.filter(F.col("a") * F.col("b") > few).select(*keys), "many-pairs")
+    large = not many.isEmpty()
+    a, b = (df.join(many, keys, "left_anti") if large else df for df in (left, right))
+    met = a.withColumn("ln", letters(F.col("n"))).join(b.withColumn("lh", letters(F.col("h"))), keys).select(*keys, "n", "h", bound(F.col("n"), F.col("h"), F.col("ln"), F.col("lh")).alias("most"))
+    if large:
+        met = met.unionByName(_by_signature(left.join(many, keys, "left_semi"), right.join(many, keys, "left_semi"), keys, threshold))
+    return met.filter(F.col("most") >= threshold - 1e-9)
+
+
+def _best_ratio(pairs: DataFrame, keys: list[str], first: str) -> DataFrame:
+    """keys, n, h, score: of pairs (keys, n, h, most, and ``first``, which breaks ties) all whose ratio is the best of their n."""
+    pairs = kept(pairs, "candidates")
+    tried = pairs.groupBy(*keys, "n").agg(F.max_by(F.struct("h", first), F.struct("most", -F.col(first))).alias("t")).select(*keys, "n", "t.h", F.col(f"t.{first}").alias(first))
+    tried = kept(tried.withColumn("score", ratio(F.col("n"), F.col("h"))), "tried")
+    left = pairs.join(tried.select(*keys, "n", F.col("h").alias("t_h"), F.col("score").alias("t_score")), [*keys, "n"]).filter((F.col("most") >= F.col("t_score") - 1e-9) & (F.col("h") != F.col("t_h")))
+    return tried.unionByName(left.select(*keys, "n", "h", first).withColumn("score", ratio(F.col("n"), F.col("h"))).select(*tried.columns))
+
+
+def _texts(tokens: DataFrame) -> DataFrame:
+    """document_id, h, pos: the distinct texts of each document; of equal tokens only the first can be a value's best."""
+    return tokens.select("document_id", F.lower(F.trim("text")).alias("h"), "pos").filter("h != ''").groupBy("document_id", "h").agg(F.min("pos").alias("pos"))
+
+
+def _placed(v: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """document_id, value and its token of ``found`` (document_id, n, pos, score)."""
+    at = tokens.select(F.col("document_id").alias("t_document"), F.col("pos").alias("t_pos"), *(F.col(c) for c in _BEST if c != "pos"))
+    out = v.join(found, ["document_id", "n"]).join(at, (F.col("document_id") == F.col("t_document")) & (F.col("pos") == F.col("t_pos")))
+    return out.select("document_id", "value", *_BEST, "score")
+
+
+def _values(values: DataFrame) -> DataFrame:
+    return values.select("document_id", "value", F.lower(F.trim("value")).alias("n")).filter("n != ''").distinct()
+
+
+def link_contained(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Values (document_id, value) to their best token: one that holds the value 1.0, one of four letters or more within the value 0.85; first in order.
+
+    ``pos`` is a token's number in its document.
+    """
+    keys, v, t = ["document_id"], kept(_values(values), "values"), kept(_texts(tokens), "texts")
+    needles, hay = v.select("document_id", "n").distinct(), t.select("document_id", "h")
+    best = lambda pairs, score: pairs.join(t, ["document_id", "h"]).groupBy("document_id", "n").agg(F.min("pos").alias("pos")).withColumn("score", F.lit(score))
+    found = kept(best(contained(needles, hay, keys), 1.0), "inside")
+    rest = kept(needles.join(found, ["document_id", "n"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        part = contained(hay.filter(F.length("h") > 3).withColumnRenamed("h", "n"), rest.withColumnRenamed("n", "h"), keys)
+        found = found.unionByName(best(part.select("document_id", F.col("h").alias("n"), F.col("n").alias("h")), 0.85))
+    return _placed(v, found, tokens)
 
 
 def link(values: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Each value with its best token, ties to the first in order."""
-    s = _scored(values, tokens, threshold)
-    best = s.groupBy("document_id", "value").agg(F.max_by(F.struct(*_BEST, "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("document_id", "value", "b.*")
+    """Each value with its best token, ties to the first in order. ``pos`` is a token's number in its document."""
+    keys = ["document_id"]
+    v, t = kept(_values(values), "values"), kept(_texts(tokens), "texts")
+    needles, hay = v.select("document_id", "n").distinct(), t.select("document_id", "h")
+    first = lambda pairs: pairs.join(t, ["document_id", "h"]).groupBy("document_id", "n").agg(F.min("pos").alias("pos"))
+    inside = kept(first(contained(needles, hay, keys)).withColumn("score", F.lit(1.0)), "inside")
+    rest = kept(needles.join(inside, ["document_id", "n"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return _placed(v, inside, tokens)
+    part = contained(hay.filter(F.length("h") > 3).withColumnRenamed("h", "n"), rest.withColumnRenamed("n", "h"), keys)
+    part = part.select("document_id", F.col("h").alias("n"), F.col("n").alias("h"), F.lit(0.85).alias("score"))
+    like = candidates(rest, hay, keys, threshold).join(t, ["document_id", "h"])
+    like = like.join(part.select("document_id", "n", "h"), ["document_id", "n", "h"], "left_anti")  # a part has its score
+    rated = part.join(t, ["document_id", "h"]).select("document_id", "n", "pos", "score").unionByName(_best_ratio(like, keys, "pos").select("document_id", "n", "pos", "score"))
+    best = rated.filter(F.col("score") >= threshold).groupBy("document_id", "n").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("b"))
+    found = inside.select("document_id", "n", "pos", "score").unionByName(best.select("document_id", "n", (-F.col("b.back")).alias("pos"), F.col("b.score").alias("score")))
+    return _placed(v, found, tokens)
 
 
 def link_parts(values: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -89,6 +223,8 @@ def link_parts(values: DataFrame, tokens: DataFrame) -> DataFrame:
     whole = kept(link(values, tokens), "whole")  # used for what it places and for what it leaves
     one = whole.select("document_id", "value", "page", "x1", "y1", "x2", "y2", "confidence", F.lit(1).cast("long").alias("n_tokens"))
     left = values.join(whole.select("document_id", "value"), ["document_id", "value"], "left_anti")
+    if left.isEmpty():
+        return one
     words = left.select("document_id", F.col("value").alias("whole"), F.explode(F.split(F.trim("value"), r"\s+")).alias("value")).filter(F.length("value") >= 2).distinct()
     found = words.join(link(words, tokens, PART_THRESHOLD), ["document_id", "value"])
     parts = found.groupBy("document_id", F.col("whole").alias("value")).agg(
@@ -106,14 +242,18 @@ def row_boxes(items: DataFrame, tokens: DataFrame, width: int = 595) -> DataFram
     """Goods rows (document_id, page, description) to their page's best token, ties to the first: its pos, score and box over the full width.
 
     The score is the larger of the share of the description's words over four letters that the token contains, and the
-    ratio of its first 40 letters to the token.
+    ratio of its first 40 letters to the token. Only the first of a page's equal tokens can be the best.
     """
-    d = items.select("document_id", "page", "description", F.lower(F.trim("description")).alias("d")).filter("d != ''").distinct()
-    d = d.withColumn("long", F.filter(F.split("d", r"\s+"), lambda w: F.length(w) > 4)).withColumn("d", F.substring("d", 1, 40)).withColumn("ld", letters(F.col("d")))
-    t = tokens.select("document_id", "page", "y1", "y2", "pos", F.lower(F.trim("text")).alias("t")).withColumn("lt", letters(F.col("t")))
-    both = d.join(t, ["document_id", "page"])
-    both = both.withColumn("hits", F.size(F.filter("long", lambda w: F.contains(F.col("t"), w))) / F.greatest(F.size("long"), F.lit(1)))
-    fuzzy = may_reach(F.col("d"), F.col("t"), ROW_THRESHOLD, F.col("ld"), F.col("lt"))
-    good = both.filter((F.col("hits") >= ROW_THRESHOLD) | fuzzy).withColumn("score", F.greatest("hits", ratio(F.col("d"), F.col("t"), fuzzy))).filter(F.col("score") >= ROW_THRESHOLD)
-    best = good.groupBy("document_id", "page", "description").agg(F.max_by(F.struct("pos", "score", "y1", "y2"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("document_id", "page", "description", "b.pos", "b.score", F.lit(0).alias("x1"), "b.y1", F.lit(width).alias("x2"), (F.col("b.y2") + 5).alias("y2"))
+    keys = ["document_id", "page"]
+    d = kept(items.select(*keys, "description", F.lower(F.trim("description")).alias("whole")).filter("whole != ''").distinct().withColumn("n", F.substring("whole", 1, 40)), "descriptions")
+    t = tokens.select(*keys, "y1", "y2", "pos", F.lower(F.trim("text")).alias("h")).filter("h != ''").groupBy(*keys, "h").agg(F.min_by(F.struct("pos", "y1", "y2"), "pos").alias("first"))
+    t = kept(t.select(*keys, "h", "first.*"), "tokens")
+    long = d.select(*keys, "whole", F.explode(F.filter(F.split("whole", r"\s+"), lambda w: F.length(w) > 4)).alias("n"))
+    held = contained(long.select(*keys, "n").distinct(), t.select(*keys, "h"), keys)
+    n_long = long.groupBy(*keys, "whole").agg(F.count("*").alias("n_long"))
+    hits = long.join(held, [*keys, "n"]).groupBy(*keys, "whole", "h").agg(F.count("*").alias("hits")).join(n_long, [*keys, "whole"])
+    hits = d.join(hits, [*keys, "whole"]).join(t, [*keys, "h"]).select(*keys, "description", "pos", "y1", "y2", (F.col("hits") / F.col("n_long")).alias("score"))
+    like = candidates(d.select(*keys, "n").distinct(), t.select(*keys, "h"), keys, ROW_THRESHOLD).join(t.select(*keys, "h", "pos"), [*keys, "h"])
+    like = d.join(_best_ratio(like, keys, "pos").select(*keys, "n", "h", "score"), [*keys, "n"]).join(t, [*keys, "h"]).select(*keys, "description", "pos", "y1", "y2", "score")
+    best = hits.unionByName(like).filter(F.col("score") >= ROW_THRESHOLD).groupBy(*keys, "description").agg(F.max_by(F.struct("pos", "score", "y1", "y2"), F.struct("score", -F.col("pos"))).alias("b"))
+    return best.select(*keys, "description", "b.pos", "b.score", F.lit(0).alias("x1"), "b.y1", F.lit(width).alias("x2"), (F.col("b.y2") + 5).alias("y2"))

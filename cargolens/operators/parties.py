@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import PARTY_TYPES
 from ..functions.normalize import party_role
+from .linkage import contained
 
 ACCEPT = 0.75
 
@@ -17,23 +18,54 @@ def named_role(value: Column) -> Column:
     return F.when(F.rlike(v, F.lit(r"\b(?:bank|bancorp|banking)\b")), "issuing_bank").when(F.rlike(v, F.lit(r"\b(?:air|airlines?|air cargo|airways|cargo)\b")), "carrier")
 
 
+#: How far apart values and labels may be for each kind of evidence, and the width of the bands that they are dealt to.
+ROW_REACH, BELOW_REACH, SIDE_REACH, SLACK = 48, 180, 180, 16
+
+
+def _bands(low: Column, high: Column, width: int) -> Column:
+    """The bands of ``width`` that the stretch from low to high touches."""
+    return F.sequence(F.floor(low / width), F.floor(high / width))
+
+
+def _near(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """Values with the labels of their page that may be evidence: on the same row to their left, or above them.
+
+    A label is dealt to the bands in which a value may lie for which it counts: of y for values on its row, which may be
+    any way to the right, of y and x for those below it. A value is dealt to the bands of its middle, and of its upper left
+    corner. So a value meets the labels near it, however many its page has.
+    """
+    mid = lambda y1, y2: (F.col(y1) + F.col(y2)) / 2
+    ry, by, bx = ROW_REACH, BELOW_REACH + SLACK, SIDE_REACH
+    row = labels.select("*", F.lit("row").alias("way"), F.explode(_bands(mid("t_y1", "t_y2") - ry, mid("t_y1", "t_y2") + ry, ry)).alias("band_y"), F.lit(0).cast("long").alias("band_x"))
+    below = labels.select("*", F.lit("below").alias("way"), F.explode(_bands(F.col("t_y2") - SLACK, F.col("t_y2") + BELOW_REACH, by)).alias("band_y"), F.explode(_bands(F.col("t_x1") - bx, F.col("t_x1") + bx, bx)).alias("band_x"))
+    own = lambda way, y, x: F.struct(F.lit(way).alias("way"), F.floor(y).alias("band_y"), F.floor(x).alias("band_x"))
+    dealt = values.select("*", F.inline(F.array(own("row", mid("y1", "y2") / ry, F.lit(0)), own("below", F.col("y1") / by, F.col("x1") / bx))))
+    return dealt.join(row.unionByName(below), ["document_id", "page", "way", "band_y", "band_x"])
+
+
 def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values (document_id, page, value_id, value, x1, y1, x2, y2) to role and score of the nearest role label.
 
     The same token with a colon 1.0; on the same row, to the right of a label, 0.92 less distance; below a label 0.82
-    less distance. Only label tokens enter the join, which is on document and page. A value whose own name tells its
-    role doesn't ask for labels.
+    less distance. Only label tokens enter the joins: by page and the bands near a value, and for tokens that hold label
+    and value by page and the value's text. A value whose own name tells its role doesn't ask for labels.
     """
     t = tokens.withColumn("role", party_role(F.col("text"))).filter("role IS NOT NULL")
     t = t.select("document_id", "page", "role", F.col("pos").alias("t_pos"), F.col("text").alias("t_text"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
-    both = values.filter(named_role(F.col("value")).isNull()).join(t, ["document_id", "page"])
-    same_token = F.contains(F.lower("t_text"), F.lower(F.trim("value"))) & F.contains(F.col("t_text"), F.lit(":"))
-    same_row = (F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col("t_y1") + F.col("t_y2")) / 2) <= 48) & (F.col("x1") >= F.col("t_x2") - 16)
+    asked = values.filter(named_role(F.col("value")).isNull())
+    same_row = (F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col("t_y1") + F.col("t_y2")) / 2) <= ROW_REACH) & (F.col("x1") >= F.col("t_x2") - SLACK)
     down = F.col("y1") - F.col("t_y2")
-    below = (down >= -16) & (down <= 180) & (F.abs(F.col("x1") - F.col("t_x1")) <= 180)
+    below = (down >= -SLACK) & (down <= BELOW_REACH) & (F.abs(F.col("x1") - F.col("t_x1")) <= SIDE_REACH)
     across = F.least(F.greatest(F.col("x1") - F.col("t_x2"), F.lit(0)), F.lit(300))
-    score = F.when(same_token, 1.0).when(same_row, 0.92 - across / 3000).when(below, 0.82 - F.least(down, F.lit(160)) / 1600)
-    scored = both.withColumn("score", F.round(score, 6)).filter(F.col("score") >= ACCEPT)
+    score = F.when((F.col("way") == "row") & same_row, 0.92 - across / 3000).when((F.col("way") == "below") & ~same_row & below, 0.82 - F.least(down, F.lit(160)) / 1600)
+    near = _near(asked, t.drop("t_text")).withColumn("score", score)
+    # a label's own token holds the value, which is then one of the texts that its colons leave
+    held = t.filter(F.contains("t_text", F.lit(":"))).select("document_id", "page", "role", "t_pos", F.lower("t_text").alias("h")).distinct()
+    texts = asked.select("document_id", "page", F.lower(F.trim("value")).alias("n"))
+    inside = contained(texts.distinct(), held.select("document_id", "page", "h").distinct(), ["document_id", "page"]).join(held, ["document_id", "page", "h"])
+    own = asked.withColumn("n", F.lower(F.trim("value"))).join(inside, ["document_id", "page", "n"]).withColumn("score", F.lit(1.0))
+    rest = ["document_id", "value_id", "role", "score", "t_pos"]
+    scored = near.select(*rest).unionByName(own.select(*rest)).withColumn("score", F.round("score", 6)).filter(F.col("score") >= ACCEPT)
     best = scored.groupBy("document_id", "value_id").agg(F.max_by(F.struct("role", "score"), F.struct("score", -F.col("t_pos"))).alias("b"))
     return best.select("document_id", "value_id", "b.*")
 

@@ -445,7 +445,7 @@ def flt03_consignee_filter(spark, sf_dir):
 def join07_link_values(spark, sf_dir):
     """The beginning of every word of five letters or more, distinct by document."""
     t = tokens(spark, sf_dir)
-    return D.link_values(t.filter(F.length("text") >= 5).select("document_id", F.substring("text", 1, 5).alias("value")).distinct(), t).select("document_id", "value", "page", "pos", "score")
+    return L.link_contained(t.filter(F.length("text") >= 5).select("document_id", F.substring("text", 1, 5).alias("value")).distinct(), t).select("document_id", "value", "page", "pos", "score")
 
 
 def join07_fuzzy_linkage(spark, sf_dir):
@@ -465,10 +465,9 @@ def join08_multi_token_boxes(spark, sf_dir):
 
 
 def join09_value_pages(spark, sf_dir):
-    """Values on pages of the documents, one of which isn't there at all."""
+    """The pages of all words of all documents, of each once."""
     t = tokens(spark, sf_dir)
-    last = t.groupBy("document_id").agg(F.max_by("text", "pos").alias("value"))
-    return L.value_pages(last.unionByName(last.select("document_id", F.lit("9#9#9#9#9").alias("value"))), t)
+    return L.value_pages(t.select("document_id", F.col("text").alias("value")).distinct(), t)
 
 
 def join10_row_boxes(spark, sf_dir):

@@ -280,7 +280,7 @@ def _r(body: str) -> str:
 _F = "shipment_id, entity_type"
 _AUTH = " ".join(f"WHEN document_type = '{d}' AND entity_type = '{e}' THEN {w}" for d in ("commercial_invoice", "packing_list", "bl", "awb") for e, w in dims.AUTHORITY[d].items() if e in ("GROSS_WEIGHT", "PACKAGE_COUNT", "CONSIGNEE_NAME", "VESSEL_NAME"))
 _OPTIONS = """, src AS (SELECT shipment_id, entity_type, seq, num, coalesce(txt, num::BIGINT::VARCHAR) AS value, CASE document_type WHEN 'bl' THEN 'Bl' WHEN 'awb' THEN 'Awb' WHEN 'packing_list' THEN 'Packing List' ELSE 'Commercial Invoice' END AS doc, lower(replace(entity_type, '_', ' ')) AS label FROM assertions WHERE is_num),
-  pairs AS (SELECT x.shipment_id, x.entity_type, x.seq AS i, y.seq AS j, x.label, x.doc AS d, x.value AS v, y.doc AS e, y.value AS w, abs(x.num - y.num) / abs(y.num) * 100 AS percent FROM src AS x JOIN src AS y ON x.shipment_id = y.shipment_id AND x.entity_type = y.entity_type AND x.seq < y.seq AND x.value <> y.value),
+  pairs AS (SELECT x.shipment_id, x.entity_type, x.seq AS i, y.seq AS j, x.label, x.doc AS d, x.value AS v, y.doc AS e, y.value AS w, abs(x.num - y.num) / nullif(abs(y.num), 0) * 100 AS percent FROM src AS x JOIN src AS y ON x.shipment_id = y.shipment_id AND x.entity_type = y.entity_type AND x.seq < y.seq AND x.value <> y.value),
   said AS (SELECT shipment_id, entity_type, i, j, 1 AS k, 'If the ' || label || ' of ' || d || ' were ' || w || ' instead of ' || v || ', the documents would agree.' AS option FROM pairs UNION ALL SELECT shipment_id, entity_type, i, j, 2, 'If the ' || label || ' of ' || e || ' were ' || v || ' instead of ' || w || ', the documents would agree.' FROM pairs
     UNION ALL SELECT shipment_id, entity_type, i, j, 3, d || ' and ' || e || ' differ by ' || printf('%.2f%%', round(percent, 2)) FROM pairs WHERE percent >= 0.01),
   said_once AS (SELECT shipment_id, entity_type, option, min((i, j, k)) AS first_at FROM said GROUP BY 1, 2, 3),

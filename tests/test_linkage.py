@@ -67,3 +67,33 @@ def test_parts_and_pages_against_brute_force(spark):
 def test_linkage_of_empty_tables(spark):
     t, v = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "document_id long, value string")
     assert all(f(v, t).count() == 0 for f in (L.link, L.link_parts, L.value_pages))
+
+
+def test_candidates_lose_no_pair(spark):
+    """Both ways, few pairs and signatures, keep every pair that reaches the threshold; long documents make far fewer than all pairs."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("etaoinshrdlucmfwypvbgk0é") for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8, 12, 20])))
+    right = {(d, word()) for d in (1, 2) for _ in range(150)}
+    left = {(d, "".join(c if r.random() < 0.8 else r.choice("xyz") for c in w)) for d, w in right}
+    n, h = spark.createDataFrame(sorted(left), "document_id long, n string"), spark.createDataFrame(sorted(right), "document_id long, h string")
+    everything = [(d, a, b, SequenceMatcher(None, a, b).ratio()) for d, a in left for e, b in right if d == e]
+    for threshold in (L.ROW_THRESHOLD, L.THRESHOLD, L.PART_THRESHOLD):
+        need = {(d, a, b) for d, a, b, s in everything if s >= threshold}
+        for few in (0, 10**9):
+            met = {(x["document_id"], x["n"], x["h"]): x["most"] for x in L.candidates(n, h, ["document_id"], threshold, few).collect()}
+            assert need <= met.keys() and all(met[d, a, b] >= s - 1e-9 for d, a, b, s in everything if s >= threshold)
+            assert few or threshold < 0.5 or len(met) < 0.5 * len(everything)
+
+
+def test_long_documents_link_the_same(spark, monkeypatch):
+    tokens = [(1, 1, i, f"word{i % 50}x{i}", 0, 0, 1, 1, 0.9) for i in range(120)]
+    values = [(1, f"w0rd{i % 50}x{i}") for i in range(0, 120, 3)] + [(1, f"word{i}") for i in range(5)]
+    t, v = spark.createDataFrame(tokens, SCHEMA), spark.createDataFrame(values, "document_id long, value string")
+    got = {}
+    for few in (0, 10**9):
+        monkeypatch.setattr(L, "FEW_PAIRS", few)
+        got[few] = {(x["value"], x["pos"], x["score"]) for x in L.link(v, t).collect()}
+    want = {(value, b[2]) for _, value in values if (b := best(value, tokens, L.THRESHOLD))}
+    assert got[0] == got[10**9] and {x[:2] for x in got[0]} == want
