@@ -22,7 +22,7 @@ from ..operators import readiness as Y
 from ..operators.export import declarations, statistical_value
 from ..sources import bundles as B
 from ..sources.bindings import agreed, assertions, decisions, dossiers, goods, lines, paper_readings, papers, sql, table, tokens
-from ..sources.store import shared_path
+from ..sources.store import kept, shared_path
 
 
 def src04_flatten_tokens(spark, sf_dir):
@@ -472,7 +472,7 @@ def join09_value_pages(spark, sf_dir):
 
 def join10_row_boxes(spark, sf_dir):
     """Of every page the longest row, its fourth letter read wrong, among the page's rows."""
-    rows = D.reading_order(tokens(spark, sf_dir)).select("document_id", "page", F.col("row").alias("pos"), "text", (F.col("row") * 20).alias("y1"), (F.col("row") * 20 + 12).alias("y2"))
+    rows = kept(D.reading_order(tokens(spark, sf_dir)).select("document_id", "page", F.col("row").alias("pos"), "text", (F.col("row") * 20).alias("y1"), (F.col("row") * 20 + 12).alias("y2")), "rows")
     wrong = F.concat(F.substring("text", 1, 3), F.lit("0"), F.substring("text", 5, 200))
     items = rows.groupBy("document_id", "page").agg(F.max_by(wrong, F.struct(F.length("text"), -F.col("pos"))).alias("description"))
     return L.row_boxes(items, rows).select("document_id", "page", "pos", "y1", "y2", F.round("score", 6).alias("score"))
