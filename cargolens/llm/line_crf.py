@@ -164,15 +164,16 @@ def _scorer(weights: np.ndarray, move: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most ``sample`` labelled texts, of at most ``lines`` lines together, for which ``use`` (of the id) holds.
 
-    They are drawn by hash. Their features, 192 bytes a line, are all that comes to the driver.
+    They are drawn by hash; a text of more than a twentieth of ``lines`` is passed over. Their features, 192 bytes a line, are all that comes to the driver.
     """
     ship(docs.sparkSession)
     votes = labels.filter(use & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     drawn = votes.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("l_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "l_id")
     texts = cut(texts.groupBy("l_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "crf-sample")  # of a repeated id the least text
-    held = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).over(Window.orderBy(F.xxhash64("l_id"), "l_id"))
-    kept = texts.select("l_id", held.alias("lines_so_far")).filter(F.col("lines_so_far") <= lines)  # at most ``sample`` rows
+    own = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = texts.select("l_id", own.alias("own")).filter(F.col("own") <= max(1, lines // 20))  # a longer one is passed over, and only it
+    kept = sizes.select("l_id", F.sum("own").over(Window.orderBy(F.xxhash64("l_id"), "l_id")).alias("lines_so_far")).filter(F.col("lines_so_far") <= lines)  # at most ``sample`` rows
     texts = texts.join(F.broadcast(kept.select("l_id")), "l_id", "left_semi")
     got = texts.select("label", "text").mapInPandas(_featured, "label int, lines int, x binary").toPandas()
     got = got.sort_values(["lines", "label", "x"], kind="stable")  # the same sums in the same order, however tasks end

@@ -22,6 +22,7 @@ an empty result. Only the id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -66,8 +67,9 @@ def _signed(size: int):
                 n, h1, h2, sig = [], [], [], []
                 for s in shingle_sets(part, size):
                     n.append(len(s))
-                    h1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                    h2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                    whole = hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()  # of the whole set, in order
+                    h1.append(int.from_bytes(whole[:8], "little", signed=True) if len(s) else 0)
+                    h2.append(int.from_bytes(whole[8:], "little", signed=True) if len(s) else 0)
                     sig.append(signature(s).tobytes() if len(s) else b"")
                 yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(part)].to_numpy(), "n": n, "h1": h1, "h2": h2, "sig": sig})
 

@@ -139,9 +139,9 @@ def ablations(of: DataFrame) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of the eight rules of policy 2, which the SQL states, and what policy 2 keeps."""
-    base, bits = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[1])) != 0, F.col("failed_bits").bitwiseAND(F.lit(POLICIES[2]))
-    return ledger(read_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, bits.alias("failed_bits"), base.alias("base_failed"), (~base & passes(2)).alias("kept"))
+    """The ledger of the rules of the current policy, and what it keeps."""
+    base, bits = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[1])) != 0, F.col("failed_bits").bitwiseAND(F.lit(POLICIES[CURRENT]))
+    return ledger(read_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, bits.alias("failed_bits"), base.alias("base_failed"), (~base & passes()).alias("kept"))
 
 
 OP4_SQL = r"""
@@ -162,8 +162,8 @@ m AS (
     length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(text, '[^a-z]+', '', 'g'))::BIGINT AS n_lower
   FROM t JOIN w USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
 b AS (
-  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_words > 1000000)::BIGINT
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
     + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT + 32 * (100 * n_symbols > 10 * n_words)::BIGINT
-    + 64 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 128 * (100 * n_upper > 50 * (n_upper + n_lower))::BIGINT)::BIGINT AS failed_bits FROM m)
+    + 128 * (100 * n_upper > 50 * (n_upper + n_lower))::BIGINT + 256 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT)::BIGINT AS failed_bits FROM m)
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """

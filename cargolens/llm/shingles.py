@@ -2,8 +2,8 @@
 
 Texts of a batch are laid end to end as bytes. A word's hash joins two residues of its bytes as a polynomial, modulo
 two primes, with its length; each residue is the difference of two running sums, so there is no loop over words, and a
-long text costs what its length costs. Words differ by hash unless both residues of the difference vanish. Very long
-words are hashed one by one with BLAKE2.
+long text costs what its length costs. That hash only finds equal words: what goes out is each distinct word's BLAKE2
+digest, once their bytes were compared.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 #: Bytes that are hashed at once, bytes of a word that is hashed on its own, and bytes of texts that are laid end to end.
 SLICE_BYTES, LONG_WORD, GROUP_BYTES = 1 << 18, 256, 1 << 20
@@ -119,13 +120,27 @@ def per_text(parts: list[bytes], starts: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in parts])), prepend=0)
 
 
+def word_digests(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The BLAKE2 digest of each of the ascending spans, taken once of each distinct one.
+
+    Spans are told apart by ``span_hashes`` first; where two with one hash differ, each is taken on its own.
+    """
+    code, distinct = pd.factorize(span_hashes(joined, starts, ends))
+    first = np.empty(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    if not equal_spans(joined, starts, ends - starts, starts[first][code]):
+        first, code = np.arange(len(starts)), np.arange(len(starts))
+    found = [_digest(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return np.array(found, np.uint64)[code]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words with A-Z lowered, and the number of words of each text."""
+    """Digests of all words with A-Z lowered, and the number of words of each text."""
     out, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
     for first, parts in groups(texts):
         joined = b"\n".join(parts).translate(LOWER)
         starts, ends = word_spans(joined)
-        out.append(span_hashes(joined, starts, ends))
+        out.append(word_digests(joined, starts, ends))
         counts[first : first + len(parts)] += per_text(parts, starts)
     return np.concatenate(out), counts
 
@@ -143,8 +158,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     hashes, counts = word_hashes(texts)
     rolled = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
     for k in range(size):
-        rolled = rolled * np.uint64(0xA0761D6478BD642F) + hashes[k : k + len(rolled)]
-    rolled = mix(rolled)
+        rolled = mix(rolled * np.uint64(0xA0761D6478BD642F) + hashes[k : k + len(rolled)])
     at = 0
     for n in counts.tolist():
         if n >= size:
@@ -152,8 +166,8 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         elif n:
             one = np.array([n], np.uint64)  # arrays wrap around without a warning
             for i in range(at, at + n):
-                one = one * np.uint64(0xE7037ED1A0B428DB) + hashes[i : i + 1]
-            yield mix(one)
+                one = mix(one * np.uint64(0xE7037ED1A0B428DB) + hashes[i : i + 1])
+            yield one
         else:
             yield np.zeros(0, np.uint64)
         at += n

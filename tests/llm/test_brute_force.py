@@ -135,6 +135,16 @@ def test_long_texts_of_rules_and_classifier(spark):
     assert {r["score"] for r in line_crf.score(d, model).collect()} == {0.5}
 
 
+def test_a_long_labelled_text_leaves_the_others(spark):
+    """A labelled text beyond the sample's bound is passed over alone, whatever its place by hash."""
+    rows = [(i, ("All lines of it are fine.\n" if i % 2 else "## $$ %% BUY\n") * (5 + i), "x") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(100, 104)], "doc_id long, quality int")
+    short = line_crf.train(spark.createDataFrame(rows, EXTRA), labels, F.lit(True), lines=2000)
+    long = [(i, "very\n" * 2001, "x") for i in range(100, 104)]
+    model = line_crf.train(spark.createDataFrame([*rows, *long], EXTRA), labels, F.lit(True), lines=2000)
+    assert all((a == b).all() for a, b in zip(short, model)) and abs(model[0]).max() > 0.1
+
+
 def words(text):
     return re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 

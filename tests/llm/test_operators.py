@@ -402,3 +402,28 @@ def test_crf_marginals_against_enumeration():
 
 def test_json_safe_results(spark):
     assert json.dumps([r.asDict() for r in exact_dedup.exact_duplicates(docs(spark)).collect()])
+
+
+#: Two words that a polynomial hash of two residues with fixed bases takes for one.
+ALIKE = ("nmonmmmmommoommmmmpomnmmnmmmm", "mnmmpmmmnmmmnnmnnmmmnonmnmmm")
+
+
+def alike_pairs():
+    five = "one two three four five "
+    return [(1, ALIKE[0]), (2, ALIKE[1]), (3, five + ALIKE[0]), (4, five + ALIKE[1]), (5, ALIKE[0].upper())]
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_words_told_apart_by_bytes(spark, monkeypatch, constant):
+    from cargolens.llm import minhash, shingles
+
+    if constant:  # every word has one hash: only bytes tell them apart
+        monkeypatch.setattr(shingles, "span_hashes", lambda joined, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = [t.encode() for _, t in alike_pairs()]
+    found, n = shingles.word_hashes(texts)
+    assert n.tolist() == [1, 1, 6, 6, 1] and found[0] == found[7] == found[-1] != found[1] == found[13]
+    sets = [set(s.tolist()) for s in shingles.shingle_sets(texts, 5)]
+    assert sets[0] != sets[1] and sets[0] == sets[4] and len(sets[2] & sets[3]) == 1
+    if not constant:
+        d = spark.createDataFrame(alike_pairs(), "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, percent=85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
