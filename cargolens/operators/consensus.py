@@ -90,7 +90,7 @@ def numeric_consensus(a: DataFrame, large: int = LARGE) -> DataFrame:
     rest = v if many is None else v.join(many, FIELD, "left_anti")
     per = rest.groupBy(*FIELD).agg(_folded(F.collect_list("item")).alias("x"))
     if rest is not v:
-        per = per.unionByName(_by_islands(v.join(many, FIELD, "left_semi")).select(*FIELD, F.col("x").cast(per.schema["x"].dataType).alias("x")))
+        per = per.unionByName(_by_islands(v.join(many, FIELD, "left_semi")))
     return per.select(*FIELD, F.col("x.best.num").alias("consensus_num"), F.col("x.best.n").alias("n_agree"), F.col("x.n_clusters").alias("n_clusters"))
 
 
@@ -127,7 +127,7 @@ def resolve(a: DataFrame, large: int = LARGE) -> DataFrame:
     roll = rolled(rest, True).withColumn("number", F.when(F.col("all_num"), _folded(F.col("numbers")))).drop("numbers")
     if rest is not values:
         few = values.join(many, FIELD, "left_semi")
-        number = _by_islands(few.filter("is_num").select(*FIELD, value.alias("item"))).select(*FIELD, F.col("x").cast(roll.schema["number"].dataType).alias("x"))
+        number = _by_islands(few.filter("is_num").select(*FIELD, value.alias("item")))
         roll = roll.unionByName(rolled(few, False).join(number, FIELD, "left").withColumn("number", F.when(F.col("all_num"), F.col("x"))).drop("x"))
     c = F.col
     either = lambda x, y: F.when(c("all_num"), c(x)).otherwise(c(y))
