@@ -627,7 +627,21 @@ def snk13_downloads(spark, sf_dir):
     return g.unionByName(t)
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:3].isalpha() and k[0] != "_" and any(ch.isdigit() for ch in k[:6]) and k[:3] in ("src", "snk", "flt", "joi", "agg", "win", "top", "set", "fn1", "fn3", "aud", "rpt", "str", "ext", "xai", "fn2")} | {"fn16_line_confidence": fn16_line_confidence, "fn27_value_shape": fn27_value_shape, "fn31_two_tier_choice": fn31_two_tier_choice}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        src04_flatten_tokens, flt18_type_of_name, src08_table_scan, win01_next_row_index, snk12_statistical_value, set3_key_difference, join01_dossier_documents, top03_ordered_rows,
+        join11_keyword_hits, agg01_classify, win06_normalised_scores, agg07_entity_dedup, agg08_box_union, agg13_profile_merge, win02_adjacent_values, win03_reading_order, aud01_append_events,
+        src01_extraction_scan, flt02_usable_extractions, src06_intake, src07_upload_listing, join19_new_files, src10_goods_json, snk03_cache_upsert, src09_seed_rows, join02_canonical_lookup,
+        join03_cache_misses, join03_canonicalized_misses, snk07_metadata_upsert, snk08_line_append, snk10_cascade_delete, flt01_declaration_fields, flt04_type_precedence, flt05_labels,
+        flt06_source_label, flt08_tariff_search, flt11_channel_progress, flt12_contract, flt14_line_admission, flt15_metadata_admission, flt16_table_types, flt19_rule_catalogue, agg10_dossier_listing,
+        top01_latest_dossiers, top06_oldest_pending, agg09_dossier_outcome, agg11_telemetry, join15_missing_fields, agg15_ocr_quality, agg16_transport_document, agg14_has_line_items,
+        join16_required_fields, set1_blocker_union, agg12_readiness, snk11_declarations, snk11_documents, join05_party_labels, join06_party_types, flt03_consignee_filter, join07_link_values,
+        join07_fuzzy_linkage, join08_multi_token_boxes, join09_value_pages, join10_row_boxes, xai06_text_options, win05_ordinals, ext01_label_match, ext02_pattern_match, ext03_combined,
+        ext04_document_job, ext06_error_rows, ext03_warnings, ext05_reprocess, aud02_trail, aud03_derived_trail, rpt01_shipment_status, src02_result_bundles, src03_page_readings, src05_json_map,
+        src05_manifest, snk01_save_results, snk02_create_dossiers, snk13_downloads, fn16_line_confidence, fn27_value_shape, fn31_two_tier_choice,
+    )
+}
 
 _PAY = "e.seq % 9 <> 0 AND e.seq % 7 <> 0"
 _FV = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN num::VARCHAR ELSE regexp_replace(lower(txt), '[^a-z0-9]+', '', 'g') END AS key, count(*) AS n, round(sum(confidence), 6) AS w, min(seq) AS s, arg_min(num, seq) AS num, arg_min(txt, seq) AS txt FROM assertions GROUP BY 1, 2, 3, 4),

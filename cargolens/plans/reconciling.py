@@ -252,7 +252,17 @@ def agg17_selection_counts(spark, sf_dir):
     return f.groupBy("shipment_id").agg(F.count_if(F.col("status") == "conflict").alias("n_conflicts"), F.count("*").alias("n_fields"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in ("agg", "top", "joi", "snk", "rul", "win", "xai", "set", "grf", "flt") and callable(v) and k[-1] != "_" and any(ch.isdigit() for ch in k[:6])}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        agg02_text_consensus, agg03_numeric_consensus, agg04_field_rollup, agg05_assertion_flags, agg06_status_summary, top02_conflicts_first, join12_representative_pairs, rul01_numeric_failures,
+        rul02_text_failures, rul03_discrepancies, rul04_tiered_severity, top04_by_severity, win04_first_members, rul05_weight_consistency, rul06_cif_consistency, rul07_relative_conflict,
+        rul08_truth_score, join13_must_match, xai03_confidence, xai04_recommendation, flt07_discrepancy_search, flt09_needs_review, snk06_resolution_upsert, join04_reviewer_overlay,
+        join17_resolution_validation, join14_source_pairs, rul07_text_conflict, xai01_provenance, xai02_reasoning, xai05_counterfactuals, xai07_all_options, xai07_inconsistency_options,
+        set05_ordered_distinct, top05_capped_options, top05_first_documents, grf01_nodes, grf02_edges, set02_graph_union, grf03_node_status, grf04_neighbours, join18_entity_outlier,
+        agg17_selection_counts,
+    )
+}
 
 #: Fields resolved in SQL: values that differ by more than the tolerance form their own clusters here.
 _RESOLVED = """, v AS (SELECT shipment_id, entity_type, is_num, CASE WHEN is_num THEN num::VARCHAR ELSE regexp_replace(lower(txt), '[^a-z0-9]+', '', 'g') END AS key,

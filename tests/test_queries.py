@@ -29,3 +29,8 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_number_of_queries():
+    """Queries are listed by name; one that gets lost shows here."""
+    assert len(catalog.queries()) == 173 and set(catalog.oracle_sql()) <= set(catalog.queries())
