@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.normalize import semantic_key
+from ..functions.normalize import semantic_key, strip_fences
 from .consensus import latest
 
 DONE, ERROR, PENDING, PROCESSING = "done", "error", "pending", "processing"
@@ -46,10 +46,30 @@ def entity_rows(parsed: DataFrame, entities: str = "x.entities") -> DataFrame:
 
 
 def goods_rows(documents: DataFrame, raw: str = "raw") -> DataFrame:
-    """Rows of JSON lists of goods: without a quantity 0, without a unit pieces; rows without a description and texts that aren't lists give none."""
-    item = "array<struct<description:string,quantity:double,unit:string>>"
-    rows = documents.filter(F.rlike(raw, F.lit(r"^\s*\["))).select("*", F.inline(F.from_json(raw, item))).filter("description != ''")
-    return rows.withColumns({"quantity": F.coalesce("quantity", F.lit(0.0)), "unit": F.coalesce("unit", F.lit("pieces"))})
+    """``documents`` with a row for each goods row of their JSON list: row_index, description, quantity, unit, unit_price, total_price.
+
+    Each element is read alone: one that is no object, has no description or a number that can't be read is left out, and
+    the others stay. Missing numbers are 0, a missing unit is pieces, a missing row_index is the row's number among those
+    that stay. Texts that aren't lists, or not JSON at all, give no rows; fences around them are ignored.
+    """
+    items = F.try_variant_get(F.try_parse_json(strip_fences(F.col(raw))), "$", "array<variant>")
+    numbers = ("quantity", "unit_price", "total_price")
+
+    def row(e: Column) -> Column:
+        text = lambda c: F.trim(F.try_variant_get(e, f"$.{c}", "string"))
+        number = lambda c: F.try_variant_get(e, f"$.{c}", "double")
+        readable = F.lit(True)
+        for c in numbers:
+            readable = readable & (F.coalesce(text(c), F.lit("")).isin("") | number(c).isNotNull())
+        index = F.try_variant_get(e, "$.row_index", "long")
+        readable = readable & (text("row_index").isNull() | index.isNotNull())
+        fields = [F.coalesce(text("description"), F.lit("")).alias("description"), F.coalesce(text("unit"), F.lit("pieces")).alias("unit"), *(F.coalesce(number(c), F.lit(0.0)).alias(c) for c in numbers)]
+        return F.struct(*fields, index.alias("stated"), readable.alias("readable"))
+
+    good = F.filter(F.transform(items, row), lambda r: r["readable"] & (r["description"] != ""))
+    out = documents.select("*", F.posexplode(good).alias("__k", "__r"))
+    rest = [F.col(f"__r.{c}").alias(c) for c in ("description", "quantity", "unit", "unit_price", "total_price")]
+    return out.select(*(F.col(c) for c in documents.columns), F.coalesce("__r.stated", (F.col("__k") + 1).cast("long")).alias("row_index"), *rest)
 
 
 def document_type(column: Column, parsed: Column) -> Column:

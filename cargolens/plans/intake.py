@@ -179,10 +179,17 @@ def join19_new_files(spark, sf_dir):
 
 
 def src10_goods_json(spark, sf_dir):
-    """Goods rows from JSON texts: missing numbers are 0, rows without a description are left out, texts that aren't lists give none."""
-    row = F.to_json(F.array(F.struct(F.col("description"), F.when(F.col("seq") % 2 == 0, F.col("quantity")).alias("quantity")), F.struct(F.lit("").alias("description"), F.lit(1.0).alias("quantity"))))
-    g = goods(spark, sf_dir).select("shipment_id", "seq", F.when(F.col("seq") % 5 == 0, '{"a": 1}').otherwise(row).alias("raw"))
-    return K.goods_rows(g).drop("raw")
+    """Goods rows from JSON lists whose elements are of all kinds; every fifth text is no list, every eleventh no JSON."""
+    q, u, t = (F.col(c).cast("string") for c in ("quantity", "unit_price", "total_price"))
+    name = F.concat(F.lit('"'), F.col("description"), F.lit('"'))
+    parts = [
+        F.concat(F.lit('{"description": '), name, F.lit(', "quantity": '), F.when(F.col("seq") % 2 == 0, q).otherwise("null"), F.lit(', "unit": "kg", "unit_price": "'), u, F.lit('"}')),
+        F.lit('7, null, "text", {"quantity": 1}, {"description": "  ", "quantity": 2}, {"description": "bad", "quantity": "many"}'),
+        F.concat(F.lit('{"description": 42, "total_price": '), t, F.lit("}")), F.lit('{"description": "last", "row_index": 9, "unit": null}'),
+    ]
+    whole = F.concat(F.lit("```json\n["), F.concat_ws(", ", *parts), F.lit("]\n```"))
+    raw = F.when(F.col("seq") % 5 == 0, '{"a": 1}').when(F.col("seq") % 11 == 0, "no list").otherwise(whole)
+    return K.goods_rows(goods(spark, sf_dir).select("shipment_id", "seq", raw.alias("raw"))).drop("raw")
 
 
 def snk03_cache_upsert(spark, sf_dir):
@@ -659,7 +666,8 @@ ORACLES = {
     "join19_new_files": sql("lines", f", {_FILES} SELECT dossier_id, count(*) AS n FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.dossier_id = f.dossier_id AND g.name = f.name AND g.seq % 2 = 0) GROUP BY 1"),
     "src08_table_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
     "src09_seed_rows": sql("lines", f", {_CACHE} SELECT cache_key, canonical FROM (SELECT * FROM cache QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY l_shipdate DESC, l_orderkey DESC, seq DESC) = 1) UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, _, _, v in dims.CACHE_SEEDS) + ")"),
-    "src10_goods_json": sql("goods", "SELECT shipment_id, seq, description, CASE WHEN seq % 2 = 0 THEN quantity ELSE 0 END AS quantity, 'pieces' AS unit FROM goods WHERE seq % 5 <> 0 AND description <> ''"),
+    "src10_goods_json": sql("goods", """, g AS (SELECT * FROM goods WHERE seq % 5 <> 0 AND seq % 11 <> 0) SELECT shipment_id, seq, 1 AS row_index, description, CASE WHEN seq % 2 = 0 THEN quantity ELSE 0 END AS quantity, 'kg' AS unit, unit_price, 0 AS total_price FROM g
+      UNION ALL SELECT shipment_id, seq, 2, '42', 0, 'pieces', 0, total_price FROM g UNION ALL SELECT shipment_id, seq, 9, 'last', 0, 'pieces', 0, 0 FROM g"""),
     "snk03_cache_upsert": sql("lines", f", {_CACHE} SELECT cache_key, canonical FROM cache QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY l_shipdate DESC, l_orderkey DESC, seq DESC) = 1"),
     "join02_canonical_lookup": sql("lines", f", {_CACHE} SELECT p_partkey, 'GOODS:' || list_aggregate(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), 'string_agg', ' ') IN (SELECT cache_key FROM cache) AS known FROM part"),
     "join03_cache_misses": sql("lines", f", {_CACHE} SELECT DISTINCT k AS cache_key FROM (SELECT 'GOODS:' || list_aggregate(list_sort(list_filter(string_split_regex(lower(p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END), '[^a-z0-9]+'), lambda x: x <> '')), 'string_agg', ' ') AS k FROM part) WHERE k NOT IN (SELECT cache_key FROM cache)"),
