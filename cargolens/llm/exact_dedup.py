@@ -3,7 +3,9 @@
 1. Lengths that two or more rows share. 2. Of rows with such a length, the prefix hashes that two or more share. 3. Of
 rows with such a prefix, the full text is read and hashed. Each step is a narrow aggregation with map-side partial counts,
 so a text that a third of all rows share costs one row per task, and only the last one touches more than a text's
-beginning.
+beginning. Shared lengths and prefixes are broadcast after counting them. Beyond ``broadcast_rows`` shared prefixes,
+moving the survivors' texts would cost more than hashing every text where it is read, so all are hashed there, and only
+lengths, hashes and ids move.
 
 The groups are joined back by their hash. Groups of more than ``common.HOT_ROWS`` rows, of which there are few, are
 broadcast after counting them, so that their rows aren't dealt to one task.
@@ -19,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, read_table, small, spread_join
+from .common import BROADCAST_ROWS, cut, read_table, spread_join
 
-_LEN, _PRE, _HASH, _KEEP, _N = (f"__dedup_{x}" for x in ("length", "prefix", "hash", "keep", "n"))
+_LEN, _PRE, _HASH, _KEEP, _N, _LEFT = (f"__dedup_{x}" for x in ("length", "prefix", "hash", "keep", "n", "left"))
 
 
 def _shared(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -29,25 +31,38 @@ def _shared(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return cut(rows.groupBy(*keys).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1).select(*keys), name)
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int) -> DataFrame:
-    """One row for each full text that occurs twice or more: full hash, id that stays, size."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias(_KEEP), text.alias("__dedup_text")).withColumn(_LEN, F.length("__dedup_text"))
-    rows = rows.join(small(_shared(rows, [_LEN], "dedup-lengths"), broadcast_rows), _LEN, "left_semi").withColumn(_PRE, F.xxhash64(F.substring("__dedup_text", 1, prefix_chars)))
-    rows = rows.join(small(_shared(rows, [_LEN, _PRE], "dedup-prefixes"), broadcast_rows), [_LEN, _PRE], "left_semi")
-    per = rows.groupBy(F.sha2(F.col("__dedup_text").cast("binary"), 256).alias(_HASH)).agg(F.max(_KEEP).alias(_KEEP), F.count("*").alias(_N))
-    return cut(per.filter(F.col(_N) > 1), "dedup-groups")
+def _hash(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int, every: bool) -> DataFrame:
+    """``docs`` with the reserved columns _HASH, and _KEEP and _N (null for texts that occur once).
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_rows: int) -> DataFrame:
-    """``docs`` with the reserved columns _HASH, and _KEEP and _N (null for texts that occur once)."""
-    full = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return spread_join(docs.withColumn(_HASH, full), _groups(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows), _HASH, _N, F.col(id_col), broadcast_rows)
+    ``every``: _HASH is each text's full hash; else it is that of survivors, and any text that no hash equals for others.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.withColumn(_LEN, F.length(text))
+    prefix = F.xxhash64(F.substring(text, 1, prefix_chars))
+    lengths = _shared(sized, [_LEN], "dedup-lengths")
+    if lengths.count() <= broadcast_rows:
+        prefixes = _shared(sized.join(F.broadcast(lengths), _LEN, "left_semi").withColumn(_PRE, prefix), [_LEN, _PRE], "dedup-prefixes")
+    else:  # only lengths and prefix hashes move
+        prefixes = _shared(sized.select(_LEN, prefix.alias(_PRE)).join(lengths, _LEN, "left_semi"), [_LEN, _PRE], "dedup-prefixes")
+    if prefixes.count() <= broadcast_rows:
+        marked = sized.withColumn(_PRE, prefix).join(F.broadcast(prefixes.withColumn(_LEFT, F.lit(True))), [_LEN, _PRE], "left")
+        rows, own = marked.filter(_LEFT).select(F.col(id_col).alias(_KEEP), _hash(text).alias(_HASH)), F.col(_LEFT)
+    else:  # the full hash is taken where a text is read, and only it and the id move
+        marked = sized
+        rows = sized.select(F.col(id_col).alias(_KEEP), _LEN, prefix.alias(_PRE), _hash(text).alias(_HASH)).join(prefixes, [_LEN, _PRE], "left_semi")
+        own = F.lit(True)
+    groups = cut(rows.groupBy(_HASH).agg(F.max(_KEEP).alias(_KEEP), F.count("*").alias(_N)).filter(F.col(_N) > 1), "dedup-groups")
+    full = _hash(text) if every else F.when(own, _hash(text)).otherwise(F.concat(F.lit("~"), F.xxhash64(id_col).cast("string")))
+    return spread_join(marked.withColumn(_HASH, full).drop(_LEN, _PRE, _LEFT), groups, _HASH, _N, F.col(id_col), broadcast_rows)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256. Texts are hashed where they are read and don't move."""
-    found = _judged(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows)
+    """One row per input row: id, keep_id, group_size, kept, text_sha256. Every text is hashed, where it is read, since its digest is reported; texts don't move."""
+    found = _judged(docs.select(id_col, text_col), id_col, text_col, prefix_chars, broadcast_rows, True)
     keep: Column = F.when(F.col(_N).isNull(), F.col(id_col)).otherwise(F.col(_KEEP))
     return found.select(
         F.col(id_col),
@@ -61,9 +76,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``.
 
-    Texts stay in place while the groups can be broadcast; beyond that, rows are dealt by hash once.
+    Only texts that share length and prefix with another are hashed whole. Texts stay in place while the groups can be
+    broadcast; beyond that, rows are dealt by hash once.
     """
-    found = _judged(docs, id_col, text_col, prefix_chars, broadcast_rows)
+    found = _judged(docs, id_col, text_col, prefix_chars, broadcast_rows, False)
     return found.filter(F.col(_N).isNull() | F.col(id_col).eqNullSafe(F.col(_KEEP))).select(*docs.columns)
 
 

@@ -13,8 +13,12 @@ payloads under ``least`` bytes: those addresses are broadcast after counting the
 
 ``write_files`` and ``read_files`` exchange archives with other tools as WARC 1.1 files.
 
+A bucket's place follows from its address alone, so any session reads an archive by its buckets; how many there are is
+stored beside them (``layout``). Sessions know the buckets by a table of a new name, which is dropped at once.
+
 Defined results: a null payload is empty; payloads under ``least`` bytes are always responses; of equal longer ones the
 largest id is the response, the others are revisits that refer to it. Rows that repeat the largest id are all responses.
+A record whose stored payload is missing comes back with null payload, length, digest and (responses) bytes, not verified.
 A null id has no id field and sorts below all others; ids of text are written percent-encoded. In addresses, blanks and
 control characters are percent-encoded, each by its own code; a null leaves the field out. An empty table gives an empty
 archive. Only id, address and payload are read, so other columns can't clash.
@@ -83,18 +87,31 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The aggregation deals addresses as buckets do, so each bucket is one file, of the task that has it.
     stored = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.max("id").alias("last_id"), F.count("*").alias("n"))
-    stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "address").saveAsTable(_table(path))
-    known = spark.table(_table(path)).select("address", "last_id", "n", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
-    name = lambda c: F.col(c).cast("string")
+    name = _table_name()
+    stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "address").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
+    known = _stored(spark, path).select("address", "last_id", "n", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
+    text_of = lambda c: F.col(c).cast("string")
     kind = F.when((F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("last_id")), "revisit").otherwise("response")
     records = spread_join(rows.select("id", "url", "address"), known, "address", "n", F.col("id"), ADDRESSES).withColumn("record_type", kind)
-    records = records.select("address", F.col("n").alias("n_address"), _header(F.col("record_type"), name("id"), F.col("url"), F.col("sha1"), F.col("size"), name("last_id")).alias("header"))
+    records = records.select("address", F.col("n").alias("n_address"), _header(F.col("record_type"), text_of("id"), F.col("url"), F.col("sha1"), F.col("size"), text_of("last_id")).alias("header"))
     records.write.option("compression", "zstd").parquet(f"{path}/records")
 
 
-def _table(path: str) -> str:
-    """The name under which the session knows an archive's buckets."""
-    return "warc_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+def _table_name() -> str:
+    return f"warc_{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored payloads, read by their buckets."""
+    buckets, name = spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0], _table_name()
+    columns = spark.read.parquet(f"{path}/payloads").schema
+    listed, place = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns), path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({listed}) USING parquet CLUSTERED BY (address) INTO {buckets} BUCKETS LOCATION '{place}/payloads'")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # what was found keeps files and buckets; the catalog keeps nothing
+    return found
 
 
 def _field(header: Column, name: str) -> Column:
@@ -103,24 +120,21 @@ def _field(header: Column, name: str) -> Column:
 
 def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """id, record_type, url, payload_digest (SHA-1), payload_bytes, refers_to, verified, payload (null for revisits), record (all its bytes), from the stored tables."""
-    if not spark.catalog.tableExists(_table(path)):  # written by another session: the same files, without their buckets
-        stored = spark.read.parquet(f"{path}/payloads")
-    else:
-        stored = spark.table(_table(path))
+    stored = _stored(spark, path)
     about = (F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("address")).alias("intact"))
     text = F.col("header").cast("string")
     heads = spark.read.parquet(f"{path}/records").select("address", "n_address", "header", _field(text, "WARC-Type").alias("record_type"))
     responses, revisits = heads.filter("record_type = 'response'"), heads.filter("record_type != 'response'")
     hot = F.col("n_address") > HOT_ROWS  # of responses: payloads under ``least`` bytes, since longer ones have one response
     wide = stored.select("address", "payload", *about)
-    whole = responses.filter(~hot).join(wide, "address").unionByName(spread_join(responses.filter(hot), stored.filter(F.col("n") > HOT_ROWS).select("address", "payload", *about, "n"), "address", "n", F.col("header"), ADDRESSES).drop("n"))
+    whole = responses.filter(~hot).join(wide, "address", "left").unionByName(spread_join(responses.filter(hot), stored.filter(F.col("n") > HOT_ROWS).select("address", "payload", *about, "n"), "address", "n", F.col("header"), ADDRESSES).drop("n"))
     named = spread_join(revisits, stored.select("address", *about, "n"), "address", "n", F.col("header"), ADDRESSES).drop("n").withColumn("payload", F.lit(None).cast("binary"))
-    both = whole.unionByName(named).withColumn("record", F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n")))
+    both = whole.unionByName(named).withColumn("record", F.concat("header", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n")))
     id_of = lambda name: F.url_decode(_field(text, name)).cast(id_type)
     return both.select(
         id_of("X-Page-ID").alias("id"), "record_type", _field(text, "WARC-Target-URI").alias("url"), "payload_digest", "payload_bytes",
         F.when(F.col("record_type") == "revisit", id_of("X-Refers-To-Page-ID")).alias("refers_to"),
-        (F.coalesce("intact", F.lit(False)) & (_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))).alias("verified"), "payload", "record",
+        F.coalesce(F.col("intact") & (_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False)).alias("verified"), "payload", "record",
     )
 
 

@@ -428,3 +428,56 @@ def test_words_told_apart_by_bytes(spark, monkeypatch, constant):
     if not constant:
         d = spark.createDataFrame(alike_pairs(), "doc_id long, text string")
         assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, percent=85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_exact_duplicates_hash_survivors_only(spark):
+    """Each way (by the number of shared lengths, prefixes and groups) keeps the same rows; without a shared prefix no text is hashed."""
+    r = random.Random(5)
+    rows = [(i, r.choice(["same beginning " * 6 + "x" * r.randrange(3), None, "", f"text {r.randrange(300)}", "word " * r.randrange(9)]), "x") for i in range(900)]
+    last = {}
+    for i, t, _ in rows:
+        last[t or ""] = i
+    for limit in (0, 1, 5, 100_000):
+        kept = exact_dedup.drop_exact_duplicates(docs(spark, rows), broadcast_rows=limit)
+        assert sorted(x["doc_id"] for x in kept.collect()) == sorted(last.values())
+        got = {x["doc_id"]: (x["keep_id"], x["text_sha256"]) for x in exact_dedup.exact_duplicates(docs(spark, rows), broadcast_rows=limit).collect()}
+        assert got == {i: (last[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows}
+    hashed = exact_dedup._judged(docs(spark, [(1, "ab", "x"), (2, "cd", "x"), (3, "abc", "x"), (4, "ab", "x")]), "doc_id", "text", 64, 100_000, False)
+    assert {x["doc_id"] for x in hashed.collect() if x["__dedup_hash"].startswith("~")} == {2, 3}
+
+
+def test_warc_lost_payloads_and_names(spark, tmp_path):
+    rows = [(i, f"http://{i}", f"<p>{i % 10}</p>" * 200) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    others = spark.createDataFrame([(1, "http://other", "own")], "page_id long, url string, html string")
+    before = len(spark.catalog.listTables())
+    for parent, table in (("x", pages), ("y", others)):  # two archives whose paths end alike
+        warc.write_archive(table, str(tmp_path / parent / "a"))
+    assert [bytes(r["payload"]) for r in warc.read_archive(spark, str(tmp_path / "y/a")).collect()] == [b"own"]
+    assert len(spark.catalog.listTables()) == before
+    whole = warc.read_archive(spark, str(tmp_path / "x/a")).collect()
+    assert len(whole) == 20 and all(r["verified"] for r in whole)
+    lost = sorted((tmp_path / "x/a/payloads").glob("*.parquet"))[0]
+    gone = {r["address"] for r in spark.read.parquet(str(lost)).select("address").collect()}
+    lost.rename(tmp_path / "elsewhere")
+    back = {r["id"]: r for r in warc.read_archive(spark, str(tmp_path / "x/a")).collect()}
+    missing = {i for i, _, html in rows if hashlib.sha256(html.encode()).hexdigest() in gone}
+    assert missing and len(back) == 20 and {i for i, r in back.items() if not r["verified"]} == missing
+    for i in missing:
+        assert back[i]["payload_digest"] is None and back[i]["payload_bytes"] is None and back[i]["url"] == f"http://{i}" and (back[i]["record"] is None) == (back[i]["record_type"] == "response")
+
+
+@pytest.mark.parametrize("bound", [0, 2])
+def test_warc_of_many_addresses(spark, tmp_path, monkeypatch, bound):
+    """Addresses beyond the broadcast's bound, and hot ones, give the same records."""
+    rows = [(i, f"http://{i}", "small" if i % 3 else f"<p>{i % 4}</p>" * 200) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "plain"))
+    want = sorted(map(str, warc.read_archive(spark, str(tmp_path / "plain")).drop("record").collect()))
+    from cargolens.llm import common
+
+    for module in (warc, common):
+        monkeypatch.setattr(module, "HOT_ROWS", 3)
+    monkeypatch.setattr(warc, "ADDRESSES", bound)
+    warc.write_archive(pages, str(tmp_path / "forced"))
+    assert sorted(map(str, warc.read_archive(spark, str(tmp_path / "forced")).drop("record").collect())) == want
