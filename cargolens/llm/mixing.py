@@ -8,11 +8,6 @@ source, and writes their slots in chunks. A block has 16 rows, or as many more a
 (``BLOCKS``), so that the driver's work doesn't grow with the rows; all rows are scheduled either way, and the deviation
 from the target stays under one block.
 
-With a ``period``, weights are rounded to whole numbers of slots out of it instead, at least one each (``quotas``). The
-schedule then repeats: one period is gone through, and a block's slot is its period and its place in the period. Shares
-are those of the rounded weights, which drift from the stated ones as slots go by. ``op7_mixing`` has a period of 1000,
-since its SQL states that; all else is exact. More sources than slots in the period are scheduled exactly.
-
 A source that is used up leaves its later slots empty; ``position`` numbers the rows without those gaps, by counting
 each source's rows before a slot, not by sorting. Numbering rows within a source takes two steps, since a source may
 hold a third of all rows: rows are numbered within hash ranges of about equal size, and ranges are offset by the sizes
@@ -38,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, cut, literal_table, read_table, shared_dir, small
 
-BLOCK, PERIOD = 16, 1000
+BLOCK = 16
 #: Blocks that the driver schedules, one more a source at most; beyond 16 times as many rows, blocks have more rows instead.
 BLOCKS = 2_000_000
 #: Blocks that the driver holds before it writes them.
@@ -47,16 +42,6 @@ CHUNK = 20_000
 ORDER_ROWS = 500_000
 
 
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Slots of the period for each weight: in proportion, at least 1, by largest remainder, ``period`` in all."""
-    free = period - len(weights)
-    exact = [free * w / math.fsum(weights) for w in weights]
-    out = [int(x) for x in exact]
-    for k in sorted(range(len(weights)), key=lambda k: (out[k] - exact[k], k))[: free - sum(out)]:
-        out[k] += 1
-    return [x + 1 for x in out]
-
-
 def earliest_deadlines(weights: list[float], sizes: list[int], block: int) -> Iterator[tuple[int, int, int, int]]:
     """(source, block, slot, rows before it) of every block, by slot; ``sizes`` are rows by source."""
     shares = [Fraction(w) for w in weights]
@@ -94,11 +79,11 @@ def _numbered(rows: DataFrame, total: int) -> DataFrame:
     return rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range"))).select("id", "source", (F.col("before") + F.col("within")).alias("ordinal"))
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, period: int | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None) -> DataFrame:
     """id, source, block, slot, position (from 0, gapless): one row per input row.
 
     ``weights``: source to weight; without it a source weighs the square root of its rows. ``block``: rows of a block; without it
-    as stated above, or 16 with a period. ``period``: rounds weights to slots out of it.
+    as stated above.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"))
@@ -107,14 +92,13 @@ def schedule(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     sizes, shares = [counted[s] for s in names], [weights[s] if weights else math.sqrt(counted[s]) for s in names]
     if any(w <= 0 for w in shares):
         raise ValueError("a weight must be above zero")
-    periodic = bool(period) and len(names) <= period  # the driver's work is that of one period
-    block = block or (BLOCK if periodic else max(BLOCK, -(-sum(sizes) // BLOCKS)))
+    block = block or max(BLOCK, -(-sum(sizes) // BLOCKS))
 
     plan = literal_table(spark, [(s, j) for j, s in enumerate(names)], {"p_source": dict(rows.dtypes)["source"], "p_index": "int"})
     plan = F.broadcast(plan) if len(names) <= BROADCAST_ROWS else plan
     rows = _numbered(rows, sum(sizes)).withColumn("block", F.floor(F.col("ordinal") / block))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    placed = _by_period(rows, sizes, shares, block, period) if periodic else _by_block(rows, sizes, shares, block)
+    placed = _by_block(rows, sizes, shares, block)
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", (F.col("before") + F.col("ordinal") % block).alias("position"))
 
 
@@ -129,28 +113,12 @@ def _by_block(rows: DataFrame, sizes: list[int], shares: list[float], block: int
     return rows.join(small(blocks), (F.col("p_index") == F.col("b_index")) & (F.col("block") == F.col("b_block")))
 
 
-def _by_period(rows: DataFrame, sizes: list[int], shares: list[float], block: int, period: int) -> DataFrame:
-    """``rows`` (p_index, block) with ``slot`` and ``before``, from the schedule of one period."""
-    spark, slots = rows.sparkSession, quotas(shares, period) if shares else []
-    turns, had = [], [0] * len(slots)  # blocks that each source has had before a slot of the period
-    for j, i, slot, _ in earliest_deadlines(slots, slots, 1):
-        turns.append((j, i, slots[j], slot, list(had)))
-        had[j] += 1
-    turns = cut(literal_table(spark, turns, {"p_index": "int", "p_turn": "long", "p_quota": "long", "p_slot": "long", "p_had": "array<long>"}), "mixing-period")
-    quota = F.broadcast(literal_table(spark, list(enumerate(slots)), {"p_index": "int", "p_per": "long"}))
-    keyed = rows.join(quota, "p_index").withColumn("p_turn", F.col("block") % F.col("p_per"))
-    placed = keyed.join(F.broadcast(turns), ["p_index", "p_turn"])  # ``period`` rows
-    cycles, held, per = F.floor(F.col("block") / F.col("p_quota")), F.array(*[F.lit(n).cast("long") for n in sizes]), F.array(*[F.lit(k).cast("long") for k in slots])
-    before = F.aggregate(F.transform(F.col("p_had"), lambda n, j: F.least(F.get(held, j), block * (cycles * F.get(per, j) + n))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return placed.withColumns({"slot": cycles * period + F.col("p_slot"), "before": before})
-
-
-def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, period: int | None = None, position_col: str | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, position_col: str | None = None) -> DataFrame:
     """The rows and columns of ``docs``, in the order of the mix: by range of positions over partitions, sorted within each.
 
     With ``position_col`` the position is also a column of that name, for readers that don't keep the order of rows.
     """
-    order = schedule(docs, weights, id_col, source_col, block, period).select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("position").alias("__mix_position"))
+    order = schedule(docs, weights, id_col, source_col, block).select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("position").alias("__mix_position"))
     # Rows that repeat an id and source share the first one's place.
     order = cut(order.groupBy("__mix_id", "__mix_source").agg(F.min("__mix_position").alias("__mix_position")), "mixing-order")
     out = docs.join(small(order, ORDER_ROWS), F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
@@ -161,23 +129,30 @@ def in_mixed_order(docs: DataFrame, weights: dict | None = None, id_col: str = "
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule(read_table(spark, sf_dir, "documents"), period=PERIOD)
+    """The whole mix, with each source weighing the square root of its rows, exactly."""
+    return schedule(read_table(spark, sf_dir, "documents"))
 
 
-#: The schedule by simulation: slot after slot, the earliest deadline among the released blocks.
-OP7_SQL = """
+#: The schedule by simulation: block after block, the earliest deadline among those released. Weights are whole multiples of
+#: 2 ** -52, as roots of 1 and more are, so that releases and deadlines are exact.
+OP7_SQL = f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS c, row_number() OVER (ORDER BY source NULLS LAST) AS j FROM documents GROUP BY source),
-e AS (SELECT *, (1000 - count(*) OVER ()) * (sqrt(c) / sum(sqrt(c)) OVER ()) AS exact FROM n),
-f AS (SELECT *, floor(exact)::BIGINT AS low, row_number() OVER (ORDER BY round(floor(exact) - exact, 9), j) AS place FROM e),
-q AS (SELECT source, j, 1 + low + (place <= 1000 - count(*) OVER () - sum(low) OVER ())::BIGINT AS k FROM f),
-ks AS (SELECT list(k ORDER BY j) AS k, list(0::BIGINT ORDER BY j) AS zero FROM q),
+size AS (SELECT greatest({BLOCK}, (sum(c) + {BLOCKS} - 1) // {BLOCKS})::BIGINT AS b FROM n),
+k AS (SELECT list((sqrt(c) * 4503599627370496)::HUGEINT ORDER BY j) AS w, list((c + b - 1) // b ORDER BY j) AS blocks, sum((sqrt(c) * 4503599627370496)::HUGEINT)::HUGEINT AS total FROM n, size),
 edf AS (
-  SELECT 0 AS t, zero AS had, NULL::BIGINT[] AS best FROM ks
+  SELECT 0::HUGEINT AS t, list_transform(blocks, lambda x: 0::HUGEINT) AS had, NULL::HUGEINT[] AS best FROM k
   UNION ALL
-  SELECT t + 1, list_transform(had, lambda n, j: n + (j = best[2])::BIGINT), best
-  FROM (SELECT t, had, list_sort(list_filter(list_transform(had, lambda n, j: [CASE WHEN n * 1000 // k[j] <= t THEN ((n + 1) * 1000 + k[j] - 1) // k[j] END, j, n]), lambda x: x[1] IS NOT NULL))[1] AS best FROM edf, ks WHERE t < 1000)),
-turns AS (SELECT t - 1 AS p_slot, best[2] AS j, best[3] AS turn FROM edf WHERE t > 0),
-d AS (SELECT doc_id, d.source, q.j, k, row_number() OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS ordinal FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-s AS (SELECT doc_id, source, ordinal, ordinal // 16 AS block, ordinal // 16 // k * 1000 + p_slot AS slot FROM d JOIN turns USING (j) WHERE turn = ordinal // 16 % k)
+  SELECT now + 1, list_transform(had, lambda i, j: i + (j = best[2])::HUGEINT), list_append(best, now)
+  FROM (
+    SELECT had, now, list_sort(list_transform(list_filter(open, lambda x: x[1] <= now), lambda x: x[2:4]))[1] AS best
+    FROM (
+      SELECT had, open, greatest(t, list_min(list_transform(open, lambda x: x[1]))) AS now
+      FROM (
+        SELECT t, had, list_filter(list_transform(had, lambda i, j: [i * total // w[j], ((i + 1) * total + w[j] - 1) // w[j], j::HUGEINT, i]), lambda x: x[4] < blocks[x[3]::BIGINT]) AS open
+        FROM edf, k)))
+  WHERE best IS NOT NULL),
+turns AS (SELECT best[4]::BIGINT AS slot, best[2]::BIGINT AS j, best[3]::BIGINT AS block FROM edf WHERE best IS NOT NULL),
+d AS (SELECT doc_id, d.source, n.j, row_number() OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS ordinal FROM documents d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+s AS (SELECT doc_id, source, ordinal, ordinal // b AS block, slot FROM d JOIN turns USING (j), size WHERE turns.block = ordinal // b)
 SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, ordinal) - 1 AS position FROM s
 """

@@ -6,7 +6,9 @@ import re
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,14 +142,13 @@ def test_warc_round_trip(spark, tmp_path):
 def test_mixing_keeps_within_a_block(spark):
     rows = [(i, "t", s) for i, s in enumerate(["a"] * 300 + ["b"] * 120 + [None] * 50 + ["c"] * 7)]
     weights = {"a": 5.0, "b": 3.0, "c": 0.5, None: 1.0}
-    got = mixing.schedule(docs(spark, rows), weights, block=4, period=100).collect()
-    names = sorted(weights, key=lambda s: (s is None, s))
-    share = dict(zip(names, mixing.quotas([weights[s] for s in names], 100), strict=True))
-    assert sorted(r["position"] for r in got) == list(range(len(rows))) and sum(share.values()) == 100
+    got = mixing.schedule(docs(spark, rows), weights, block=4).collect()
+    share = {s: Fraction(w) / Fraction(sum(weights.values())) for s, w in weights.items()}
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
     slots = {}
     for r in got:
         assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
-        assert r["block"] * 100 // share[r["source"]] <= r["slot"] < -(-(r["block"] + 1) * 100 // share[r["source"]])
+        assert math.floor(r["block"] / share[r["source"]]) <= r["slot"] < math.ceil((r["block"] + 1) / share[r["source"]])
     assert [r["slot"] for r in sorted(got, key=lambda r: r["position"])] == sorted(r["slot"] for r in got)
     out = mixing.in_mixed_order(docs(spark, rows), weights)
     assert out.count() == len(rows) and out.columns == docs(spark).columns
@@ -169,13 +170,41 @@ def test_mixing_keeps_the_stated_weights(spark, n, top, rows):
 
 def test_mixing_of_many_sources(spark):
     table = [(i, "t", f"s{i % 1500}") for i in range(4000)]
-    for period in (None, 1000, 2000):
-        got = mixing.schedule(docs(spark, table), period=period).collect()
-        assert sorted(r["position"] for r in got) == list(range(len(table)))
+    got = mixing.schedule(docs(spark, table)).collect()
+    assert sorted(r["position"] for r in got) == list(range(len(table)))
     with pytest.raises(ValueError):
         mixing.schedule(docs(spark, [(1, "t", "x")]), {"x": 0.0})
 
 
+def test_mixing_query_keeps_its_weights(spark, tmp_path):
+    """Prefix shares of the query stay within one block of the roots of 100 sources' rows, and equal its SQL."""
+    from ..compare import differences
+
+    rows = [(i, "t", f"s{k}") for i, k in enumerate(k for k in range(100) for _ in range(4000 if k == 0 else 16 + k))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op7_mixing(spark, str(tmp_path))
+    slots = {(r["slot"], r["source"]) for r in got.collect()}
+    sizes = Counter(s for *_, s in rows)
+    total, had, open_sources = sum(map(math.sqrt, sizes.values())), Counter(), set(sizes)
+    for slot, source in sorted(slots):
+        had[source] += 1
+        if had[source] * 16 >= sizes[source]:
+            break  # a source is used up
+        assert all(abs(had[s] - (slot + 1) * math.sqrt(sizes[s]) / total) < 1 + 1e-6 for s in open_sources)
+    assert sum(had.values()) > 20
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(got, db, mixing.OP7_SQL) == []
+
+
+def test_mixing_of_a_large_order(spark, monkeypatch):
+    """An order that isn't broadcast gives the same rows in the same order."""
+    table = spark.createDataFrame([(i, "t", "abc"[i % 7 % 3]) for i in range(700)], EXTRA)
+    near = [r["doc_id"] for r in mixing.in_mixed_order(table).collect()]
+    monkeypatch.setattr(mixing, "ORDER_ROWS", 0)
+    assert [r["doc_id"] for r in mixing.in_mixed_order(table).collect()] == near
+
+
 def test_mixing_bounds_the_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCKS", 20)
     table = docs(spark, [(i, "t", "ab"[i % 4 == 0]) for i in range(1001)])
