@@ -8,6 +8,10 @@ Only whole texts have labels, so a training text's lines all carry its label, an
 fitted on at most ``sample`` labelled texts, drawn by hash of their ids; it is a few dozen numbers. Scoring is one scan
 without a shuffle. Features are sums over whole batches of bytes, without a loop over characters, words or lines.
 
+Texts of more than ``LONG_LINES`` lines are read in stretches, of which only each line's evidence and length remain (12
+bytes a line). Their passes run over all blocks of ``LONG_LINES`` lines in step: a block is a product of 2 x 2 matrices,
+so what enters each block follows from the products of those before it. Texts of 20 MB of line ends take some 300 MB.
+
 Defined results: null and empty texts are one empty line, whose score follows from the fitted constant. Repeated rows
 are each scored. Ids that repeat in the labels count once, as label 1 if at least half say so; null labels don't count.
 Without labels of a kind every score is 0.5. An empty table gives no rows. Only id and text are read of the documents,
@@ -32,12 +36,14 @@ SAMPLE, STEPS, RATE, PENALTY = 4000, 120, 1.0, 1e-5
 SAMPLE_LINES = 400_000
 #: Byte classes that a line's features count.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|", "shout": b"!", "stop": b".,;:?", "blank": b" \t", "other": bytes(range(128, 256))}
-N_OWN = 15
+#: Lines of a text beyond which it is scored in blocks of so many; lines of texts whose features are held at once; bytes of a stretch.
+LONG_LINES, GROUP_LINES, STRETCH = 2048, 1 << 16, 1 << 16
+N_OWN, COPY = 15, 12
 N_FEATURES = 1 + 3 * N_OWN + 2
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, their lengths in bytes, and the number of lines of each text."""
+def _own(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's own features but COPY, its length in bytes, its number of words, and a sum of its words' hashes."""
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, np.uint8)
     ends = np.flatnonzero(raw == 10)
@@ -45,9 +51,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     size = (ends - starts).astype(float)
     count = {}
     for name, chars in CLASSES.items():
-        table = np.zeros(256, np.int64)
+        table = np.zeros(256, np.uint8)
         table[list(chars)] = 1
-        count[name] = np.diff(np.concatenate([[0], np.cumsum(table[raw])])[np.append(starts, len(raw))]).astype(float)
+        count[name] = np.add.reduceat(table[raw], starts, dtype=np.int64).astype(float)
     hashes, _ = word_hashes([joined[:-1]])
     space = np.isin(raw, [32, 9, 10, 11, 12, 13])
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
@@ -56,13 +62,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     again = np.zeros(len(begins))
     again[1:] = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
     repeats = np.bincount(line, again, len(ends))
-    text_of = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
-    # A line is a copy if an earlier line of its text has the same words; lines are compared by sums of word hashes.
     sums = np.zeros(len(ends), np.uint64)
     np.add.at(sums, line, hashes * (np.arange(len(hashes)) - np.searchsorted(line, line) + 1).astype(np.uint64))
-    by = np.lexsort((np.arange(len(ends)), sums, text_of))
-    copy = np.zeros(len(ends))
-    copy[by[1:]] = (sums[by[1:]] == sums[by[:-1]]) & (text_of[by[1:]] == text_of[by[:-1]]) & (words[by[1:]] > 0)
     letters = count["upper"] + count["lower"] + 1
     last = np.where(size > 0, raw[np.maximum(ends - 1, 0)], 0)
     one = np.maximum(size, 1)
@@ -70,10 +71,20 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         [
             count["upper"] / letters, count["symbol"] / one, count["bar"] / (words + 1), count["shout"] / (words + 1), count["digit"] / one,
             count["other"] / one, count["stop"] / (words + 1), count["blank"] / one, repeats / np.maximum(words, 1), np.log1p(words) / 6,
-            np.minimum(size / np.maximum(words, 1), 30) / 10, np.isin(last, list(b".?")).astype(float), copy, (words < 3).astype(float), (count["symbol"] > words).astype(float),
+            np.minimum(size / np.maximum(words, 1), 30) / 10, np.isin(last, list(b".?")).astype(float), np.zeros(len(ends)), (words < 3).astype(float), (count["symbol"] > words).astype(float),
         ],
         axis=1,
     )
+    return own, size, words, sums
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, their lengths in bytes, and the number of lines of each text."""
+    own, size, words, sums = _own(texts)
+    text_of = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
+    # A line is a copy if an earlier line of its text has the same words; lines are compared by sums of word hashes.
+    by = np.lexsort((np.arange(len(own)), sums, text_of))
+    own[by[1:], COPY] = (sums[by[1:]] == sums[by[:-1]]) & (text_of[by[1:]] == text_of[by[:-1]]) & (words[by[1:]] > 0)
     first = np.concatenate([[True], text_of[1:] != text_of[:-1]])
     final = np.concatenate([first[1:], [True]])
     before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
@@ -122,6 +133,120 @@ def marginals(evidence: np.ndarray, lines: np.ndarray, move: np.ndarray) -> tupl
     return good, z, moved
 
 
+def _stretches(text: bytes) -> Iterator[bytes]:
+    """The text in pieces that end before a line end, of at most STRETCH bytes or one line."""
+    at = 0
+    while True:
+        end = text.rfind(b"\n", at, at + STRETCH)
+        end = text.find(b"\n", at) if end < 0 else end
+        yield text[at : end if end >= 0 else None]
+        if end < 0:
+            return
+        at = end + 1
+
+
+def long_evidence(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of a text its log-odds of good by its features, and its length in bytes."""
+    n, done = text.count(b"\n") + 1, 0
+    own_w, before_w, after_w = weights[1 : 1 + 3 * N_OWN].reshape(3, N_OWN)
+    evidence, size, at, sums = np.zeros(n + 2), np.empty(n, np.int32), [], []  # one place more on each side
+    for piece in _stretches(text):
+        own, lengths, words, hashed = _own([piece])
+        m = len(own)
+        size[done : done + m] = lengths
+        for shift, w in ((1, own_w), (2, before_w), (0, after_w)):  # a line is evidence for itself, the next and the last one
+            evidence[done + shift : done + shift + m] += own @ w
+        has = np.flatnonzero(words > 0)
+        at.append(has + done)
+        sums.append(hashed[has])
+        done += m
+    at, sums = np.concatenate(at), np.concatenate(sums)
+    again = np.ones(len(at), bool)
+    again[np.unique(sums, return_index=True)[1]] = False
+    for shift, w in ((1, own_w), (2, before_w), (0, after_w)):
+        evidence[at[again] + shift] += w[COPY]
+    evidence = evidence[1:-1]
+    evidence += weights[0]
+    evidence[0] += weights[-2]
+    evidence[-1] += weights[-1]
+    return evidence, size
+
+
+def _products(evidence: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each row of lines (a block) and labels a before it and b at its end, the log of the sum over all labels between."""
+    out = np.repeat(start[None], len(evidence), axis=0)
+    out[:, :, 1] += evidence[:, :1]
+    for t in range(1, evidence.shape[1]):
+        out = np.stack([_log_add(out[:, :, 0] + move[0, b], out[:, :, 1] + move[1, b]) for b in (0, 1)], axis=2)
+        out[:, :, 1] += evidence[:, t : t + 1]
+        if t % 256 == 0:
+            out -= out.max(axis=(1, 2), keepdims=True)
+    return out - out.max(axis=(1, 2), keepdims=True)
+
+
+def long_marginals(evidence: np.ndarray, move: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """P(good) of one text's lines, in pieces, from first to last."""
+    ahead = lambda d: _log_add(move[0, 1], move[1, 1] + d) - _log_add(move[0, 0], move[1, 0] + d)
+    back = lambda d: _log_add(move[1, 0], move[1, 1] + d) - _log_add(move[0, 0], move[0, 1] + d)
+    whole, at_once = len(evidence) // block, max(1, (1 << 20) // block)
+    groups = [evidence[k * block : min(k + at_once, whole) * block].reshape(-1, block) for k in range(0, whole, at_once)]
+    if len(evidence) % block:
+        groups.append(evidence[whole * block :].reshape(1, -1))
+    if not groups:
+        return
+    products = np.concatenate([_products(g, move, move) for g in groups])
+    n = len(products)
+    fore, aft = np.zeros(n), np.zeros(n)  # log-odds of good at the line before a block, and by all after its last line
+    v = _products(groups[0][:1], move, np.zeros((2, 2)))[0, 0]  # the first line has none before it
+    for k in range(1, n):
+        fore[k] = v[1] - v[0]
+        v = np.logaddexp(v[0] + products[k, 0], v[1] + products[k, 1])
+        v = v - v.max()
+    u = np.zeros(2)
+    for k in range(n - 2, -1, -1):
+        u = np.logaddexp(products[k + 1, :, 0] + u[0], products[k + 1, :, 1] + u[1])
+        u = u - u.max()
+        aft[k] = u[1] - u[0]
+    k = 0
+    for g in groups:
+        odds, wide = np.empty(g.shape), g.shape[1]
+        d = ahead(fore[k : k + len(g)])
+        if k == 0:
+            d[0] = 0
+        for t in range(wide):
+            d = g[:, t] + (ahead(d) if t else d)
+            odds[:, t] = d
+        d = aft[k : k + len(g)]
+        for t in range(wide - 1, -1, -1):
+            odds[:, t] += d
+            d = back(d + g[:, t])
+        yield 1 / (1 + np.exp(np.clip(-odds.ravel(), -700, 700)))
+        k += len(g)
+
+
+def long_score(text: bytes, weights: np.ndarray, move: np.ndarray) -> tuple[int, float]:
+    """Number of lines and score of one text."""
+    evidence, size = long_evidence(text, weights)
+    good, total, at = 0.0, 0, 0
+    for part in long_marginals(evidence, move, LONG_LINES):
+        own = size[at : at + len(part)].astype(float) + 1
+        good, total, at = good + float(part @ own), total + int(own.sum()), at + len(part)
+    return len(size), good / total
+
+
+def _batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in runs of at most GROUP_LINES lines; a text of more than LONG_LINES is a run of its own."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        lines = t.count(b"\n") + 1
+        if k > first and (held + lines > GROUP_LINES or lines > LONG_LINES or held > LONG_LINES and k == first + 1):
+            yield first, texts[first:k]
+            first, held = k, 0
+        held += lines
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def fit(x: np.ndarray, lines: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and transitions, by gradient steps on the mean conditional log-likelihood."""
     theta = np.zeros(N_FEATURES + 4)
@@ -152,10 +277,16 @@ def _scorer(weights: np.ndarray, move: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, part in slices(pdf["text"].tolist()):
-                x, size, lines = line_features(part)
-                good, _, _ = marginals(x @ weights, lines, move)
-                starts = np.cumsum(lines) - lines
-                score = np.add.reduceat(good * (size + 1), starts) / np.add.reduceat(size + 1, starts)
+                lines, score = np.empty(len(part), np.int64), np.empty(len(part))
+                for at, texts in _batches(part):
+                    if len(texts) == 1 and texts[0].count(b"\n") >= LONG_LINES:
+                        lines[at], score[at] = long_score(texts[0], weights, move)
+                        continue
+                    x, size, own = line_features(texts)
+                    good, _, _ = marginals(x @ weights, own, move)
+                    starts = np.cumsum(own) - own
+                    lines[at : at + len(texts)] = own
+                    score[at : at + len(texts)] = np.add.reduceat(good * (size + 1), starts) / np.add.reduceat(size + 1, starts)
                 yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(part)].to_numpy(), "lines": lines, "score": np.clip(score, 0, 1)})
 
     return run

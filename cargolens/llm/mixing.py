@@ -4,9 +4,10 @@ A source's rows, in an order drawn by hash, form blocks. With weight w, block i
 on and must have run by slot ceil((i + 1) / w); among the blocks that may run, the earliest deadline goes first. So at
 every slot each source has had its weight's share of blocks, less than one block more or less. Weights are the stated
 numbers as exact fractions of their sum. The driver goes through the blocks, not the rows, once, with one heap entry a
-source, and writes their slots in chunks. A block has 16 rows, or as many more as keep the blocks to about two million
-(``BLOCKS``), so that the driver's work doesn't grow with the rows; all rows are scheduled either way, and the deviation
-from the target stays under one block.
+source, and writes their slots in chunks. ``block`` rows make a block; the default is 16, or as many more as keep the
+blocks to about two million (``BLOCKS``), so that the driver's work doesn't grow with the rows: 200,000 blocks took it 9 s
+in ``local[8]``, so two million are some 90 s of serial work. All rows are scheduled either way, and the deviation from
+the target stays under one block.
 
 A source that is used up leaves its later slots empty; ``position`` numbers the rows without those gaps, by counting
 each source's rows before a slot, not by sorting. Numbering rows within a source takes two steps, since a source may

@@ -1,12 +1,17 @@
-"""Personal data, secrets, the classifier's folds and the pipeline against plain loops over the same texts."""
+"""Personal data, secrets, the classifier and its folds, and the pipeline against plain loops over the same texts."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +201,61 @@ def test_pipeline_against_plain_loops(spark, tmp_path):
         pieces = sorted((x for x in got if x["doc_id"] == i), key=lambda x: x["start"])
         assert sum(x["length"] for x in pieces) == len(ids)
         assert all(x["ids_crc32"] == zlib.crc32(b"".join(k.to_bytes(4, "little") for k in ids[x["start"] : x["start"] + x["length"]])) for x in pieces)
+
+
+def plain_lines(text):
+    """Features of a text's lines, counted one by one."""
+    owns, seen = [], set()
+    for line in text.encode().split(b"\n"):
+        kinds = {k: sum(c in chars for c in line) for k, chars in line_crf.CLASSES.items()}
+        w = re.findall(rb"[^\x20\x09-\x0d]+", line)
+        n, one, letters = len(w), max(len(line), 1), kinds["upper"] + kinds["lower"] + 1
+        owns.append(
+            [kinds["upper"] / letters, kinds["symbol"] / one, kinds["bar"] / (n + 1), kinds["shout"] / (n + 1), kinds["digit"] / one, kinds["other"] / one, kinds["stop"] / (n + 1), kinds["blank"] / one]
+            + [sum(a == b for a, b in zip(w, w[1:])) / max(n, 1), math.log1p(n) / 6, min(len(line) / max(n, 1), 30) / 10, line[-1:] in (b".", b"?"), bool(w) and tuple(w) in seen, n < 3, kinds["symbol"] > n]
+        )
+        seen.add(tuple(w))
+    none = [0] * line_crf.N_OWN
+    return [[1, *own, *(owns[k - 1] if k else none), *(owns[k + 1] if k + 1 < len(owns) else none), k == 0, k + 1 == len(owns)] for k, own in enumerate(owns)]
+
+
+def plain_score(text, weights, move):
+    """The score by going through every labelling of the lines."""
+    e = np.array(plain_lines(text), float) @ weights
+    size = [len(x) + 1 for x in text.encode().split(b"\n")]
+    good, total = 0.0, 0.0
+    for labels in itertools.product((0, 1), repeat=len(e)):
+        p = math.exp(sum(v for v, y in zip(e, labels) if y) + sum(move[a, b] for a, b in zip(labels, labels[1:])))
+        total += p
+        good += p * sum(s for s, y in zip(size, labels) if y) / sum(size)
+    return good / total
+
+
+PIECES = ["", "  ", "A b c.", "#$ BUY!! | now", "some words, here here here", "é x 12?", "same line", "A b  c.", "same line", "\t tab\x0b."]
+
+
+@pytest.mark.parametrize("long_lines, stretch", [(2048, 1 << 16), (2, 7), (3, 40), (1, 1)])
+def test_classifier_scores_by_all_labellings(spark, monkeypatch, long_lines, stretch):
+    """Scores equal sums over all labellings, whether texts are scored at once or in blocks and stretches."""
+    r, g = random.Random(3), np.random.default_rng(3)
+    weights, move = g.normal(size=line_crf.N_FEATURES), g.normal(size=(2, 2))
+    texts = ["", "\n", "one", *("\n".join(r.choice(PIECES) for _ in range(r.randrange(1, 10))) for _ in range(60))]
+    monkeypatch.setattr(line_crf, "LONG_LINES", long_lines)
+    monkeypatch.setattr(line_crf, "STRETCH", stretch)
+    got = pd.concat(line_crf._scorer(weights, move)(iter([pd.DataFrame({"id": range(len(texts)), "text": texts})])))
+    assert got["lines"].tolist() == [t.count("\n") + 1 for t in texts]
+    assert got["score"].tolist() == pytest.approx([plain_score(t, weights, move) for t in texts], abs=1e-9)
+
+
+def test_classifier_of_very_many_lines():
+    """A text of line ends, in blocks, in bounded memory, scores as the passes over all its lines."""
+    g = np.random.default_rng(4)
+    weights, move = g.normal(size=line_crf.N_FEATURES), g.normal(size=(2, 2))
+    for text in (b"\n" * 9_000, b"a b.\n#!\n" * 5_000):
+        x, size, lines = line_crf.line_features([text])
+        good, _, _ = line_crf.marginals(x @ weights, lines, move)
+        assert line_crf.long_score(text, weights, move) == (lines[0], pytest.approx(good @ (size + 1) / (size + 1).sum(), abs=1e-9))
+    tracemalloc.start()
+    assert line_crf.long_score(b"\n" * 3_000_000, weights, move)[0] == 3_000_001
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
