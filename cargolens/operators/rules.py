@@ -66,9 +66,12 @@ def weight_inconsistent(w: DataFrame, limit: float = 0.5) -> DataFrame:
 
 
 def cif_inconsistent(f: DataFrame, limit: float = 1.0) -> DataFrame:
-    """Declared totals that differ from what the terms make of total, freight and insurance; other terms aren't checked."""
+    """Declared totals that differ from what the terms make of total, freight and insurance; other terms aren't checked.
+
+    Differences are told to four places, so that the last bits of a sum don't decide at the limit.
+    """
     calculated = F.when(F.col("incoterm").isin("FOB", "EXW"), F.col("total") + F.col("freight") + F.col("insurance")).when(F.col("incoterm").isin("CIF", "CIP"), F.col("total"))
-    return f.withColumn("calculated", calculated).filter(F.abs(F.col("calculated") - F.col("declared")) > limit)
+    return f.withColumn("calculated", calculated).filter(F.round(F.abs(F.col("calculated") - F.col("declared")), 4) > limit)
 
 
 def relative_conflicts(a: DataFrame, share: float = 0.005) -> DataFrame:
