@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..dims import PARTY_TYPES
 from ..functions.normalize import party_role
-from .linkage import contained
+from ..sources.store import kept, shuffled
+from .linkage import contained, parted
 
 ACCEPT = 0.75
 
@@ -47,25 +48,32 @@ def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values (document_id, page, value_id, value, x1, y1, x2, y2) to role and score of the nearest role label.
 
     The same token with a colon 1.0; on the same row, to the right of a label, 0.92 less distance; below a label 0.82
-    less distance. Only label tokens enter the joins: by page and the bands near a value, and for tokens that hold label
-    and value by page and the value's text. A value whose own name tells its role doesn't ask for labels.
+    less distance. Only label tokens enter the joins: on pages of few pairs each value meets each label; on the others by
+    the bands near a value, and for tokens that hold label and value by the value's text. A value whose own name tells
+    its role doesn't ask for labels.
     """
-    t = tokens.withColumn("role", party_role(F.col("text"))).filter("role IS NOT NULL")
-    t = t.select("document_id", "page", "role", F.col("pos").alias("t_pos"), F.col("text").alias("t_text"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
+    pages = ["document_id", "page"]
+    t = tokens.withColumn("role", F.explode(F.array(party_role(F.col("text"))))).filter("role IS NOT NULL")  # a generator's column is taken once
+    t = kept(t.select(*pages, "role", F.col("pos").alias("t_pos"), F.col("text").alias("t_text"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))), "labels")
     asked = values.filter(named_role(F.col("value")).isNull())
     same_row = (F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col("t_y1") + F.col("t_y2")) / 2) <= ROW_REACH) & (F.col("x1") >= F.col("t_x2") - SLACK)
     down = F.col("y1") - F.col("t_y2")
     below = (down >= -SLACK) & (down <= BELOW_REACH) & (F.abs(F.col("x1") - F.col("t_x1")) <= SIDE_REACH)
     across = F.least(F.greatest(F.col("x1") - F.col("t_x2"), F.lit(0)), F.lit(300))
-    score = F.when((F.col("way") == "row") & same_row, 0.92 - across / 3000).when((F.col("way") == "below") & ~same_row & below, 0.82 - F.least(down, F.lit(160)) / 1600)
-    near = _near(asked, t.drop("t_text")).withColumn("score", score)
-    # a label's own token holds the value, which is then one of the texts that its colons leave
-    held = t.filter(F.contains("t_text", F.lit(":"))).select("document_id", "page", "role", "t_pos", F.lower("t_text").alias("h")).distinct()
-    texts = asked.select("document_id", "page", F.lower(F.trim("value")).alias("n"))
-    inside = contained(texts.distinct(), held.select("document_id", "page", "h").distinct(), ["document_id", "page"]).join(held, ["document_id", "page", "h"])
-    own = asked.withColumn("n", F.lower(F.trim("value"))).join(inside, ["document_id", "page", "n"]).withColumn("score", F.lit(1.0))
+    beside, under = 0.92 - across / 3000, 0.82 - F.least(down, F.lit(160)) / 1600
     rest = ["document_id", "value_id", "role", "score", "t_pos"]
-    scored = near.select(*rest).unionByName(own.select(*rest)).withColumn("score", F.round("score", 6)).filter(F.col("score") >= ACCEPT)
+    few_v, few_t, many_v, many_t = parted(asked, t, pages)
+    plain = F.lower(F.trim("value"))
+    holds = (plain != "") & F.contains("t_text", F.lit(":")) & F.contains(F.lower("t_text"), plain)
+    scored = shuffled(few_v).join(few_t, pages).withColumn("score", F.when(holds, F.lit(1.0)).when(same_row, beside).when(~same_row & below, under)).select(*rest)
+    if many_v is not None:
+        near = _near(many_v, many_t.drop("t_text")).withColumn("score", F.when((F.col("way") == "row") & same_row, beside).when((F.col("way") == "below") & ~same_row & below, under))
+        # a label's own token holds the value, which is then one of the texts that its colons leave
+        held = many_t.filter(F.contains("t_text", F.lit(":"))).select(*pages, "role", "t_pos", F.lower("t_text").alias("h")).distinct()
+        inside = contained(many_v.select(*pages, plain.alias("n")).distinct(), held.select(*pages, "h").distinct(), pages).join(held, [*pages, "h"])
+        own = many_v.withColumn("n", plain).join(inside, [*pages, "n"]).withColumn("score", F.lit(1.0))
+        scored = scored.unionByName(near.select(*rest)).unionByName(own.select(*rest))
+    scored = scored.withColumn("score", F.round("score", 6)).filter(F.col("score") >= ACCEPT)
     best = scored.groupBy("document_id", "value_id").agg(F.max_by(F.struct("role", "score"), F.struct("score", -F.col("t_pos"))).alias("b"))
     return best.select("document_id", "value_id", "b.*")
 

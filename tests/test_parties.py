@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolens.functions.normalize import party_role
+from cargolens.operators import linkage as L
 from cargolens.operators import parties as P
 
 BOX = "x1 long, y1 long, x2 long, y2 long"
@@ -54,3 +55,16 @@ def test_pairs_are_those_of_neighbours(spark):
     n = spark.range(10_000).select(F.lit(1).alias("document_id"), F.lit(1).alias("page"), F.col("id").alias("value_id"), F.lit("v").alias("value"), F.lit(300).alias("x1"), (F.col("id") * 20).alias("y1"), F.lit(380).alias("x2"), (F.col("id") * 20 + 12).alias("y2"))
     t = spark.range(1_000).select(F.lit(1).alias("document_id"), F.lit(1).alias("page"), F.lit("shipper").alias("role"), F.col("id").alias("t_pos"), F.lit(40).alias("t_x1"), (F.col("id") * 200).alias("t_y1"), F.lit(120).alias("t_x2"), (F.col("id") * 200 + 12).alias("t_y2"))
     assert 10_000 < P._near(n, t).count() < 40_000
+
+
+def test_large_pages_find_the_same(spark, monkeypatch):
+    """Few pairs of a page meet each other, many by bands and by texts: the evidence is the same."""
+    r = random.Random(7)
+    box = lambda w: (x := r.choice([40, r.randrange(0, 900)]), y := r.choice([100, r.randrange(-40, 900)]), x + w, y + 12)
+    t = spark.createDataFrame([(1, p, k, r.choice(LABELS), *box(90)) for p in (1, 2) for k in range(30)], f"document_id long, page long, pos long, text string, {BOX}")
+    v = spark.createDataFrame([(1, p, 100 * p + k, r.choice(["Trader 5 Ltd", "MSA", "mills", ""]), *box(60)) for p in (1, 2) for k in range(40)], f"document_id long, page long, value_id long, value string, {BOX}")
+    got = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(L, "FEW_PAIRS", few)
+        got.append({tuple(x) for x in P.label_evidence(v, t).collect()})
+    assert got[0] == got[1] and len(got[0]) > 20
