@@ -43,7 +43,7 @@ def by_label(tokens: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFr
     plain = lambda c: F.lower(F.trim(c))
     after = F.trim(F.regexp_extract("text", r":([\s\S]*)$", 1))
     base = tokens.select("document_id", "page", "pos", "text", "confidence", plain("text").alias("t"), F.when(F.length(after) > 1, after).alias("own"))
-    known = label_texts(base.select("t").union(base.filter("own IS NOT NULL").select(plain("own"))).filter("t != ''").distinct(), labels)
+    known = kept(label_texts(base.select("t").union(base.filter("own IS NOT NULL").select(plain("own"))).filter("t != ''").distinct(), labels), "label-texts")
     refused = known.filter("is_label").select(F.col("t").alias("own_t"), F.lit(True).alias("own_is_label"))
     base = base.join(known, "t", "left").withColumn("own_t", plain("own")).join(refused, "own_t", "left")
     w = Window.partitionBy("document_id").orderBy("pos")
@@ -102,6 +102,7 @@ def placed(found: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def judged(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """``found`` (document_id, entity_type, value, page, box) with role, effective_type and eligible: consignees by their name and the labels near them."""
+    found = kept(found, "placed")  # used for its names and for the result
     names = found.filter("entity_type = 'CONSIGNEE_NAME'").select("document_id", "page", F.col("entity_type").alias("value_id"), "value", "box.*")
     return resolve_party(found.join(roles(names, tokens).select("document_id", F.col("value_id").alias("entity_type"), "role"), ["document_id", "entity_type"], "left"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cargolens.operators.extract import by_label
 from cargolens.operators.linkage import contained
 from cargolens.plans import catalog
 from cargolens.sources.bindings import papers, tokens
@@ -42,3 +43,8 @@ def test_containment_of_few_pairs_takes_no_grams(spark):
     found = contained(n, h, ["document_id"])
     assert [tuple(x) for x in found.select("document_id", "n", "h", "pos").collect()] == [(1, "trader", "trader 5 ltd", 7)]
     assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_texts_are_made_once(spark):
+    """The ratios of texts to labels are taken before the joins that use them, not once for each join."""
+    assert "EvalPython" not in plan(by_label(papers(spark, SF)))
