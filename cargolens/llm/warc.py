@@ -90,7 +90,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     name = _table_name()
     stored.write.format("parquet").option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "address").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(_listed(stored)).alias("columns")).write.parquet(f"{path}/layout")
     known = _stored(spark, path).select("address", "last_id", "n", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     text_of = lambda c: F.col(c).cast("string")
     kind = F.when((F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("last_id")), "revisit").otherwise("response")
@@ -103,11 +103,15 @@ def _table_name() -> str:
     return f"warc_{uuid.uuid4().hex}"
 
 
+def _listed(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     """The stored payloads, read by their buckets."""
-    buckets, name = spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0], _table_name()
-    columns = spark.read.parquet(f"{path}/payloads").schema
-    listed, place = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns), path.replace("'", "\\'")
+    layout, name = spark.read.schema("buckets int, columns string").parquet(f"{path}/layout").first(), _table_name()
+    buckets, listed = layout["buckets"], layout["columns"] or _listed(spark.read.parquet(f"{path}/payloads"))  # without payloads there may be no file
+    place = path.replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} ({listed}) USING parquet CLUSTERED BY (address) INTO {buckets} BUCKETS LOCATION '{place}/payloads'")
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # what was found keeps files and buckets; the catalog keeps nothing
