@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scores import band
 from ..sources.store import kept
-from .consensus import FIELD, canonical
-from .linkage import ratio
+from .consensus import FIELD, LARGE, _large, canonical
+from .fold import by_shipment
+from .linkage import rater, ratio
 
 #: Advice by field; other fields get the last one. Our own wording.
 ADVICE = {
@@ -84,7 +86,7 @@ def _sources(a: DataFrame, most: int) -> DataFrame:
     place of another class: so of the places between two first places of classes the first is enough. Both bounds
     depend on ``most`` alone, not on how many sources a field has.
     """
-    v = a.select(*FIELD, "seq", "num", "txt", _title(F.coalesce("document_type", F.lit("unknown"))).alias("doc"), canonical(F.col("num"), F.col("txt")).alias("value"))
+    v = _said(a)
     classes = v.groupBy(*FIELD, "doc", "value").agg(F.min("seq").alias("first"), F.min_by("num", "seq").alias("num"), F.bool_and(F.col("num").isNotNull()).alias("numeric"), F.bool_and(F.col("txt").isNotNull()).alias("text"))
     kinds = classes.groupBy(*FIELD, "value").agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.min("first").alias("first")).groupBy(*FIELD)
     kinds = kinds.agg(F.bool_and("numeric").alias("numeric"), F.bool_and("text").alias("text"), F.count("*").alias("n"), F.min_by("value", "first").alias("v"))
@@ -106,31 +108,156 @@ def _collected(options: DataFrame, most: int) -> DataFrame:
     return options.groupBy(*FIELD).agg(rows.alias("x")).select(*FIELD, F.slice(F.array_distinct(F.flatten(F.transform("x", lambda r: r["texts"]))), 1, most).alias("options"))
 
 
-def counterfactuals(a: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:
-    """FIELD, conflict_type, options, recommendation of every field of the assertions.
+#: Rows of ``_few``: beside the field, the pairs that its first options come from, or the sources to be verified.
+_SOURCE = StructType([StructField("doc", StringType()), StructField("value", StringType()), StructField("num", DoubleType())])
+_PAIRS = ArrayType(StructType([StructField("x", _SOURCE), StructField("y", _SOURCE), StructField("alike", DoubleType())]))
+
+
+def _said(a: DataFrame) -> DataFrame:
+    return a.select(*FIELD, "seq", "num", "txt", _title(F.coalesce("document_type", F.lit("unknown"))).alias("doc"), canonical(F.col("num"), F.col("txt")).alias("value"))
+
+
+def _few(a: DataFrame, most: int, kinds: tuple[str, ...] | None) -> DataFrame:
+    """FIELD, conflict_type, pairs, listed: of every field the pairs of classes, in order, until they give ``most`` options, and its first ``most`` classes.
+
+    Shipment by shipment in Arrow batches, as ``fold`` does. A class is a document type with a value.
+    """
+    one = _said(a).withColumn("low", F.when(F.col("txt").isNotNull(), F.lower("value"))).drop("txt")
+    types = {f.name: f.dataType for f in a.schema.fields}
+    schema = StructType([*(StructField(c, types[c]) for c in FIELD), StructField("conflict_type", StringType()), StructField("pairs", _PAIRS), StructField("listed", ArrayType(_SOURCE))])
+    rate = rater()
+
+    def fold(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        col = lambda c: t.column(c).combine_chunks()
+
+        def codes(column, missing=-1):
+            """A number for each text, in the order of the texts, and the texts."""
+            d = column.dictionary_encode()
+            words = d.dictionary.to_pylist()
+            place = np.empty(len(words) + 1, np.int64)
+            place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+            place[-1] = missing
+            return place[d.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)], sorted(words)
+
+        ship, n = col("shipment_id"), t.num_rows
+        new = np.zeros(n, np.int64)
+        new[1:] = pc.fill_null(pc.not_equal(ship[1:], ship[:-1]), True).to_numpy(zero_copy_only=False)
+        entity, names = codes(col("entity_type"))
+        field = np.cumsum(new) * (len(names) + 1) + entity
+        (doc, docs), (value, values), (low, lows) = (codes(col(c)) for c in ("doc", "value", "low"))
+        known = col("seq").is_valid().to_numpy(zero_copy_only=False)
+        order = np.lexsort((value, doc, col("seq").fill_null(0).to_numpy(zero_copy_only=False), known, field))
+        field = field[order]
+        f0 = np.flatnonzero(np.append(True, field[1:] != field[:-1]))
+        ends = np.append(f0[1:], n)
+        doc, value, low = doc[order], value[order], low[order]
+        differ = np.minimum.reduceat(value, f0) != np.maximum.reduceat(value, f0)
+        all_num = np.logical_and.reduceat(col("num").is_valid().to_numpy(zero_copy_only=False)[order], f0)
+        kind = np.where(differ & all_num, "numeric_variance", np.where(differ & np.logical_and.reduceat(low >= 0, f0), "text_mismatch", "other"))
+        wanted = np.arange(len(f0)) if kinds is None else np.flatnonzero(np.isin(kind, kinds))
+        d_, v_, l_ = doc.tolist(), value.tolist(), low.tolist()
+        first, second, alike, n_pairs, listed, n_listed = [], [], [], [0], [], [0]
+        for begin, end, k in zip(f0[wanted].tolist(), ends[wanted].tolist(), kind[wanted].tolist(), strict=True):
+            at: dict = {}  # the first place of each class
+            for i in range(begin, end):
+                at.setdefault((d_[i], v_[i]), i)
+            if k == "other":
+                listed += list(at.values())[:most]
+            else:
+                seen, told = set(), set()
+                for i in range(begin, end):
+                    d, v = d_[i], v_[i]
+                    for j in range(i + 1, end):
+                        e, w = d_[j], v_[j]
+                        if v == w or (d, v, e, w) in seen:
+                            continue
+                        seen.add((d, v, e, w))
+                        told.update((f"{docs[d]} were {values[w]} instead of {values[v]}", f"{docs[e]} were {values[v]} instead of {values[w]}"))
+                        first.append(at[d, v])
+                        second.append(at[e, w])
+                        alike.append(rate(lows[l_[i]], lows[l_[j]]) if k == "text_mismatch" else None)
+                        if len(told) >= most:
+                            break
+                    if len(told) >= most:
+                        break
+            n_pairs.append(len(first))
+            n_listed.append(len(listed))
+        num = col("num")
+
+        def sources(rows):
+            rows = pa.array(order[np.array(rows, np.int64)])
+            return pa.StructArray.from_arrays([col("doc").take(rows), col("value").take(rows), num.take(rows)], names=["doc", "value", "num"])
+
+        out = to_arrow_schema(schema)
+        pairs = pa.StructArray.from_arrays([sources(first), sources(second), pa.array(alike, pa.float64())], names=["x", "y", "alike"])
+        lists = (pa.ListArray.from_arrays(pa.array(o, pa.int32()), x) for o, x in ((n_pairs, pairs), (n_listed, sources(listed))))
+        at0 = pa.array(order[f0[wanted]])
+        arrays = [ship.take(at0), col("entity_type").take(at0), pa.array(kind[wanted].tolist(), pa.string()), *lists]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, out, strict=True)], schema=out)
+
+    return by_shipment(one, fold, schema)
+
+
+def _texts(p: Column, label: Column, numeric: Column) -> Column:
+    """Options that a pair of sources (x, y, alike) gives: what either would have to be, and how far or how alike they are."""
+    x, y, alike = p["x"], p["y"], p["alike"]
+    percent = F.when(numeric & (y["num"] != 0), F.abs(x["num"] - y["num"]) / F.abs(y["num"]) * 100)
+    were = lambda p, q: F.concat(F.lit("If the "), label, F.lit(" of "), p["doc"], F.lit(" were "), q["value"], F.lit(" instead of "), p["value"], F.lit(", the documents would agree."))
+    far = F.when(percent >= 0.01, F.concat(x["doc"], F.lit(" and "), y["doc"], F.lit(" differ by "), F.format_string("%.2f%%", F.round(percent, 2))))
+    hint = F.when(alike >= MISSPELT, "likely a misspelling").when(alike >= SIMILAR, "similar names: ask")
+    near = F.when(hint.isNotNull(), F.concat(x["value"], F.lit(" and "), y["value"], F.format_string(" are %.0f%% alike: ", alike * 100), hint))
+    return F.array_compact(F.array(were(x, y), were(y, x), F.coalesce(far, near)))
+
+
+def _label() -> Column:
+    return F.lower(F.replace("entity_type", F.lit("_"), F.lit(" ")))
+
+
+def _advised(out: DataFrame, most: int, verify: str, options: Column) -> DataFrame:
+    """FIELD, conflict_type, options, recommendation: ``options``, or where there is nothing to compare the sources in ``verify``."""
+    each = F.slice(F.array_distinct(F.transform(verify, lambda q: F.concat(F.lit("Verify the "), _label(), F.lit(" of "), q["doc"], F.lit(": "), q["value"]))), 1, most)
+    chosen = F.when(F.col("conflict_type") == "other", each).otherwise(options)
+    sure = F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.concat(F.lit("Verify the "), _label(), F.lit(" in all documents."))))
+    return out.select(*FIELD, "conflict_type", sure.alias("options"), advice(F.col("entity_type")).alias("recommendation"))
+
+
+def counterfactuals(a: DataFrame, most: int = MOST_OPTIONS, kinds: tuple[str, ...] | None = None, large: int = LARGE) -> DataFrame:
+    """FIELD, conflict_type, options, recommendation of every field of the assertions, or of those whose conflict_type is in ``kinds``.
 
     Numbers and texts: for each differing pair of sources, in order, what either would have to be, and how far or how
     alike they are. Other fields: each source to be verified. Every field has at least one option and at most ``most``.
+
+    Fields are folded shipment by shipment, those with more than ``large`` assertions by aggregations.
     """
-    s = kept(_sources(a, most), "sources").withColumn("label", F.lower(F.replace("entity_type", F.lit("_"), F.lit(" "))))
+    many = _large(a, large)
+    few = _few(a if many is None else a.join(many, FIELD, "left_anti"), most, kinds)
+    numeric = F.col("conflict_type") == "numeric_variance"
+    said = F.flatten(F.transform("pairs", lambda p: _texts(p, _label(), numeric)))
+    few = _advised(few, most, "listed", F.slice(F.array_distinct(said), 1, most))
+    if many is None:
+        return few
+    rest = _counterfactuals_large(a.join(many, FIELD, "left_semi"), most)
+    return few.unionByName(rest if kinds is None else rest.filter(F.col("conflict_type").isin(*kinds)))
+
+
+def _counterfactuals_large(a: DataFrame, most: int) -> DataFrame:
+    """``counterfactuals`` of fields with very many assertions."""
+    s = kept(_sources(a, most), "sources")
     paired = F.flatten(F.transform("sources", lambda x, i: F.transform(F.slice("sources", i + 2, F.size("sources")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     differing = F.filter(paired, lambda p: p["x"]["value"] != p["y"]["value"])
-    pairs = s.filter("conflict_type != 'other'").select(*FIELD, "conflict_type", "label", F.posexplode(differing).alias("k", "p"))
-    once = F.min(F.struct("k", "p", "conflict_type", "label"))  # later pairs of two classes in the same order say the same
+    pairs = s.filter("conflict_type != 'other'").select(*FIELD, "conflict_type", F.posexplode(differing).alias("k", "p"))
+    once = F.min(F.struct("k", "p", "conflict_type"))  # later pairs of two classes in the same order say the same
     pairs = pairs.groupBy(*FIELD, "p.x.doc", "p.x.value", F.col("p.y.doc").alias("doc2"), F.col("p.y.value").alias("value2")).agg(once.alias("o")).select(*FIELD, "o.*")
-    x, y, numeric = F.col("p.x"), F.col("p.y"), F.col("conflict_type") == "numeric_variance"
-    alike = ratio(F.lower(x["value"]), F.lower(y["value"]), ~numeric)
-    pairs = pairs.withColumns({"alike": alike, "percent": F.when(numeric & (y["num"] != 0), F.abs(x["num"] - y["num"]) / F.abs(y["num"]) * 100)})
-    were = lambda p, q: F.concat(F.lit("If the "), F.col("label"), F.lit(" of "), p["doc"], F.lit(" were "), q["value"], F.lit(" instead of "), p["value"], F.lit(", the documents would agree."))
-    far = F.when(F.col("percent") >= 0.01, F.concat(x["doc"], F.lit(" and "), y["doc"], F.lit(" differ by "), F.format_string("%.2f%%", F.round("percent", 2))))
-    hint = F.when(F.col("alike") >= MISSPELT, "likely a misspelling").when(F.col("alike") >= SIMILAR, "similar names: ask")
-    near = F.when(hint.isNotNull(), F.concat(x["value"], F.lit(" and "), y["value"], F.format_string(" are %.0f%% alike: ", F.col("alike") * 100), hint))
-    made = _collected(pairs.select(*FIELD, "k", F.array_compact(F.array(were(x, y), were(y, x), F.coalesce(far, near))).alias("texts")), most)
-    verify = F.slice(F.array_distinct(F.transform("sources", lambda q: F.concat(F.lit("Verify the "), F.col("label"), F.lit(" of "), q["doc"], F.lit(": "), q["value"]))), 1, most)
-    out = s.join(made, FIELD, "left")
-    options = F.when(F.col("conflict_type") == "other", verify).otherwise(F.col("options"))
-    sure = F.when(F.size(options) > 0, options).otherwise(F.array(F.concat(F.lit("Verify the "), F.col("label"), F.lit(" in all documents."))))
-    return out.select(*FIELD, "conflict_type", sure.alias("options"), advice(F.col("entity_type")).alias("recommendation"))
+    numeric = F.col("conflict_type") == "numeric_variance"
+    alike = ratio(F.lower("p.x.value"), F.lower("p.y.value"), ~numeric)
+    pairs = pairs.withColumn("alike", alike).withColumn("p", F.struct("p.x", "p.y", "alike"))
+    made = _collected(pairs.select(*FIELD, "k", _texts(F.col("p"), _label(), numeric).alias("texts")), most)
+    return _advised(s.join(made, FIELD, "left"), most, "sources", F.col("options"))
 
 
 def inconsistencies(w: DataFrame) -> DataFrame:

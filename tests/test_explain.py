@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from cargolens.operators import explain as X
+from cargolens.plans import catalog
 
 SCHEMA = "shipment_id long, entity_type string, seq long, num double, txt string, document_type string"
 TYPES = ["bl", "awb", "packing_list", "commercial_invoice", "letter_of_credit", "delivery_order", None]
@@ -74,3 +75,22 @@ def test_many_sources_and_values(spark):
     rows = [(1, "GROSS_WEIGHT", i, float(i % 20_000), None, TYPES[i % 7]) for i in range(60_000)]
     o = X.counterfactuals(spark.createDataFrame(rows, SCHEMA)).first()["options"]
     assert o == plain_options("GROSS_WEIGHT", [(n, x, t) for _, _, _, n, x, t in rows[:12]])
+
+
+def test_options_in_one_exchange(spark):
+    """A field's options come from one pass over its shipment; the way of fields with many assertions gives the same."""
+    for name in ("xai05_counterfactuals", "top05_capped_options", "xai06_text_options"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan, name
+
+
+def test_same_as_many_assertions(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(40), r.choice("AB"), i, *r.choice([(1.0, None), (2.0, None), (0.0, None), (None, "Star Mill"), (None, "Star Mills"), (None, "moon"), (None, None)]), r.choice(TYPES)) for i in range(600)]
+    rows += [(k, "C", i, *r.choice([(1.0, None), (2.5, None), (None, "x")][: 2 + k % 2]), r.choice(TYPES)) for k in range(40) for i in range(5)]
+    rows += [(k, "D", i, None, r.choice(["Star Mill", "Star Mills", "moon"]), r.choice(TYPES)) for k in range(40) for i in range(5)]
+    a = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    every = {large: sorted(map(str, X.counterfactuals(a, large=large).collect())) for large in (0, 6, X.LARGE)}
+    assert every[0] == every[6] == every[X.LARGE] and len(every[0]) == a.select("shipment_id", "entity_type").distinct().count()
+    kind = "conflict_type='text_mismatch'"
+    assert sorted(map(str, X.counterfactuals(a, kinds=("text_mismatch",), large=6).collect())) == [x for x in every[0] if kind in x]
