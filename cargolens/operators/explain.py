@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions.scores import band
 from ..sources.store import kept
 from .consensus import FIELD, LARGE, _large, canonical
-from .fold import by_shipment
+from .fold import by_shipment, gathered
 from .linkage import rater, ratio
 
 #: Advice by field; other fields get the last one. Our own wording.
@@ -307,6 +307,25 @@ def edges(a: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return a.select(*(keep or []), F.inline(F.array_compact(rows))).distinct()
 
 
+def graphs(a: DataFrame) -> DataFrame:
+    """shipment_id, nodes (id, kind), edges (source, target, relation): ``nodes`` and ``edges`` of each shipment, in order, made of its assertions in one pass."""
+    g = gathered(a, ["document_id", "entity_type", "seq"])
+    ship = F.col("shipment_id").cast("string")
+    field = lambda e: F.concat_ws(":", F.lit("shipment"), "shipment_id", F.lit("field"), e)
+    said = lambda r: F.concat_ws(":", F.lit("assertion"), r["document_id"], r["entity_type"], r["seq"])
+    last = lambda r: F.concat_ws(":", F.lit("assertion"), F.concat_ws("-", "shipment_id", r["seq"] - 1), r["entity_type"], r["seq"] - 1)
+    ids = {"document": F.array_distinct(F.transform("rows", lambda r: r["document_id"])), "field": F.array_distinct(F.transform("rows", lambda r: field(r["entity_type"]))), "assertion": F.array_distinct(F.transform("rows", said))}
+    g = g.withColumn("ids", F.struct(*(v.alias(k) for k, v in ids.items())))
+    node = lambda kind: F.transform(f"ids.{kind}", lambda i: F.struct(i.alias("id"), F.lit(kind).alias("kind")))
+    edge = lambda source, target, relation: F.struct(source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"))
+    all_nodes = F.concat(F.array(F.struct(ship.alias("id"), F.lit("shipment").alias("kind"))), *map(node, ids))
+    all_edges = F.concat(
+        F.transform("ids.document", lambda i: edge(ship, i, "CONTAINS")), F.transform("ids.field", lambda i: edge(ship, i, "HAS_FIELD")),
+        F.transform("rows", lambda r: edge(said(r), field(r["entity_type"]), "ASSERTS_VALUE_FOR")), F.transform(F.filter("rows", lambda r: r["seq"] > 1), lambda r: edge(said(r), last(r), "MUST_MATCH")),
+    )
+    return g.select("shipment_id", F.array_sort(all_nodes).alias("nodes"), F.array_sort(all_edges).alias("edges"))
+
+
 def node_status(a: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """``nodes`` with their status: their own (id, status) where there is one, else conflict for outliers, match for others.
 

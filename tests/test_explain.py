@@ -7,6 +7,8 @@ import pytest
 
 from cargolens.operators import explain as X
 from cargolens.plans import catalog
+from cargolens.sources import bundles as B
+from cargolens.sources.bindings import assertions
 
 SCHEMA = "shipment_id long, entity_type string, seq long, num double, txt string, document_type string"
 TYPES = ["bl", "awb", "packing_list", "commercial_invoice", "letter_of_credit", "delivery_order", None]
@@ -94,3 +96,19 @@ def test_same_as_many_assertions(spark):
     assert every[0] == every[6] == every[X.LARGE] and len(every[0]) == a.select("shipment_id", "entity_type").distinct().count()
     kind = "conflict_type='text_mismatch'"
     assert sorted(map(str, X.counterfactuals(a, kinds=("text_mismatch",), large=6).collect())) == [x for x in every[0] if kind in x]
+
+
+def test_graphs(spark, tmp_path):
+    """A shipment's graph has the nodes and edges of its assertions, repeated ones once; it comes from one exchange and is written compressed."""
+    r = random.Random(2)
+    rows = [(k, r.choice("AB"), r.randrange(1, 5), f"{k}-{r.randrange(1, 5)}") for k in range(2000) for _ in range(r.randrange(1, 12))]
+    a = spark.createDataFrame(rows, "shipment_id long, entity_type string, seq long, document_id string").repartition(3)
+    g = X.graphs(a)
+    for array, flat in (("nodes", X.nodes(a, ["shipment_id"])), ("edges", X.edges(a, ["shipment_id"]))):
+        assert sorted(map(tuple, g.selectExpr("shipment_id", f"inline({array})").collect())) == sorted(map(tuple, flat.collect()))
+    documents = B.graph_documents(X.graphs(assertions(spark, "/root/testdata/sf0.001")))
+    plan = documents._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Join" not in plan
+    B.write_documents(documents, str(tmp_path / "graphs"))
+    size = sum(p.stat().st_size for p in (tmp_path / "graphs").glob("part-*"))
+    assert size * 5 < documents.selectExpr("sum(length(body))").first()[0]
