@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import band
 from ..sources.store import kept
-from .consensus import FIELD, LARGE, _large, canonical
-from .fold import by_shipment, gathered
+from .consensus import FIELD, LARGE, TOLERANCE, _carried, _large, canonical, judged, resolve
+from .fold import by_shipment, folded, gathered
 from .linkage import rater, ratio
 
 #: Advice by field; other fields get the last one. Our own wording.
@@ -339,6 +339,29 @@ def node_status(a: DataFrame, own: DataFrame | None = None) -> DataFrame:
     return n.select("id", "kind", F.coalesce(stated, "__flag", F.lit("match")).alias("status"))
 
 
+def graph_status(a: DataFrame, large: int = LARGE) -> DataFrame:
+    """``node_status`` of the nodes of assertions, fields with their own status: one pass over each shipment. A document belongs to one shipment.
+
+    Shipments that have a field with more than ``large`` assertions are joined.
+    """
+    many = _large(a, large)
+    if many is not None:
+        ships = many.select("shipment_id").distinct()
+        rest, a = a.join(ships, "shipment_id", "left_semi"), a.join(ships, "shipment_id", "left_anti")
+    rows = folded(a, canonical(F.col("num"), F.col("txt")), _carried(a, ()), TOLERANCE, [*FIELD, "seq", "document_id"], marks=True)
+    match = F.lit("match")
+    node = lambda first, i, kind, status: F.when(F.col(first), F.struct(i.alias("id"), F.lit(kind).alias("kind"), status.alias("status")))
+    each = F.array(
+        node("first_of_shipment", F.col("shipment_id").cast("string"), "shipment", match), node("first_of_document", F.col("document_id"), "document", match),
+        node("first_of_field", _field_id(), "field", F.col("status")), node("first_of_assertion", _assertion_id(), "assertion", F.when(F.col("any_outlier"), "conflict").otherwise(match)),
+    )
+    out = rows.select(F.inline(F.array_compact(each)))
+    if many is None:
+        return out
+    own = resolve(rest, large, carried=()).select(_field_id().alias("id"), "status")
+    return out.unionByName(node_status(judged(rest, ["document_id"], carried=(), large=large), own))
+
+
 def neighbours(edges: DataFrame, targets: DataFrame, relation: str | None = None) -> DataFrame:
     """target, source, relation: the nodes with an edge to each of ``targets`` (id)."""
     e = edges if relation is None else edges.filter(F.col("relation") == relation)

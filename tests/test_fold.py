@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cargolens.operators import consensus as C
+from cargolens.operators import explain as X
 from cargolens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,13 @@ def test_same_as_large_fields(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert few == whole(0) == whole(4) and len(few) == a.select(*C.FIELD).distinct().count()
     assert a.filter(F.col("num").isNull() & F.col("is_num")).count() > 0
+
+
+def test_status_of_nodes_in_one_exchange(spark):
+    """Also where an assertion is there twice, and where shipments with large fields are joined."""
+    a = spark.createDataFrame([(*x[:7], x[7], x[8] if i % 3 else f"{x[0]}-0") for i, x in enumerate(rows(4)) for _ in range(1 + (i % 5 == 0))], SCHEMA).repartition(3)
+    own = C.resolve(a, carried=()).select(X._field_id().alias("id"), "status")
+    want = sorted(map(str, X.node_status(C.judged(a, ["document_id"], carried=()), own).collect()))
+    assert sorted(map(str, X.graph_status(a).collect())) == want == sorted(map(str, X.graph_status(a, large=7).collect()))
+    p = plan(catalog.queries()["grf03_node_status"](spark, SF)).split("Initial Plan")[-1]
+    assert p.count("Exchange") == 1 and "Aggregate" not in p and "Join" not in p
