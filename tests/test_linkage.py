@@ -1,6 +1,7 @@
 from difflib import SequenceMatcher
 
 from cargolens.operators import linkage as L
+from cargolens.plans import catalog
 
 TEXTS = ["Cotton", "shirts", "Cott0n", "cotton shirts blue", "x", "Widgets", "shirts", "widgexs", "Invoice"]
 
@@ -97,3 +98,40 @@ def test_long_documents_link_the_same(spark, monkeypatch):
         got[few] = {(x["value"], x["pos"], x["score"]) for x in L.link(v, t).collect()}
     want = {(value, b[2]) for _, value in values if (b := best(value, tokens, L.THRESHOLD))}
     assert got[0] == got[10**9] and {x[:2] for x in got[0]} == want
+
+
+def test_linkage_of_words_in_one_exchange(spark):
+    """Words lie by document once their texts are dealt out: no pairs, no grams, no joins."""
+    for name in ("join07_link_values", "join10_row_boxes"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange") == 1 and "Join" not in plan, name
+
+
+def test_finder_and_parts():
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("aab c\0é") for _ in range(n))
+    for n_values in (1, 10**12):  # without and with an index of grams
+        texts = [word(r.randrange(1, 9)) for _ in range(60)]
+        find, at = L.finder(texts, n_values), {x: i for i, x in reversed(list(enumerate(texts)))}
+        for v in [word(r.randrange(1, 12)) for _ in range(400)]:
+            assert find(v) == next((i for i, t in enumerate(texts) if v in t), None)
+            assert L.part_of(v, at) == next((i for i, t in enumerate(texts) if len(t) > 3 and t in v), None)
+
+
+def test_large_pages_and_repeats(spark):
+    """Pages with many pairs take joins, the others a fold; repeated rows and small batches change nothing."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("etaoinshr ") for _ in range(r.choice([3, 8, 20, 60])))
+    tokens = [(d, p, i, word(), 0, 20 * i, 90, 20 * i + 12, 0.9) for d in (1, 2) for p in (1, 2) for i in range(12)]
+    items = [(d, p, t[:3] + "0" + t[4:]) for d, p, i, t, *_ in tokens if i % 2] + [(1, 1, None), (1, 2, " "), (3, 1, "gone")]
+    t, v = spark.createDataFrame(tokens * 2, SCHEMA).repartition(3), spark.createDataFrame(items, "document_id long, page long, description string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = [sorted(map(str, L.row_boxes(v, t, few=few).collect())) for few in (0, 300, 10**6)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
