@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cargolens.operators import consensus as C
 from cargolens.operators import explain as X
+from cargolens.operators import rules as R
 from cargolens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,16 @@ def test_status_of_nodes_in_one_exchange(spark):
     assert sorted(map(str, X.graph_status(a).collect())) == want == sorted(map(str, X.graph_status(a, large=7).collect()))
     p = plan(catalog.queries()["grf03_node_status"](spark, SF)).split("Initial Plan")[-1]
     assert p.count("Exchange") == 1 and "Aggregate" not in p and "Join" not in p
+
+
+def test_options_of_discrepancies_in_one_exchange(spark):
+    """Also where fields are large."""
+    types = ["bl", "awb", None]
+    a = spark.createDataFrame([(*x, types[i % 3]) for i, x in enumerate(rows(5))], SCHEMA + ", document_type string").repartition(3)
+    sides = ("document_id", "confidence")
+    found = R.discrepancies(R.failures(R.outlier_pairs(C.judged(a, ["is_num", *sides], sides, outliers=True))))
+    shown = lambda df: sorted(map(str, df.select(*C.FIELD, "discrepancy_id", "options", "recommendation").collect()))
+    want = shown(X.with_counterfactuals(found, a))
+    assert shown(X.discrepancies_with_options(a)) == want == shown(X.discrepancies_with_options(a, large=4)) and len(want) > 50
+    p = plan(catalog.queries()["xai07_all_options"](spark, SF)).split("Initial Plan")[-1]
+    assert p.count("Exchange") == 1 and "Join" not in p
