@@ -95,7 +95,7 @@ def numeric_consensus(a: DataFrame, large: int = LARGE) -> DataFrame:
     return per.select(*FIELD, F.col("x.best.num").alias("consensus_num"), F.col("x.best.n").alias("n_agree"), F.col("x.n_clusters").alias("n_clusters"))
 
 
-def resolve(a: DataFrame, large: int = LARGE, carried: tuple[str, ...] = CARRIED) -> DataFrame:
+def resolve(a: DataFrame, large: int = LARGE, carried: tuple[str, ...] = CARRIED, chosen: str | None = None) -> DataFrame:
     """One row per field: status, consensus_num, consensus_txt, unit, resolution_confidence, n_assertions, n_agree, n_clusters, representative.
 
     Values count as numbers only if all of a field's values are. pending: one assertion; match: all agree; warning: all
@@ -103,16 +103,23 @@ def resolve(a: DataFrame, large: int = LARGE, carried: tuple[str, ...] = CARRIED
 
     Fields are folded in arrays, shipment by shipment (``fold``), those with more than ``large`` assertions by
     aggregations and islands. ``carried`` names what a representative keeps of its assertion, beside seq, num and txt.
+    ``chosen`` names a flag of assertions; fields then also have the values of their last one with it (num, txt), or null.
     """
     carried = _carried(a, carried)
     many = _large(a, large)
-    few = folded(a if many is None else a.join(many, FIELD, "left_anti"), canonical(F.col("num"), F.col("txt")), carried, TOLERANCE)
+    few = folded(a if many is None else a.join(many, FIELD, "left_anti"), canonical(F.col("num"), F.col("txt")), carried, TOLERANCE, chosen=chosen)
     c, texts = F.col, canonical(F.col("representative.num"), F.col("representative.txt"))
     few = few.select(
         *FIELD, "status", F.when(c("all_num"), c("representative.num") + F.lit(0.0)).alias("consensus_num"), F.when(~c("all_num"), texts).alias("consensus_txt"), F.when(~c("all_num"), text_key(texts)).alias("consensus_key"),
-        "unit", F.round(F.round(c("sum_w") / c("n_assertions"), 8), 4).alias("resolution_confidence"), "n_assertions", "n_agree", "n_clusters", "representative",
+        "unit", F.round(F.round(c("sum_w") / c("n_assertions"), 8), 4).alias("resolution_confidence"), "n_assertions", "n_agree", "n_clusters", "representative", *(["chosen"] if chosen else []),
     )
-    return few if many is None else few.unionByName(_resolve_large(a.join(many, FIELD, "left_semi"), carried))
+    if many is None:
+        return few
+    rest = a.join(many, FIELD, "left_semi")
+    fields = _resolve_large(rest, carried)
+    if chosen:
+        fields = fields.join(rest.filter(F.col(chosen)).groupBy(*FIELD).agg(F.max_by(F.struct("num", "txt"), "seq").alias("chosen")), FIELD, "left")
+    return few.unionByName(fields)
 
 
 def _carried(a: DataFrame, carried: tuple[str, ...]) -> list[str]:
@@ -171,12 +178,18 @@ def judged(a: DataFrame, keep: list[str], carried: tuple[str, ...] = CARRIED, ou
 
 def overlay(fields: DataFrame, choices: DataFrame) -> DataFrame:
     """Reviewer decisions (FIELD, value_num, value_txt) replace the consensus; such fields are resolved."""
-    c = choices.select(*FIELD, F.col("value_num"), F.col("value_txt"), F.lit(True).alias("chosen"))
-    out = fields.join(c, FIELD, "left")
-    chosen = F.coalesce(F.col("chosen"), F.lit(False))
-    return out.withColumns(
-        {"status": F.when(chosen, "resolved").otherwise(F.col("status")), "consensus_num": F.when(chosen, F.col("value_num")).otherwise(F.col("consensus_num")), "consensus_txt": F.when(chosen, F.col("value_txt")).otherwise(F.col("consensus_txt"))}
-    ).drop("value_num", "value_txt", "chosen")
+    c = choices.select(*FIELD, F.struct(F.col("value_num").alias("num"), F.col("value_txt").alias("txt")).alias("chosen"))
+    return _overlaid(fields.join(c, FIELD, "left"))
+
+
+def overlay_own(a: DataFrame, chosen: str, carried: tuple[str, ...] = CARRIED, large: int = LARGE) -> DataFrame:
+    """``overlay`` of the fields of ``a`` with the last of their assertions that is flagged ``chosen``, in the pass that resolves them."""
+    return _overlaid(resolve(a, large, carried, chosen))
+
+
+def _overlaid(fields: DataFrame) -> DataFrame:
+    there, c = F.col("chosen").isNotNull(), F.col
+    return fields.withColumns({"status": F.when(there, "resolved").otherwise(c("status")), "consensus_num": F.when(there, c("chosen.num")).otherwise(c("consensus_num")), "consensus_txt": F.when(there, c("chosen.txt")).otherwise(c("consensus_txt"))}).drop("chosen")
 
 
 def validated(choices: DataFrame, a: DataFrame) -> DataFrame:

@@ -74,3 +74,14 @@ def test_options_of_discrepancies_in_one_exchange(spark):
     assert shown(X.discrepancies_with_options(a)) == want == shown(X.discrepancies_with_options(a, large=4)) and len(want) > 50
     p = plan(catalog.queries()["xai07_all_options"](spark, SF)).split("Initial Plan")[-1]
     assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_own_choices_in_one_exchange(spark):
+    """The last flagged assertion of a field stands, null values and flags included."""
+    a = spark.createDataFrame(rows(6), SCHEMA).withColumn("reviewed", F.when(F.col("seq") % 3 > 0, F.col("confidence") > 0.6)).repartition(3)
+    choices = C.latest(a.filter("reviewed").select(*C.FIELD, "seq", F.col("num").alias("value_num"), F.col("txt").alias("value_txt")), C.FIELD, [F.col("seq")])
+    shown = lambda df: sorted(map(str, df.select(*C.FIELD, "status", "consensus_num", "consensus_txt", "n_assertions").collect()))
+    want = shown(C.overlay(C.resolve(a), choices))
+    assert shown(C.overlay_own(a, "reviewed")) == want == shown(C.overlay_own(a, "reviewed", large=4)) and sum("resolved" in x for x in want) > 20
+    p = plan(catalog.queries()["join04_reviewer_overlay"](spark, SF)).split("Initial Plan")[-1]
+    assert p.count("Exchange") == 1 and "Join" not in p
