@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import CODE_FIELDS, CURRENCIES, INCOTERM_ORDER, NAME_FIELDS, NUMBER_FIELDS
+from .normalize import let
 
 WEIGHT_UNITS = ("kg", "kgs", "kilogram", "kilograms")
 PACKAGE_UNITS = ("carton", "cartons", "ctn", "ctns", "pc", "pcs", "piece", "pieces", "package", "packages", "box", "boxes", "pallet", "pallets", "unit", "units", "roll", "rolls", "bale", "bales")
@@ -51,7 +52,7 @@ PATTERNS = {
 def by_shape(text: Column, patterns: list[str]) -> Column:
     """The first group of the first expression that matches, whatever the case; null if none does."""
     found = [F.regexp_extract(text, f"(?i){p}", 1) for p in patterns]
-    return F.coalesce(*(F.when(F.length(x) > 0, F.trim(x)) for x in found))
+    return F.coalesce(*(let(x, lambda v: F.when(F.length(v) > 0, F.trim(v))) for x in found))
 
 
 def plausible(entity_type: Column, text: Column) -> Column:

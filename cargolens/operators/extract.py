@@ -1,4 +1,4 @@
-"""Field extraction from page tokens: by label and neighbour, by pattern, and the whole document job."""
+"""Field extraction from page tokens: by label and neighbour, by pattern, and the whole document job (its steps are in ``readings``)."""
 
 from __future__ import annotations
 
@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dims import DOCUMENT_FIELDS, LABELS
-from ..functions.normalize import by_type
-from ..functions.scores import entity_confidence
-from ..functions.shapes import PATTERNS, by_shape, plausible
-from ..sources.store import kept
-from . import documents as D
+from ..dims import LABELS
+from ..functions.shapes import PATTERNS, by_shape
+from ..sources.store import kept, staged
+from . import readings as R
 from .linkage import letters, link_parts, may_reach, ratio
 from .parties import resolve_party, roles
-
-GATE = 0.60
-LABEL_RATIO, REFUSED_RATIO = 0.85, 0.90
+from .readings import GATE, LABEL_RATIO, REFUSED_RATIO, value_after
 
 
 def label_texts(texts: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFrame:
@@ -47,13 +43,10 @@ def by_label(tokens: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFr
     refused = known.filter("is_label").select(F.col("t").alias("own_t"), F.lit(True).alias("own_is_label"))
     base = base.join(known, "t", "left").withColumn("own_t", plain("own")).join(refused, "own_t", "left")
     w = Window.partitionBy("document_id").orderBy("pos")
-    candidate = F.struct(F.trim("text").alias("value"), F.col("confidence").alias("c"), F.coalesce("is_label", F.lit(False)).alias("label"), "pos", "page")
+    candidate = F.struct("text", "confidence", F.coalesce("is_label", F.lit(False)).alias("label"), "pos", "page")
     hit = base.withColumns({f"n{k}": F.lead(candidate, k).over(w) for k in (1, 2, 3)}).filter("size(entity_types) > 0").withColumn("entity_type", F.explode("entity_types"))
-    e = F.col("entity_type")
-    found = lambda value, most, c, pos, page: F.struct(value.alias("value"), F.least(F.lit(most), c).alias("confidence"), pos.alias("pos"), page.alias("page"))
-    ways = [F.when(F.col("own").isNotNull() & F.col("own_is_label").isNull() & plausible(e, F.col("own")), found(F.col("own"), 0.88, F.col("confidence"), F.col("pos"), F.col("page")))]
-    ways += [F.when(~F.col(f"n{k}.label") & plausible(e, F.col(f"n{k}.value")), found(F.col(f"n{k}.value"), 0.85, F.col(f"n{k}.c"), F.col(f"n{k}.pos"), F.col(f"n{k}.page"))) for k in (1, 2, 3)]
-    best = hit.withColumn("f", F.coalesce(*ways)).filter("f IS NOT NULL").groupBy("document_id", "entity_type").agg(F.min_by("f", "pos").alias("f"))
+    f = value_after(F.col("entity_type"), F.col("own"), F.col("own_is_label").isNotNull(), F.struct("confidence", "pos", "page"), [(F.col(f"n{k}"), F.col(f"n{k}.label")) for k in (1, 2, 3)])
+    best = hit.withColumn("f", f).filter("f IS NOT NULL").groupBy("document_id", "entity_type").agg(F.min_by("f", "pos").alias("f"))
     return best.select("document_id", "entity_type", "f.*")
 
 
@@ -82,18 +75,6 @@ def combined(labelled: DataFrame, matched: DataFrame, gate: float = GATE) -> Dat
     return best.select(*key, "x.*", "source").filter(F.col("confidence") >= gate)
 
 
-def required(types: DataFrame, fields: dict[str, list[str]] = DOCUMENT_FIELDS) -> DataFrame:
-    """document_id, document_type, entity_type: what a document of its type should state."""
-    stated = F.create_map(*(x for d, es in fields.items() for x in (F.lit(d), F.array(*map(F.lit, es)))))
-    return types.select("document_id", "document_type", F.explode(F.try_element_at(stated, F.col("document_type"))).alias("entity_type"))
-
-
-def local_fields(tokens: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
-    """What labels and patterns find of the fields that each document (types: document_id, document_type) should state."""
-    found = combined(by_label(tokens), by_pattern(docs, tokens))
-    return required(types).join(found, ["document_id", "entity_type"])
-
-
 def placed(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """``found`` (document_id, value, page, ...) with box, ocr (confidence of the value's tokens) and page, 1 if it has none."""
     box = link_parts(found.select("document_id", "value"), tokens).select("document_id", "value", F.struct("x1", "y1", "x2", "y2").alias("box"), F.col("confidence").alias("ocr"))
@@ -113,33 +94,23 @@ def excluded(found: DataFrame) -> DataFrame:
     return found.filter("effective_type IS NULL").groupBy("document_id").agg(F.array_sort(F.collect_list(text)).alias("warnings"))
 
 
-def typed(tokens: DataFrame) -> DataFrame:
-    """document_id, document_type, confidence, evidence by the keywords on each document's first pages."""
-    return D.classify(D.first_pages(tokens))
-
-
-def _judged_fields(tokens: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
-    found = kept(local_fields(tokens, docs, types.select("document_id", "document_type")), "fields")  # three branches use it
-    return judged(placed(found, tokens), tokens)
-
-
-def _entities(e: DataFrame) -> DataFrame:
-    out = e.filter("effective_type IS NOT NULL").withColumn("n", by_type(F.col("effective_type"), F.col("value")))
-    match = F.when(F.col("box").isNotNull(), 1.0).otherwise(0.0)
-    out = out.select(
-        "document_id", "document_type", F.col("effective_type").alias("entity_type"), "value", "n.num", "n.text", "n.unit", "n.warn", "page", "box", "role", "eligible", "source", "pos",
-        entity_confidence(F.coalesce("ocr", "confidence"), match, F.col("n.warn")).alias("score"), F.coalesce(F.col("n.num").cast("string"), "n.text", "value").alias("key"),
-    )
-    return D.deduplicate(out, ["document_id", "entity_type", "key"], "score", "pos").drop("key", "pos")
-
-
 def document_job(tokens: DataFrame, docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """One row per entity: document_id, document_type, entity_type, value, num, text, unit, warn, page, box, role, eligible, source, score.
 
     Classified by the keywords of its first pages unless ``types`` are given, extracted, placed on the page, parties
     judged, normalised, scored, and of equal values the surest. Organisations without a role are left out.
     """
-    return _entities(_judged_fields(tokens, docs, typed(tokens) if types is None else types))
+    token = F.struct("page", "pos", "text", "x1", "y1", "x2", "y2", "confidence")
+    each = tokens.groupBy("document_id").agg(F.array_sort(F.collect_list(token)).alias("tokens")).join(docs.select("document_id", "text"), "document_id")
+    return job_rows(each if types is None else each.join(types.select("document_id", "document_type"), "document_id"))
+
+
+def job_rows(documents: DataFrame) -> DataFrame:
+    """``document_job`` of documents that are one row each: document_id, tokens; their text and document_type if they are stated."""
+    docs = R.in_order(documents)
+    docs = docs if "document_type" in docs.columns else R.typed(docs).drop("confidence", "evidence")
+    e = R.entities(R.judged_fields(docs)).select("document_id", "document_type", F.inline("entities"))
+    return e.select("document_id", "document_type", "entity_type", "value", "num", "text", "unit", "warn", "page", "box", "role", "eligible", "source", "score")
 
 
 #: Columns of an entity in a document's result.
@@ -172,14 +143,11 @@ def results(documents: DataFrame) -> DataFrame:
     document_id, document_type, classification_confidence, classification_evidence, entities, raw_ocr, errors, warnings.
     Documents with ``faults`` get an error row each and don't enter the job; the others aren't touched by them.
     """
-    told = kept(documents.select("document_id", F.col("tokens").cast(f"array<{RESULT_TOKEN}>").alias("tokens"), faults(F.col("tokens")).alias("__faults")), "documents")
-    good = told.filter("size(__faults) = 0")
-    tokens = good.select("document_id", F.inline("tokens"))
-    docs = good.select("document_id", F.array_join(F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(t["page"].alias("page"), t["pos"].alias("pos"), t["text"].alias("text")))), lambda t: t["text"]), " ").alias("text"))
-    types = kept(typed(tokens), "types")
-    e = kept(_judged_fields(tokens, docs, types), "judged")  # what is kept and what is left out
-    entities = _entities(e).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*ENTITY).cast(RESULT_ENTITY))).alias("entities"))
-    out = good.join(types, "document_id").join(entities, "document_id", "left").join(excluded(e), "document_id", "left")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    done = out.select("document_id", "document_type", F.col("confidence").alias("classification_confidence"), F.col("evidence").alias("classification_evidence"), empty("entities", RESULT_ENTITY), F.col("tokens").alias("raw_ocr"), F.array().cast("array<string>").alias("errors"), empty("warnings", "string"))
+    told = staged(documents.select("document_id", F.col("tokens").cast(f"array<{RESULT_TOKEN}>").alias("raw_ocr")), __faults=faults(F.col("raw_ocr")))
+    docs = R.typed(R.in_order(told.filter("size(__faults) = 0").select("document_id", "raw_ocr", F.col("raw_ocr").alias("tokens"))))
+    docs = docs.withColumnsRenamed({"confidence": "classification_confidence", "evidence": "classification_evidence"})
+    entity = lambda e: F.struct(*(e[c].alias(c) for c in ENTITY)).cast(RESULT_ENTITY)
+    done = R.entities(R.judged_fields(docs)).select(
+        "document_id", "document_type", "classification_confidence", "classification_evidence", F.array_sort(F.transform("entities", entity)).alias("entities"), "raw_ocr", F.array().cast("array<string>").alias("errors"), R.warnings(F.col("found")).alias("warnings")
+    )
     return done.unionByName(error_results(told.filter("size(__faults) > 0"), F.col("__faults")))

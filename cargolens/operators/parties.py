@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,29 @@ def _near(values: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.join(row.unionByName(below), ["document_id", "page", "way", "band_y", "band_x"])
 
 
+def _seen(v: Callable[[str], Column], t: Callable[[str], Column]) -> tuple[Column, Column, Column, Column]:
+    """Whether a value (its columns by name) is on the row of a token, and whether it is below it, and the score of each."""
+    same_row = (F.abs((v("y1") + v("y2")) / 2 - (t("y1") + t("y2")) / 2) <= ROW_REACH) & (v("x1") >= t("x2") - SLACK)
+    down = v("y1") - t("y2")
+    below = (down >= -SLACK) & (down <= BELOW_REACH) & (F.abs(v("x1") - t("x1")) <= SIDE_REACH)
+    across = F.least(F.greatest(v("x1") - t("x2"), F.lit(0)), F.lit(300))
+    return same_row, below, 0.92 - across / 3000, 0.82 - F.least(down, F.lit(160)) / 1600
+
+
+def nearest_role(value: Column, page: Column, box: Column, tokens: Column) -> Column:
+    """The role that the nearest role label among a document's ``tokens`` gives a value, by the scores of ``label_evidence``; null if none does."""
+    plain = F.lower(F.trim(value))
+
+    def scored(t: Column) -> Column:
+        same_row, below, beside, under = _seen(box.getField, t.getField)
+        holds = (plain != "") & F.contains(t["text"], F.lit(":")) & F.contains(F.lower(t["text"]), plain)
+        return F.struct(F.round(F.when(holds, F.lit(1.0)).when(same_row, beside).when(~same_row & below, under), 6).alias("score"), (-t["pos"]).alias("back"), t["text"].alias("text"))
+
+    near = F.filter(F.transform(F.filter(tokens, lambda t: t["page"] == page), scored), lambda x: x["score"] >= ACCEPT)
+    named = F.transform(near, lambda x: F.struct(x["score"].alias("score"), x["back"].alias("back"), party_role(x["text"]).alias("role")))
+    return F.array_max(F.filter(named, lambda x: x["role"].isNotNull()))["role"]
+
+
 def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """Values (document_id, page, value_id, value, x1, y1, x2, y2) to role and score of the nearest role label.
 
@@ -56,11 +81,7 @@ def label_evidence(values: DataFrame, tokens: DataFrame) -> DataFrame:
     t = tokens.withColumn("role", F.explode(F.array(party_role(F.col("text"))))).filter("role IS NOT NULL")  # a generator's column is taken once
     t = kept(t.select(*pages, "role", F.col("pos").alias("t_pos"), F.col("text").alias("t_text"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))), "labels")
     asked = values.filter(named_role(F.col("value")).isNull())
-    same_row = (F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col("t_y1") + F.col("t_y2")) / 2) <= ROW_REACH) & (F.col("x1") >= F.col("t_x2") - SLACK)
-    down = F.col("y1") - F.col("t_y2")
-    below = (down >= -SLACK) & (down <= BELOW_REACH) & (F.abs(F.col("x1") - F.col("t_x1")) <= SIDE_REACH)
-    across = F.least(F.greatest(F.col("x1") - F.col("t_x2"), F.lit(0)), F.lit(300))
-    beside, under = 0.92 - across / 3000, 0.82 - F.least(down, F.lit(160)) / 1600
+    same_row, below, beside, under = _seen(F.col, lambda c: F.col(f"t_{c}"))
     rest = ["document_id", "value_id", "role", "score", "t_pos"]
     few_v, few_t, many_v, many_t = parted(asked, t, pages)
     plain = F.lower(F.trim("value"))
@@ -90,10 +111,16 @@ def resolve_party(entities: DataFrame) -> DataFrame:
     Only names found as consignees are judged: a consignee stays one, another role gives its own type, and without a
     role there is no type. Only consignees may become the shipment's.
     """
-    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in PARTY_TYPES.items() for x in kv)), F.col("role"))
-    consignee = F.coalesce(F.col("role") == "consignee", F.lit(False))
-    judged = F.col("entity_type") == "CONSIGNEE_NAME"
-    return entities.withColumns({"effective_type": F.when(~judged | consignee, F.col("entity_type")).otherwise(own), "eligible": ~judged | consignee})
+    effective, may = resolved(F.col("entity_type"), F.col("role"))
+    return entities.withColumns({"effective_type": effective, "eligible": may})
+
+
+def resolved(entity_type: Column, role: Column) -> tuple[Column, Column]:
+    """effective_type and eligible of ``resolve_party``."""
+    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in PARTY_TYPES.items() for x in kv)), role)
+    consignee = F.coalesce(role == "consignee", F.lit(False))
+    judged = entity_type == "CONSIGNEE_NAME"
+    return F.when(~judged | consignee, entity_type).otherwise(own), ~judged | consignee
 
 
 def eligible(a: DataFrame, flag: str = "eligible", role: str = "role") -> DataFrame:
