@@ -11,7 +11,7 @@ from ..functions.scores import band
 from ..sources.store import kept
 from . import rules
 from .consensus import FIELD, LARGE, TOLERANCE, _carried, _large, canonical, judged, resolve
-from .fold import beside, by_shipment, folded, folder, gathered
+from .fold import beside, by_shipment, distinct_rows, folded, folder, gathered
 from .linkage import rater, ratio
 
 #: Advice by field; other fields get the last one. Our own wording.
@@ -331,15 +331,19 @@ def nodes(a: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def edges(a: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """source, target, relation of the evidence graph, beside the columns to keep; neighbours in a field's order must match."""
+    """source, target, relation of the evidence graph, beside shipment_id if it is to keep; neighbours in a field's order must match.
+
+    An edge names its shipment, so edges are told apart shipment by shipment, where the assertions lie.
+    """
+    a = distinct_rows(a)
     last = F.concat_ws(":", F.lit("assertion"), F.concat_ws("-", "shipment_id", F.col("seq") - 1), "entity_type", F.col("seq") - 1)
     rows = F.array(
-        F.struct(F.col("shipment_id").cast("string").alias("source"), F.col("document_id").alias("target"), F.lit("CONTAINS").alias("relation")),
-        F.struct(F.col("shipment_id").cast("string").alias("source"), _field_id().alias("target"), F.lit("HAS_FIELD").alias("relation")),
+        F.when(F.col("first_of_document"), F.struct(F.col("shipment_id").cast("string").alias("source"), F.col("document_id").alias("target"), F.lit("CONTAINS").alias("relation"))),
+        F.when(F.col("first_of_field"), F.struct(F.col("shipment_id").cast("string").alias("source"), _field_id().alias("target"), F.lit("HAS_FIELD").alias("relation"))),
         F.struct(_assertion_id().alias("source"), _field_id().alias("target"), F.lit("ASSERTS_VALUE_FOR").alias("relation")),
         F.when(F.col("seq") > 1, F.struct(_assertion_id().alias("source"), last.alias("target"), F.lit("MUST_MATCH").alias("relation"))),
     )
-    return a.select(*(keep or []), F.inline(F.array_compact(rows))).distinct()
+    return a.select(*(keep or []), F.inline(F.array_compact(rows)))
 
 
 def graphs(a: DataFrame) -> DataFrame:
@@ -401,3 +405,8 @@ def neighbours(edges: DataFrame, targets: DataFrame, relation: str | None = None
     """target, source, relation: the nodes with an edge to each of ``targets`` (id)."""
     e = edges if relation is None else edges.filter(F.col("relation") == relation)
     return e.join(targets.select(F.col("id").alias("target")), "target", "left_semi").select("target", "source", "relation")
+
+
+def asserted(a: DataFrame) -> DataFrame:
+    """``neighbours`` of the fields of assertions by ASSERTS_VALUE_FOR: that edge always ends at a field of the same assertions, so no nodes are looked up."""
+    return distinct_rows(a).select(_field_id().alias("target"), _assertion_id().alias("source"), F.lit("ASSERTS_VALUE_FOR").alias("relation"))

@@ -85,3 +85,22 @@ def test_own_choices_in_one_exchange(spark):
     assert shown(C.overlay_own(a, "reviewed")) == want == shown(C.overlay_own(a, "reviewed", large=4)) and sum("resolved" in x for x in want) > 20
     p = plan(catalog.queries()["join04_reviewer_overlay"](spark, SF)).split("Initial Plan")[-1]
     assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_edges_are_told_apart_where_they_lie(spark):
+    """Repeated assertions, documents of several fields, nulls: the edges of a graph, each once, with no exchange but that of the shipments; and the assertions of each field."""
+    rows = [(s, f"{s}-{k % 3}", e, k % 3 + 1) for s in (1, 2, 3) for k in range(5) for e in ("A", "B", "A")] + [(None, None, "A", 1), (None, None, "A", 1)]
+    a = spark.createDataFrame(rows, "shipment_id long, document_id string, entity_type string, seq long")
+    got = [tuple(r) for r in X.edges(a).collect()]
+    want = set()
+    for s, d, e, q in rows:
+        field, said = ":".join(["shipment", *([str(s)] if s else []), "field", e]), ":".join(x for x in ("assertion", d, e, str(q)) if x)
+        want |= {(str(s) if s else None, d, "CONTAINS"), (str(s) if s else None, field, "HAS_FIELD"), (said, field, "ASSERTS_VALUE_FOR")}
+        if q > 1:
+            want.add((said, f"assertion:{s}-{q - 1}:{e}:{q - 1}", "MUST_MATCH"))
+    assert len(got) == len(set(got)) and set(got) == want
+    near = X.neighbours(X.edges(a), X.nodes(a).filter("kind = 'field'"), "ASSERTS_VALUE_FOR")
+    assert sorted(map(str, X.asserted(a).collect())) == sorted(map(str, near.collect()))
+    for name in ("grf02_edges", "grf04_neighbours"):
+        p = plan(catalog.queries()[name](spark, SF)).split("Initial Plan")[-1]
+        assert p.count("Exchange") == 1 and "Aggregate" not in p and "Join" not in p, name
