@@ -132,10 +132,10 @@ def str01_document_stream(spark, sf_dir):
     """The document job over readings of papers that arrive in three batches; every 37th can't be read and goes to the dead letters."""
     where = shared_path(spark, "documents")
     r = paper_readings(spark, sf_dir).withColumn("tokens", F.when(F.col("document_id") % 37 > 0, F.col("tokens")))
-    for part in range(3):
-        r.filter(F.col("document_id") % 3 == part).coalesce(1).write.parquet(f"{where}/in/{part}")
+    for part in range(3):  # as many files as there are tasks
+        r.filter(F.col("document_id") % 3 == part).write.parquet(f"{where}/in/{part}")
     fault = E.faults(F.col("tokens"))
-    I.ingest(spark, f"{where}/in/*", r.schema, f"{where}/out", f"{where}/checkpoint", E.results, F.size(fault) == 0, lambda bad: E.error_results(bad, fault), files=1)
+    I.ingest(spark, f"{where}/in/*", r.schema, f"{where}/out", f"{where}/checkpoint", E.results, F.size(fault) == 0, lambda bad: E.error_results(bad, fault), files=int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = spark.read.parquet(f"{where}/out/done").unionByName(spark.read.parquet(f"{where}/out/dead"))
     return out.select("document_id", "document_type", F.array_join("errors", ",").alias("errors"), (F.size("entities") > 0).alias("has_entities"), F.size("raw_ocr").alias("n_tokens"))
 

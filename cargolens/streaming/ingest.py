@@ -30,8 +30,8 @@ def ingest(
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = batch
-        if good is not None:
-            told = kept(batch.withColumn("__good", F.coalesce(good, F.lit(False))), "batch")  # read by both ways below
+        if good is not None:  # each way reads the batch's files, which costs less than to write the batch again
+            told = batch.withColumn("__good", F.coalesce(good, F.lit(False)))
             rows = told.filter("__good").drop("__good")
             dead(told.filter("NOT __good").drop("__good")).write.mode("overwrite").parquet(f"{out}/dead/epoch={epoch}")
         process(rows).write.mode("overwrite").parquet(f"{out}/done/epoch={epoch}" if good is not None else f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
